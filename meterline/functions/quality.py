@@ -27,10 +27,10 @@ def has(mask: Column, name: str) -> Column:
     return mask.bitwiseAND(F.lit(BITS[name])) != 0
 
 
-def text(mask: Column) -> Column:
-    """Sorted comma list of the flags that are set; null when none is."""
-    parts = [F.when(has(mask, name), F.lit(name)) for name in QUALITY_FLAGS]
-    return F.nullif(F.concat_ws(",", *parts), F.lit(""))
+def text(mask: str) -> Column:
+    """Sorted comma list of the flags set in a mask column; null when none is."""
+    parts = ", ".join(f"if({mask} & {BITS[n]} <> 0, '{n}', null)" for n in QUALITY_FLAGS)
+    return F.expr(f"nullif(concat_ws(',', {parts}), '')")
 
 
 def array_text(flags: Column) -> Column:

@@ -122,53 +122,44 @@ def match_rate(models: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _chosen_rate(rate: str, name: str) -> Column:
-    long_context = (
-        F.col(f"{rate}.threshold_tokens").isNotNull()
-        & F.col(f"{rate}.has_long_context")
-        & (F.col("input_tokens") > F.col(f"{rate}.threshold_tokens"))
-    )
-    return F.when(long_context, F.col(f"{rate}.long_{name}_rate")).otherwise(
-        F.col(f"{rate}.{name}_rate")
+    """Long-context rate above the threshold, where the card has one."""
+    return F.expr(
+        f"if({rate}.threshold_tokens is not null and {rate}.has_long_context "
+        f"and input_tokens > {rate}.threshold_tokens, {rate}.long_{name}_rate, {rate}.{name}_rate)"
     )
 
 
-def _base_amount(rate: str) -> Column:
-    """Micros: the four products, plus half a million, over a million."""
-    tokens = [
-        F.greatest(F.col("input_tokens") - F.col("cache_read_tokens"), F.lit(0)),
-        F.col("cache_read_tokens"),
-        F.col("cache_write_tokens"),
-        F.col("output_tokens"),
-    ]
-    rates = [_chosen_rate(rate, n) for n in _RATES]
-    small = (F.greatest(*tokens) <= _SAFE_TOKENS) & (F.greatest(*rates) <= _SAFE_RATE)
-
-    def numerator(kind: str) -> Column:
-        total = F.lit(500_000).cast(kind)
-        for count, price in zip(tokens, rates):
-            total = total + count.cast(kind) * price.cast(kind)
-        return total
-
-    fast = F.call_function("div", numerator("bigint"), F.lit(1_000_000).cast("bigint"))
-    wide = numerator("decimal(19,0)").cast("decimal(38,0)")
-    top = F.lit(_NEVER).cast("decimal(38,0)") * F.lit(1_000_000).cast("decimal(8,0)")
-    slow = F.when(wide >= top, F.lit(_NEVER)).otherwise(
-        F.call_function("div", wide, F.lit(1_000_000).cast("decimal(8,0)"))
+def _base_amount(side: str) -> Column:
+    """Micros: the four products, plus half a million, over a million.
+
+    Four products of ordinary size fit into 63 bits; larger ones are decimals.
+    """
+    counts = ["_fresh_input", "cache_read_tokens", "cache_write_tokens", "output_tokens"]
+    rates = [f"{side}_{n}" for n in _RATES]
+
+    def numerator(kind: str) -> str:
+        products = [f"cast({c} as {kind}) * cast({r} as {kind})" for c, r in zip(counts, rates)]
+        return " + ".join([*products, f"cast(500000 as {kind})"])
+
+    wide = numerator("decimal(18,0)")
+    return F.expr(
+        f"case when greatest({', '.join(counts)}) <= {_SAFE_TOKENS} "
+        f"and greatest({', '.join(rates)}) <= {_SAFE_RATE} "
+        f"then ({numerator('bigint')}) div 1000000L "
+        f"when ({wide}) >= cast({_NEVER} as decimal(19,0)) * 1000000 then {_NEVER}L "
+        f"else ({wide}) div 1000000 end"
     )
-    return F.when(small, fast).otherwise(slow)
 
 
-def _multiplied(base: Column, multiplier: Column, fast: Column) -> Column:
+def _multiplied(side: str) -> Column:
     """Round half away from zero; null when the multiplier cannot be used."""
-    usable = (
-        multiplier.isNotNull()
-        & ~F.isnan(multiplier)
-        & (multiplier >= 0)
-        & (multiplier < float("inf"))
+    rate = f"{side}_rate.fast_multiplier"
+    product = f"round(cast({side}_base as double) * {rate})"
+    return F.expr(
+        f"case when not _fast then {side}_base "
+        f"when isnan({rate}) or {rate} < 0 or {rate} = double('infinity') then null "
+        f"when {product} >= {float(_NEVER)!r}D then {_NEVER}L else cast({product} as bigint) end"
     )
-    product = F.round(base.cast("double") * multiplier)
-    capped = F.when(product >= float(_NEVER), F.lit(_NEVER)).otherwise(product.cast("bigint"))
-    return F.when(fast, F.when(usable, capped)).otherwise(base)
 
 
 def rate_card(events: DataFrame, credit: DataFrame, usd: DataFrame) -> DataFrame:
@@ -181,19 +172,27 @@ def rate_card(events: DataFrame, credit: DataFrame, usd: DataFrame) -> DataFrame
 
 
 def price_events(
-    events: DataFrame, credit: DataFrame, usd: DataFrame, default_tier: str = "standard"
+    events: DataFrame,
+    credit: DataFrame,
+    usd: DataFrame,
+    default_tier: str = "standard",
+    card: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``credit_micros``, ``api_usd_micros`` and the ``price_flags`` mask.
 
     Both amounts are null when either catalog has no rate for the model.
+    ``card`` is a ``rate_card`` that covers the events' models.
     """
-    card = rate_card(events, credit, usd)
+    if card is None:
+        card = rate_card(events, credit, usd)
 
     def side(scheme: str, version: str, rate: str) -> DataFrame:
         return card.filter(F.col("scheme") == scheme).select(
             F.col("model_key"), F.col("version").alias(version), F.col("rate").alias(rate)
         )
 
+    classified = "coalesce(service_tier in ('fast', 'standard'), false)"
+    default_fast = "true" if default_tier == "fast" else "false"
     joined = (
         price_version_at(events.withColumn("model_key", F.lower("model")), credit, usd)
         .join(
@@ -202,49 +201,48 @@ def price_events(
             "left",
         )
         .join(side("api_usd", "usd_version", "usd_rate"), ["model_key", "usd_version"], "left")
+        .withColumns(
+            {
+                "_fresh_input": F.expr("greatest(input_tokens - cache_read_tokens, 0L)"),
+                "_wants_fast": F.expr(
+                    f"if({classified}, service_tier = 'fast', {default_fast})"
+                ),
+                "_multipliers": F.expr(
+                    "credit_rate.fast_multiplier is not null "
+                    "and usd_rate.fast_multiplier is not null"
+                ),
+                "_priced": F.expr("credit_rate is not null and usd_rate is not null"),
+                **{f"credit_{n}": _chosen_rate("credit_rate", n) for n in _RATES},
+                **{f"usd_{n}": _chosen_rate("usd_rate", n) for n in _RATES},
+            }
+        )
     )
-    tier = F.col("service_tier")
-    classified = F.coalesce(tier.isin("fast", "standard"), F.lit(False))
-    wants_fast = F.when(classified, tier == "fast").otherwise(F.lit(default_tier == "fast"))
-    both_multipliers = (
-        F.col("credit_rate.fast_multiplier").isNotNull()
-        & F.col("usd_rate.fast_multiplier").isNotNull()
-    )
-    fast = wants_fast & both_multipliers
-    priced = F.col("credit_rate").isNotNull() & F.col("usd_rate").isNotNull()
-    credit_amount = _multiplied(
-        _base_amount("credit_rate"), F.col("credit_rate.fast_multiplier"), fast
-    )
-    usd_amount = _multiplied(_base_amount("usd_rate"), F.col("usd_rate.fast_multiplier"), fast)
     amounts = joined.withColumns(
         {
-            "_credit": F.when(priced, credit_amount),
-            "_usd": F.when(priced, usd_amount),
+            "_fast": F.expr("_wants_fast and _multipliers"),
+            "credit_base": _base_amount("credit"),
+            "usd_base": _base_amount("usd"),
         }
+    ).withColumns({"_credit": _multiplied("credit"), "_usd": _multiplied("usd")})
+    bits = quality.BITS
+    flags = F.expr(
+        f"case when model is null then {bits['missing_pricing']} "
+        f"when credit_version is null then {bits['missing_subscription_version']} "
+        f"when usd_version is null then {bits['missing_api_version']} "
+        f"when not _priced then {bits['missing_pricing']} "
+        f"when _credit is null or _usd is null then {bits['pricing_multiplier_invalid']} "
+        f"else if({classified}, 0, {bits['service_tier_unclassified']}) | "
+        f"if(_wants_fast and not _multipliers, {bits['fast_unsupported_fallback_standard']}, 0) end"
     )
-    known = F.col("_credit").isNotNull() & F.col("_usd").isNotNull()
-    flags = (
-        F.when(F.col("model").isNull(), quality.flag("missing_pricing"))
-        .when(F.col("credit_version").isNull(), quality.flag("missing_subscription_version"))
-        .when(F.col("usd_version").isNull(), quality.flag("missing_api_version"))
-        .when(~priced, quality.flag("missing_pricing"))
-        .when(~known, quality.flag("pricing_multiplier_invalid"))
-        .otherwise(
-            quality.union(
-                quality.flag("service_tier_unclassified", ~classified),
-                quality.flag(
-                    "fast_unsupported_fallback_standard", wants_fast & ~both_multipliers
-                ),
-            )
-        )
+    known = "_priced and _credit is not null and _usd is not null"
+    return amounts.select(
+        *events.columns,
+        "credit_version",
+        "usd_version",
+        F.expr(f"if({known}, _credit, null)").alias("credit_micros"),
+        F.expr(f"if({known}, _usd, null)").alias("api_usd_micros"),
+        flags.alias("price_flags"),
     )
-    return amounts.withColumns(
-        {
-            "credit_micros": F.when(known, F.col("_credit")),
-            "api_usd_micros": F.when(known, F.col("_usd")),
-            "price_flags": flags,
-        }
-    ).drop("_credit", "_usd", "credit_rate", "usd_rate", "model_key")
 
 
 def price_card(credit: DataFrame, usd: DataFrame) -> DataFrame:

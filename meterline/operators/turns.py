@@ -141,10 +141,14 @@ def assign_turn(usage: DataFrame, turns: DataFrame) -> DataFrame:
     contains = F.col("_latest.ended_at_ms").isNull() | (F.col("_at") <= F.col("_latest.ended_at_ms"))
     searching = ~contains & (F.col("_furthest") >= F.col("_at"))
     searched = looked_up.withColumn("_search", F.coalesce(searching, F.lit(False)))
-    found = _covering(searched.filter("_search"), started)
-    settled = searched.join(found, "source_key", "left").withColumn(
-        "_chosen", F.coalesce("_found", "_latest")
-    )
+    to_search = searched.filter("_search")
+    if to_search.isEmpty():
+        settled = searched.withColumn("_chosen", F.col("_latest"))
+    else:
+        found = _covering(to_search, started)
+        settled = searched.join(found, "source_key", "left").withColumn(
+            "_chosen", F.coalesce("_found", "_latest")
+        )
     return matched.unionByName(
         result(settled, "_chosen", F.coalesce("turn_id", F.col("_chosen.turn_id")))
     )

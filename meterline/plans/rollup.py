@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import quality
@@ -24,7 +25,7 @@ from ..functions.timeline import day_end_ms, day_start_ms, local_date, minute_st
 from ..functions.tokens import TOKEN_COLUMNS, normalize_tokens, observed
 from ..operators.capacity import capacity_for, capacity_for_plan, capacity_rows
 from ..operators.dedupe import dedupe_usage
-from ..operators.pricing import price_events
+from ..operators.pricing import price_events, rate_card
 from ..operators.turns import assign_turn
 from ..operators.windows import (
     canonical_limit,
@@ -68,13 +69,13 @@ class Inputs:
     usd: DataFrame
     default_tier: str = "standard"
 
-
-@dataclass(frozen=True)
-class Rollups:
-    daily: DataFrame
-    minute: DataFrame
-    window: DataFrame
-    session: DataFrame
+    @cached_property
+    def capacity_rows(self) -> list[Row]:
+        """The canonical capacities: one per profile code, so an expression holds them."""
+        rows = capacity_rows(current_capacities(self.capacities))
+        if rows is None:
+            raise ValueError("more canonical capacities than profile codes exist")
+        return rows
 
 
 # --- facts -----------------------------------------------------------------
@@ -96,11 +97,10 @@ def usage_facts(inputs: Inputs, windows: DataFrame) -> DataFrame:
     counted = freeze(
         usage_window(dedupe_usage(usage_records(inputs.usage)), windows), "usage-counted"
     )
-    priced = price_events(counted, inputs.credit, inputs.usd, inputs.default_tier)
-    placed = assign_turn(
-        priced.drop("credit_version", "usd_version"), inputs.turns
-    )
-    return freeze(_with_context(placed, inputs), "usage-facts")
+    card = rate_card(counted, inputs.credit, inputs.usd)
+    placed = assign_turn(counted, inputs.turns)
+    priced = price_events(placed, inputs.credit, inputs.usd, inputs.default_tier, card)
+    return freeze(_with_context(priced, inputs), "usage-facts")
 
 
 def _with_context(usage: DataFrame, inputs: Inputs) -> DataFrame:
@@ -113,7 +113,7 @@ def _with_context(usage: DataFrame, inputs: Inputs) -> DataFrame:
             "local_date": local_date(F.col("observed_at_ms")),
         }
     )
-    rows = _capacity_rows(inputs.capacities)
+    rows = inputs.capacity_rows
     subscription = F.col("context") == "subscription"
     unknown = F.col("context") == "unknown"
     partial = (
@@ -134,15 +134,7 @@ def _with_context(usage: DataFrame, inputs: Inputs) -> DataFrame:
             ),
             "capacity_profile": choice.getField("profile_code"),
         }
-    ).drop("price_flags")
-
-
-def _capacity_rows(capacities: DataFrame):
-    """The canonical rows: one per profile code, so an expression holds them."""
-    rows = capacity_rows(current_capacities(capacities))
-    if rows is None:
-        raise ValueError("more canonical capacities than profile codes exist")
-    return rows
+    ).drop("price_flags", "credit_version", "usd_version")
 
 
 # --- metrics ---------------------------------------------------------------
@@ -316,7 +308,7 @@ def usage_minute(
         }
     )
     choice = capacity_for(
-        _capacity_rows(inputs.capacities),
+        inputs.capacity_rows,
         F.coalesce(F.col("account_key"), account.column("account_key")),
         F.col("plan_type"),
         F.col("minute_start_ms"),
@@ -339,7 +331,7 @@ def usage_minute(
         *_money_columns(),
         "official_used_percent",
         "official_source",
-        quality.text(F.col("flags")).alias("quality"),
+        quality.text("flags").alias("quality"),
         F.col("first_provider").alias("_first_provider"),
         F.col("provider_order").alias("_provider_order"),
     )
@@ -348,7 +340,7 @@ def usage_minute(
 # --- day -------------------------------------------------------------------
 
 
-def _official_days(points: DataFrame, windows: DataFrame) -> DataFrame:
+def official_days(points: DataFrame, windows: DataFrame) -> DataFrame:
     """Official percent of primary windows per local date, with the reset count."""
     primary = windows.filter("window_kind = 'primary'").select(
         "window_id", "window_start_ms", "ordinal", "inferred_after_gap"
@@ -372,21 +364,28 @@ def _official_days(points: DataFrame, windows: DataFrame) -> DataFrame:
     )
 
 
+def day_account_tokens(days: DataFrame, account_days: DataFrame) -> DataFrame:
+    """Account tokens of each local date, and whether they are there at all."""
+    tokens = account_days.select(
+        F.col("date").alias("local_date"), F.col("tokens").alias("account_tokens")
+    )
+    settled = F.when(F.col("account_tokens").isNotNull(), F.lit("settled"))
+    return days.join(tokens, "local_date", "left").withColumn(
+        "account_token_freshness", settled.otherwise(F.lit("unavailable"))
+    )
+
+
 def usage_daily(
     cube: DataFrame, points: DataFrame, windows: DataFrame, inputs: Inputs
 ) -> DataFrame:
     """One row per local date with usage or an official point of a primary window."""
     account = inputs.account
     totals = dominant_plan(plan_split(cube, ["local_date"]), ["local_date"])
-    days = totals.join(_official_days(points, windows), "local_date", "full").join(
-        inputs.account_days.select(
-            F.col("date").alias("local_date"), F.col("tokens").alias("account_tokens")
-        ),
-        "local_date",
-        "left",
+    days = day_account_tokens(
+        totals.join(official_days(points, windows), "local_date", "full"), inputs.account_days
     )
     choice = capacity_for_plan(
-        _capacity_rows(inputs.capacities),
+        inputs.capacity_rows,
         account.column("account_key"),
         F.col("local_plan.plan_type"),
         F.col("local_plan.capacity_profile"),
@@ -401,7 +400,7 @@ def usage_daily(
         quality.flag("official_unavailable", F.col("official_percent_start").isNull()),
         quality.flag("account_tokens_unavailable", F.col("account_tokens").isNull()),
     )
-    return days.select(
+    return days.withColumn("flags", flags).select(
         "local_date",
         account.column("account_key").alias("account_key"),
         account.column("auth_kind").alias("auth_kind"),
@@ -415,14 +414,12 @@ def usage_daily(
             "unobserved_tokens"
         ),
         coverage_ratio(F.col("account_tokens"), F.col("total_tokens")).alias("coverage_ratio"),
-        F.when(F.col("account_tokens").isNotNull(), F.lit("settled"))
-        .otherwise(F.lit("unavailable"))
-        .alias("account_token_freshness"),
+        "account_token_freshness",
         "official_percent_start",
         "official_percent_end",
         "official_percent_delta",
         F.coalesce("reset_count", F.lit(0)).cast("bigint").alias("reset_count"),
-        quality.text(flags).alias("quality"),
+        quality.text("flags").alias("quality"),
     )
 
 
@@ -479,7 +476,7 @@ def usage_window_table(
         .withColumn("account_key", F.coalesce("w_account", account.column("account_key")))
     )
     choice = capacity_for_plan(
-        _capacity_rows(inputs.capacities),
+        inputs.capacity_rows,
         F.col("account_key"),
         F.col("local_plan.plan_type"),
         F.col("local_plan.capacity_profile"),
@@ -491,7 +488,7 @@ def usage_window_table(
         quality.flag("inferred_after_gap", F.col("inferred_after_gap")),
         quality.flag("account_tokens_unavailable", F.col("account_tokens").isNull()),
     )
-    return rows.select(
+    return rows.withColumn("flags", flags).select(
         "window_id",
         "account_key",
         "limit_id",
@@ -514,7 +511,7 @@ def usage_window_table(
         "official_percent_start",
         "official_percent_end",
         "official_percent_delta",
-        quality.text(flags).alias("quality"),
+        quality.text("flags").alias("quality"),
     )
 
 
@@ -567,8 +564,7 @@ def session_models(keyed: DataFrame) -> DataFrame:
     order = F.struct("observed_at_ms", "source_key")
     first = F.struct(
         "root_session_id",
-        "_root",
-        "_session",
+        F.col("_session").alias("session_id"),
         "turn_id",
         "relation",
         "window_id",
@@ -606,6 +602,38 @@ def model_breakdown(models: DataFrame) -> DataFrame:
     )
 
 
+def session_meta(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Add title and relation: the root's title, then the session's own.
+
+    A row's relation wins over its session's; without either, a session that
+    is not its own root is a child.
+    """
+    root = F.coalesce("root_session_id", "session_id")
+    of_root = sessions.select(
+        F.col("session_id").alias("_root"), F.col("title").alias("_root_title")
+    )
+    own = sessions.select(
+        "session_id",
+        F.col("title").alias("_own_title"),
+        F.col("relation").alias("_own_relation"),
+    )
+    by_place = F.when(F.col("session_id") != F.col("_root"), F.lit("child")).otherwise(
+        F.lit("main")
+    )
+    return (
+        rows.withColumn("_root", root)
+        .join(of_root, "_root", "left")
+        .join(own, "session_id", "left")
+        .withColumns(
+            {
+                "title": F.coalesce("_root_title", "_own_title"),
+                "relation": F.coalesce(F.col("relation"), F.col("_own_relation"), by_place),
+            }
+        )
+        .drop("_root", "_root_title", "_own_title", "_own_relation")
+    )
+
+
 def _session_official(sessions: DataFrame, points: DataFrame) -> DataFrame:
     """First and last official percent in the minutes of each session row's window.
 
@@ -647,15 +675,10 @@ def _session_official(sessions: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def usage_session(
-    facts: DataFrame,
-    minute: DataFrame,
-    points: DataFrame,
-    windows: DataFrame,
-    inputs: Inputs,
+    models: DataFrame, minute: DataFrame, points: DataFrame, inputs: Inputs
 ) -> DataFrame:
     """One row per root session, turn, local date and window."""
     account = inputs.account
-    models = session_models(_session_keyed(facts, windows))
     named = F.col("model").isNotNull()
     item = F.struct(
         "model",
@@ -678,33 +701,16 @@ def usage_session(
     rows = rows.select("*", "first.*").withColumn(
         "window_key", F.coalesce("window_id", F.lit(NO_WINDOW))
     )
-    titles = inputs.sessions.select("session_id", "title")
-    rows = (
-        rows.join(
-            titles.select(F.col("session_id").alias("_root"), F.col("title").alias("_root_title")),
-            "_root",
-            "left",
-        )
-        .join(
-            inputs.sessions.select(
-                F.col("session_id").alias("_session"),
-                F.col("title").alias("_own_title"),
-                F.col("relation").alias("_own_relation"),
-            ),
-            "_session",
-            "left",
-        )
-        .join(
-            minute.select(
-                "minute_start_ms",
-                F.coalesce("window_id", F.lit(NO_WINDOW)).alias("window_key"),
-                "account_key",
-                "_first_provider",
-                "_provider_order",
-            ),
-            ["minute_start_ms", "window_key"],
-            "left",
-        )
+    rows = session_meta(rows, inputs.sessions).join(
+        minute.select(
+            "minute_start_ms",
+            F.coalesce("window_id", F.lit(NO_WINDOW)).alias("window_key"),
+            "account_key",
+            "_first_provider",
+            "_provider_order",
+        ),
+        ["minute_start_ms", "window_key"],
+        "left",
     )
     rows = _session_official(rows, points)
     seen_provider = F.when(F.col("_provider_order") <= F.col("first_order"), F.col("_first_provider"))
@@ -713,7 +719,7 @@ def usage_session(
         quality.flag("official_unavailable", F.col("official_percent_start").isNull()),
     )
     choice = capacity_for(
-        _capacity_rows(inputs.capacities),
+        inputs.capacity_rows,
         F.coalesce(F.col("account_key"), account.column("account_key")),
         F.col("plan_type"),
         F.coalesce("started_at_ms", F.lit(0)),
@@ -722,18 +728,14 @@ def usage_session(
         F.size("model_breakdown") > 0,
         F.to_json("model_breakdown", {"ignoreNullFields": "false"}),
     )
-    return rows.select(
+    return rows.withColumn("flags", flags).select(
         "row_key",
         "local_date",
         "root_session_id",
-        F.col("_session").alias("session_id"),
+        "session_id",
         "turn_id",
-        F.coalesce("_root_title", "_own_title").alias("title"),
-        F.coalesce(
-            F.col("relation"),
-            F.col("_own_relation"),
-            F.when(F.col("_session") != F.col("_root"), F.lit("child")).otherwise(F.lit("main")),
-        ).alias("relation"),
+        "title",
+        "relation",
         "started_at_ms",
         "ended_at_ms",
         "window_id",
@@ -751,21 +753,64 @@ def usage_session(
         *_money_columns(),
         "official_percent_start",
         "official_percent_end",
-        quality.text(flags).alias("quality"),
+        quality.text("flags").alias("quality"),
     )
 
 
-def build_rollups(inputs: Inputs) -> Rollups:
-    """All four usage tables.  Facts, cube, windows and points are computed once."""
-    quota = canonical_limit(inputs.quota)
-    windows = build_windows(quota)
-    points = freeze(official_points(quota_window(quota, windows)), "official-points")
-    facts = usage_facts(inputs, windows)
-    cube = usage_cube(facts)
-    minute = usage_minute(cube, points, windows, inputs)
-    return Rollups(
-        daily=usage_daily(cube, points, windows, inputs),
-        minute=minute.drop("_first_provider", "_provider_order"),
-        window=usage_window_table(cube, points, windows, inputs),
-        session=usage_session(facts, minute, points, windows, inputs),
-    )
+class Rollups:
+    """The four usage tables.  What they share is computed once, when first needed."""
+
+    def __init__(self, inputs: Inputs):
+        self.inputs = inputs
+
+    @cached_property
+    def quota(self) -> DataFrame:
+        return canonical_limit(self.inputs.quota)
+
+    @cached_property
+    def windows(self) -> DataFrame:
+        return build_windows(self.quota)
+
+    @cached_property
+    def points(self) -> DataFrame:
+        return freeze(official_points(quota_window(self.quota, self.windows)), "official-points")
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        return usage_facts(self.inputs, self.windows)
+
+    @cached_property
+    def cube(self) -> DataFrame:
+        return usage_cube(self.facts)
+
+    @cached_property
+    def _minute(self) -> DataFrame:
+        return usage_minute(self.cube, self.points, self.windows, self.inputs)
+
+    @cached_property
+    def minute(self) -> DataFrame:
+        return self._minute.drop("_first_provider", "_provider_order")
+
+    @cached_property
+    def daily(self) -> DataFrame:
+        return usage_daily(self.cube, self.points, self.windows, self.inputs)
+
+    @cached_property
+    def window(self) -> DataFrame:
+        return usage_window_table(self.cube, self.points, self.windows, self.inputs)
+
+    @cached_property
+    def models(self) -> DataFrame:
+        return session_models(_session_keyed(self.facts, self.windows))
+
+    @cached_property
+    def session(self) -> DataFrame:
+        return usage_session(self.models, self._minute, self.points, self.inputs)
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {
+            "usage_daily": self.daily,
+            "usage_minute": self.minute,
+            "usage_window": self.window,
+            "usage_session": self.session,
+        }
