@@ -23,7 +23,7 @@ def _floor(value: Column, by: int) -> Column:
     return F.call_function("div", value, F.lit(by).cast("bigint"))
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with an epoch in milliseconds, read as UTC whatever the session zone is."""
     ts = F.col("ts")
     seconds = F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + (
@@ -43,7 +43,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usage facts: one per event, plus a replayed copy of every eleventh one."""
-    e = _events(spark, sf_dir)
+    e = events(spark, sf_dir)
     user, event = F.col("user_id"), F.col("event_id")
     session = F.concat(F.lit("s"), user)
     model = (
@@ -103,7 +103,7 @@ def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quota_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quota observations: a weekly sawtooth, a second limit and a secondary window."""
-    e = _events(spark, sf_dir)
+    e = events(spark, sf_dir)
     event = F.col("event_id")
     o = F.col("observed_at_ms") - BASE_MS
     week = _floor(o, WEEK_MS)
@@ -150,7 +150,7 @@ def turn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = _floor(F.col("observed_at_ms") + LOCAL_OFFSET_MS, HOUR_MS)
     session = F.concat(F.lit("s"), F.col("user_id"))
     per_hour = (
-        _events(spark, sf_dir)
+        events(spark, sf_dir)
         .filter(F.col("event_id") % 3 == 0)
         .groupBy(session.alias("session_id"), hour.alias("hour"))
         .agg(
@@ -177,7 +177,7 @@ def cumulative_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         Window.unboundedPreceding, 0
     )
     snapshots = (
-        _events(spark, sf_dir)
+        events(spark, sf_dir)
         .select("event_id", "user_id", "observed_at_ms", block.alias("block"),
                 inp.alias("inp"), out.alias("out"))
         .select(
@@ -299,3 +299,341 @@ def rollup_inputs(spark: SparkSession, sf_dir: str):
         credit=credit_catalog(spark),
         usd=usd_catalog(spark),
     )
+
+
+# --- raw inputs derived from the tables ------------------------------------
+
+
+def _rfc3339(ms: Column) -> Column:
+    """UTC text of an instant, by integer arithmetic."""
+    day = F.date_format(F.date_from_unix_date(_floor(ms, DAY_MS).cast("int")), "yyyy-MM-dd")
+    rest = ms % DAY_MS
+
+    def part(value: Column, width: int) -> Column:
+        return F.lpad(value.cast("string"), width, "0")
+
+    return F.concat(
+        day,
+        F.lit("T"),
+        part(_floor(rest, HOUR_MS), 2),
+        F.lit(":"),
+        part(_floor(rest, 60_000) % 60, 2),
+        F.lit(":"),
+        part(_floor(rest, 1000) % 60, 2),
+        F.lit("."),
+        part(rest % 1000, 3),
+        F.lit("Z"),
+    )
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON log lines, one file per user: session, turn, task and counter lines per event."""
+    from pyspark.sql import Window
+
+    e = events(spark, sf_dir).select(
+        "event_id",
+        "user_id",
+        "event_type",
+        "k",
+        "observed_at_ms",
+        F.round(F.col("value") * 1000).cast("bigint").alias("inp"),
+    )
+    event, k = F.col("event_id"), F.col("k")
+    block = _floor(event, 1000)
+    running = Window.partitionBy("user_id", block).orderBy("event_id").rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    starts = e.groupBy("user_id").agg(F.min("event_id").alias("start_id"))
+    e = e.withColumns(
+        {
+            "cum_in": F.sum("inp").over(running),
+            "cum_out": F.sum(k * 10).over(running),
+            "ts": _rfc3339(F.col("observed_at_ms")),
+        }
+    ).join(starts, "user_id")
+
+    def envelope(kind: str, payload: Column) -> Column:
+        return F.concat(
+            F.lit('{"timestamp":"'), "ts", F.lit(f'","type":"{kind}","payload":{{'), payload, F.lit("}}")
+        )
+
+    own = F.concat(F.lit("s"), "user_id")
+    other = F.when(event % 997 == 0, F.lit("b")).otherwise(F.lit(""))
+    parent = F.when(
+        F.col("user_id") >= 50,
+        F.concat(F.lit(',"forked_from_id":"s'), F.col("user_id") - 50, F.lit('"')),
+    ).otherwise(F.lit(""))
+    session = F.when(
+        (event == F.col("start_id")) | (event % 401 == 0) | (event % 997 == 0),
+        envelope(
+            "session_meta",
+            F.concat(F.lit('"id":"'), own, other, F.lit('","model_provider":"openai"'), parent),
+        ),
+    )
+    model = (
+        F.when(F.col("event_type") == "click", F.lit("gpt-5.6-sol"))
+        .when(F.col("event_type") == "view", F.lit("gpt-5.6-terra"))
+        .otherwise(F.lit("codex-auto-review"))
+    )
+    tier = (
+        F.when(event % 15 == 0, F.lit(""))
+        .when(k % 3 == 0, F.lit(',"service_tier":"priority"'))
+        .when(k % 3 == 1, F.lit(',"serviceTier":"Default"'))
+        .otherwise(F.lit(',"service_tier":"other"'))
+    )
+    turn = F.when(
+        event % 5 == 0,
+        envelope(
+            "turn_context",
+            F.concat(
+                F.lit('"turn_id":'),
+                F.when(event % 10 == 0, F.concat(F.lit('"t'), event, F.lit('"'))).otherwise(
+                    F.lit("null")
+                ),
+                F.lit(',"model":" '),
+                model,
+                F.lit('"'),
+                F.when(k % 4 == 0, F.lit(',"effort":"high"')).otherwise(F.lit("")),
+                tier,
+            ),
+        ),
+    )
+    task = (
+        F.when(
+            event % 7 == 0,
+            envelope(
+                "event_msg",
+                F.concat(
+                    F.lit('"type":"task_started","turnId":"k'),
+                    event,
+                    F.lit('"'),
+                    F.when(
+                        event % 2 == 0,
+                        F.concat(
+                            F.lit(',"started_at":'), _floor(F.col("observed_at_ms"), 1000) - 60
+                        ),
+                    ).otherwise(F.lit("")),
+                ),
+            ),
+        )
+        .when(event % 7 == 3, envelope("event_msg", F.lit('"type":"task_complete"')))
+        .when(
+            event % 7 == 5,
+            envelope(
+                "event_msg", F.concat(F.lit('"type":"turn_aborted","turn_id":"z'), event, F.lit('"'))
+            ),
+        )
+    )
+
+    def usage(name: str, inp: str, cached: Column, out: Column) -> Column:
+        return F.concat(
+            F.lit(f'"{name}":{{"input_tokens":'),
+            inp,
+            F.lit(',"cached_input_tokens":'),
+            cached,
+            F.lit(',"output_tokens":'),
+            out,
+            F.lit("}"),
+        )
+
+    last = F.when(
+        event % 2 == 0, usage("last_token_usage", "inp", _floor(F.col("inp") * k, 100), k * 10)
+    )
+    total = F.when(event % 3 != 2, usage("total_token_usage", "cum_in", F.lit(0), F.col("cum_out")))
+    limits = F.when(
+        event % 20 == 0,
+        F.concat(
+            F.lit(',"rate_limits":{"plan_type":'),
+            F.when(k % 2 == 0, F.lit('"plus"')).otherwise(F.lit('"pro"')),
+            F.lit(',"limit_id":"codex","primary":{"used_percent":'),
+            k,
+            F.lit(',"window_minutes":10080,"resets_at":'),
+            _floor(F.col("observed_at_ms"), WEEK_MS) * 604_800 + 604_800,
+            F.lit('},"secondary":null}'),
+        ),
+    ).otherwise(F.lit(""))
+    counter = envelope(
+        "event_msg",
+        F.concat(
+            F.lit('"type":"token_count","info":{'), F.concat_ws(",", last, total), F.lit("}"), limits
+        ),
+    )
+    noise = envelope("response_item", F.lit('"type":"message","content":"not a fact"'))
+    return e.select(
+        F.concat(own, F.lit(".jsonl")).alias("path"),
+        F.lit("active").alias("state"),
+        block.alias("block"),
+        F.posexplode(F.array(session, turn, task, counter, noise)).alias("place", "value"),
+        (event * 8).alias("base"),
+    ).filter("value is not null").select(
+        "path", "state", "block", (F.col("base") + F.col("place")).alias("line_no"), "value"
+    )
+
+
+def replay_raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Usage events per file with copied heads, and the file headers.
+
+    A user from 50 on starts with three events of user - 50; a user divisible
+    by seven starts with three events half a second apart that match nothing.
+    """
+    from pyspark.sql import Window
+
+    user = F.col("user_id")
+    rows = events(spark, sf_dir).select(
+        "user_id",
+        "event_id",
+        "observed_at_ms",
+        F.round(F.col("value") * 1000).cast("bigint").alias("input_tokens"),
+        (F.col("k") * 10).alias("output_tokens"),
+    )
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    heads = rows.withColumn("nth", nth).filter("nth <= 3")
+    firsts = heads.groupBy("user_id").agg(F.min("observed_at_ms").alias("start_ms"))
+    copies = heads.select(
+        (user + 50).alias("user_id"), "nth", "input_tokens", "output_tokens"
+    ).join(firsts, "user_id").filter(user % 7 != 0).select(
+        "user_id",
+        (F.col("nth") - 10).cast("bigint").alias("event_id"),
+        (F.col("start_ms") - 100_000 + F.col("nth") * 5_000).alias("observed_at_ms"),
+        "input_tokens",
+        "output_tokens",
+    )
+    bursts = firsts.filter((user % 7 == 0) & (user >= 50)).select(
+        "user_id", "start_ms", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("nth")
+    ).select(
+        "user_id",
+        (F.col("nth") - 10).cast("bigint").alias("event_id"),
+        (F.col("start_ms") - 100_000 + F.col("nth") * 500).alias("observed_at_ms"),
+        (F.col("nth") + 900_000).cast("bigint").alias("input_tokens"),
+        F.lit(1).cast("bigint").alias("output_tokens"),
+    )
+    path = F.concat(F.lit("s"), user, F.lit(".jsonl"))
+    zero = F.lit(0).cast("bigint")
+    usage = rows.unionByName(copies).unionByName(bursts).select(
+        path.alias("path"),
+        _floor(F.col("event_id") + 10, 1000).alias("block"),
+        F.col("event_id").alias("line_no"),
+        "observed_at_ms",
+        "input_tokens",
+        zero.alias("cache_read_tokens"),
+        zero.alias("cache_write_tokens"),
+        "output_tokens",
+        zero.alias("reasoning_tokens"),
+        (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
+    )
+    headers = rows.groupBy("user_id").agg(F.max("observed_at_ms").alias("last_ms")).select(
+        path.alias("path"),
+        F.concat(F.lit("s"), user).alias("session_id"),
+        F.when(user >= 50, F.concat(F.lit("s"), user - 50)).alias("parent_session_id"),
+        F.when(user % 2 == 0, F.col("last_ms")).alias("forked_at_ms"),
+    )
+    return usage, headers
+
+
+def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polls of an account feed: account, quota in four shapes, usage, and some errors."""
+    e = events(spark, sf_dir).filter(F.col("event_id") % 25 == 0)
+    event, k = F.col("event_id"), F.col("k")
+    account = F.concat(
+        F.lit('{"result":{"account":{"type":"chatgpt","email":" User'),
+        F.col("user_id") % 3,
+        F.lit('@Example.com","planType":"'),
+        F.when(F.col("user_id") % 2 == 0, F.lit("plus")).otherwise(F.lit("pro")),
+        F.lit('"}}}'),
+    )
+    body = F.concat(
+        F.lit('"primary":{"usedPercent":'),
+        k,
+        F.lit(',"windowMinutes":10080,"resetsAt":'),
+        _floor(F.col("observed_at_ms"), 1000) + 3_600,
+        F.lit('},"secondary":{"used_percent":null}'),
+    )
+    named = F.concat(F.lit('{"limitId":"codex","planType":"team",'), body, F.lit("}"))
+    bare = F.concat(F.lit("{"), body, F.lit("}"))
+    limits = (
+        F.when(
+            k % 4 == 0,
+            F.concat(
+                F.lit('"rateLimits":'), named, F.lit(',"rateLimitsByLimitId":{"codex":'), bare,
+                F.lit(',"spark":'), bare, F.lit("}")
+            ),
+        )
+        .when(k % 4 == 1, F.concat(F.lit('"rateLimits":['), named, F.lit(","), bare, F.lit("]")))
+        .when(k % 4 == 2, F.concat(F.lit('"rateLimits":'), named))
+        .otherwise(F.concat(F.lit('"rate_limits":{"weekly":'), bare, F.lit("}")))
+    )
+    day = local_date(F.col("observed_at_ms"))
+    usage = F.concat(
+        F.lit('{"result":{"lifetimeTokens":'),
+        event,
+        F.lit(',"dailyUsageBuckets":[{"startDate":"'),
+        day,
+        F.lit('","tokens":'),
+        event * 100 + k,
+        F.lit(',"email":"x@example.com"},{"date":"2026-07-01","totalTokens":'),
+        event,
+        F.lit("}]}}"),
+    )
+    error = F.when(event % 350 == 0, F.lit('{"error":{"code":1,"message":"no"}}'))
+    quota = F.concat(F.lit('{"result":{'), limits, F.lit("}}"))
+    return e.select(
+        event.alias("poll_id"),
+        F.posexplode(F.array(account, quota, usage, error)).alias("msg_no", "value"),
+        F.col("observed_at_ms").alias("polled_at_ms"),
+    ).filter("value is not null")
+
+
+def external_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run results as JSON documents: days of each run, and one run without any."""
+    row = F.struct(
+        F.col("scope_key").alias("date"),
+        F.col("input_tokens").alias("inputTokens"),
+        F.col("cache_read_tokens").alias("cacheReadTokens"),
+        F.col("total_tokens").alias("totalTokens"),
+        F.col("amount").alias("costUSD"),
+    )
+    runs = (
+        external_raw(spark, sf_dir)
+        .groupBy("pricing_scheme", "speed", "run_at_ms")
+        .agg(F.array_sort(F.collect_list(row)).alias("daily"))
+        .select(
+            F.lit("daily").alias("scope"),
+            "pricing_scheme",
+            "speed",
+            (F.col("run_at_ms") - 1000).alias("started_at_ms"),
+            F.col("run_at_ms").alias("finished_at_ms"),
+            F.lit("1.0").alias("version"),
+            F.lit("ok").alias("status"),
+            F.to_json(F.struct("daily")).alias("data"),
+        )
+    )
+    failed = runs.filter("speed = 'auto'").withColumns(
+        {"scope": F.lit("session"), "status": F.lit("failed"), "data": F.lit("{}")}
+    )
+    return runs.unionByName(failed)
+
+
+def log_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log facts with many rows per key and gaps in their columns, in ``seq`` order."""
+    from .schemas import SOURCE_JSONL
+
+    e = events(spark, sf_dir)
+    event, k = F.col("event_id"), F.col("k")
+    quota = event % 4 == 0
+    known = {
+        "source_key": F.concat(F.lit("k"), event % 997),
+        "kind": F.when(event % 997 % 4 == 0, F.lit("quota")).otherwise(F.lit("usage")),
+        "observed_at_ms": F.col("observed_at_ms"),
+        "last_seen_at_ms": F.when(event % 3 == 0, F.col("observed_at_ms") + k * 1000),
+        "session_id": F.when(event % 5 != 0, F.concat(F.lit("s"), F.col("user_id"))),
+        "model": F.when(event % 7 == 0, F.col("event_type")),
+        "plan_type": F.when(k % 3 == 0, F.lit("plus")).when(k % 3 == 1, F.lit("pro")),
+        "total_tokens": F.when(event % 2 == 0, k),
+        "used_percent": F.when(quota, k.cast("double")),
+        "title": F.when(event % 11 == 0, F.concat(F.lit("t"), event)),
+    }
+    cells = []
+    for part in SOURCE_JSONL.split(", "):
+        name, type_name = part.split()
+        cells.append(known.get(name, F.lit(None)).cast(type_name).alias(name))
+    return e.select(event.alias("seq"), *cells)

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from . import adapters
 from .functions import quality
 from .functions.accounts import coverage_ratio, money, unobserved_tokens
+from .functions.ordered import CHUNK, Running, ordered_scan
 from .functions.storage import freeze
 from .functions.timeline import local_date
-from .functions.tokens import TOKEN_COLUMNS, normalize_tokens
-from .operators import capacity, dedupe, pricing, turns, windows
-from .plans import rollup
-from .sources.catalogs import credit_catalog, usd_catalog
+from .functions.tokens import TOKEN_COLUMNS, normalize_tokens, token_struct
+from .operators import capacity, dedupe, lineage, pricing, replay, turns, windows
+from .plans import report, rollup
+from .schemas import SOURCE_APP_SERVER, SOURCE_CCUSAGE
+from .sources import account_feed, external_runs, upserts
+from .sources import session_logs as logs
+from .sources.catalogs import credit_catalog, small_table, usd_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -360,3 +364,403 @@ def day_account_tokens(spark, sf_dir):
         coverage_ratio(F.col("account_tokens"), F.col("total_tokens")).alias("coverage_ratio"),
         "account_token_freshness",
     )
+
+
+# --- logs ------------------------------------------------------------------
+
+
+def _context(spark, sf_dir):
+    envelopes = logs.parse_envelope(adapters.log_lines(spark, sf_dir))
+    fields = freeze(logs.line_fields(envelopes), "log-fields")
+    return freeze(logs.carry_context(fields), "log-carried")
+
+
+@query
+def file_header(spark, sf_dir):
+    return logs.file_header(logs.parse_envelope(adapters.log_lines(spark, sf_dir)))
+
+
+@query
+def session_facts(spark, sf_dir):
+    return logs.session_facts(_context(spark, sf_dir)).select(
+        "source_key",
+        "observed_at_ms",
+        "session_id",
+        "parent_session_id",
+        "relation",
+        "reasoning_effort",
+        "provider",
+        "plan_type",
+        "quality",
+    )
+
+
+@query
+def turn_facts(spark, sf_dir):
+    return logs.turn_facts(_context(spark, sf_dir)).select(
+        "source_key",
+        "observed_at_ms",
+        "session_id",
+        "turn_id",
+        "started_at_ms",
+        "ended_at_ms",
+        "model",
+        "service_tier",
+        "reasoning_effort",
+        "plan_type",
+        "quality",
+    )
+
+
+@query
+def usage_facts(spark, sf_dir):
+    return logs.usage_facts(_context(spark, sf_dir)).select(
+        "observed_at_ms",
+        "session_id",
+        "turn_id",
+        "relation",
+        "model",
+        "service_tier",
+        "reasoning_effort",
+        "plan_type",
+        "input_tokens",
+        "cache_read_tokens",
+        "output_tokens",
+        "total_tokens",
+        "quality",
+    )
+
+
+@query
+def quota_facts(spark, sf_dir):
+    return logs.quota_facts(_context(spark, sf_dir)).select(
+        "observed_at_ms",
+        "plan_type",
+        "limit_id",
+        "window_kind",
+        "used_percent",
+        "window_minutes",
+        "resets_at_ms",
+    )
+
+
+@query
+def carry_context(spark, sf_dir):
+    return _context(spark, sf_dir).select(
+        "line_no",
+        "session_id",
+        "turn_id",
+        F.col("tier.tier").alias("service_tier"),
+        "model",
+        F.col("effort").alias("reasoning_effort"),
+        F.col("plan").alias("plan_type"),
+    )
+
+
+@query
+def usage_digest(spark, sf_dir):
+    return logs.usage_facts(_context(spark, sf_dir)).agg(
+        F.count_distinct("source_key").alias("keys"), F.count(F.lit(1)).alias("events")
+    )
+
+
+@query
+def usage_delta(spark, sf_dir):
+    def counts(inp, out):
+        zero = F.lit(0).cast("bigint")
+        return token_struct(
+            {
+                "input_tokens": inp,
+                "cache_read_tokens": zero,
+                "cache_write_tokens": zero,
+                "output_tokens": out,
+                "reasoning_tokens": zero,
+                "total_tokens": inp + out,
+            }
+        )
+
+    shown = F.col("last_input") + F.col("last_output") > 0
+    rows = adapters.cumulative_raw(spark, sf_dir).select(
+        "user_id",
+        "event_id",
+        "repeat",
+        F.call_function("div", F.col("event_id"), F.lit(1000).cast("bigint")).alias(CHUNK),
+        counts(F.col("cum_input"), F.col("cum_output")).alias("cumulative"),
+        F.when(shown, counts(F.col("last_input"), F.col("last_output"))).alias("last_usage"),
+    )
+    scanned = ordered_scan(
+        rows,
+        ["user_id"],
+        ["event_id", "repeat"],
+        [Running("previous", "last", F.col("cumulative"), before=True)],
+    )
+    tokens, note = logs.usage_delta(F.col("last_usage"), F.col("cumulative"), F.col("previous"))
+    return scanned.select(
+        "user_id",
+        "event_id",
+        "repeat",
+        tokens.getField("input_tokens").alias("input_tokens"),
+        tokens.getField("output_tokens").alias("output_tokens"),
+        note.alias("quality"),
+    )
+
+
+# --- lineage and replay ----------------------------------------------------
+
+
+def _user_edges(spark, sf_dir):
+    user = F.col("user_id")
+    return (
+        adapters.table(spark, sf_dir, "events")
+        .select("user_id")
+        .distinct()
+        .filter(user >= 50)
+        .select(
+            F.concat(F.lit("s"), user).alias("session_id"),
+            F.concat(F.lit("s"), user - 50).alias("parent_session_id"),
+        )
+    )
+
+
+@query
+def resolve_root(spark, sf_dir):
+    """Chains of users fifty apart, and rings that have no root."""
+    ring = (
+        adapters.table(spark, sf_dir, "events")
+        .select((F.col("user_id") % 7).alias("n"))
+        .distinct()
+        .select(
+            F.concat(F.lit("c"), "n").alias("session_id"),
+            F.concat(F.lit("c"), (F.col("n") + 1) % 7).alias("parent_session_id"),
+        )
+    )
+    return lineage.resolve_roots(_user_edges(spark, sf_dir).unionByName(ring))
+
+
+@query
+def parent_edges(spark, sf_dir):
+    user = F.col("user_id")
+    users = adapters.table(spark, sf_dir, "events").select("user_id").distinct()
+    session = F.concat(F.lit("s"), user).alias("session_id")
+    metadata = users.select(
+        session, F.concat(F.lit("meta"), user % 5).alias("parent_session_id")
+    )
+    headers = users.filter((user % 3 == 0) & (user >= 50)).select(
+        session,
+        F.concat(F.lit("s"), user - 50).alias("parent_session_id"),
+        F.concat(F.lit("p"), user).alias("path"),
+    )
+    return lineage.parent_edges(metadata, headers)
+
+
+@query
+def enrich_records(spark, sf_dir):
+    """Usage without parents gets them from the graph, and effort from metadata."""
+    raw = adapters.usage_raw(spark, sf_dir)
+    records = raw.withColumns(
+        {
+            "kind": F.lit("usage"),
+            "title": F.lit(None).cast("string"),
+            "quality": F.lit(None).cast("string"),
+            "relation": F.lit("main"),
+            "parent_session_id": F.lit(None).cast("string"),
+            "root_session_id": F.lit(None).cast("string"),
+        }
+    )
+    metadata = (
+        raw.select("session_id")
+        .distinct()
+        .select(
+            "session_id",
+            F.lit(None).cast("string").alias("title"),
+            F.lit(None).cast("string").alias("parent_session_id"),
+            F.lit("low").alias("reasoning_effort"),
+        )
+    )
+    return lineage.enrich(records, metadata, _user_edges(spark, sf_dir)).select(
+        "source_key", "root_session_id", "parent_session_id", "reasoning_effort", "relation"
+    )
+
+
+@query
+def replay_prefix(spark, sf_dir):
+    return replay.replayed_usage(*adapters.replay_raw(spark, sf_dir)).drop("block")
+
+
+@query
+def leading_burst(spark, sf_dir):
+    usage, _ = adapters.replay_raw(spark, sf_dir)
+    return replay.leading_burst(replay.number_events(usage))
+
+
+@query
+def replayed_quota_drop(spark, sf_dir):
+    usage, headers = adapters.replay_raw(spark, sf_dir)
+    facts = usage.withColumn("kind", F.lit("usage"))
+    quota = facts.filter(F.col("line_no") % 2 == 0).withColumn("kind", F.lit("quota"))
+    return replay.strip_replay(facts.unionByName(quota), headers).select("path", "kind", "line_no")
+
+
+# --- keyed writes ----------------------------------------------------------
+
+
+@query
+def log_upsert(spark, sf_dir):
+    batch = adapters.log_batch(spark, sf_dir)
+    existing = upserts.upsert_logs(None, batch.filter("seq < 500"), ["seq"])
+    merged = upserts.upsert_logs(existing, batch.filter("seq >= 500"), ["seq"])
+    return merged.select(
+        "source_key",
+        "kind",
+        "observed_at_ms",
+        "last_seen_at_ms",
+        "session_id",
+        "model",
+        "plan_type",
+        "total_tokens",
+        "used_percent",
+        "title",
+    )
+
+
+@query
+def scan_report(spark, sf_dir):
+    batch = adapters.log_batch(spark, sf_dir)
+    existing = batch.filter("seq < 500").select("source_key").distinct()
+    return upserts.batch_report(existing, batch.filter("seq >= 500"))
+
+
+@query
+def repair_quota_times(spark, sf_dir):
+    batch = adapters.log_batch(spark, sf_dir).withColumn(
+        "observed_at_ms", F.col("observed_at_ms") + 60_000
+    )
+    return upserts.repair_quota_times(batch).select("seq", "observed_at_ms")
+
+
+def _typed(df, schema, known):
+    cells = []
+    for part in schema.split(", "):
+        name, type_name = part.split()
+        cells.append(known.get(name, F.lit(None)).cast(type_name).alias(name))
+    return df.select("event_id", *cells)
+
+
+@query
+def external_upsert(spark, sf_dir):
+    e = adapters.events(spark, sf_dir)
+    batch = _typed(
+        e,
+        SOURCE_CCUSAGE,
+        {
+            "source_key": F.concat(F.lit("x"), F.col("event_id") % 311),
+            "run_at_ms": F.col("observed_at_ms"),
+            "total_tokens": F.col("k"),
+            "amount": F.col("value"),
+        },
+    )
+    return upserts.upsert_external(None, batch, ["event_id"]).select(
+        "source_key", "run_at_ms", "total_tokens", "amount"
+    )
+
+
+@query
+def feed_upsert(spark, sf_dir):
+    k = F.col("k")
+    batch = _typed(
+        adapters.events(spark, sf_dir),
+        SOURCE_APP_SERVER,
+        {
+            "source_key": F.concat(F.lit("f"), F.col("event_id") % 211),
+            "kind": F.lit("account"),
+            "first_seen_at_ms": F.col("observed_at_ms"),
+            "last_seen_at_ms": F.col("observed_at_ms"),
+            "status": F.when(k % 5 == 0, F.lit("unavailable")).otherwise(F.lit("ok")),
+            "plan_type": F.when(k % 2 == 0, F.col("event_type")),
+        },
+    )
+    return upserts.upsert_feed(None, batch, ["event_id"]).select(
+        "source_key", "first_seen_at_ms", "last_seen_at_ms", "status", "plan_type"
+    )
+
+
+# --- account feed ----------------------------------------------------------
+
+
+def _messages(spark, sf_dir):
+    return account_feed.parse_messages(adapters.feed_messages(spark, sf_dir))
+
+
+@query
+def account_facts(spark, sf_dir):
+    messages = _messages(spark, sf_dir)
+    rows = account_feed.account_facts(messages).unionByName(account_feed.feed_errors(messages))
+    return rows.select(
+        "kind",
+        "last_seen_at_ms",
+        "account_key",
+        "account_label",
+        "auth_kind",
+        "plan_type",
+        "freshness",
+        "status",
+    )
+
+
+@query
+def feed_quota_facts(spark, sf_dir):
+    return account_feed.feed_quota_facts(_messages(spark, sf_dir)).select(
+        "last_seen_at_ms",
+        "account_key",
+        "limit_id",
+        "plan_type",
+        "window_kind",
+        "used_percent",
+        "window_minutes",
+        "resets_at_ms",
+    )
+
+
+@query
+def feed_usage_facts(spark, sf_dir):
+    return account_feed.feed_usage_facts(_messages(spark, sf_dir)).select(
+        "account_key", "plan_type", "lifetime_tokens", "daily_tokens_json"
+    )
+
+
+def _feed(spark, sf_dir):
+    facts = account_feed.feed_facts(adapters.feed_messages(spark, sf_dir))
+    return upserts.upsert_feed(None, facts, account_feed.FEED_ORDER)
+
+
+@query
+def account_daily_tokens(spark, sf_dir):
+    return account_feed.account_daily_tokens(_feed(spark, sf_dir))
+
+
+@query
+def latest_account(spark, sf_dir):
+    feed = freeze(_feed(spark, sf_dir), "feed")
+
+    def named(scope: str, only_ok: bool) -> DataFrame:
+        return account_feed.latest_account(feed, only_ok).select(
+            F.lit(scope).alias("scope"), "account_key", "last_seen_at_ms"
+        )
+
+    return named("any", False).unionByName(named("ok", True))
+
+
+@query
+def preferred_quota(spark, sf_dir):
+    """Preferred quota row of each local date."""
+    quota = adapters.quota_raw(spark, sf_dir).withColumns(
+        {
+            "local_date": local_date(F.col("first_seen_at_ms")),
+            "limit_id": F.when(
+                (F.col("limit_id") == "codex") & (F.col("source") == "jsonl"), F.lit("other")
+            ).otherwise(F.col("limit_id")),
+        }
+    )
+    return report.preferred_quota(quota, F.col("last_seen_at_ms"), ["local_date"]).select(
+        "local_date", "source_key", "used_percent"
+    )

@@ -1,5 +1,5 @@
 """Independent SQL for the registered queries, in DuckDB's dialect."""
 
-from . import core
+from . import core, logs
 
-ORACLES: dict[str, str] = {**core.ORACLES}
+ORACLES: dict[str, str] = {**core.ORACLES, **logs.ORACLES}
