@@ -67,7 +67,7 @@ def dollars_per_token(micros_per_million: Column) -> Column:
 
 
 def remaining_percent(used: Column) -> Column:
-    return F.greatest(F.lit(100.0) - used, F.lit(0.0))
+    return F.when(used.isNotNull(), F.greatest(F.lit(100.0) - used, F.lit(0.0)))
 
 
 def unobserved_tokens(account_tokens: Column, local_total: Column) -> Column:

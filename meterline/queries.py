@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import adapters
-from .functions import quality
+from .functions import accounts, quality, timeline
 from .functions.accounts import coverage_ratio, money, unobserved_tokens
 from .functions.ordered import CHUNK, Running, ordered_scan
 from .functions.storage import freeze
@@ -19,7 +19,14 @@ from .plans import report, rollup
 from .schemas import SOURCE_APP_SERVER, SOURCE_CCUSAGE
 from .sources import account_feed, external_runs, upserts
 from .sources import session_logs as logs
-from .sources.catalogs import credit_catalog, small_table, usd_catalog
+from .sources.catalogs import (
+    CAPACITY_SCHEMA,
+    credit_catalog,
+    ensure_capacities,
+    set_capacity,
+    small_table,
+    usd_catalog,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -764,3 +771,339 @@ def preferred_quota(spark, sf_dir):
     return report.preferred_quota(quota, F.col("last_seen_at_ms"), ["local_date"]).select(
         "local_date", "source_key", "used_percent"
     )
+
+
+# --- report ----------------------------------------------------------------
+
+
+@query
+def selected_date(spark, sf_dir):
+    return report.selected_date(_rollups(spark, sf_dir).daily, "1999-01-01")
+
+
+@query
+def day_view(spark, sf_dir):
+    return report.day_view(_rollups(spark, sf_dir).daily).select(
+        "date",
+        "plan_type",
+        "capacity_profile",
+        "credit",
+        "api_usd",
+        "local_percent",
+        "account_tokens",
+        F.col("usage.input").alias("usage_input"),
+        F.col("usage.total").alias("usage_total"),
+        "quality",
+    )
+
+
+@query
+def minute_view(spark, sf_dir):
+    """Minutes of a selected date, as the report shows them."""
+    minute = _rollups(spark, sf_dir).minute.filter("local_date = '2026-07-20'")
+    return report.minute_view(minute).select(
+        "minute_start_ms",
+        "window_id",
+        "reset_marker",
+        F.col("usage.output").alias("usage_output"),
+        F.col("usage.total").alias("usage_total"),
+        "credit",
+        "official_used_percent",
+        "quality",
+    )
+
+
+@query
+def report_models(spark, sf_dir):
+    return report.report_models(_rollups(spark, sf_dir).session, ["local_date"])
+
+
+@query
+def report_sessions(spark, sf_dir):
+    return report.report_sessions(_rollups(spark, sf_dir).session, ["local_date"]).select(
+        "local_date",
+        "root_session_id",
+        "title",
+        "primary_model",
+        "started_at_ms",
+        "ended_at_ms",
+        "turn_count",
+        F.array_join("models", ",").alias("models"),
+        F.array_join("fast", ",").alias("fast"),
+        "total_tokens",
+        "credit",
+        "api_usd",
+    )
+
+
+@query
+def report_turns(spark, sf_dir):
+    return report.report_turns(_rollups(spark, sf_dir).session).select(
+        "row_key",
+        "turn_id",
+        "session_id",
+        "root_session_id",
+        "model",
+        "fast",
+        F.col("usage.total").alias("usage_total"),
+        "credit",
+    )
+
+
+@query
+def window_detail(spark, sf_dir):
+    rollups = _rollups(spark, sf_dir)
+    return report.window_detail(rollups.window, rollups.minute, rollups.session).select(
+        "window_id", "total_tokens", "minute_count", "session_count", "root_count"
+    )
+
+
+@query
+def nearest_window(spark, sf_dir):
+    found = rollup.build_windows(_quota(spark, sf_dir))
+    return report.nearest_window(found, 1_785_300_000_000).select("window_id", "resets_at_ms")
+
+
+@query
+def latest_run(spark, sf_dir):
+    return report.latest_run(adapters.external_raw(spark, sf_dir)).select(
+        "scope_key", "pricing_scheme", "speed", "run_at_ms", "total_tokens"
+    )
+
+
+@query
+def validation(spark, sf_dir):
+    return report.validation(adapters.external_raw(spark, sf_dir), _rollups(spark, sf_dir).daily)
+
+
+@query
+def fast_surcharge(spark, sf_dir):
+    return report.fast_surcharge(adapters.external_raw(spark, sf_dir))
+
+
+@query
+def external_field_compare(spark, sf_dir):
+    return report.external_field_compare(
+        adapters.external_raw(spark, sf_dir), _rollups(spark, sf_dir).daily
+    )
+
+
+@query
+def external_usage(spark, sf_dir):
+    return external_runs.external_usage(adapters.external_results(spark, sf_dir)).select(
+        "source_key",
+        "scope",
+        "scope_key",
+        "input_tokens",
+        "cache_read_tokens",
+        "total_tokens",
+        "amount",
+        "status",
+    )
+
+
+@query
+def run_status(spark, sf_dir):
+    return external_runs.run_status(adapters.external_results(spark, sf_dir))
+
+
+@query
+def minute_cumulative(spark, sf_dir):
+    return report.minute_cumulative(_rollups(spark, sf_dir).minute)
+
+
+@query
+def capacity_candidates(spark, sf_dir):
+    return report.capacity_candidates(freeze(_rollups(spark, sf_dir).minute, "minutes"))
+
+
+@query
+def candidate_spread(spark, sf_dir):
+    return report.candidate_spread(freeze(_rollups(spark, sf_dir).minute, "minutes"))
+
+
+@query
+def unobserved_percent(spark, sf_dir):
+    return report.unobserved_percent(_rollups(spark, sf_dir).window)
+
+
+@query
+def audit_counts(spark, sf_dir):
+    rollups = _rollups(spark, sf_dir)
+    usage = adapters.usage_raw(spark, sf_dir).withColumn("kind", F.lit("usage"))
+    return report.audit(
+        rollups.daily, rollups.session, rollups.window, usage, adapters.external_raw(spark, sf_dir)
+    )
+
+
+@query
+def sync_counts(spark, sf_dir):
+    usage = adapters.usage_raw(spark, sf_dir).withColumn("kind", F.lit("usage"))
+    days = usage.select(local_date(F.col("observed_at_ms")).alias("local_date")).distinct()
+    return report.sync_counts(usage, days)
+
+
+@query
+def current_state(spark, sf_dir):
+    """Current state at the time of the last event."""
+    feed = freeze(_feed(spark, sf_dir), "feed")
+    rollups = _rollups(spark, sf_dir)
+    log_rows = (
+        adapters.quota_raw(spark, sf_dir)
+        .filter("source = 'jsonl'")
+        .withColumns({"kind": F.lit("quota"), "observed_at_ms": F.col("first_seen_at_ms")})
+    )
+    now_ms = feed.agg(F.max("last_seen_at_ms")).first()[0] + 60_000
+    return report.current(
+        feed,
+        log_rows,
+        freeze(rollups.minute, "minutes"),
+        freeze(rollups.window, "window-table"),
+        rollups.inputs.capacities,
+        now_ms,
+    )
+
+
+# --- capacity and scalars --------------------------------------------------
+
+
+def _mixed_capacities(spark):
+    rows = [
+        ("usd20", None, None, 3200.0, 0, None),
+        ("usd100", None, None, 16000.0, 0, None),
+        ("usd200", None, None, 64000.0, 0, None),
+        ("usd20", None, "pro", 50000.0, 1_785_000_000_000, None),
+        ("usd100", "s7", None, 17000.0, 1_785_500_000_000, 1_786_000_000_000),
+    ]
+    names = [
+        "profile_code",
+        "account_key",
+        "plan_type",
+        "weekly_credit",
+        "effective_from_ms",
+        "effective_to_ms",
+    ]
+    return small_table(spark, [dict(zip(names, row)) for row in rows], CAPACITY_SCHEMA)
+
+
+def _asked_capacity(spark, sf_dir):
+    plan = F.when(
+        (F.col("plan_type") == "team") & (F.col("input_tokens") % 2 == 0), F.lit("business")
+    ).otherwise(F.col("plan_type"))
+    number = F.substring("session_id", 2, 20).cast("bigint")
+    return (
+        adapters.usage_raw(spark, sf_dir)
+        .filter(F.col("source_key").startswith("usage:"))
+        .select(
+            "source_key",
+            F.concat(F.lit("s"), number % 10).alias("account_key"),
+            plan.alias("plan_type"),
+            F.col("observed_at_ms").alias("at_ms"),
+        )
+    )
+
+
+def _capacity_arguments():
+    return F.col("account_key"), F.col("plan_type"), F.col("at_ms")
+
+
+def _choice(asked: DataFrame, choice) -> DataFrame:
+    return asked.select(
+        "source_key",
+        choice.getField("profile_code").alias("capacity_profile"),
+        choice.getField("weekly_credit").alias("weekly_credit"),
+    )
+
+
+@query
+def capacity_for(spark, sf_dir):
+    rows = capacity.capacity_rows(_mixed_capacities(spark))
+    return _choice(
+        _asked_capacity(spark, sf_dir), capacity.capacity_for(rows, *_capacity_arguments())
+    )
+
+
+@query
+def capacity_for_join(spark, sf_dir):
+    """The same choice as joins, the way for capacity tables that grow."""
+    return capacity.join_capacity_for(
+        _asked_capacity(spark, sf_dir), _mixed_capacities(spark)
+    ).select("source_key", "capacity_profile", "weekly_credit")
+
+
+@query
+def capacity_for_plan(spark, sf_dir):
+    rows = capacity.capacity_rows(_mixed_capacities(spark))
+    account, plan, at = _capacity_arguments()
+    profile = F.when(account != "s3", F.lit("usd100"))
+    return _choice(
+        _asked_capacity(spark, sf_dir),
+        capacity.capacity_for_plan(rows, account, plan, profile, at),
+    )
+
+
+@query
+def current_capacity(spark, sf_dir):
+    rows = capacity.capacity_rows(_mixed_capacities(spark))
+    choice = capacity.current_capacity(rows, *_capacity_arguments())
+    return _asked_capacity(spark, sf_dir).select(
+        "source_key", choice.getField("weekly_credit").alias("weekly_credit")
+    )
+
+
+@query
+def capacity_seeding(spark, sf_dir):
+    """Dated capacities from events are promoted over seeds; one value is set by hand."""
+    kind = F.col("event_type")
+    dated = (
+        adapters.events(spark, sf_dir)
+        .filter(kind.isin("click", "view"))
+        .groupBy(
+            F.when(kind == "click", F.lit("usd20")).otherwise(F.lit("usd100")).alias("profile_code")
+        )
+        .agg(
+            F.max("user_id").cast("double").alias("weekly_credit"),
+            F.max("event_id").alias("effective_from_ms"),
+        )
+        .select(
+            "profile_code",
+            F.lit("old").alias("account_key"),
+            F.lit(None).cast("string").alias("plan_type"),
+            "weekly_credit",
+            "effective_from_ms",
+            F.lit(None).cast("bigint").alias("effective_to_ms"),
+            F.col("effective_from_ms").alias("confirmed_at_ms"),
+        )
+    )
+    seeded = ensure_capacities(dated)
+    return set_capacity(seeded, "usd200", 55_000.0, 77).select(
+        "profile_code", "account_key", "weekly_credit", "effective_from_ms", "confirmed_at_ms"
+    )
+
+
+@query
+def scalar_functions(spark, sf_dir):
+    at, total, inp = F.col("observed_at_ms"), F.col("total_tokens"), F.col("input_tokens")
+    plan = accounts.effective_plan(F.col("plan_type"), F.col("provider"))
+    date = local_date(at)
+    names = F.array(*[F.lit(n) for n in ("Default", "PRIORITY", "flex", "", "x")])
+    return adapters.usage_raw(spark, sf_dir).select(
+        "source_key",
+        timeline.minute_start(at).alias("minute_start_ms"),
+        date.alias("local_date"),
+        timeline.day_start_ms(date).alias("day_start_ms"),
+        timeline.day_end_ms(date).alias("day_end_ms"),
+        plan.alias("effective_plan"),
+        accounts.usage_context(plan).alias("context"),
+        accounts.default_profile(F.col("plan_type")).alias("profile"),
+        accounts.dedupe_model(F.col("model")).alias("dedupe_model"),
+        accounts.normalize_tier(F.element_at(names, (inp % 5 + 1).cast("int"))).alias("tier"),
+        timeline.number_epoch_ms(
+            F.when(total < 100_000, total).otherwise(total + 100_000_000_000)
+        ).alias("epoch_ms"),
+        accounts.money(total).alias("amount"),
+        accounts.dollars_per_token(inp).alias("per_token"),
+        accounts.remaining_percent((inp % 150).cast("double")).alias("remaining"),
+        timeline.is_fresh(at, F.lit(1_786_000_000_000)).alias("fresh"),
+        accounts.is_subscription_plan(F.col("plan_type")).alias("is_subscription"),
+    )

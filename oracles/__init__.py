@@ -1,5 +1,5 @@
 """Independent SQL for the registered queries, in DuckDB's dialect."""
 
-from . import core, logs
+from . import core, logs, reports
 
-ORACLES: dict[str, str] = {**core.ORACLES, **logs.ORACLES}
+ORACLES: dict[str, str] = {**core.ORACLES, **logs.ORACLES, **reports.ORACLES}
