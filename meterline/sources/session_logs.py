@@ -37,6 +37,8 @@ TASK_END_TYPES = ["task_complete", "task_aborted", "turn_aborted"]
 ABORT_TYPES = ["task_aborted", "turn_aborted"]
 
 LINE = ["block", "line_no"]
+# Plan and turn start that a file had when its lines were last read.
+SEED_TYPE = "struct<plan:string,started_at_ms:bigint>"
 _LINE_SCHEMA = "path string, state string, block bigint, line_no bigint, value string"
 
 
@@ -268,6 +270,7 @@ def line_fields(envelopes: DataFrame) -> DataFrame:
                 F.filter(windows, lambda w: w.isNotNull()).alias("windows"),
             ),
         ).alias("quota"),
+        F.lit(None).cast(SEED_TYPE).alias("seed"),
     )
 
 
@@ -390,7 +393,8 @@ def carry_context(fields: DataFrame) -> DataFrame:
     task = F.col("is_task") & F.col("turn_id").isNotNull()
     other_turn = ~F.col("turn_id").eqNullSafe(F.col("carried_turn"))
     started_set = (
-        F.when(
+        F.when(F.col("seed").isNotNull(), F.struct(F.col("seed.started_at_ms").alias("at")))
+        .when(
             task & (F.col("inner_type") == "task_started"),
             F.struct(F.coalesce("task_started_at", "observed_at_ms").alias("at")),
         )
@@ -401,7 +405,12 @@ def carry_context(fields: DataFrame) -> DataFrame:
     )
     frozen = freeze(
         placed.withColumns(
-            {"started_set": started_set, "plan_set": F.when(F.col("counts"), F.col("limits_plan"))}
+            {
+                "started_set": started_set,
+                "plan_set": F.coalesce(
+                    F.col("seed.plan"), F.when(F.col("counts"), F.col("limits_plan"))
+                ),
+            }
         ).drop("session_before", "turn_before", "counter_before", "change_pos", "added"),
         "log-context",
     )
