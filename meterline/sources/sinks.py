@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schemas import checked
 
@@ -18,7 +20,7 @@ _SORT = {
     "usage_session": ["local_date", "started_at_ms", "row_key"],
 }
 _PARTITION = {"usage_minute": ["local_date"], "usage_session": ["local_date"]}
-_POINTER_SCHEMA = "version string, published_ns bigint"
+_POINTER_SCHEMA = "version string, published_ns bigint, schemas map<string,string>"
 
 
 def replace_rollups(tables: dict[str, DataFrame], root: str) -> str:
@@ -29,6 +31,7 @@ def replace_rollups(tables: dict[str, DataFrame], root: str) -> str:
     """
     spark = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
+    schemas = {name: table.schema.json() for name, table in tables.items()}
     for name, table in tables.items():
         keys = _PARTITION.get(name)
         rows = checked(table, name)
@@ -38,7 +41,7 @@ def replace_rollups(tables: dict[str, DataFrame], root: str) -> str:
         if keys:
             writer = writer.partitionBy(*keys)
         writer.parquet(f"{root}/versions/{version}/{name}")
-    pointer = spark.createDataFrame([(version, time.time_ns())], _POINTER_SCHEMA)
+    pointer = spark.createDataFrame([(version, time.time_ns(), schemas)], _POINTER_SCHEMA)
     pointer.coalesce(1).write.mode("append").json(f"{root}/published")
     return version
 
@@ -46,14 +49,14 @@ def replace_rollups(tables: dict[str, DataFrame], root: str) -> str:
 def read_rollups(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The four tables of the published version."""
     published = spark.read.schema(_POINTER_SCHEMA).json(f"{root}/published")
-    version = published.agg(F.max_by("version", "published_ns")).first()[0]
-    tables = {}
-    for name in _SORT:
-        table = spark.read.parquet(f"{root}/versions/{version}/{name}")
-        if name in _PARTITION:
-            table = table.withColumn("local_date", F.col("local_date").cast("string"))
-        tables[name] = table
-    return tables
+    last = published.agg(
+        F.max_by(F.struct("version", "schemas"), "published_ns").alias("p")
+    ).first().p
+    return {
+        name: spark.read.schema(StructType.fromJson(json.loads(schema)))
+        .parquet(f"{root}/versions/{last.version}/{name}")
+        for name, schema in last.schemas.items()
+    }
 
 
 # Canonical orders, for reading a table in its published order.
