@@ -122,8 +122,24 @@ def roots_of_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def _with_roots(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Add ``_root`` to rows that have a session."""
+    pairs = rows.select("session_id", "parent_session_id").distinct()
+    roots = freeze(roots_of_pairs(pairs, edges), "record-roots").select(
+        F.col("session_id").alias("_s"),
+        F.col("parent_session_id").alias("_p"),
+        F.col("root_session_id").alias("_root"),
+    )
+    same = (rows["session_id"] == roots["_s"]) & rows["parent_session_id"].eqNullSafe(roots["_p"])
+    return rows.join(roots, same, "left")
+
+
 def enrich(records: DataFrame, metadata: DataFrame, edges: DataFrame) -> DataFrame:
-    """Fill title, parent, effort and root from metadata and the parent graph."""
+    """Fill title, parent, effort and root from metadata and the parent graph.
+
+    Rows without a session, such as all quota rows, take no part in the joins:
+    their null key would meet in one task.
+    """
     meta = metadata.select(
         "session_id",
         F.col("title").alias("_title"),
@@ -131,61 +147,43 @@ def enrich(records: DataFrame, metadata: DataFrame, edges: DataFrame) -> DataFra
         F.col("reasoning_effort").alias("_effort"),
     )
     graph = edges.select("session_id", F.col("parent_session_id").alias("_graph_parent"))
-    parent = F.coalesce("parent_session_id", "_meta_parent", "_graph_parent")
+    title = F.when(F.col("kind") == "session", F.coalesce("title", "_title"))
     filled = (
-        records.join(meta, "session_id", "left")
+        records.filter("session_id is not null")
+        .join(meta, "session_id", "left")
         .join(graph, "session_id", "left")
         .withColumns(
             {
-                "title": F.when(
-                    F.col("kind") == "session", F.coalesce("title", "_title")
-                ).otherwise(F.col("title")),
+                "title": title.otherwise(F.col("title")),
                 "reasoning_effort": F.coalesce("reasoning_effort", "_effort"),
-                "parent_session_id": parent,
+                "parent_session_id": F.coalesce(
+                    "parent_session_id", "_meta_parent", "_graph_parent"
+                ),
             }
         )
-        .drop("_title", "_meta_parent", "_effort", "_graph_parent")
+        .select(*records.columns)
     )
-    pairs = filled.filter("session_id is not null").select("session_id", "parent_session_id")
-    roots = freeze(roots_of_pairs(pairs.distinct(), edges), "record-roots").select(
-        F.col("session_id").alias("_s"),
-        F.col("parent_session_id").alias("_p"),
-        F.col("root_session_id").alias("_root"),
-    )
-    joined = filled.join(
-        roots,
-        (filled["session_id"] == roots["_s"]) & filled["parent_session_id"].eqNullSafe(roots["_p"]),
-        "left",
+    child = F.col("parent_session_id").isNotNull() & (F.col("relation") == "main")
+    unresolved = quality.append(F.col("quality"), "root_unresolved")
+    return (
+        _with_roots(filled, edges)
+        .withColumns(
+            {
+                "root_session_id": F.col("_root"),
+                "quality": F.when(F.col("_root").isNull(), unresolved).otherwise(F.col("quality")),
+                "relation": F.when(child, F.lit("child")).otherwise(F.col("relation")),
+            }
+        )
+        .select(*records.columns)
+        .unionByName(records.filter("session_id is null"))
     )
-    has_session = F.col("session_id").isNotNull()
-    child = has_session & F.col("parent_session_id").isNotNull() & (F.col("relation") == "main")
-    return joined.withColumns(
-        {
-            "root_session_id": F.when(has_session, F.col("_root")).otherwise(
-                F.col("root_session_id")
-            ),
-            "quality": F.when(
-                has_session & F.col("_root").isNull(),
-                quality.append(F.col("quality"), "root_unresolved"),
-            ).otherwise(F.col("quality")),
-            "relation": F.when(child, F.lit("child")).otherwise(F.col("relation")),
-        }
-    ).select(*records.columns)
 
 
 def repair_roots(stored: DataFrame, edges: DataFrame) -> DataFrame:
     """Resolve the root of every stored row again with the complete parent graph."""
-    pairs = stored.filter("session_id is not null").select("session_id", "parent_session_id")
-    roots = freeze(roots_of_pairs(pairs.distinct(), edges), "stored-roots").select(
-        F.col("session_id").alias("_s"),
-        F.col("parent_session_id").alias("_p"),
-        F.col("root_session_id").alias("_root"),
+    return (
+        _with_roots(stored.filter("session_id is not null"), edges)
+        .withColumn("root_session_id", F.col("_root"))
+        .select(*stored.columns)
+        .unionByName(stored.filter("session_id is null"))
     )
-    return stored.join(
-        roots,
-        (stored["session_id"] == roots["_s"]) & stored["parent_session_id"].eqNullSafe(roots["_p"]),
-        "left",
-    ).withColumn(
-        "root_session_id",
-        F.when(F.col("session_id").isNotNull(), F.col("_root")).otherwise(F.col("root_session_id")),
-    ).select(*stored.columns)

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.ordered import Running, ordered_scan, range_chunks
 from ..functions.storage import freeze
 
-_OPEN_END = 2**52 - 2
-_LEVELS = 52
 
-
-def _power_bins(start: Column, end: Column) -> Column:
+def _power_bins(start: Column, end: Column, top: int) -> Column:
     """Aligned power-of-two bins that exactly tile ``[start, end]``.
 
     At most two per level, so a turn of any length becomes a short list.
@@ -32,34 +29,34 @@ def _power_bins(start: Column, end: Column) -> Column:
             ),
         )
 
-    levels = F.sequence(F.lit(0), F.lit(_LEVELS))
+    levels = F.sequence(F.lit(0), F.lit(top))
     return F.filter(F.flatten(F.transform(levels, level_bins)), lambda b: b.isNotNull())
 
 
 def _covering(facts: DataFrame, turns: DataFrame) -> DataFrame:
-    """Latest-starting turn that contains each time, for facts known to need a search.
+    """Latest-starting finished turn that contains each time.
 
-    Both sides meet on bins, where a shared bin means containment: no pair of
-    a fact and a turn that does not contain it is ever formed.
+    For facts known to lie in one.  Both sides meet on bins, where a shared
+    bin means containment: no pair of a fact and a turn that does not contain
+    it is ever formed.
     """
     sessions = facts.select("_session").distinct()
-    end = F.least(F.coalesce("ended_at_ms", F.lit(_OPEN_END)), F.lit(_OPEN_END))
+    finished = turns.join(sessions, "_session", "left_semi").filter(
+        "ended_at_ms >= started_at_ms"
+    )
+    longest = finished.agg(F.max(F.col("ended_at_ms") - F.col("started_at_ms"))).first()[0]
+    top = max(int(longest or 0) + 1, 1).bit_length()
     bins = (
-        turns.join(sessions, "_session", "left_semi")
-        .filter(end >= F.col("started_at_ms"))
-        .select(
+        finished.select(
             "_session",
             F.struct("started_at_ms", "turn_id", "ended_at_ms").alias("turn"),
-            F.explode(_power_bins(F.col("started_at_ms"), end)).alias("b"),
+            F.explode(_power_bins(F.col("started_at_ms"), F.col("ended_at_ms"), top)).alias("b"),
         )
         .groupBy("_session", F.col("b.level").alias("level"), F.col("b.bin").alias("bin"))
         .agg(F.max("turn").alias("turn"))
     )
     probes = facts.select(
-        "source_key",
-        "_session",
-        "_at",
-        F.explode(F.sequence(F.lit(0), F.lit(_LEVELS))).alias("level"),
+        "source_key", "_session", "_at", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
     ).withColumn("bin", F.call_function("shiftright", F.col("_at"), F.col("level")))
     return (
         probes.join(bins, ["_session", "level", "bin"])
@@ -81,7 +78,7 @@ def assign_turn(usage: DataFrame, turns: DataFrame) -> DataFrame:
     exact = known.groupBy(F.col("session_id").alias("_session"), "turn_id").agg(
         F.min(F.struct("started_at_ms", "ended_at_ms")).alias("_turn")
     )
-    with_id = keyed.join(exact, ["_session", "turn_id"], "left")
+    with_id = keyed.filter("turn_id is not null").join(exact, ["_session", "turn_id"], "left")
     columns = usage.columns
 
     def result(df: DataFrame, turn: str, turn_id: Column) -> DataFrame:
@@ -93,7 +90,9 @@ def assign_turn(usage: DataFrame, turns: DataFrame) -> DataFrame:
         )
 
     matched = result(with_id.filter("_turn is not null"), "_turn", F.col("turn_id"))
-    rest = with_id.filter("_turn is null")
+    rest = keyed.filter("turn_id is null").unionByName(
+        with_id.filter("_turn is null").select(*keyed.columns)
+    )
     started = known.filter("started_at_ms is not null").select(
         F.col("session_id").alias("_session"), "turn_id", "started_at_ms", "ended_at_ms"
     )
@@ -125,30 +124,32 @@ def assign_turn(usage: DataFrame, turns: DataFrame) -> DataFrame:
         [
             Running("_latest", "last", F.col("_turn_here")),
             Running(
-                "_furthest",
-                "max",
-                F.when(
-                    F.col("_kind") == 0,
-                    F.coalesce(F.col("_turn_here.ended_at_ms"), F.lit(_OPEN_END)),
-                ),
+                "_open",
+                "last",
+                F.when(F.col("_turn_here.ended_at_ms").isNull(), F.col("_turn_here")),
             ),
+            Running("_furthest", "max", F.col("_turn_here.ended_at_ms")),
         ],
     )
     looked_up = freeze(
-        scanned.filter("_kind = 1").select("_session", "_at", "_usage.*", "_latest", "_furthest"),
+        scanned.filter("_kind = 1").select(
+            "_session", "_at", "_usage.*", "_latest", "_open", "_furthest"
+        ),
         "turn-lookup",
     )
-    contains = F.col("_latest.ended_at_ms").isNull() | (F.col("_at") <= F.col("_latest.ended_at_ms"))
-    searching = ~contains & (F.col("_furthest") >= F.col("_at"))
+    # The latest turn has ended, but an earlier and longer one may not have.
+    searching = (F.col("_at") > F.col("_latest.ended_at_ms")) & (F.col("_furthest") >= F.col("_at"))
     searched = looked_up.withColumn("_search", F.coalesce(searching, F.lit(False)))
+    ended = F.col("_at") > F.col("_latest.ended_at_ms")
     to_search = searched.filter("_search")
     if to_search.isEmpty():
-        settled = searched.withColumn("_chosen", F.col("_latest"))
+        covering = F.col("_open")
     else:
-        found = _covering(to_search, started)
-        settled = searched.join(found, "source_key", "left").withColumn(
-            "_chosen", F.coalesce("_found", "_latest")
-        )
+        searched = searched.join(_covering(to_search, started), "source_key", "left")
+        covering = F.greatest("_open", "_found")
+    settled = searched.withColumn(
+        "_chosen", F.when(ended, F.coalesce(covering, F.col("_latest"))).otherwise(F.col("_latest"))
+    )
     return matched.unionByName(
         result(settled, "_chosen", F.coalesce("turn_id", F.col("_chosen.turn_id")))
     )

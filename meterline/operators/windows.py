@@ -200,7 +200,7 @@ def reset_windows(quota: DataFrame) -> DataFrame:
     resets_at_ms, window_minutes, plan_type, inferred_after_gap, ordinal and
     quota_group.  Resets may still reach into the next window.
     """
-    blocks = freeze(_reset_blocks(quota), "quota-blocks")
+    blocks = _reset_blocks(quota)
     numbered = (
         blocks.select(
             "quota_group", "block_no", "rule", F.col("head.used_percent").alias("percent"), "peak"
@@ -257,10 +257,10 @@ def disjoint_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def _with_next_start(windows: DataFrame, keys: list[str]) -> DataFrame:
+def _with_next_start(windows: DataFrame, keys: list[str], count: int) -> DataFrame:
     """Add ``_next_ms``; of windows with one start only the last in order keeps a span."""
     order = ["window_start_ms", "quota_group", "ordinal"]
-    if keys or windows.limit(_FEW_WINDOWS + 1).count() <= _FEW_WINDOWS:
+    if keys or count <= _FEW_WINDOWS:
         following = Window.partitionBy(*keys).orderBy(*order)
         return windows.withColumn("_next_ms", F.lead("window_start_ms").over(following))
     # Too many for one task: scan from the latest start to the earliest.
@@ -297,27 +297,24 @@ def assign_asof(
     ``windows`` must be frozen; Catalyst then knows its size and chooses the
     broadcast or the shuffle.
     """
+    order = ["window_start_ms", "quota_group", "ordinal"]
     span = windows.agg(
+        F.count(F.lit(1)).alias("windows"),
         F.min(local_day(F.col("window_start_ms"))).alias("first_day"),
         F.max(local_day(F.col("window_start_ms"))).alias("last_day"),
+        F.min_by("window_id", F.struct(*order)).alias("head_id"),
+        F.min("window_start_ms").alias("head_ms"),
     ).first()
     if span.first_day is None:
         return facts.withColumn("window_id", F.lit(None).cast("string"))
-    ranked = _with_next_start(windows, keys)
-    order = ["window_start_ms", "quota_group", "ordinal"]
+    ranked = _with_next_start(windows, keys, span.windows)
     start = F.col("window_start_ms")
     useful = ranked.filter(F.col("_next_ms").isNull() | (F.col("_next_ms") > start))
     if keys:
-        earliest = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-        useful = useful.withColumn("_earliest", earliest)
         heads = ranked.groupBy(*keys).agg(
             F.min_by("window_id", F.struct(*order)).alias("_head_id"),
             F.min("window_start_ms").alias("_head_ms"),
         )
-    else:
-        head = ranked.agg(
-            F.min_by("window_id", F.struct(*order)).alias("id"), F.min("window_start_ms").alias("ms")
-        ).first()
     first_day, last_day = F.lit(span.first_day), F.lit(span.last_day)
     to_day = F.coalesce(local_day(F.col("_next_ms")), last_day)
     laid_out = useful.select(
@@ -346,7 +343,7 @@ def assign_asof(
         found = found.join(renamed, same, "left")
         fallback = F.when(F.col(at) < F.col("_head_ms"), F.col("_head_id"))
     else:
-        fallback = F.when(F.col(at) < head.ms, F.lit(head.id))
+        fallback = F.when(F.col(at) < span.head_ms, F.lit(span.head_id))
     return found.withColumn("window_id", F.coalesce(F.col("window_id"), fallback)).select(
         *facts.columns, "window_id"
     )

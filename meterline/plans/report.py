@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import CANDIDATE_MIN_PERCENT, CANONICAL_LIMIT, CAPACITY_DEFAULTS, FRESH_MAX_AGE_MS
 from ..functions.accounts import money, remaining_percent
+from ..functions.ordered import Running, ordered_scan, range_chunks
 from ..functions.tokens import TOKEN_COLUMNS
 from ..operators.capacity import capacity_rows, current_capacity
 from ..operators.pricing import price_card, pricing_version
@@ -303,24 +304,46 @@ def external_field_compare(external: DataFrame, daily: DataFrame) -> DataFrame:
 def minute_cumulative(minute: DataFrame) -> DataFrame:
     """Running totals from local midnight; the window series starts again at a reset.
 
-    A date has at most 1,440 minutes per window.
+    A date holds the minutes of every window, so it is summed in chunks; a
+    window has at most 1,440 minutes of a date.
     """
-    order = ["minute_start_ms", F.coalesce("window_id", F.lit("none"))]
-    day = Window.partitionBy("local_date").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    chunks = range_chunks(
+        minute.select(
+            "bucket_key",
+            "local_date",
+            "minute_start_ms",
+            "window_id",
+            F.coalesce("window_id", F.lit("none")).alias("window_key"),
+            "total_tokens",
+            _micros("credit").alias("credit_micros"),
+            _micros("api_usd").alias("api_usd_micros"),
+            "official_used_percent",
+        ),
+        ["local_date"],
+        ["minute_start_ms", "window_key"],
+        "minute-line",
     )
-    window = Window.partitionBy("local_date", "window_id").orderBy("minute_start_ms").rowsBetween(
+    names = ["total_tokens", "credit_micros", "api_usd_micros"]
+    runs = [Running(f"sum_{n}", "sum", F.col(n)) for n in names]
+    # A sum over no known amount yet stays null.
+    runs += [Running(f"any_{n}", "first", F.col(n)) for n in names]
+    summed = ordered_scan(chunks, ["local_date"], ["minute_start_ms", "window_key"], runs)
+
+    def total(name: str) -> Column:
+        return F.when(F.col(f"any_{name}").isNotNull(), F.col(f"sum_{name}"))
+
+    window = Window.partitionBy("local_date", "window_key").orderBy("minute_start_ms").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    return minute.select(
+    return summed.select(
         "bucket_key",
         "local_date",
         "minute_start_ms",
         "window_id",
-        F.sum("total_tokens").over(day).alias("cumulative_tokens"),
-        money(F.sum(_micros("credit")).over(day)).alias("cumulative_credit"),
-        money(F.sum(_micros("api_usd")).over(day)).alias("cumulative_api_usd"),
-        money(F.sum(_micros("credit")).over(window)).alias("window_credit"),
+        total("total_tokens").alias("cumulative_tokens"),
+        money(total("credit_micros")).alias("cumulative_credit"),
+        money(total("api_usd_micros")).alias("cumulative_api_usd"),
+        money(F.sum("credit_micros").over(window)).alias("window_credit"),
         "official_used_percent",
         remaining_percent(F.col("official_used_percent")).alias("official_remaining_percent"),
     )

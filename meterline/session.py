@@ -15,6 +15,8 @@ def local_session(app: str = "meterline", cpus: int | None = None) -> SparkSessi
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # Test tables are a few megabytes: keep their partitions apart.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
