@@ -68,7 +68,9 @@ def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         session.alias("session_id"),
         F.when(user >= 50, F.concat(F.lit("s"), user - 50)).alias("parent_session_id"),
         F.when(user % 13 != 0, F.concat(F.lit("s"), user % 50)).alias("root_session_id"),
-        F.when(event % 5 == 0, F.concat(session, F.lit(":"), hour)).alias("turn_id"),
+        F.when(event % 5 == 0, F.concat(session, F.lit(":"), hour))
+        .when(event % 5 == 1, F.concat(F.lit("x"), event))
+        .alias("turn_id"),
         F.when(user < 50, F.lit("main"))
         .when(user % 2 == 0, F.lit("child"))
         .otherwise(F.lit("fork"))
@@ -102,60 +104,50 @@ def usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quota_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quota observations: a weekly sawtooth, a second limit and a secondary window."""
+    """One quota observation per event: a weekly sawtooth, a second limit or a secondary window."""
     e = events(spark, sf_dir)
     event = F.col("event_id")
     o = F.col("observed_at_ms") - BASE_MS
     week = _floor(o, WEEK_MS)
-    from_feed = event % 40 == 0
-
-    def rows(every: int, limit: str, kind: str, percent: Column, reset: Column, feed: Column):
-        return e.filter(event % every == 0).select(
-            F.concat(F.lit(f"{limit}:{kind}:"), event).alias("source_key"),
-            F.col("observed_at_ms").alias("first_seen_at_ms"),
-            F.col("observed_at_ms").alias("last_seen_at_ms"),
-            F.lit("acct").alias("account_key"),
-            F.lit(limit).alias("limit_id"),
-            F.lit(kind).alias("window_kind"),
-            percent.cast("double").alias("used_percent"),
-            F.lit(10_080).cast("bigint").alias("window_minutes"),
-            reset.cast("bigint").alias("resets_at_ms"),
-            F.when(week % 2 == 0, F.lit("plus")).alias("plan_type"),
-            F.when(feed, F.lit("app_server")).otherwise(F.lit("jsonl")).alias("source"),
-            F.when(feed, F.lit(2)).otherwise(F.lit(1)).alias("priority"),
-        )
-
-    weekly = rows(
-        20,
-        "codex",
-        "primary",
-        _floor(F.pmod(o, F.lit(WEEK_MS)) * 100, WEEK_MS),
-        F.lit(BASE_MS) + (week + 1) * WEEK_MS,
-        from_feed,
+    place = event % 20
+    rolling, secondary = (place >= 14) & (place < 17), place >= 17
+    feed = ~secondary & (event % 2 == 0)
+    limit = F.when(rolling, F.lit("rolling")).otherwise(F.lit("codex"))
+    kind = F.when(secondary, F.lit("secondary")).otherwise(F.lit("primary"))
+    percent = (
+        F.when(rolling, F.lit(0))
+        .when(secondary, F.when(_floor(o, DAY_MS) % 5 < 3, F.lit(97)).otherwise(F.lit(5)))
+        .otherwise(_floor(F.pmod(o, F.lit(WEEK_MS)) * 100, WEEK_MS))
+    )
+    reset = F.when(rolling, F.col("observed_at_ms") + WEEK_MS).when(
+        ~secondary, F.lit(BASE_MS) + (week + 1) * WEEK_MS
     )
-    rolling = rows(60, "rolling", "primary", F.lit(0), F.col("observed_at_ms") + WEEK_MS, from_feed)
-    secondary = rows(
-        100,
-        "codex",
-        "secondary",
-        F.when(_floor(o, DAY_MS) % 5 < 3, F.lit(97)).otherwise(F.lit(5)),
-        F.lit(None),
-        F.lit(False),
+    return e.select(
+        F.concat_ws(":", limit, kind, event.cast("string")).alias("source_key"),
+        F.col("observed_at_ms").alias("first_seen_at_ms"),
+        F.col("observed_at_ms").alias("last_seen_at_ms"),
+        F.lit("acct").alias("account_key"),
+        limit.alias("limit_id"),
+        kind.alias("window_kind"),
+        percent.cast("double").alias("used_percent"),
+        F.lit(10_080).cast("bigint").alias("window_minutes"),
+        reset.cast("bigint").alias("resets_at_ms"),
+        F.when(week % 2 == 0, F.lit("plus")).alias("plan_type"),
+        F.when(feed, F.lit("app_server")).otherwise(F.lit("jsonl")).alias("source"),
+        F.when(feed, F.lit(2)).otherwise(F.lit(1)).alias("priority"),
     )
-    return weekly.unionByName(rolling).unionByName(secondary)
 
 
 def turn_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns: per session and hour over every third event; some have no end."""
+    """One turn per session and hour; some have no end, some end before their last event."""
     hour = _floor(F.col("observed_at_ms") + LOCAL_OFFSET_MS, HOUR_MS)
     session = F.concat(F.lit("s"), F.col("user_id"))
     per_hour = (
         events(spark, sf_dir)
-        .filter(F.col("event_id") % 3 == 0)
         .groupBy(session.alias("session_id"), hour.alias("hour"))
         .agg(
             F.min("observed_at_ms").alias("started_at_ms"),
-            F.max(F.col("observed_at_ms") + (F.col("event_id") % 4) * HOUR_MS).alias("ended_at_ms"),
+            (F.min("observed_at_ms") + F.max("event_id") % 5 * 2_400_000).alias("ended_at_ms"),
         )
     )
     return per_hour.select(
@@ -532,7 +524,7 @@ def replay_raw(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def feed_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Polls of an account feed: account, quota in four shapes, usage, and some errors."""
-    e = events(spark, sf_dir).filter(F.col("event_id") % 25 == 0)
+    e = events(spark, sf_dir)
     event, k = F.col("event_id"), F.col("k")
     account = F.concat(
         F.lit('{"result":{"account":{"type":"chatgpt","email":" User'),

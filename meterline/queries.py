@@ -1107,3 +1107,15 @@ def scalar_functions(spark, sf_dir):
         timeline.is_fresh(at, F.lit(1_786_000_000_000)).alias("fresh"),
         accounts.is_subscription_plan(F.col("plan_type")).alias("is_subscription"),
     )
+
+
+@query
+def quota_union(spark, sf_dir):
+    """Log and feed quota rows as one list, with what the account supplies."""
+    raw = adapters.quota_raw(spark, sf_dir).withColumn("kind", F.lit("quota"))
+    in_feed = F.col("source") == "app_server"
+    log_rows = raw.filter(~in_feed).withColumn("observed_at_ms", F.col("first_seen_at_ms"))
+    feed_rows = raw.filter(in_feed).withColumns(
+        {"account_key": F.lit(None).cast("string"), "window_kind": F.lit(None).cast("string")}
+    )
+    return windows.quota_observations(log_rows, feed_rows, "acct", "pro").drop("window_minutes")

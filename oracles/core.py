@@ -372,3 +372,12 @@ SELECT d.local_date, d.total_tokens, a.tokens AS account_tokens, a.tokens - d.to
 FROM (SELECT {DAY} AS local_date, sum(total_tokens)::BIGINT AS total_tokens FROM usage_raw GROUP BY 1) d
 LEFT JOIN account_days a ON a.date = d.local_date""",
 )
+
+ORACLES["quota_union"] = v.with_ctes(
+    v.EVENTS + v.QUOTA_RAW,
+    select="""
+SELECT source_key, first_seen_at_ms, last_seen_at_ms, account_key, limit_id,
+  CASE WHEN source = 'app_server' THEN 'primary' ELSE window_kind END AS window_kind, used_percent, resets_at_ms,
+  CASE WHEN source = 'app_server' THEN coalesce(plan_type, 'pro') ELSE plan_type END AS plan_type, source, priority
+FROM quota_raw""",
+)

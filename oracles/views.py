@@ -68,8 +68,8 @@ usage_base AS (
          's' || user_id AS session_id,
          CASE WHEN user_id >= 50 THEN 's' || (user_id - 50) END AS parent_session_id,
          CASE WHEN user_id % 13 <> 0 THEN 's' || (user_id % 50) END AS root_session_id,
-         CASE WHEN event_id % 5 = 0
-              THEN 's' || user_id || ':' || ((observed_at_ms + 28800000) // 3600000) END AS turn_id,
+         CASE event_id % 5 WHEN 0 THEN 's' || user_id || ':' || ((observed_at_ms + 28800000) // 3600000)
+              WHEN 1 THEN 'x' || event_id END AS turn_id,
          CASE WHEN user_id < 50 THEN 'main' WHEN user_id % 2 = 0 THEN 'child' ELSE 'fork' END AS relation,
          CASE event_type WHEN 'click' THEN 'gpt-5.6-sol' WHEN 'view' THEN 'gpt-5.6-terra'
               WHEN 'purchase' THEN 'gpt-5.4-mini-2026' WHEN 'signup' THEN 'codex-auto-review'
@@ -188,26 +188,24 @@ quota_ev AS (
   SELECT event_id, observed_at_ms, observed_at_ms - 1784044800000 AS o,
          (observed_at_ms - 1784044800000) // 604800000 AS week
   FROM ev),
+quota_class AS (
+  SELECT *, CASE WHEN event_id % 20 BETWEEN 14 AND 16 THEN 'rolling' WHEN event_id % 20 >= 17 THEN 'secondary'
+            ELSE 'weekly' END AS class FROM quota_ev),
 quota_raw AS (
-  SELECT 'codex:primary:' || event_id AS source_key, observed_at_ms AS first_seen_at_ms,
-         observed_at_ms AS last_seen_at_ms, 'acct' AS account_key, 'codex' AS limit_id,
-         'primary' AS window_kind, ((o % 604800000) * 100 // 604800000)::DOUBLE AS used_percent,
-         10080::BIGINT AS window_minutes, 1784044800000 + (week + 1) * 604800000 AS resets_at_ms,
-         CASE WHEN week % 2 = 0 THEN 'plus' END AS plan_type,
-         CASE WHEN event_id % 40 = 0 THEN 'app_server' ELSE 'jsonl' END AS source,
-         CASE WHEN event_id % 40 = 0 THEN 2 ELSE 1 END AS priority
-  FROM quota_ev WHERE event_id % 20 = 0
-  UNION ALL
-  SELECT 'rolling:primary:' || event_id, observed_at_ms, observed_at_ms, 'acct', 'rolling', 'primary',
-         0::DOUBLE, 10080, observed_at_ms + 604800000, CASE WHEN week % 2 = 0 THEN 'plus' END,
-         CASE WHEN event_id % 40 = 0 THEN 'app_server' ELSE 'jsonl' END,
-         CASE WHEN event_id % 40 = 0 THEN 2 ELSE 1 END
-  FROM quota_ev WHERE event_id % 60 = 0
-  UNION ALL
-  SELECT 'codex:secondary:' || event_id, observed_at_ms, observed_at_ms, 'acct', 'codex', 'secondary',
-         CASE WHEN (o // 86400000) % 5 < 3 THEN 97 ELSE 5 END::DOUBLE, 10080, NULL::BIGINT,
-         CASE WHEN week % 2 = 0 THEN 'plus' END, 'jsonl', 1
-  FROM quota_ev WHERE event_id % 100 = 0)"""
+  SELECT CASE WHEN class = 'rolling' THEN 'rolling' ELSE 'codex' END || ':'
+      || CASE WHEN class = 'secondary' THEN 'secondary' ELSE 'primary' END || ':' || event_id AS source_key,
+    observed_at_ms AS first_seen_at_ms, observed_at_ms AS last_seen_at_ms, 'acct' AS account_key,
+    CASE WHEN class = 'rolling' THEN 'rolling' ELSE 'codex' END AS limit_id,
+    CASE WHEN class = 'secondary' THEN 'secondary' ELSE 'primary' END AS window_kind,
+    CASE class WHEN 'rolling' THEN 0 WHEN 'secondary' THEN CASE WHEN (o // 86400000) % 5 < 3 THEN 97 ELSE 5 END
+      ELSE (o % 604800000) * 100 // 604800000 END::DOUBLE AS used_percent,
+    10080::BIGINT AS window_minutes,
+    CASE class WHEN 'rolling' THEN observed_at_ms + 604800000
+      WHEN 'weekly' THEN 1784044800000 + (week + 1) * 604800000 END AS resets_at_ms,
+    CASE WHEN week % 2 = 0 THEN 'plus' END AS plan_type,
+    CASE WHEN class <> 'secondary' AND event_id % 2 = 0 THEN 'app_server' ELSE 'jsonl' END AS source,
+    CASE WHEN class <> 'secondary' AND event_id % 2 = 0 THEN 2 ELSE 1 END AS priority
+  FROM quota_class)"""
 
 QUOTA_CANONICAL = QUOTA_RAW + """,
 quota_kept AS (
@@ -216,34 +214,41 @@ quota_kept AS (
      OR account_key NOT IN (SELECT account_key FROM quota_raw
                             WHERE window_kind = 'primary' AND limit_id = 'codex'))"""
 
-# The fold: one recursive step per observation of a group, in order.
+# The fold: one reduction over the ordered observations of a group.
 WINDOWS = QUOTA_CANONICAL + """,
 quota_line AS (
   SELECT *, account_key || ':' || limit_id || ':' || window_kind AS quota_group,
          row_number() OVER (PARTITION BY account_key, limit_id, window_kind
            ORDER BY first_seen_at_ms, last_seen_at_ms, priority, source_key) AS place
   FROM quota_kept),
-fold AS (
-  SELECT quota_group, place, 0 AS ordinal, used_percent AS peak, resets_at_ms AS reset_so_far,
-         source AS last_source, first_seen_at_ms AS last_seen, true AS starts, false AS inferred
-  FROM quota_line WHERE place = 1
-  UNION ALL
-  SELECT s.quota_group, s.place, s.ordinal + CASE WHEN s.explicit OR s.inferred THEN 1 ELSE 0 END,
-         CASE WHEN s.explicit OR s.inferred THEN s.used_percent
-              ELSE greatest(coalesce(s.peak, s.used_percent), coalesce(s.used_percent, s.peak)) END,
-         greatest(coalesce(s.reset_so_far, s.resets_at_ms), coalesce(s.resets_at_ms, s.reset_so_far)),
-         s.source, s.first_seen_at_ms, s.explicit OR s.inferred, s.inferred
-  FROM (
-    SELECT q.quota_group, q.place, f.ordinal, f.peak, f.reset_so_far, q.used_percent, q.resets_at_ms,
-           q.source, q.first_seen_at_ms,
-           coalesce(q.used_percent + 5 < f.peak AND q.resets_at_ms - f.reset_so_far > 300000, false) AS explicit,
-           coalesce(f.last_source = 'jsonl' AND q.source = 'jsonl'
-             AND q.first_seen_at_ms - f.last_seen >= 1800000
-             AND f.peak >= 50 AND q.used_percent <= 50 AND f.peak - q.used_percent >= 40
-             AND NOT (f.reset_so_far IS NOT NULL AND q.resets_at_ms IS NOT NULL), false) AS inferred
-    FROM fold f JOIN quota_line q ON q.quota_group = f.quota_group AND q.place = f.place + 1) s),
+folded AS (
+  SELECT quota_group, list_reduce(
+      list({'p': used_percent, 'r': resets_at_ms, 'src': source, 't': first_seen_at_ms, 'place': place,
+            'starts': CASE WHEN place = 1 THEN [{'place': place, 'inferred': false}] ELSE [] END}
+           ORDER BY place),
+      lambda a, x: {
+        'p': CASE WHEN coalesce(x.p + 5 < a.p AND x.r - a.r > 300000, false)
+                    OR coalesce(a.src = 'jsonl' AND x.src = 'jsonl' AND x.t - a.t >= 1800000 AND a.p >= 50
+                        AND x.p <= 50 AND a.p - x.p >= 40 AND NOT (a.r IS NOT NULL AND x.r IS NOT NULL), false)
+                  THEN x.p ELSE greatest(coalesce(a.p, x.p), coalesce(x.p, a.p)) END,
+        'r': greatest(coalesce(a.r, x.r), coalesce(x.r, a.r)),
+        'src': x.src, 't': x.t, 'place': x.place,
+        'starts': CASE WHEN coalesce(x.p + 5 < a.p AND x.r - a.r > 300000, false)
+            THEN list_append(a.starts, {'place': x.place, 'inferred': false})
+          WHEN coalesce(a.src = 'jsonl' AND x.src = 'jsonl' AND x.t - a.t >= 1800000 AND a.p >= 50
+            AND x.p <= 50 AND a.p - x.p >= 40 AND NOT (a.r IS NOT NULL AND x.r IS NOT NULL), false)
+            THEN list_append(a.starts, {'place': x.place, 'inferred': true})
+          ELSE a.starts END}).starts AS starts
+  FROM quota_line GROUP BY quota_group),
+segment_starts AS (
+  SELECT quota_group, s.place AS place, s.inferred AS inferred,
+    row_number() OVER (PARTITION BY quota_group ORDER BY s.place) - 1 AS ordinal,
+    lead(s.place) OVER (PARTITION BY quota_group ORDER BY s.place) AS next_place
+  FROM (SELECT quota_group, unnest(starts) AS s FROM folded)),
 segment_rows AS (
-  SELECT q.*, f.ordinal, f.inferred FROM quota_line q JOIN fold f USING (quota_group, place)),
+  SELECT q.*, s.ordinal, s.inferred AND q.place = s.place AS inferred
+  FROM quota_line q JOIN segment_starts s ON s.quota_group = q.quota_group AND q.place >= s.place
+    AND (s.next_place IS NULL OR q.place < s.next_place)),
 segments AS (
   SELECT quota_group, ordinal,
          first(account_key ORDER BY place) AS account_key, first(limit_id ORDER BY place) AS limit_id,
@@ -307,9 +312,8 @@ turn_raw AS (
          's' || user_id || ':' || ((observed_at_ms + 28800000) // 3600000) AS turn_id,
          min(observed_at_ms) AS started_at_ms,
          CASE WHEN ((observed_at_ms + 28800000) // 3600000) % 4 <> 0
-              THEN max(observed_at_ms + (event_id % 4) * 3600000) END AS ended_at_ms
-  FROM ev WHERE event_id % 3 = 0
-  GROUP BY user_id, (observed_at_ms + 28800000) // 3600000)"""
+              THEN min(observed_at_ms) + max(event_id) % 5 * 2400000 END AS ended_at_ms
+  FROM ev GROUP BY user_id, (observed_at_ms + 28800000) // 3600000)"""
 
 
 def usage_turned(source: str) -> str:
