@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import adapters
 from .functions import accounts, quality, timeline
-from .functions.accounts import coverage_ratio, money, unobserved_tokens
+from .functions.accounts import coverage_ratio, unobserved_tokens
 from .functions.ordered import CHUNK, Running, ordered_scan
 from .functions.storage import freeze
 from .functions.timeline import local_date
