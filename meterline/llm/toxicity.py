@@ -8,7 +8,7 @@ Runs of single characters ("i d i o t") are also read as one word.
 
 Training.  Spark counts for every word in how many labelled training texts of
 either class it occurs.  Words that mark toxic texts, and words of clean texts, are
-a bounded sample (``POSITIVES``, ``NEGATIVES``: the documented bound of what leaves
+a bounded sample, the first also in disguise (``POSITIVES``, ``NEGATIVES``: the documented bound of what leaves
 Spark).  Landmarks are chosen by pivoted Cholesky, which takes the word that the
 landmarks so far explain least; the Nyström map sends a word to its kernel values
 with the landmarks, whitened.  A linear machine with squared hinge loss is fitted
@@ -37,6 +37,8 @@ SPAN, DECAY = 6, 0.6
 #: Most words of either kind that the machine is trained on.
 POSITIVES, NEGATIVES = 4_000, 16_000
 LANDMARKS = 192
+#: Words with most votes that are also learnt in disguise.
+DISGUISED = 200
 #: Texts a word must mark, how surely, and how many words a text votes for.
 LEAST_TEXTS, LEAST_SURE, VOTES = 3, 12.0, 4
 #: Characters of a word that are looked at; longer words are read in overlapping stretches.
@@ -145,14 +147,16 @@ class Machine:
         for low in range(0, len(new), 20_000):
             part = new[low : low + 20_000]
             known.update(zip(part, self.word_values(part).tolist(), strict=True))
-        out = np.full((len(texts), 2), -2.0)
+        out = np.full((len(texts), 2), -1.0)
         for i, words in enumerate(split):
             if words:
                 values = sorted(map(known.__getitem__, words))[-2:]
-                out[i, 0] = max(values[-1], -2.0)
+                out[i, 0] = values[-1]
                 if len(values) > 1:
-                    out[i, 1] = max(values[0], -2.0)
-        return np.minimum(out, 2.0)
+                    out[i, 1] = values[0]
+        # Trained marks have values of about 1: what comes near that counts most.
+        out = np.clip(out, -1.0, 1.0)
+        return out + 4 * np.maximum(out - 0.5, 0)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         x = self.text_values(texts)
@@ -217,16 +221,35 @@ def fit_words(positive: list[bytes], negative: list[bytes], weight: np.ndarray,
     return Machine(marks @ (white @ beta[:-1]), float(beta[-1]))
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    z = np.column_stack([x, np.ones(len(x))])
-    beta = np.zeros(3)
+def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of a logistic curve, and its log likelihood."""
+    z = np.column_stack([z, np.ones(len(z))])
+    beta = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + 1e-2 * np.eye(3), z.T @ (y - p) - 1e-2 * beta)
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + 1e-2 * np.eye(len(beta)), z.T @ (y - p) - 1e-2 * beta)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
-    return tuple(float(b) for b in beta)
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ beta, -30, 30))), 1e-12, 1 - 1e-12)
+    return beta, float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+
+def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+    """The likeliest curve in which a larger word value never lowers the score."""
+    both, _ = _logistic(x, y)
+    if both[0] >= 0.25 * both[1] >= 0:
+        return tuple(map(float, both))
+    one, _ = _logistic(x @ np.array([[1.0], [0.25]]), y)
+    return float(one[0]), float(0.25 * one[0]), float(one[1])
+
+
+def disguised(word: bytes) -> list[bytes]:
+    """Ways to write ``word`` that still read like it: parted, lengthened, with a character put in."""
+    middle = len(word) // 2
+    parted = [mark.join(word[i : i + 1] for i in range(len(word))) for mark in (b".", b"-", b"*")]
+    letter = b"aeiounrst"[sum(word) % 9 :][:1]
+    return [*parted, word[:middle] + word[middle - 1 : middle] * 2 + word[middle:], word + letter + b"x", word[:middle] + letter + word[middle:]]
 
 
 _COUNTED = "word binary, toxic int, n bigint"
@@ -287,9 +310,13 @@ def train(labelled: DataFrame) -> Machine | None:
     negative = {bytes(r["word"]): r["good"] for r in [*any_, *common]}
     if not positive or not negative:
         return None
-    good = [bytes(r["word"]) for r in positive]
-    weight = np.concatenate([np.log1p([r["bad"] for r in positive]), np.log1p(list(negative.values()))])
-    machine = fit_words(good, list(negative), weight)
+    votes = {bytes(r["word"]): float(np.log1p(r["bad"])) for r in positive}
+    for r in positive[:DISGUISED]:
+        word = bytes(r["word"])
+        if word.isalpha() and len(word) > 3:
+            votes.update({w: 0.5 * votes[word] for w in disguised(word) if w not in votes and w not in negative})
+    weight = np.concatenate([list(votes.values()), np.log1p(list(negative.values()))])
+    machine = fit_words(list(votes), list(negative), weight)
     # The curve: on a bounded sample of the training texts.
     least = F.xxhash64("text")
     x, y = [], []
