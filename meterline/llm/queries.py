@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, feistel, packing, probminhash, quality, secrets, tokens, toxicity, warc
+from . import decontam, feistel, mixing, packing, probminhash, quality, secrets, tokens, toxicity, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_probminhash_dedup": probminhash.op3_probminhash_dedup,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_context_mixing": mixing.op5_context_mixing,
     "op6_harmonic_packing": packing.op6_harmonic_packing,
     "op7_string_kernel_toxicity": toxicity.op7_string_kernel_toxicity,
     "op8_suffix_decontamination": decontam.op8_suffix_decontamination,
