@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     made = freeze(rows.mapInArrow(_first(tokenizer, capacity), SCHEMA), "packed")
-    rounds, workers, turn = [made.where("bin IS NOT NULL")], made.rdd.getNumPartitions(), 0
+    rounds, turn = [made.where("bin IS NOT NULL")], 0
     rest = made.where("bin IS NULL")
     workers = rest.select(F.shiftright("row", 33).alias("worker")).distinct().count()
     while True:

@@ -42,7 +42,7 @@ class Rules:
     #: Distances of the quartiles above the upper quartile that are still kept.
     spread: int = 6
     #: Least limit, in thousandths of words: what no group is blamed for.
-    floors: tuple[int, ...] = (150, 100, 300, 15_000)
+    floors: tuple[int, ...] = (50, 300, 300, 8_000)
 
 
 def measure(text: str | None, window: int = 8) -> tuple[int, int, int, int, int]:

@@ -114,11 +114,15 @@ def link(scanned: DataFrame, row: str = "_row", scope: int = SCOPE) -> DataFrame
     return kept.groupBy(row).agg(F.collect_list("p").alias("linked"))
 
 
-def all_spans(docs: DataFrame) -> DataFrame:
-    """A frozen table of ``docs`` without text: row, plain spans, and all spans in order."""
-    scanned = freeze(scan(docs).withColumn("_row", F.monotonically_increasing_id()), "secret-spans")
-    return scanned.join(link(scanned), "_row", "left").select(
-        *scanned.columns,
+def all_spans(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """``docs`` without text, with plain spans and all spans in order; ``row`` names a unique column if there is one."""
+    scanned = scan(docs)
+    if row is None:
+        row, scanned = "_row", scanned.withColumn("_row", F.monotonically_increasing_id())
+    scanned = freeze(scanned, "secret-spans")
+    linked = link(scanned, row)
+    return scanned.join(linked, row, "left").select(
+        *[scanned[c] for c in scanned.columns],
         F.expr(f"""array_sort(concat(plain, coalesce(linked, CAST(array() AS {_PART}))),
             (l, r) -> CASE WHEN l.s != r.s THEN l.s - r.s ELSE l.k - r.k END)""").alias("spans"),
     )
