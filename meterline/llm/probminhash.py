@@ -13,8 +13,9 @@ Steps: texts with equal shingle sets are one class from the start; one
 representative each is signed.  Bands of registers give buckets.  In a bucket
 every member is compared with the bucket's centre; buckets whose members then
 still lie in different components get another centre, and are then compared in
-full across components, in blocks of bounded size that pass on only pairs whose
-registers agree about as often as the threshold asks.  A candidate pair is verified on the whole texts by the exact
+full across components, in blocks of bounded size: pairs whose registers agree
+about as often as the threshold asks are verified inside the block, and only
+links leave it.  A candidate pair is verified on the whole texts by the exact
 Jaccard of their shingle sets (``threshold``), so no false link is reported.
 Classes are connected components of the links.
 
@@ -47,7 +48,7 @@ class Settings:
     bands: int = 16
     rows: int = 4
     #: Rows on either side of a block in which an open bucket is compared.
-    block: int = 1024
+    block: int = 512
 
     @property
     def least_agreeing(self) -> int:
@@ -157,6 +158,15 @@ def sign(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
 
 
+def jaccard(p: np.ndarray, q: np.ndarray) -> float:
+    """Of two sorted, not empty sets."""
+    small, large = (p, q) if len(p) < len(q) else (q, p)
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return both / (len(p) + len(q) - both)
+
+
 def _verify(settings: Settings):
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[int, np.ndarray] = {}
@@ -172,11 +182,7 @@ def _verify(settings: Settings):
             rows = []
             for a, b, x, y in zip(pairs["a"], pairs["b"], pairs["text_a"], pairs["text_b"], strict=True):
                 p, q = of(a, x), shingle_set(y, settings.shingle)[0]
-                small, large = (p, q) if len(p) < len(q) else (q, p)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                similarity = both / (len(p) + len(q) - both)
+                similarity = jaccard(p, q)
                 if similarity >= settings.threshold:
                     rows.append((a, b, similarity))
             yield pd.DataFrame(rows, columns=["a", "b", "similarity"]).astype({"a": "int64", "b": "int64", "similarity": "float64"})
@@ -222,46 +228,121 @@ def _bucketed(signed: DataFrame) -> DataFrame:
     return signed.select("row", "size", F.explode("buckets").alias("bucket"))
 
 
-def _blocks(settings: Settings, most: int | None):
-    m, least = settings.registers, settings.least_agreeing
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pd.DataFrame]:
+    """The rows of each run of equal leading ``keys`` columns, from sorted batches."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        frame = batch.to_pandas()
+        if not len(frame):
+            continue
+        names = list(frame.columns[:keys])
+        own = frame[names].to_numpy()
+        cuts = [0, *(np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1).tolist(), len(frame)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            part = frame.iloc[low:high]
+            if held and (held[-1][names].iloc[-1].to_numpy() != part[names].iloc[0].to_numpy()).any():
+                yield pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held) if len(held) > 1 else held[0]
+
+
+def _agreement(block: pd.DataFrame, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left, right, agreeing registers) of the candidate pairs between a block's sides, as places in the block."""
+    side, size, label = (block[c].to_numpy() for c in ("side", "size", "label"))
+    sig = np.frombuffer(b"".join(block["registers"]), dtype=np.uint8).reshape(len(block), settings.registers)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    pairs = [(np.zeros(0, np.int64),) * 3]
+    for x in left:
+        fit = (label[right] != label[x]) & (np.minimum(size[right], size[x]) >= settings.threshold * np.maximum(size[right], size[x]))
+        at = right[fit]
+        agree = (sig[at] == sig[x]).sum(axis=1)
+        enough = agree >= settings.least_agreeing
+        pairs.append((np.full(int(enough.sum()), x), at[enough], agree[enough]))
+    return tuple(np.concatenate(c) for c in zip(*pairs, strict=True))
+
+
+def _involved(settings: Settings):
+    """Rows of each block that have a candidate on the other side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _grouped(batches, 3):
+            x, y, _ = _agreement(block, settings)
+            rows = block.iloc[np.unique(np.concatenate([x, y]))]
+            if len(rows):
+                yield pa.RecordBatch.from_pandas(rows, preserve_index=False)
+
+    return run
+
+
+def _joined(settings: Settings):
+    """Links between the sides of each block, enough to join what is similar.
+
+    Candidates are tried in the order of their agreement and verified on the
+    texts; a pair that earlier links of the block have joined needs no test.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _grouped(batches, 3):
+            x, y, agree = _agreement(block, settings)
+            row, label, texts = block["row"].to_numpy(), block["label"].to_numpy(), block["text"].to_numpy()
+            parent = {c: c for c in set(label.tolist())}
+            sets: dict[int, np.ndarray] = {}
+
+            def root(c):
+                while parent[c] != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            out = []
+            for k in np.argsort(-agree, kind="stable"):
+                p, q = root(label[x[k]]), root(label[y[k]])
+                if p == q:
+                    continue
+                for i in (x[k], y[k]):
+                    if i not in sets:
+                        sets[i] = shingle_set(texts[i], settings.shingle)[0]
+                if jaccard(sets[x[k]], sets[y[k]]) >= settings.threshold:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((row[x[k]], row[y[k]]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return run
 
-    def compare(block: pd.DataFrame) -> pd.DataFrame:
-        left, right = block[block["side"] == 0], block[block["side"] == 1]
-        sig = lambda f: np.frombuffer(b"".join(f["registers"]), dtype=np.uint8).reshape(-1, m)
-        out = []
-        if len(left) and len(right):
-            other, size, label, row = sig(right), right["size"].to_numpy(), right["label"].to_numpy(), right["row"].to_numpy()
-            for r, n, c, own in zip(left["row"], left["size"], left["label"], sig(left), strict=True):
-                near = (label != c) & (np.minimum(size, n) >= settings.threshold * np.maximum(size, n))
-                at = np.flatnonzero(near)
-                agree = (other[at] == own).sum(axis=1)
-                at, agree = at[agree >= least], agree[agree >= least]
-                if most is not None:
-                    at = at[np.argsort(-agree, kind="stable")[:most]]
-                out += [(min(r, row[i]), max(r, row[i])) for i in at]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return compare
+_BLOCK = "bucket bigint, i bigint, j bigint, side int, row bigint, size int, label bigint, registers binary"
 
 
-def _across(open_: DataFrame, settings: Settings, most: int | None) -> DataFrame:
-    """Pairs (a, b) across components in open buckets, compared block by block.
+def _across(known: DataFrame, signed: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) across components in open buckets, compared block by block.
 
     A bucket's rows outside its largest component meet all its rows; blocks hold
-    ``block`` rows a side, so a task's memory is bounded however large a bucket is.
+    about ``block`` rows a side, so a task's memory is bounded however large a
+    bucket is.  Registers show which rows have a candidate; only those fetch their
+    texts.  No pair leaves a block unless it is a link.
     """
-    counts = open_.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    spark = known.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     major = counts.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.sum("n").alias("n"), F.max("n").alias("top"))
+    # The two rows of a smaller bucket have been compared.
+    major = major.where("n > 2")
     size = settings.block
-    rows = open_.join(major, "bucket").withColumn("i", F.abs(F.xxhash64("row")) % F.ceil(F.col("n") / size)).withColumn(
-        "j", F.abs(F.xxhash64("row")) % F.ceil((F.col("n") - F.col("top") + 1) / size)
+    spread = F.abs(F.xxhash64("row"))
+    rows = known.join(major, "bucket").join(signed.select("row", "registers"), "row").withColumn("i", spread % F.ceil(F.col("n") / size)).withColumn(
+        "j", spread % F.ceil((F.col("n") - F.col("top") + 1) / size)
     )
-    keep = ["bucket", "row", "size", "label", "registers"]
-    right = rows.select(*keep, "i", F.explode(F.expr(f"sequence(0L, CAST(ceil((n - top + 1) / {size}) AS BIGINT) - 1)")).alias("j"), F.lit(1).alias("side"))
-    left = rows.where("label != major").select(
-        *keep, F.explode(F.expr(f"sequence(0L, CAST(ceil(n / {size}) AS BIGINT) - 1)")).alias("i"), "j", F.lit(0).alias("side")
-    ).select(*right.columns)
-    return left.union(right).groupBy("bucket", "i", "j").applyInPandas(_blocks(settings, most), "a bigint, b bigint").distinct()
+    keep = ["row", "size", "label", "registers"]
+    right = rows.select("bucket", "i", F.explode(F.expr(f"sequence(0L, CAST(ceil((n - top + 1) / {size}) AS BIGINT) - 1)")).alias("j"), F.lit(1).alias("side"), *keep)
+    left = rows.where("label != major").select("bucket", F.explode(F.expr(f"sequence(0L, CAST(ceil(n / {size}) AS BIGINT) - 1)")).alias("i"), "j", F.lit(0).alias("side"), *keep)
+    order = ["bucket", "i", "j", "side", "row"]
+    both = left.union(right).repartition(parts, "bucket", "i", "j").sortWithinPartitions(*order)
+    some = freeze(both.mapInArrow(_involved(settings), _BLOCK), "near-involved")
+    text = docs.select(F.col("row").alias("_r"), "text")
+    asked = some.join(text, some["row"] == text["_r"]).drop("_r")
+    return asked.repartition(parts, "bucket", "i", "j").sortWithinPartitions(*order).mapInArrow(_joined(settings), "a bigint, b bigint")
 
 
 def links(docs: DataFrame, signed: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -270,13 +351,13 @@ def links(docs: DataFrame, signed: DataFrame, settings: Settings = Settings()) -
     member = signed.select("row", "size", F.explode("buckets").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     crowd = freeze(member.join(shared, "bucket"), "near-crowd")
-    found, label, done = None, None, None
-    for turn in range(4):
+    found = label = None
+    for turn in range(3):
         known = crowd.withColumn("label", F.col("row"))
         if label is not None:
             known = crowd.join(label, "row", "left").select("bucket", "row", "size", F.coalesce("class_id", "row").alias("label"))
-            split = known.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("bucket")
-            known = freeze(known.join(split, "bucket"), "near-open")
+            split = known.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n"))
+            known = freeze(known.join(split.where("l < h AND n > 2").select("bucket"), "bucket"), "near-open")
         if turn < 2:
             # One centre for each bucket: the least row at first, then any.
             by = F.col("row") if turn == 0 else F.xxhash64("row")
@@ -284,11 +365,10 @@ def links(docs: DataFrame, signed: DataFrame, settings: Settings = Settings()) -
             pairs = known.join(centre, "bucket").where("label != c.label").select(
                 F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b"), F.col("size").alias("size_a"), F.col("c.size").alias("size_b")
             ).where(fits).select("a", "b").distinct()
+            new = verify(freeze(pairs, "near-pairs"), docs, settings).select("a", "b")
         else:
-            pairs = _across(known.join(signed.select("row", "registers"), "row"), settings, 2 if turn == 2 else None)
-        pairs = freeze(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "near-pairs")
-        new = freeze(verify(pairs, docs, settings), "near-links")
-        done = pairs if done is None else done.union(pairs)
+            new = _across(known, signed, docs, settings)
+        new = freeze(new, "near-links")
         found = new if found is None else found.union(new)
         label = components(found)
     return label
