@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm import decontam, packing, probminhash, quality, secrets
-from meterline.llm.common import freeze
+from meterline.llm.common import freeze, hide
 
 #: Similarity of near duplicates and packing cannot be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None
@@ -18,19 +18,21 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the limits of their language and source."""
-    measured = freeze(quality.with_measures(docs), "quality-measured")
-    return quality.judge(measured).where("kept").select(*docs.columns)
+    hidden, shown = hide(docs, ("doc_id", "text", "lang", "source"))
+    measured = freeze(quality.with_measures(hidden), "quality-measured")
+    return quality.judge(measured).where("kept").select(*shown)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that of the least doc_id, then the first row."""
-    rows = freeze(docs.withColumn("row", F.monotonically_increasing_id()), "near-texts")
+    hidden, shown = hide(docs, ("doc_id", "text"))
+    rows = freeze(hidden.withColumn("row", F.monotonically_increasing_id()), "near-texts")
     classes = freeze(probminhash.near_duplicates(rows.select("row", "text")), "near-classes")
     first = classes.join(rows.select("row", "doc_id"), "row").groupBy("class_id").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row")).alias("first")
     )
     kept = freeze(first.select(F.col("first.row").alias("row")), "near-kept")
-    return rows.join(kept, "row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "row", "left_semi").select(*shown)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +42,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, linked weak ones included, are replaced by a mark."""
-    rows = freeze(docs.withColumn("_row", F.monotonically_increasing_id()), "secret-texts")
+    hidden, shown = hide(docs, ("doc_id", "text"))
+    rows = freeze(hidden.withColumn("_row", F.monotonically_increasing_id()), "secret-texts")
     found = freeze(secrets.all_spans(rows.select("_row", "text"), "_row").where(F.size("spans") > 0).select("_row", "spans"), "secret-found")
     joined = rows.join(found, "_row", "left")
     fixed = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact("text", "spans"))
-    return joined.select(*[fixed.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return joined.withColumn("text", fixed).select(*shown)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,17 +1,14 @@
-"""What the operators share: scratch tables, ASCII words, key checks and row numbers."""
+"""What the operators share: scratch tables, ASCII words and hashes."""
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterline.functions.storage import freeze, scratch_path, shared_root
+from meterline.functions.storage import freeze, scratch_path
 
-__all__ = ["freeze", "scratch_path", "shared_root", "documents", "training_rows", "numbered",
-           "words_of", "alnum_words", "hash_words", "mix64", "hash_bytes"]
+__all__ = ["freeze", "scratch_path", "documents", "training_rows", "hide", "lower_words", "alnum_words", "hash_words", "mix64", "shingle_hashes"]
 
 #: Every byte that the contract's word pattern leaves out becomes a space, A-Z become a-z.
 _ALNUM = bytes(
@@ -30,18 +27,15 @@ def training_rows(modulus: int, held_out: int, doc_id: str = "doc_id") -> Column
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus != held_out
 
 
-def numbered(df: DataFrame, label: str, name: str = "_row") -> DataFrame:
-    """Freeze ``df`` with a unique number per row, so that rows without a usable key can be joined."""
-    return freeze(df.withColumn(name, F.monotonically_increasing_id()), label)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """UTF-8 words between ASCII white space (0x20, 0x09-0x0D)."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def hide(df: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``keep`` under names that clash with none, and the columns that bring them back."""
+    names = {c: c if c in keep else f"__extra_{i}" for i, c in enumerate(df.columns)}
+    hidden = df.select(*[F.col(quoted(c)).alias(n) for c, n in names.items()])
+    return hidden, [F.col(n).alias(c) for c, n in names.items()]
 
 
 def lower_words(text: str | None) -> list[bytes]:
-    """As words_of, with A-Z lower-cased."""
+    """UTF-8 words between ASCII white space (0x20, 0x09-0x0D), with A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
 
 
@@ -102,6 +96,6 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix64(out)
 
 
-def valid_name(name: str) -> str:
+def quoted(name: str) -> str:
     """A column name that is safe to quote."""
-    return "`" + re.sub("`", "``", name) + "`"
+    return "`" + name.replace("`", "``") + "`"

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, documents, freeze
+from .common import alnum_words, documents, freeze, hide
 
 WINDOW = 10
 #: Words of items that one automaton and one broadcast may hold, and words of one piece of an item.
@@ -267,7 +267,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), wind
     All columns stay but ``text`` as they are.  A table of the texts that are hit
     is joined back by row; its size decides how.
     """
-    rows = freeze(docs.withColumn("_row", F.monotonically_increasing_id()), "decontam-texts")
+    hidden, shown = hide(docs, ("doc_id", "text"))
+    rows = freeze(hidden.withColumn("_row", F.monotonically_increasing_id()), "decontam-texts")
     found = matches(rows.withColumn("row", F.col("_row")), benchmark, window).where(F.size("hit") > 0)
     hits = freeze(found.select(
         F.col("row").alias("_hit_row"), F.expr(f"filter(hit, x -> x.e - x.s >= {limits.span_words})").alias("_hit"),
@@ -275,7 +276,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), wind
     ), "decontam-hits")
     joined = rows.join(hits, rows["_row"] == hits["_hit_row"], "left").where(~F.coalesce("_drop", F.lit(False)))
     fixed = F.when(F.size("_hit") > 0, _without("text", "_hit")).otherwise(F.col("text"))
-    return joined.select(*[fixed.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    return joined.withColumn("text", fixed).select(*shown)
 
 
 def op8_suffix_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -102,20 +102,23 @@ def _first(tokenizer: str, capacity: int):
         from pyspark import TaskContext
 
         encoder, bins = Encoder(tokenizer), Bins(f"0-{TaskContext.get().partitionId()}", capacity)
+        end = np.zeros(1, dtype="<u4")
         for batch in batches:
-            out, held = [], 0
-            for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                ids = encoder.ids(text or "")
-                ids.append(0)
-                packed, start = np.array(ids, dtype="<u4").tobytes(), 0
-                for length in cut(len(ids), capacity):
-                    out += bins.add((row, doc_id, start, length, len(ids), packed[4 * start : 4 * (start + length)]))
-                    start += length
-                held += len(ids)
-                if held > 1_000_000:
-                    yield _batch(out)
-                    out, held = [], 0
-            yield _batch(out)
+            rows, doc_ids, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+            low = 0
+            while low < len(texts):
+                # Some megabytes of text at a time bound the memory, whatever the batch holds.
+                high, held, out = low, 0, []
+                while high < len(texts) and held < 2_000_000:
+                    held += len(texts[high] or "")
+                    high += 1
+                for i, ids in enumerate(encoder.ids([t or "" for t in texts[low:high]]), low):
+                    packed, start, tokens = np.concatenate([ids, end]).tobytes(), 0, len(ids) + 1
+                    for length in cut(tokens, capacity):
+                        out += bins.add((rows[i], doc_ids[i], start, length, tokens, packed[4 * start : 4 * (start + length)]))
+                        start += length
+                yield _batch(out)
+                low = high
         yield _batch(bins.rest())
 
     return pack

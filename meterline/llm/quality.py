@@ -11,7 +11,9 @@ further: a group of homogeneous texts then does not lose its slightly odd ones.
 
 Nulls: a null text has no words and fails the base rule.  Null languages and
 sources form groups of their own.  Repeated rows are judged one by one.  Extra
-columns pass through; a clash with a result's name is refused with ValueError.
+columns pass
+through; one named like a result
+is replaced by the result.
 """
 
 from __future__ import annotations
@@ -70,9 +72,7 @@ def measure(text: str | None, window: int = 8) -> tuple[int, int, int, int, int]
 
 def with_measures(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """``docs`` with the base counts; texts are measured whole, batch by batch."""
-    clash = set(docs.columns) & {*RESULTS, *RATES}
-    if clash:
-        raise ValueError(f"columns clash with results: {sorted(clash)}")
+    docs = docs.drop(*RESULTS, *RATES)
     window = rules.window
 
     @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in BASE]))

@@ -26,19 +26,22 @@ from pyspark.sql import DataFrame
 from .common import documents
 
 #: Remembered stretches; clearing them changes no result.
-MOST = 300_000
+MOST = 400_000
 
 
 class Encoder:
     """Ids and character lengths of whole texts by a byte-level BPE file of ``tokenizers``."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
-        self.spans: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.spans: dict[str, np.ndarray] = {}
 
     @staticmethod
     def stretches(text: str) -> list[str]:
@@ -54,40 +57,35 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
-    def _encode(self, part: str) -> list[int]:
-        ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        if len(part) <= 64:
-            if len(self.known) >= MOST:
-                self.known.clear()
-            self.known[part] = ids
-        return ids
-
-    def ids(self, text: str) -> list[int]:
-        if not text:
-            return []
-        known, out = self.known, []
-        for part in self.stretches(text):
-            found = known.get(part)
-            out += self._encode(part) if found is None else found
-        return out
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text, as little-endian 32-bit numbers."""
+        split = [self.stretches(t) if t else [] for t in texts]
+        if len(self.known) > MOST:
+            self.known.clear()
+        known = self.known
+        new = list({p for parts in split for p in parts if p not in known})
+        for low in range(0, len(new), 10_000):
+            some = new[low : low + 10_000]
+            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+            known.update(zip(some, [np.array(e.ids, dtype="<u4").tobytes() for e in encoded], strict=True))
+        return [np.frombuffer(b"".join([known[p] for p in parts]), dtype="<u4") for parts in split]
 
     def starts(self, text: str) -> np.ndarray:
         """(begin, end) of every token of the whole text, in characters."""
         if not text:
             return np.zeros((0, 2), dtype=np.int64)
-        pieces, sizes = [], []
-        for part in self.stretches(text):
-            found = self.spans.get(part)
-            if found is None:
-                found = np.array(self.tokenizer.encode(part, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
-                if len(part) <= 64:
-                    if len(self.spans) >= MOST:
-                        self.spans.clear()
-                    self.spans[part] = found
-            pieces.append(found)
-            sizes.append(len(part))
-        begin = np.cumsum([0, *sizes[:-1]])
-        return np.concatenate(pieces) + np.repeat(begin, [len(p) for p in pieces])[:, None]
+        parts, spans = self.stretches(text), self.spans
+        new = list({p for p in parts if p not in spans})
+        if len(spans) + len(new) > MOST:
+            spans.clear()
+            new = list(set(parts))
+        if new:
+            encoded = self.tokenizer.encode_batch(new, add_special_tokens=False)
+            spans.update(zip(new, [np.array(e.offsets, dtype=np.int32).reshape(-1, 2) for e in encoded], strict=True))
+        pieces = [spans[p] for p in parts]
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        counts = np.fromiter(map(len, pieces), dtype=np.int64, count=len(parts))
+        return np.concatenate(pieces) + np.repeat(np.cumsum(sizes) - sizes, counts)[:, None]
 
 
 def sections_of(text: str) -> np.ndarray:

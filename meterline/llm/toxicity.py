@@ -164,51 +164,55 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(a * x[:, 0] + b * x[:, 1] + c, -30, 30)))
 
 
-def landmarks(row: np.ndarray, key: np.ndarray, value: np.ndarray, n: int, most: int, offered: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Rows chosen by pivoted Cholesky among ``offered``, and the columns of the factor (n, chosen)."""
-    order = np.argsort(row, kind="stable")
-    row, key, value = row[order], key[order], value[order]
+def landmarks(words: list[bytes], most: int) -> list[bytes]:
+    """Words chosen by pivoted Cholesky: each is the one that those before explain least."""
+    row, key, value = features(words)
+    n = len(words)
     first = np.searchsorted(row, np.arange(n + 1))
     left = np.bincount(row, weights=value**2, minlength=n)
-    chosen, factor = [], np.zeros((n, most))
+    chosen, factor, own = [], np.zeros((n, most), dtype=np.float32), np.zeros(_CLASSES**3)
     for k in range(min(most, n)):
-        pick = int(offered[np.argmax(left[offered])])
+        pick = int(np.argmax(left))
         if left[pick] < 1e-3:
             break
-        own = np.zeros(_CLASSES**3)
-        own[key[first[pick] : first[pick + 1]]] = value[first[pick] : first[pick + 1]]
+        mine = slice(first[pick], first[pick + 1])
+        own[key[mine]] = value[mine]
         column = np.bincount(row, weights=value * own[key], minlength=n)
+        own[key[mine]] = 0
         column = (column - factor[:, :k] @ factor[pick, :k]) / np.sqrt(left[pick])
         factor[:, k] = column
         left = np.maximum(left - column**2, 0)
-        chosen.append(pick)
-    return chosen, factor[:, : len(chosen)]
+        chosen.append(words[pick])
+    return chosen
 
 
 def fit_words(positive: list[bytes], negative: list[bytes], weight: np.ndarray, most: int = LANDMARKS) -> Machine:
     """The machine on words; ``weight`` is each word's part in the loss."""
     words = [w[:LONGEST] for w in [*positive, *negative]]
-    row, key, value = features(words)
-    n = len(words)
-    half = np.arange(len(positive))
-    chosen, _ = landmarks(row, key, value, n, most * 2 // 3, half)
-    other, _ = landmarks(row, key, value, n, most - len(chosen), np.arange(len(positive), n))
-    chosen += other
-    # Kernel values with the landmarks, whitened: the Nyström map.
-    marks = np.zeros((_CLASSES**3, len(chosen)))
-    for k, pick in enumerate(chosen):
-        mine = row == pick
-        marks[key[mine], k] = value[mine]
-    kernel = np.zeros((n, len(chosen)))
-    for low in range(0, len(row), 200_000):
-        part = slice(low, low + 200_000)
-        rows = row[part]
-        edge = np.flatnonzero(np.diff(rows, prepend=rows[0] - 1))
-        kernel[rows[edge]] += np.add.reduceat(value[part, None] * marks[key[part]], edge, axis=0)
-    size, basis = np.linalg.eigh(kernel[chosen])
+    marks_at = landmarks(words[: len(positive)], most * 2 // 3)
+    marks_at += landmarks(words[len(positive) :][:: max(1, len(negative) // 4_000)], most - len(marks_at))
+    # Only subsequences of landmarks matter: they get places of their own.
+    row, key, value = features(marks_at)
+    used, place = np.unique(key, return_inverse=True)
+    marks = np.zeros((len(used), len(marks_at)), dtype=np.float32)
+    marks[place, row] = value
+    where = np.full(_CLASSES**3, -1, dtype=np.int32)
+    where[used] = np.arange(len(used))
+
+    def kernel_with(some: list[bytes]) -> np.ndarray:
+        """Kernel values of some words with the landmarks."""
+        row, key, value = features(some)
+        at = where[key]
+        row, at, value = row[at >= 0], at[at >= 0], value[at >= 0]
+        dense = np.bincount(row * len(used) + at, weights=value, minlength=len(some) * len(used))
+        return dense.reshape(len(some), len(used)).astype(np.float32) @ marks
+
+    kernel = np.concatenate([kernel_with(words[low : low + 200]) for low in range(0, len(words), 200)])
+    # The Nyström map whitens the values.
+    size, basis = np.linalg.eigh(kernel_with(marks_at).astype(np.float64))
     keep = size > 1e-6 * size.max()
     white = basis[:, keep] / np.sqrt(size[keep])
-    x = np.column_stack([kernel @ white, np.ones(n)])
+    x = np.column_stack([kernel @ white, np.ones(len(words))])
     y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
     beta = np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps on the squared hinge loss
@@ -218,7 +222,9 @@ def fit_words(positive: list[bytes], negative: list[bytes], weight: np.ndarray,
         if np.allclose(new, beta, atol=1e-6):
             break
         beta = new
-    return Machine(marks @ (white @ beta[:-1]), float(beta[-1]))
+    weights = np.zeros(_CLASSES**3)
+    weights[used] = marks @ (white @ beta[:-1])
+    return Machine(weights, float(beta[-1]))
 
 
 def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:

@@ -122,7 +122,7 @@ def candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     start = F.col("base") + F.col("within")  # of the piece's content; its magic stands before it
     return pieces, placed.select(
         "file", "split", "seq", (start - step).alias("offset"),
-        (start + F.col("body") + F.nullif(F.col("declared"), F.lit("")).cast("bigint") + 4).alias("next_offset"),
+        (start + F.col("body") + F.col("declared").try_cast("bigint") + 4).alias("next_offset"),
         (F.col("all_bytes") - step).alias("file_bytes"),
     )
 
@@ -198,16 +198,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
     text = whole.select("file", "value").union(built.select("file", "value"))
     cut = text.withColumn("_head", F.substring_index("value", _END, 1)).withColumn(
-        "_block", F.expr("substring(CAST(value AS BINARY), octet_length(_head) + 5, CAST(regexp_extract(_head, "
+        "_block", F.expr("substring(CAST(value AS BINARY), octet_length(_head) + 5, try_cast(regexp_extract(_head, "
                          "'(?is)(?:^|\\\\r\\\\n)content-length:[ \\\\t]*([0-9]{1,15})[ \\\\t]*(?:\\\\r\\\\n|$)', 1) AS INT))")
     ).withColumn("_http", F.substring_index(F.col("_block").cast("string"), _END, 1))
-    complete = F.octet_length("_block") == F.regexp_extract("_head", r"(?is)(?:^|\r\n)content-length:[ \t]*([0-9]{1,15})", 1).cast("bigint")
+    complete = F.octet_length("_block") == F.regexp_extract("_head", r"(?is)(?:^|\r\n)content-length:[ \t]*([0-9]{1,15})", 1).try_cast("bigint")
     kind = _header("WARC-Type")
     return cut.where(complete).select(
-        "file", kind.alias("record_type"), _header("X-Page-Id").cast("bigint").alias("page_id"), _header("WARC-Target-URI").alias("target_uri"),
+        "file", kind.alias("record_type"), _header("X-Page-Id").try_cast("bigint").alias("page_id"), _header("WARC-Target-URI").alias("target_uri"),
         F.regexp_replace(_header("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        _header("X-Payload-Length").cast("bigint").alias("payload_length"),
-        _header("X-Refers-To-Page").cast("bigint").alias("refers_to"),
+        _header("X-Payload-Length").try_cast("bigint").alias("payload_length"),
+        _header("X-Refers-To-Page").try_cast("bigint").alias("refers_to"),
         F.when(kind != "revisit", F.expr("substring(_block, octet_length(_http) + 5)")).alias("payload"),
     )
 
