@@ -17,6 +17,7 @@ one.  An empty table gives an empty result; extra columns are dropped.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,11 @@ from pyspark.sql import DataFrame
 from .common import documents
 
 #: Remembered stretches; clearing them changes no result.
-MOST = 400_000
+MOST = 1_000_000
+
+
+#: A space that does not lead a word.
+_WIDE = re.compile(r" (?:\s|\Z)")
 
 
 class Encoder:
@@ -46,9 +51,9 @@ class Encoder:
     @staticmethod
     def stretches(text: str) -> list[str]:
         """``text`` cut before each space that a character other than white space follows."""
+        if not _WIDE.search(text) and "\x00" not in text:
+            return text.replace(" ", "\x00 ").split("\x00")
         parts = text.split(" ")
-        if "" not in parts and all(not p[0].isspace() for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]]
         out = [parts[0]]
         for p in parts[1:]:
             if p and not p[0].isspace():
@@ -57,17 +62,37 @@ class Encoder:
                 out[-1] += " " + p
         return out
 
+    @staticmethod
+    def atoms(part: str) -> list[str]:
+        """``part`` cut where BPE cuts it for certain: about a line feed between other characters, and before a mark after a letter."""
+        out = []
+        for i, line in enumerate(part.split("\n")) if "\n" in part else [(0, part)]:
+            if i:
+                if not line or line[0].isspace() or not out or out[-1][-1].isspace():
+                    return [part]
+                out.append("\n")
+            if not line:
+                return [part]
+            if len(line) > 2 and line[-1] in ".,;:!?" and line[-2].isalpha():
+                out += [line[:-1], line[-1]]
+            else:
+                out.append(line)
+        return out
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each whole text, as little-endian 32-bit numbers."""
         split = [self.stretches(t) if t else [] for t in texts]
         if len(self.known) > MOST:
             self.known.clear()
         known = self.known
-        new = list({p for parts in split for p in parts if p not in known})
-        for low in range(0, len(new), 10_000):
-            some = new[low : low + 10_000]
+        new = set().union(*split).difference(known)
+        atoms = {p: self.atoms(p) for p in new}
+        unknown = list({x for some in atoms.values() for x in some if x not in known})
+        for low in range(0, len(unknown), 10_000):
+            some = unknown[low : low + 10_000]
             encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
             known.update(zip(some, [np.array(e.ids, dtype="<u4").tobytes() for e in encoded], strict=True))
+        known.update([(p, b"".join([known[x] for x in some])) for p, some in atoms.items() if len(some) > 1])
         return [np.frombuffer(b"".join([known[p] for p in parts]), dtype="<u4") for parts in split]
 
     def starts(self, text: str) -> np.ndarray:

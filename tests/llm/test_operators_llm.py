@@ -211,7 +211,7 @@ def test_remembered_stretches_give_whole_text_ids(tokenizer):
     from public_tokenizers import path
 
     encoder = tokens.Encoder(path("byte_bpe_50k.json"))
-    odd = ["", " ", "  a", "a  b", "a \n b", "\n\n x", "  y z", "don't  stop <|endoftext|> now", "tab\t x", "été \U0001f600\U0001f600 한", "end ", "end  ", prose(9, 300)]
+    odd = ["", " ", "  a", "a  b", "a \n b", "\n\n x", "  y z", "don't  stop <|endoftext|> now", "tab\t x", "été \U0001f600\U0001f600 한", "end ", "end  ", prose(9, 300), "x.\nThe", "x.\n\nThe", "\nx", "x\n", " a,\n b", "don't, it's.\nHe's", "1,\n2.", "...\n,,", "\u00a0.\nx", "a\n\x0bb"]
     for text in odd:
         whole = tokenizer.encode(text, add_special_tokens=False)
         assert encoder.ids([text])[0].tolist() == whole.ids, repr(text)
