@@ -194,7 +194,7 @@ def session_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     titles = (
         table(spark, sf_dir, "conversations")
         .filter("turn = 0")
-        .select("conv_id", F.substring("text", 1, 40).alias("title"))
+        .select("conv_id", F.col("text").alias("title"))
     )
     users = table(spark, sf_dir, "events").select("user_id").distinct()
     user = F.col("user_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..fixed_values import EXACT_MODEL_SCORE
+from ..fixed_values import DAY_MS, EXACT_MODEL_SCORE
 from ..functions import quality
 from ..functions.accounts import dollars_per_token
 from ..functions.storage import freeze
@@ -13,11 +13,9 @@ from ..functions.storage import freeze
 _BEGIN = -(2**63)
 _NEVER = 2**63 - 1
 _RATES = ["input", "cache_read", "cache_write", "output"]
-# Token and rate sizes below which four products fit into 63 bits.
+# Token and rate sizes below which four products fit into 63 bits; above, decimals take over.
 _SAFE_TOKENS = 500_000_000
 _SAFE_RATE = 4_000_000_000
-# Versions per catalog up to which the choice is an expression instead of a join.
-_MAX_VERSIONS = 50
 _VERSION = ["version", "version_no", "effective_from_ms", "effective_to_ms"]
 
 
@@ -66,38 +64,26 @@ def price_segments(credit: DataFrame, usd: DataFrame) -> DataFrame:
     )
 
 
-def _version_column(catalog: DataFrame) -> Column | None:
-    """The version by event time as one expression, for a catalog of few versions.
+def price_version_at(events: DataFrame, credit: DataFrame, usd: DataFrame) -> DataFrame:
+    """Add ``credit_version`` and ``usd_version`` by event time.
 
-    Versions sorted by start: the last one that is valid wins.
+    Segments are laid out over the days that occur, one row per day and one more
+    per change of price, so that events join on the day, with the time as residue.
     """
-    rows = catalog.select(*_VERSION).distinct().limit(_MAX_VERSIONS + 1).collect()
-    if len(rows) > _MAX_VERSIONS:
-        return None
-    at = F.col("observed_at_ms")
-    chosen = F.lit(None).cast("string")
-    for row in sorted(rows, key=lambda r: (r.effective_from_ms, r.version_no)):
-        valid = at >= row.effective_from_ms
-        if row.effective_to_ms is not None:
-            valid = valid & (at < row.effective_to_ms)
-        chosen = F.when(valid, F.lit(row.version)).otherwise(chosen)
-    return chosen
-
-
-def price_version_at(events: DataFrame, credit: DataFrame, usd: DataFrame) -> DataFrame:
-    """Add ``credit_version`` and ``usd_version`` by event time."""
-    credit_version, usd_version = _version_column(credit), _version_column(usd)
-    if credit_version is not None and usd_version is not None:
-        return events.withColumns(
-            {"credit_version": credit_version, "usd_version": usd_version}
-        )
     segments = freeze(price_segments(credit, usd), "price-segments")
-    inside = (F.col("observed_at_ms") >= F.col("segment_from_ms")) & (
-        F.col("observed_at_ms") < F.col("segment_to_ms")
-    )
-    return events.join(segments, inside, "left").drop(
-        "segment_from_ms", "segment_to_ms"
+    day_of = lambda ms: F.expr(f"({ms}) div {DAY_MS}L")  # noqa: E731  any monotone day will do
+    day = day_of("observed_at_ms")
+    days = freeze(events.select(day.alias("_day")).distinct(), "price-days")
+    # Days and segments are both few: calendar days, and changes of a price list.
+    within = (day_of("segment_from_ms") <= F.col("_day")) & (F.col("_day") <= day_of("segment_to_ms - 1"))
+    laid_out = freeze(days.join(segments, within), "price-day-segments")
+    keyed = events.withColumn("_at_day", day)
+    inside = (
+        (keyed["_at_day"] == laid_out["_day"])
+        & (keyed["observed_at_ms"] >= laid_out["segment_from_ms"])
+        & (keyed["observed_at_ms"] < laid_out["segment_to_ms"])
     )
+    return keyed.join(laid_out, inside, "left").select(*events.columns, "credit_version", "usd_version")
 
 
 def match_rate(models: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -141,11 +127,14 @@ def _base_amount(side: str) -> Column:
         products = [f"cast({c} as {kind}) * cast({r} as {kind})" for c, r in zip(counts, rates)]
         return " + ".join([*products, f"cast(500000 as {kind})"])
 
-    wide = numerator("decimal(18,0)")
+    wide = numerator("decimal(19,0)")
+    rough = " + ".join(f"cast({c} as double) * cast({r} as double)" for c, r in zip(counts, rates))
+    # Beyond a rough 1e25 the sum saturates for sure, below it the decimals cannot overflow.
     return F.expr(
         f"case when greatest({', '.join(counts)}) <= {_SAFE_TOKENS} "
         f"and greatest({', '.join(rates)}) <= {_SAFE_RATE} "
         f"then ({numerator('bigint')}) div 1000000L "
+        f"when ({rough}) > 1e25D then {_NEVER}L "
         f"when ({wide}) >= cast({_NEVER} as decimal(19,0)) * 1000000 then {_NEVER}L "
         f"else ({wide}) div 1000000 end"
     )

@@ -19,8 +19,6 @@ from ..functions.ordered import Running, ordered_scan, range_chunks
 from ..functions.timeline import local_day, minute_start
 
 _SEEN = ["first_seen_at_ms", "last_seen_at_ms", "priority", "source_key"]
-# Windows up to which one task may order all of them; beyond, they are scanned in chunks.
-_FEW_WINDOWS = 100_000
 
 
 def quota_observations(
@@ -256,13 +254,13 @@ def disjoint_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def _with_next_start(windows: DataFrame, keys: list[str], count: int) -> DataFrame:
+def _with_next_start(windows: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``_next_ms``; of windows with one start only the last in order keeps a span."""
     order = ["window_start_ms", "quota_group", "ordinal"]
-    if keys or count <= _FEW_WINDOWS:
+    if keys:
         following = Window.partitionBy(*keys).orderBy(*order)
         return windows.withColumn("_next_ms", F.lead("window_start_ms").over(following))
-    # Too many for one task: scan from the latest start to the earliest.
+    # All windows are one group: scan it in chunks, from the latest start to the earliest.
     turned = windows.withColumns(
         {"_all": F.lit(0), "_back": -F.col("window_start_ms")}
     )
@@ -298,7 +296,6 @@ def assign_asof(
     """
     order = ["window_start_ms", "quota_group", "ordinal"]
     span = windows.agg(
-        F.count(F.lit(1)).alias("windows"),
         F.min(local_day(F.col("window_start_ms"))).alias("first_day"),
         F.max(local_day(F.col("window_start_ms"))).alias("last_day"),
         F.min_by("window_id", F.struct(*order)).alias("head_id"),
@@ -306,7 +303,7 @@ def assign_asof(
     ).first()
     if span.first_day is None:
         return facts.withColumn("window_id", F.lit(None).cast("string"))
-    ranked = _with_next_start(windows, keys, span.windows)
+    ranked = _with_next_start(windows, keys)
     start = F.col("window_start_ms")
     useful = ranked.filter(F.col("_next_ms").isNull() | (F.col("_next_ms") > start))
     if keys:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import CANDIDATE_MIN_PERCENT, CANONICAL_LIMIT, CAPACITY_DEFAULTS, FRESH_MAX_AGE_MS
-from ..functions.accounts import money, remaining_percent
+from ..functions.accounts import default_profile, money, remaining_percent
 from ..functions.ordered import Running, ordered_scan, range_chunks
+from ..functions.storage import freeze
 from ..functions.tokens import TOKEN_COLUMNS
-from ..operators.capacity import capacity_rows, current_capacity
 from ..operators.pricing import price_card, pricing_version
-from ..sources.account_feed import account_daily_tokens, latest_account
-from ..sources.catalogs import current_capacities, small_table
+from ..sources.account_feed import latest_account
+from ..sources.catalogs import current_capacities
 
 _BREAKDOWN = (
     "array<struct<model string, tier string, reasoning_effort string, tokens bigint, "
@@ -491,6 +491,7 @@ def preferred_quota(rows: DataFrame, seen: Column, keys: list[str] | None = None
         "window_minutes",
         "resets_at_ms",
         "plan_type",
+        (F.col("account_key") if "account_key" in rows.columns else F.lit(None).cast("string")).alias("account_key"),
         seen.alias("seen_at_ms"),
     )
     picked = F.max_by(value, F.struct(tier, seen, F.col("source_key"))).alias("q")
@@ -511,18 +512,43 @@ def nearest_window(windows: DataFrame, reset_ms: int | None) -> DataFrame:
     return windows.agg(F.coalesce(*choices).alias("w")).filter("w is not null").select("w.*")
 
 
-_CURRENT = (
-    "display string, account_key string, auth_kind string, plan string, provider string, "
-    "weekly_credit double, observed_at_ms bigint, used_percent double, remaining_percent double, "
-    "resets_at_ms bigint, window_minutes bigint, source string, window_id string, "
-    "local_window_id string, local_start_at_ms bigint, local_reset_at_ms bigint, "
-    "local_tokens bigint, local_credit double, local_api_usd double, local_percent double, "
-    "official_stale boolean, quality_flags array<string>"
-)
+def _one_row(df: DataFrame, prefix: str) -> DataFrame:
+    """A frame of one row at most, its columns prefixed, with a key that all such frames share."""
+    return df.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
+
+
+def _fresh(seen: str, now_ms: int) -> Column:
+    return F.coalesce((F.col(seen) > 0) & (F.lit(now_ms) - F.col(seen) <= FRESH_MAX_AGE_MS), F.lit(False))
 
 
-def _fresh(ts: int | None, now_ms: int) -> bool:
-    return ts is not None and ts > 0 and now_ms - ts <= FRESH_MAX_AGE_MS
+def _shown_capacity(state: DataFrame, capacities: DataFrame, now_ms: int) -> DataFrame:
+    """The best current capacity for the state's account and plan, over all capacities."""
+    rows = current_capacities(capacities)
+    asked = rows.withColumn("_one", F.lit(1)).join(
+        state.select("_one", F.col("account_key").alias("_account"), F.col("plan").alias("_plan")), "_one"
+    )
+    shared, any_plan = F.col("account_key").isNull(), F.col("plan_type").isNull()
+    fits = (
+        (F.col("effective_from_ms") <= now_ms)
+        & (F.col("effective_to_ms").isNull() | (F.lit(now_ms) < F.col("effective_to_ms")))
+        & (shared | (F.col("account_key") == F.col("_account")))
+        & (any_plan | (F.lower("plan_type") == F.lower("_plan")))
+        & (F.lower("profile_code") == default_profile(F.col("_plan")))
+    )
+    score = F.when(shared, 0).otherwise(4) + F.when(any_plan, 0).otherwise(2)
+    rank = F.struct(score, "effective_from_ms", "profile_code")
+    return asked.filter(fits).agg(F.max_by("weekly_credit", rank).alias("weekly_credit"))
+
+
+def _shown_window(state: DataFrame, windows: DataFrame) -> DataFrame:
+    """As ``nearest_window``, with the reset taken from the state."""
+    near = windows.withColumn("_one", F.lit(1)).join(state.select("_one", F.col("resets_at_ms").alias("_reset")), "_one")
+    row, order = F.struct(*windows.columns), F.struct("window_start_ms", "window_id")
+    primary = F.col("window_kind") == "primary"
+    far = F.coalesce(F.abs(F.col("resets_at_ms") - F.col("_reset")), F.lit(2**63 - 1))
+    nearest = F.min_by(row, F.when(primary & F.col("_reset").isNotNull(), F.struct(far, order)))
+    best = F.coalesce(nearest, F.max_by(row, F.when(primary, order)), F.max_by(row, order))
+    return near.agg(best.alias("w")).filter("w is not null").select("w.*")
 
 
 def current(
@@ -535,102 +561,88 @@ def current(
 ) -> DataFrame:
     """Current account, official quota and local window, as one row.
 
-    Every input is reduced to a single row by Spark before it is looked at.
+    Each input is reduced to one row, and these rows are joined.
     """
-    account = latest_account(feed, only_ok=True).first()
-    feed_quota = preferred_quota(
-        feed.filter("kind = 'quota' and status = 'ok'"), F.col("last_seen_at_ms")
-    ).first()
-    log_quota = preferred_quota(
-        logs.filter("kind = 'quota'"), F.coalesce("last_seen_at_ms", "observed_at_ms")
-    ).first()
-    recent = (
-        minute.filter(
-            F.col("official_used_percent").isNotNull()
-            & (F.col("minute_start_ms") > 0)
-            & (F.lit(now_ms) - F.col("minute_start_ms") <= FRESH_MAX_AGE_MS)
-        )
-        .agg(
-            F.max_by(
-                F.struct("official_used_percent", "official_source", "resets_at_ms"),
-                F.struct("minute_start_ms", "bucket_key"),
-            ).alias("m")
-        )
-        .first()
-        .m
-    )
-    feed_any, log_any = feed_quota.source_key is not None, log_quota.source_key is not None
-    feed_fresh = feed_any and _fresh(feed_quota.seen_at_ms, now_ms)
-    log_fresh = log_any and _fresh(log_quota.seen_at_ms, now_ms)
-    quota = feed_quota if feed_fresh else log_quota if log_fresh else None
-    if feed_fresh:
-        source = "app_server"
-    elif log_fresh:
-        source = "jsonl"
-    elif recent is not None:
-        source = "app_server" if recent.official_source == "app_server" else "jsonl"
-    else:
-        source = "none"
-
-    def first_of(*values):
-        return next((v for v in values if v is not None), None)
-
-    used = first_of(quota and quota.used_percent, recent and recent.official_used_percent)
-    reset = first_of(quota and quota.resets_at_ms, recent and recent.resets_at_ms)
-    plan = first_of(account.plan_type, feed_quota.plan_type, log_quota.plan_type)
-    available = used is not None or reset is not None
-    window = nearest_window(windows, reset).first()
-    rows = capacity_rows(current_capacities(capacities)) or []
-    spark = feed.sparkSession
-    chosen = spark.range(1).select(
-        current_capacity(
-            rows,
-            F.lit(account.account_key).cast("string"),
-            F.lit(plan).cast("string"),
-            F.lit(now_ms),
-        ).getField("weekly_credit").alias("weekly_credit")
-    ).first()
-    weekly = chosen.weekly_credit
-    credit = window.credit if window else None
-    share = credit / weekly * 100.0 if credit is not None and weekly else None
-    flags = []
-    if not feed_fresh:
-        flags.append("app_server_stale" if feed_any else "app_server_unavailable")
-    if log_fresh and not feed_fresh:
-        flags.append("official_fallback_jsonl")
-    if not available:
-        flags.append("official_unavailable")
-    if weekly is None:
-        flags.append("capacity_unconfirmed")
-    return small_table(
-        spark,
-        [
-            {
-                "display": first_of(account.account_label, plan),
-                "account_key": account.account_key,
-                "auth_kind": account.auth_kind,
-                "plan": plan,
-                "provider": account.provider,
-                "weekly_credit": weekly,
-                "observed_at_ms": account.last_seen_at_ms,
-                "used_percent": used,
-                "remaining_percent": None if used is None else max(100.0 - used, 0.0),
-                "resets_at_ms": reset,
-                "window_minutes": quota.window_minutes if quota else None,
-                "source": source if available else "none",
-                "window_id": window.window_id if window and available else None,
-                "local_window_id": window.window_id if window else None,
-                "local_start_at_ms": window.window_start_ms if window else None,
-                "local_reset_at_ms": window.resets_at_ms if window and reset is not None else None,
-                "local_tokens": window.total_tokens if window else None,
-                "local_credit": credit,
-                "local_api_usd": window.api_usd if window else None,
-                "local_percent": share,
-                "official_stale": None if available else True,
-                "quality_flags": flags,
-            }
-        ],
-        _CURRENT,
+    feed_quota = preferred_quota(feed.filter("kind = 'quota' and status = 'ok'"), F.col("last_seen_at_ms"))
+    log_quota = preferred_quota(logs.filter("kind = 'quota'"), F.coalesce("last_seen_at_ms", "observed_at_ms"))
+    recent = minute.filter(
+        F.col("official_used_percent").isNotNull()
+        & (F.col("minute_start_ms") > 0)
+        & (F.lit(now_ms) - F.col("minute_start_ms") <= FRESH_MAX_AGE_MS)
+    ).agg(
+        F.max_by(
+            F.struct("official_used_percent", "official_source", "resets_at_ms"),
+            F.struct("minute_start_ms", "bucket_key"),
+        ).alias("m")
+    )
+    state = feed.sparkSession.range(1).select(F.lit(1).alias("_one"))
+    for frame, prefix in (
+        (latest_account(feed, only_ok=True), "a_"), (feed_quota, "f_"), (log_quota, "l_"), (recent.select("m.*"), "m_")
+    ):
+        state = state.join(_one_row(frame, prefix), "_one", "left")
+    feed_fresh, log_fresh = _fresh("f_seen_at_ms", now_ms), _fresh("l_seen_at_ms", now_ms)
+
+    def quota(name: str) -> Column:
+        return F.when(feed_fresh, F.col(f"f_{name}")).when(log_fresh, F.col(f"l_{name}"))
+
+    any_recent = F.col("m_official_used_percent").isNotNull()
+    source = (
+        F.when(feed_fresh, "app_server").when(log_fresh, "jsonl")
+        .when(any_recent & F.coalesce(F.col("m_official_source") == "app_server", F.lit(False)), "app_server")
+        .when(any_recent, "jsonl").otherwise("none")
+    )
+    state = freeze(
+        state.select(
+            "_one",
+            F.coalesce("a_account_key", quota("account_key")).alias("account_key"),
+            F.coalesce("a_plan_type", "f_plan_type", "l_plan_type").alias("plan"),
+            F.col("a_account_label").alias("label"),
+            F.col("a_auth_kind").alias("auth_kind"),
+            F.col("a_provider").alias("provider"),
+            F.col("a_last_seen_at_ms").alias("observed_at_ms"),
+            F.coalesce(quota("used_percent"), F.col("m_official_used_percent")).alias("used_percent"),
+            F.coalesce(quota("resets_at_ms"), F.col("m_resets_at_ms")).alias("resets_at_ms"),
+            quota("window_minutes").alias("window_minutes"),
+            source.alias("source"),
+            feed_fresh.alias("feed_fresh"),
+            log_fresh.alias("log_fresh"),
+            F.col("f_source_key").isNotNull().alias("feed_any"),
+        ),
+        "current-state",
+    )
+    row = state.join(_one_row(_shown_capacity(state, capacities, now_ms), ""), "_one", "left").join(
+        _one_row(_shown_window(state, windows), "w_"), "_one", "left"
+    )
+    available = F.col("used_percent").isNotNull() | F.col("resets_at_ms").isNotNull()
+    flags = [
+        F.when(~F.col("feed_fresh"), F.when(F.col("feed_any"), "app_server_stale").otherwise("app_server_unavailable")),
+        F.when(F.col("log_fresh") & ~F.col("feed_fresh"), "official_fallback_jsonl"),
+        F.when(~available, "official_unavailable"),
+        F.when(F.col("weekly_credit").isNull(), "capacity_unconfirmed"),
+    ]
+    return row.select(
+        F.coalesce("label", "plan").alias("display"),
+        "account_key",
+        "auth_kind",
+        "plan",
+        "provider",
+        "weekly_credit",
+        "observed_at_ms",
+        "used_percent",
+        F.greatest(F.lit(100.0) - F.col("used_percent"), F.when(F.col("used_percent").isNotNull(), 0.0)).alias("remaining_percent"),
+        "resets_at_ms",
+        "window_minutes",
+        F.when(available, F.col("source")).otherwise("none").alias("source"),
+        F.when(available, F.col("w_window_id")).alias("window_id"),
+        F.col("w_window_id").alias("local_window_id"),
+        F.col("w_window_start_ms").alias("local_start_at_ms"),
+        F.when(F.col("resets_at_ms").isNotNull(), F.col("w_resets_at_ms")).alias("local_reset_at_ms"),
+        F.col("w_total_tokens").alias("local_tokens"),
+        F.col("w_credit").alias("local_credit"),
+        F.col("w_api_usd").alias("local_api_usd"),
+        F.when(F.col("weekly_credit") > 0, F.col("w_credit") / F.col("weekly_credit") * 100.0).alias("local_percent"),
+        F.when(~available, True).alias("official_stale"),
+        F.filter(F.array(*flags), lambda x: x.isNotNull()).alias("quality_flags"),
     )
 
 
@@ -663,18 +675,19 @@ def sync_counts(logs: DataFrame, daily: DataFrame) -> DataFrame:
 
 
 def feed_daily_tokens(feed: DataFrame) -> DataFrame:
-    """Daily tokens of the latest feed usage row, with when it was seen."""
+    """Every item of the latest feed usage row that has a start date and tokens, with when it was seen."""
     order = F.struct("last_seen_at_ms", "source_key")
     latest = feed.filter("kind = 'usage'").agg(
-        F.max_by(F.struct("source_key", "kind", "daily_tokens_json", "last_seen_at_ms"), order)
-        .alias("u")
-    ).filter("u is not null").select("u.*")
-    seen = latest.select("last_seen_at_ms").first()
-    return account_daily_tokens(latest).select(
-        "date",
-        "tokens",
+        F.max_by(F.struct("daily_tokens_json", "last_seen_at_ms"), order).alias("u")
+    ).select("u.*")
+    items = F.from_json("daily_tokens_json", "array<struct<startDate string, tokens bigint>>")
+    return latest.select("last_seen_at_ms", F.explode(items).alias("d")).filter(
+        "d.startDate is not null and d.tokens is not null"
+    ).select(
+        F.col("d.startDate").alias("date"),
+        F.col("d.tokens").alias("tokens"),
         F.lit("app_server").alias("source"),
-        F.lit(seen[0] if seen else None).cast("bigint").alias("observed_at_ms"),
+        F.col("last_seen_at_ms").alias("observed_at_ms"),
     )
 
 

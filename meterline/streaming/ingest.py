@@ -52,16 +52,13 @@ def read_log_stream(spark: SparkSession, root: str) -> DataFrame:
 
 def batch_lines(batch: DataFrame) -> DataFrame:
     """Order the lines of a batch within their log: by chunk, split and line."""
-    chunk = F.coalesce(
-        F.try_to_number(F.regexp_extract("file", r"\.(\d+)\.jsonl$", 1), F.lit("999999999")).cast(
-            "bigint"
-        ),
-        F.lit(0).cast("bigint"),
-    )
+    # A chunk number has up to 25 digits: times the split offset it fills a decimal.
+    number = F.regexp_extract("file", r"\.(\d+)\.jsonl$", 1)
+    chunk = F.when(number == "", F.lit(0).cast("decimal(25,0)")).otherwise(number.cast("decimal(25,0)"))
     return batch.withColumn("line_no", F.monotonically_increasing_id()).select(
         F.regexp_replace("file", r"\.\d+\.jsonl$", ".jsonl").alias("path"),
         F.lit("active").alias("state"),
-        (chunk * _SPLITS_PER_CHUNK + F.col("offset")).alias("block"),
+        (chunk * F.lit(_SPLITS_PER_CHUNK).cast("decimal(13,0)") + F.col("offset").cast("decimal(13,0)")).cast("decimal(38,0)").alias("block"),
         "line_no",
         F.rtrim(F.col("value"), F.lit("\r")).alias("value"),
     )

@@ -22,7 +22,7 @@ def with_event_time(facts: DataFrame) -> DataFrame:
     return facts.withColumn("event_time", F.timestamp_millis("observed_at_ms"))
 
 
-def dedupe_stream(facts: DataFrame, delay: str = "2 hours") -> DataFrame:
+def dedupe_stream(facts: DataFrame, delay: str) -> DataFrame:
     """Each ``source_key`` once within the watermark.
 
     The delay bounds the state and is an addition for streams only; it must
@@ -35,8 +35,11 @@ def dedupe_stream(facts: DataFrame, delay: str = "2 hours") -> DataFrame:
     )
 
 
-def minute_totals(facts: DataFrame, delay: str = "2 hours") -> DataFrame:
-    """Token totals of tumbling minutes."""
+def minute_totals(facts: DataFrame, delay: str) -> DataFrame:
+    """Token totals of tumbling minutes.
+
+    Rows later than ``delay`` are dropped, so it must cover the range that is read again.
+    """
     minute = F.window("event_time", "1 minute")
     return (
         with_event_time(facts)

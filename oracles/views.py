@@ -342,7 +342,7 @@ SESSION_RAW = """,
 session_raw AS (
   SELECT 's' || u.user_id AS session_id,
          CASE WHEN u.user_id >= 50 THEN 's' || (u.user_id - 50) END AS parent_session_id,
-         substr(c.text, 1, 40) AS title,
+         c.text AS title,
          CASE WHEN u.user_id % 3 <> 0 THEN CASE WHEN u.user_id < 50 THEN 'main' ELSE 'child' END END AS relation
   FROM (SELECT DISTINCT user_id FROM events) u
   LEFT JOIN conversations c ON c.conv_id = u.user_id AND c.turn = 0)"""

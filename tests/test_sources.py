@@ -208,6 +208,25 @@ def test_current_state(spark, age_ms, kind, source, flag):
     assert flag is None or flag in got.quality_flags
 
 
+def test_current_account_falls_back_to_the_quota_row(spark):
+    """Without an account row the quota row names the account; rows of accounts are not shown capacities."""
+    now = 1_786_000_000_000
+    row = {"seq": 1, "source_key": "q", "kind": "quota", "account_key": "acc", "first_seen_at_ms": now - 10,
+           "last_seen_at_ms": now - 10, "limit_id": "codex", "window_kind": "primary", "used_percent": 7.0,
+           "resets_at_ms": now + 5, "plan_type": "pro", "status": "ok"}
+    minute = spark.createDataFrame([], "bucket_key string, minute_start_ms long, "
+                                   "official_used_percent double, official_source string, resets_at_ms long")
+    capacities = default_capacities(spark)
+    own = capacities.filter("lower(profile_code) = 'usd200'").limit(1).withColumns(
+        {"account_key": F.lit("acc"), "weekly_credit": F.lit(99.0), "effective_to_ms": F.lit(None).cast("long")})
+    many = capacities.unionByName(own)
+    others = own.crossJoin(spark.range(260)).withColumn("account_key", F.concat(F.lit("other"), F.col("id"))).drop("id")
+    many = many.unionByName(others)
+    windows = spark.createDataFrame([], CURRENT_WINDOW)
+    got = report.current(typed(spark, SOURCE_APP_SERVER, [row]), typed(spark, SOURCE_JSONL, []), minute, windows, many, now).first()
+    assert (got.account_key, got.weekly_credit, got.window_id, got.local_percent) == ("acc", 64000.0, None, None)
+
+
 def test_external_table_has_every_column(spark, sf_dir):
     rows = external_runs.external_usage(adapters.external_results(spark, sf_dir))
     assert set(column_names(SOURCE_CCUSAGE)) <= set(rows.columns)

@@ -111,3 +111,13 @@ def test_ingest_in_chunks_equals_one_batch(spark, sf_dir, tmp_path):
     assert keys[0] == keys[1] > 0
     again = upsert_logs(settled, stored.filter("kind = 'turn'"), ["path", "block", "line_no"])
     assert again.count() == settled.count()
+
+
+def test_long_chunk_numbers_keep_their_order(spark):
+    from meterline.streaming.ingest import batch_lines
+
+    names = ["a.jsonl", "a.2.jsonl", "a.3000000.jsonl", "a.1785369600.jsonl", "a.20260101000000000000.jsonl"]
+    batch = spark.createDataFrame([(n, o, "x") for n in reversed(names) for o in (0, 5_000_000_000)], "file string, offset bigint, value string")
+    rows = batch_lines(batch.withColumn("value", F.concat("file", F.lit("@"), "offset"))).orderBy("block").collect()
+    assert {r["path"] for r in rows} == {"a.jsonl"}
+    assert [r["value"] for r in rows] == [f"{n}@{o}" for n in names for o in (0, 5_000_000_000)]
