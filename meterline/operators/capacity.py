@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.accounts import default_profile, is_subscription_plan
+from ..functions.storage import freeze
 
-# Rows up to which the choice is an expression; beyond, it is a join.
-MAX_EXPRESSION_ROWS = 200
 _CHOICE = "struct<profile_code:string,weekly_credit:double>"
 
 
-def capacity_rows(capacities: DataFrame) -> list[Row] | None:
-    """The rows in profile order, or None when they are too many for an expression."""
-    rows = capacities.limit(MAX_EXPRESSION_ROWS + 1).collect()
-    if len(rows) > MAX_EXPRESSION_ROWS:
-        return None
-    return sorted(rows, key=lambda r: r.profile_code)
+def capacity_rows(canonical: DataFrame) -> list[Row]:
+    """The canonical capacities, one per profile code, in their order.
+
+    Tables with capacities of accounts or dates grow; they go to ``with_capacity``.
+    """
+    return sorted(canonical.collect(), key=lambda r: r.profile_code)
 
 
 def _best(candidates: list[tuple[Column, list[Column]]], rows: list[Row]) -> Column:
@@ -94,64 +96,92 @@ def capacity_for_plan(
     return F.coalesce(_best(candidates, rows), capacity_for(rows, account, plan, at))
 
 
-def current_capacity(rows: list[Row], account: Column, plan: Column, at: Column) -> Column:
-    """Capacity shown as current: the profile must match, so an unknown plan has none."""
-    wanted = default_profile(plan)
-    candidates = []
-    for row in rows:
-        plan_fits = (
-            F.lit(True)
-            if row.plan_type is None
-            else F.coalesce(F.lower(plan) == row.plan_type.lower(), F.lit(False))
-        )
-        score = (4 if row.account_key is not None else 0) + (2 if row.plan_type is not None else 0)
-        candidates.append(
-            (
-                _valid(row, at)
-                & _account_fits(row, account)
-                & plan_fits
-                & F.coalesce(F.lit(row.profile_code.lower()) == wanted, F.lit(False)),
-                [F.lit(score), F.lit(int(row.effective_from_ms)).cast("bigint")],
-            )
-        )
-    return _best(candidates, rows)
-
-
-def join_capacity_for(facts: DataFrame, capacities: DataFrame) -> DataFrame:
-    """``capacity_for`` as joins, for a capacity table that grows with accounts.
+def _candidates(asked: DataFrame, capacities: DataFrame, rule: str) -> DataFrame:
+    """Each asked key with the capacities that suit its account and plan, at any time.
 
-    ``facts`` has account_key, plan_type and at_ms; adds profile and credit.
+    A capacity for all accounts or all plans is met through a null key, so every
+    join here is on equal keys.
     """
-    keys = ["account_key", "plan_type", "at_ms"]
-    asked = facts.select(*keys).distinct().filter(is_subscription_plan(F.col("plan_type")))
-    c = capacities.select(*[F.col(n).alias(f"c_{n}") for n in capacities.columns])
-    applies = (
-        (F.col("c_effective_from_ms") <= F.col("at_ms"))
-        & (F.col("c_effective_to_ms").isNull() | (F.col("at_ms") < F.col("c_effective_to_ms")))
-        & (F.col("c_plan_type").isNull() | (F.col("c_plan_type") == F.col("plan_type")))
+    shape = lambda c: F.lower(c) if rule == "current" else c
+    c = capacities.select(
+        F.col("account_key").alias("c_account"),
+        shape(F.col("plan_type")).alias("c_plan"),
+        F.col("profile_code").alias("c_profile"),
+        F.col("weekly_credit").cast("double").alias("c_credit"),
+        F.col("effective_from_ms").cast("bigint").alias("c_from"),
+        F.col("effective_to_ms").cast("bigint").alias("c_to"),
+    )
+    nothing = F.lit(None).cast("string")
+    by_account = asked.withColumn(
+        "m_account", F.explode(F.array_distinct(F.array(nothing, F.col("k_account"))))
     )
-    shared = c.filter("c_account_key is null")
-    own = c.filter("c_account_key is not null")
-    matches = asked.join(shared, applies).unionByName(
-        asked.join(own, (F.col("c_account_key") == F.col("account_key")) & applies)
+    by_plan = by_account.withColumn(
+        "m_plan", F.explode(F.array_distinct(F.array(nothing, shape(F.col("k_plan")))))
     )
-    score = F.when(F.col("c_plan_type").isNotNull(), 2).otherwise(0) + F.coalesce(
-        (F.lower("c_profile_code") == default_profile(F.col("plan_type"))).cast("int"), F.lit(0)
+    suits = F.col("m_account").eqNullSafe(F.col("c_account")) & F.col("m_plan").eqNullSafe(F.col("c_plan"))
+    met = by_plan.join(c, suits)
+    own_profile = F.coalesce((F.lower("c_profile") == default_profile(F.col("k_plan"))).cast("int"), F.lit(0))
+    for_plan = F.when(F.col("c_plan").isNotNull(), 2).otherwise(0)
+    if rule == "current":
+        return met.filter(own_profile == 1).withColumn(
+            "score", for_plan + F.when(F.col("c_account").isNotNull(), 4).otherwise(0)
+        )
+    found = met.filter(is_subscription_plan(F.col("k_plan"))).withColumn("score", for_plan + own_profile)
+    same = F.col("m_account").eqNullSafe(F.col("c_account")) & (F.col("k_profile") == F.col("c_profile"))
+    named = by_account.filter("k_profile IS NOT NULL").join(c, same).withColumn("score", F.lit(4))
+    columns = ["k_account", "k_plan", "k_profile", "c_account", "c_profile", "c_credit", "c_from", "c_to", "score"]
+    return found.select(*columns).unionByName(named.select(*columns))
+
+
+def with_capacity(
+    facts: DataFrame,
+    capacities: DataFrame,
+    account: Column,
+    plan: Column,
+    at: Column,
+    profile: Column | None = None,
+    rule: str = "plan",
+) -> DataFrame:
+    """``facts`` with ``capacity`` (profile_code, weekly_credit), null where none applies.
+
+    Rule ``plan``: a known ``profile`` that is valid at the time comes first; then,
+    for subscription plans, the exact plan, the plan's profile and the latest start.
+    Rule ``current``: the profile must be the plan's; a capacity of the account
+    comes first, then one of the plan, then the latest start.  Further ties go to
+    the greater profile code, then to the account's own.
+
+    The distinct accounts and plans of ``facts`` are laid out in spans of time with one
+    choice each; a fact meets its span by account and plan, with the time as residue.
+    """
+    keys = ["k_account", "k_plan", "k_profile"]
+    none = F.lit(None).cast("string")
+    keyed = facts.withColumns(
+        {
+            "k_account": account,
+            "k_plan": plan,
+            "k_profile": none if profile is None else profile,
+            "k_at": at.cast("bigint"),
+        }
     )
-    best = matches.groupBy(*keys).agg(
-        F.max_by(
-            F.struct("c_profile_code", "c_weekly_credit"),
-            F.struct(score, F.col("c_effective_from_ms"), F.col("c_profile_code")),
-        ).alias("best")
+    found = freeze(_candidates(keyed.select(*keys).distinct(), capacities, rule), "capacity-candidates")
+    edges = (
+        found.select(*keys, F.explode(F.array("c_from", "c_to")).alias("from_ms"))
+        .filter("from_ms IS NOT NULL")
+        .distinct()
     )
-    b = best.select(*[F.col(k).alias(f"b_{k}") for k in keys], "best")
-    same = (
-        facts["account_key"].eqNullSafe(b["b_account_key"])
-        & (facts["plan_type"] == b["b_plan_type"])
-        & (facts["at_ms"] == b["b_at_ms"])
+    spans = edges.withColumn(
+        "to_ms", F.lead("from_ms").over(Window.partitionBy(*keys).orderBy("from_ms"))
     )
-    return facts.join(b, same, "left").select(
-        *facts.columns,
-        F.col("best.c_profile_code").alias("capacity_profile"),
-        F.col("best.c_weekly_credit").alias("weekly_credit"),
+    f, c = spans.alias("f"), found.alias("c")
+    one_key = [F.col(f"f.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    valid = (F.col("c_from") <= F.col("from_ms")) & (F.col("c_to").isNull() | (F.col("from_ms") < F.col("c_to")))
+    rank = F.struct("score", "c_from", "c_profile", F.col("c_account").isNotNull(), "c_credit")
+    choice = F.struct(F.col("c_profile").alias("profile_code"), F.col("c_credit").alias("weekly_credit"))
+    chosen = (
+        f.join(c, reduce(and_, [*one_key, valid]))
+        .groupBy(*[F.col(f"f.{k}").alias(f"s_{k}") for k in keys], "from_ms", "to_ms")
+        .agg(F.max_by(choice, rank).alias("capacity"))
     )
+    meets = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys]
+    inside = (F.col("from_ms") <= F.col("k_at")) & (F.col("to_ms").isNull() | (F.col("k_at") < F.col("to_ms")))
+    return keyed.join(chosen, reduce(and_, [*meets, inside]), "left").select(*facts.columns, "capacity")

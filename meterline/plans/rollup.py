@@ -72,10 +72,7 @@ class Inputs:
     @cached_property
     def capacity_rows(self) -> list[Row]:
         """The canonical capacities: one per profile code, so an expression holds them."""
-        rows = capacity_rows(current_capacities(self.capacities))
-        if rows is None:
-            raise ValueError("more canonical capacities than profile codes exist")
-        return rows
+        return capacity_rows(current_capacities(self.capacities))
 
 
 # --- facts -----------------------------------------------------------------

@@ -1007,48 +1007,35 @@ def _capacity_arguments():
     return F.col("account_key"), F.col("plan_type"), F.col("at_ms")
 
 
-def _choice(asked: DataFrame, choice) -> DataFrame:
-    return asked.select(
+def _chosen(spark, sf_dir, **how):
+    return capacity.with_capacity(
+        _asked_capacity(spark, sf_dir), _mixed_capacities(spark), *_capacity_arguments(), **how
+    ).select(
         "source_key",
-        choice.getField("profile_code").alias("capacity_profile"),
-        choice.getField("weekly_credit").alias("weekly_credit"),
+        F.col("capacity.profile_code").alias("capacity_profile"),
+        F.col("capacity.weekly_credit").alias("weekly_credit"),
     )
 
 
 @query
 def capacity_for(spark, sf_dir):
-    rows = capacity.capacity_rows(_mixed_capacities(spark))
-    return _choice(
-        _asked_capacity(spark, sf_dir), capacity.capacity_for(rows, *_capacity_arguments())
-    )
+    return _chosen(spark, sf_dir)
 
 
 @query
 def capacity_for_join(spark, sf_dir):
-    """The same choice as joins, the way for capacity tables that grow."""
-    return capacity.join_capacity_for(
-        _asked_capacity(spark, sf_dir), _mixed_capacities(spark)
-    ).select("source_key", "capacity_profile", "weekly_credit")
+    """As ``capacity_for``, which is this join at every size."""
+    return _chosen(spark, sf_dir)
 
 
 @query
 def capacity_for_plan(spark, sf_dir):
-    rows = capacity.capacity_rows(_mixed_capacities(spark))
-    account, plan, at = _capacity_arguments()
-    profile = F.when(account != "s3", F.lit("usd100"))
-    return _choice(
-        _asked_capacity(spark, sf_dir),
-        capacity.capacity_for_plan(rows, account, plan, profile, at),
-    )
+    return _chosen(spark, sf_dir, profile=F.when(F.col("account_key") != "s3", F.lit("usd100")))
 
 
 @query
 def current_capacity(spark, sf_dir):
-    rows = capacity.capacity_rows(_mixed_capacities(spark))
-    choice = capacity.current_capacity(rows, *_capacity_arguments())
-    return _asked_capacity(spark, sf_dir).select(
-        "source_key", choice.getField("weekly_credit").alias("weekly_credit")
-    )
+    return _chosen(spark, sf_dir, rule="current").select("source_key", "weekly_credit")
 
 
 @query

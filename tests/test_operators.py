@@ -320,15 +320,18 @@ def test_roots(spark):
 
 def test_capacities(spark):
     rows = capacity.capacity_rows(default_capacities(spark))
-
-    def profile(plan, fn=capacity.capacity_for):
-        choice = fn(rows, F.lit(None).cast("string"), F.lit(plan).cast("string"), F.lit(1))
-        return spark.range(1).select(choice.getField("profile_code")).first()[0]
-
-    assert [profile(p) for p in ("plus", "team", "PRO", "api", "unknown", None, "business")] == [
-        "usd20", "usd100", "usd200", None, None, None, "usd200"]
-    assert profile("business", capacity.current_capacity) is None
-    assert profile("plus", capacity.current_capacity) == "usd20"
+    plans = ("plus", "team", "PRO", "api", "unknown", None, "business")
+    asked = spark.createDataFrame(list(enumerate(plans)), "n int, plan string").coalesce(1)
+    nobody, plan, at = F.lit(None).cast("string"), F.col("plan"), F.lit(1)
+
+    def joined(**how):
+        made = capacity.with_capacity(asked, default_capacities(spark), nobody, plan, at, **how)
+        return [r[0] for r in made.orderBy("n").select("capacity.profile_code").collect()]
+
+    wanted = ["usd20", "usd100", "usd200", None, None, None, "usd200"]
+    choice = capacity.capacity_for(rows, nobody, plan, at).getField("profile_code")
+    assert [r[0] for r in asked.orderBy("n").select(choice).collect()] == joined() == wanted
+    assert joined(rule="current") == ["usd20", "usd100", "usd200", None, None, None, None]
     changed = set_capacity(default_capacities(spark), "usd200", 55_000.0, 9)
     assert {r.profile_code: r.weekly_credit for r in changed.collect()} == {
         "usd20": 3200.0, "usd100": 16000.0, "usd200": 55_000.0}
@@ -344,6 +347,49 @@ def test_capacities(spark):
         "usd20": 2.0, "usd100": 16000.0, "usd200": 64000.0}
 
 
+def test_capacities_of_many_accounts(spark):
+    """Dated capacities of 400 accounts against a plain scan over all rows."""
+    rng = random.Random(5)
+    accounts, plans, codes = [f"a{i}" for i in range(400)], ["plus", "pro", "Team", "other"], ["usd20", "usd100", "usd200"]
+    rows = []
+    for i in range(900):
+        start = rng.randrange(100)
+        rows.append({"profile_code": rng.choice(codes), "account_key": rng.choice([None, *accounts]) if i > 20 else None,
+                     "plan_type": rng.choice([None, *plans]), "weekly_credit": float(i), "effective_from_ms": start,
+                     "effective_to_ms": rng.choice([None, start + rng.randrange(1, 60)]), "confirmed_at_ms": 0})
+    facts = [(n, rng.choice([None, "nobody", *accounts]), rng.choice([None, "api", "PRO", *plans]),
+              rng.randrange(-5, 130), rng.choice([None, *codes])) for n in range(1500)]
+    own = {"plus": "usd20", "team": "usd100", "pro": "usd200"}
+
+    def plain(account, plan, at, profile, rule):
+        best = None
+        for r in rows:
+            if not (r["effective_from_ms"] <= at and (r["effective_to_ms"] is None or at < r["effective_to_ms"])):
+                continue
+            if r["account_key"] not in (None, account):
+                continue
+            mine, score = own.get((plan or "").lower()) == r["profile_code"], None
+            if rule == "current":
+                if mine and (r["plan_type"] is None or r["plan_type"].lower() == plan.lower()):
+                    score = 4 * (r["account_key"] is not None) + 2 * (r["plan_type"] is not None)
+            elif profile == r["profile_code"]:
+                score = 4
+            elif plan and plan.lower() not in ("api", "unknown") and r["plan_type"] in (None, plan):
+                score = 2 * (r["plan_type"] is not None) + mine
+            if score is not None:
+                rank = (score, r["effective_from_ms"], r["profile_code"], r["account_key"] is not None, r["weekly_credit"])
+                best = max(best or rank, rank)
+        return best and best[4]
+
+    table = small_table(spark, rows, CAPACITY_SCHEMA)
+    asked = spark.createDataFrame(facts, "n int, account string, plan string, at bigint, profile string")
+    for rule in ("plan", "profile", "current"):
+        how = {"profile": F.col("profile")} if rule == "profile" else {"rule": rule}
+        made = capacity.with_capacity(asked, table, F.col("account"), F.col("plan"), F.col("at"), **how)
+        got = {r.n: r.capacity and r.capacity.weekly_credit for r in made.collect()}
+        assert got == {n: plain(a, p, at, c if rule == "profile" else None, rule) for n, a, p, at, c in facts}, rule
+
+
 def test_large_counts_saturate_and_stay_exact(spark):
     names = ["_fresh_input", "cache_read_tokens", "cache_write_tokens", "output_tokens"]
     rates = [f"credit_{n}" for n in ("input", "cache_read", "cache_write", "output")]
