@@ -603,8 +603,12 @@ def session_meta(rows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Add title and relation: the root's title, then the session's own.
 
     A row's relation wins over its session's; without either, a session that
-    is not its own root is a child.
+    is not its own root is a child.  Of several rows for one session the last one
+    counts, by time and key where ``sessions`` has them.
     """
+    order = [F.col(c) for c in ("observed_at_ms", "source_key") if c in sessions.columns]
+    last = F.max_by(F.struct("title", "relation"), F.struct(*order, "title", "relation"))
+    sessions = sessions.groupBy("session_id").agg(last.alias("_last")).select("session_id", "_last.*")
     root = F.coalesce("root_session_id", "session_id")
     of_root = sessions.select(
         F.col("session_id").alias("_root"), F.col("title").alias("_root_title")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meterline.functions import quality
 from meterline.functions.ordered import Running, ordered_scan, range_chunks
 from meterline.operators import capacity, dedupe, lineage, pricing, turns, windows
+from meterline.plans import rollup
 from meterline.sources.catalogs import (
     CAPACITY_SCHEMA,
     credit_catalog,
@@ -408,3 +409,16 @@ def test_many_price_versions_take_the_same_way(spark):
     for at, found in got.items():
         want = None if at is None or at < 0 else f"v{min(79, at // 40_000_000)}"
         assert found == (want, want)
+
+
+def test_last_row_of_a_session_counts(spark):
+    sessions = spark.createDataFrame(
+        [("a", "old", None, 1, "k1"), ("a", "new", "fork", 2, "k0"), ("b", "only", None, 5, "k2")],
+        "session_id string, title string, relation string, observed_at_ms bigint, source_key string",
+    )
+    rows = spark.createDataFrame(
+        [(1, "a", None, None), (2, "b", "a", None), (3, "c", None, "own")],
+        "n int, session_id string, root_session_id string, relation string",
+    )
+    got = {r.n: (r.title, r.relation) for r in rollup.session_meta(rows, sessions).collect()}
+    assert got == {1: ("new", "fork"), 2: ("new", "child"), 3: (None, "own")}
