@@ -227,26 +227,26 @@ def fit_words(positive: list[bytes], negative: list[bytes], weight: np.ndarray,
     return Machine(weights, float(beta[-1]))
 
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients of a logistic curve, and its log likelihood."""
+def _logistic(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients of a logistic curve, and its log likelihood; each row counts ``weight`` times."""
     z = np.column_stack([z, np.ones(len(z))])
     beta = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-9)[:, None]) + 1e-2 * np.eye(len(beta)), z.T @ (y - p) - 1e-2 * beta)
+        step = np.linalg.solve(z.T @ (z * (weight * p * (1 - p) + 1e-9)[:, None]) + 1e-2 * np.eye(len(beta)), z.T @ (weight * (y - p)) - 1e-2 * beta)
         beta = beta + step
         if np.abs(step).max() < 1e-8:
             break
     p = np.clip(1 / (1 + np.exp(-np.clip(z @ beta, -30, 30))), 1e-12, 1 - 1e-12)
-    return beta, float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+    return beta, float((weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum())
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
     """The likeliest curve in which a larger word value never lowers the score."""
-    both, _ = _logistic(x, y)
+    both, _ = _logistic(x, y, weight)
     if both[0] >= 0.25 * both[1] >= 0:
         return tuple(map(float, both))
-    one, _ = _logistic(x @ np.array([[1.0], [0.25]]), y)
+    one, _ = _logistic(x @ np.array([[1.0], [0.25]]), y, weight)
     return float(one[0]), float(0.25 * one[0]), float(one[1])
 
 
@@ -323,15 +323,16 @@ def train(labelled: DataFrame) -> Machine | None:
             votes.update({w: 0.5 * votes[word] for w in disguised(word) if w not in votes and w not in negative})
     weight = np.concatenate([list(votes.values()), np.log1p(list(negative.values()))])
     machine = fit_words(list(votes), list(negative), weight)
-    # The curve: on a bounded sample of the training texts.
+    # The curve: on a bounded sample of the training texts, each of which stands for its share of its class.
     least = F.xxhash64("text")
-    x, y = [], []
+    x, y, stands = [], [], []
     for toxic in (1, 0):
         sample = labelled.where(F.col("toxic") == toxic).orderBy(least).limit(CURVE_TEXTS)
         values = sample.select("text").mapInArrow(_text_values(machine), "top double, next double").toPandas().to_numpy()
         x.append(values)
         y.append(np.full(len(values), float(toxic)))
-    machine.curve = _fit_curve(np.concatenate(x), np.concatenate(y))
+        stands.append(np.full(len(values), sizes[toxic] / len(values)))
+    machine.curve = _fit_curve(np.concatenate(x), np.concatenate(y), np.concatenate(stands))
     machine.known.clear()
     return machine
 

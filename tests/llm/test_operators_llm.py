@@ -330,6 +330,22 @@ def test_toxicity_learns_from_its_folds_only(spark, tmp_path):
     assert all(r["predicted"] == int(r["score"] >= 0.7) for r in out)
 
 
+def test_curve_keeps_the_prior_of_all_labelled_texts(spark, monkeypatch):
+    rows = []
+    for i in range(600):
+        bad = i % 6 == 0
+        words = prose(i, 20).split()
+        if bad and i % 12 or i % 18 == 1:  # some toxic texts are unmarked, some clean ones marked
+            words[i % 20] = ["numskull", "wretch"][i % 2]
+        rows.append((" ".join(words), int(bad)))
+    labelled = freeze(spark.createDataFrame(rows, "text string, toxic int"), "test")
+    texts = [t for t, _ in rows]
+    whole = toxicity.train(labelled).scores(texts).mean()
+    monkeypatch.setattr(toxicity, "CURVE_TEXTS", 100)  # cuts the clean texts only
+    assert abs(whole - 100 / 600) < 0.02
+    assert abs(toxicity.train(labelled).scores(texts).mean() - whole) < 0.06
+
+
 def test_automaton_against_sets():
     draw = random.Random(8)
     alphabet = [b"a", b"b", b"c"]
