@@ -299,6 +299,34 @@ def test_mixing_is_a_probability_and_learns():
     assert -model.scores([text])[0] / np.log10(2) / len(text) < 2.5
 
 
+def test_no_two_contexts_share_a_count(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_BYTES", 9_000)  # several shards
+    draw = random.Random(21)
+    parts = list({bytes(draw.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(7)) + b" " for _ in range(6_000)})
+    asked = {p: i % 4 for i, p in enumerate(parts)}  # those with 0 are held out
+    told = mixing.train(freeze(spark.createDataFrame(list(asked.items()), "part binary, n bigint").repartition(3), "test")).collect()
+    tree = mixing.Tree(sum(np.bincount(list(p), minlength=mixing.SYMBOLS) * n for p, n in asked.items()))
+    counts = [Counter() for _ in range(mixing.CONTEXTS)]
+
+    def steps(part):
+        for i, c in enumerate(part):
+            for d in range(tree.length[c]):
+                yield [(k, part[max(0, i - k) : i], int(tree.nodes[c, d])) for k in (2, 4, 99)], int(tree.bits[c, d])
+
+    for p, n in asked.items():
+        for keys, bit in steps(p):
+            for count, key in zip(counts, keys, strict=True):
+                count[key, bit] += n
+    assert sorted((bytes(r["part"]), r["n"]) for r in told) == sorted(asked.items())
+    for r in told:
+        want = []
+        for keys, bit in steps(bytes(r["part"])):
+            pairs = [(count[key, 0], count[key, 1]) for count, key in zip(counts, keys, strict=True)]
+            want.append([*(round(np.log((b + 0.4) / (a + 0.4)) * 16) for a, b in pairs), np.digitize(sum(pairs[-1]), mixing.SEEN) + mixing.GATES * bit])
+        got = np.frombuffer(r["prediction"], dtype=np.int8).reshape(-1, mixing.CONTEXTS + 1)
+        assert (got == np.clip(want, -127, 127)).all()
+
+
 def test_strings_with_insertions_stay_near():
     insults = [b"wretch", b"numskull", b"dunce", b"blockhead"]
     clean = [w.encode() + str(i).encode() for i in range(12) for w in WORDS] + [w.encode() for w in WORDS]
