@@ -7,20 +7,23 @@ rate, seeded by the shingle alone; each arrival falls on one of ``registers``
 registers, which keep the earliest arrival and its shingle.  A shingle stops as
 soon as its next arrival comes later than the latest register, so most shingles
 of a long text send one arrival.  Two texts agree in a register with the
-probability Jaccard of their weighted sets.
+probability Jaccard of their weighted sets.  Links are defined by plain Jaccard, so a
+second signature gives every shingle the weight 1: repeated passages in which two
+texts differ pull the weighted value far under the plain one.
 
 Steps: texts with equal shingle sets are one class from the start; one
-representative each is signed.  Bands of registers give buckets.  In a bucket
+representative each is signed.  Bands of both signatures' registers give buckets
+(one where they coincide, as they do for shingles that occur once).  In a bucket
 every member is compared with the bucket's centre; buckets whose members then
 still lie in different components get another centre, and are then compared in
-full across components, in blocks of bounded size: pairs whose registers agree
+full across components, in blocks of bounded size: pairs whose plain registers agree
 about as often as the threshold asks are verified inside the block, and only
 links leave it.  A candidate pair is verified on the whole texts by the exact
 Jaccard of their shingle sets (``threshold``), so no false link is reported.
 Classes are connected components of the links.
 
-Recall: a pair of similarity s shares a bucket with probability
-1 - (1 - s**rows)**bands, 0.9998 at 0.8 for 16 bands of four.
+Recall: a pair of plain similarity s shares a bucket with a probability of at least
+1 - (1 - s**rows)**bands, 0.9998 at 0.8 for 16 bands of four, whatever its counts.
 
 Nulls and texts without words are never duplicates: each is a class by itself.
 Repeated rows fall in one class.  The input needs a unique ``row`` column; extra
@@ -107,6 +110,15 @@ def shingle_set(text: str | None, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingle_hashes(hash_words(lower_words(text)), k), return_counts=True)
 
 
+def banded(won: np.ndarray, rows: int, bands: int) -> list[np.ndarray]:
+    """Buckets of each row of register winners, one a band."""
+    with np.errstate(over="ignore"):
+        bucket = np.zeros((len(won), bands), dtype=np.uint64)
+        for i in range(rows):
+            bucket = bucket * np.uint64(0x9E3779B97F4A7C15) + won[:, i::rows][:, :bands]
+        return list(mix64(bucket + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def _sign_batches(settings: Settings):
     m, rows, bands = settings.registers, settings.rows, settings.bands
 
@@ -128,12 +140,14 @@ def _sign_batches(settings: Settings):
                     at += 1
                 if not chosen:
                     continue
-                won = signatures(sets, weights, m)
-                with np.errstate(over="ignore"):
-                    bucket = np.zeros((len(chosen), bands), dtype=np.uint64)
-                    for i in range(rows):
-                        bucket = bucket * np.uint64(0x9E3779B97F4A7C15) + won[:, i::rows][:, :bands]
-                    bucket = mix64(bucket + np.arange(bands, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93))
+                won = signatures(sets, [np.ones(len(s)) for s in sets], m)
+                buckets = banded(won, rows, bands)
+                # Without repeated shingles the weighted signature is the plain one.
+                repeated = [i for i, w in enumerate(weights) if w.max() > 1]
+                if repeated:
+                    weighted = banded(signatures([sets[i] for i in repeated], [weights[i] for i in repeated], m), rows, bands)
+                    for i, more in zip(repeated, weighted, strict=True):
+                        buckets[i] = np.unique(np.concatenate([buckets[i], more]))
                 digest = [np.bitwise_xor.reduce(mix64(s)) ^ np.uint64(len(s)) for s in sets]
                 second = [np.add.reduce(mix64(s ^ np.uint64(0x5851F42D4C957F2D))) for s in sets]
                 yield pa.RecordBatch.from_arrays([
@@ -141,7 +155,7 @@ def _sign_batches(settings: Settings):
                     pa.array(np.array(digest, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(second, dtype=np.uint64).view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(0, len(chosen) * bands + 1, bands, dtype=np.int32)), pa.array(bucket.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, buckets)]), pa.int32()), pa.array(np.concatenate(buckets).view(np.int64))),
                     pa.array([x.tobytes() for x in (mix64(won) & np.uint64(255)).astype(np.uint8)], pa.binary()),
                 ], names=["row", "set_a", "set_b", "size", "buckets", "registers"])
 
@@ -151,7 +165,7 @@ def _sign_batches(settings: Settings):
 def sign(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(row, set_a, set_b, size, buckets, registers) of every row with words.
 
-    Two hashes name the shingle set; registers are kept as one byte each.
+    Two hashes name the shingle set; the plain signature's registers are kept as one byte each.
     """
     return docs.select("row", "text").mapInArrow(
         _sign_batches(settings), "row bigint, set_a bigint, set_b bigint, size int, buckets array<bigint>, registers binary"

@@ -167,6 +167,22 @@ def test_near_duplicates_as_brute_force(spark, tables):
     assert classes_of(spark, texts, probminhash.Settings(block=8)) == want  # many blocks
 
 
+def test_repeated_passages_that_differ_do_not_hide_a_link(spark):
+    texts = []
+    for i in range(30):
+        base = " ".join(f"w{i}x{k}" for k in range(154))
+        for side in "ab":
+            texts.append(base + " " + " ".join([" ".join(f"{side}{i}x{k}" for k in range(14))] * 200))
+    want = near_classes(texts)
+    assert want == [i - i % 2 for i in range(60)]
+    assert classes_of(spark, texts) == want
+    # Nor does the filter of open buckets drop such pairs.
+    docs = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string").coalesce(2)
+    settings = probminhash.Settings()
+    for p, q in itertools.batched(sorted(probminhash.sign(docs, settings).collect()), 2):
+        assert sum(x == y for x, y in zip(p["registers"], q["registers"], strict=True)) >= settings.least_agreeing
+
+
 def test_registers_estimate_weighted_jaccard():
     draw = np.random.default_rng(1)
     items = draw.integers(0, 2**63, 300).astype(np.uint64)
