@@ -44,7 +44,7 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 @dataclass(frozen=True)
 class Limits:
-    #: Hit stretches of so many words go.
+    #: Hit stretches of so many words go, and any in which a whole item shorter than the window occurs.
     span_words: int = WINDOW
     #: A text goes as a whole if more than this share of its words is hit.
     coverage: float = 0.5
@@ -119,15 +119,21 @@ class Automaton:
 
     def match(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which of ``words`` are hit, and the items whose windows occur."""
+        hit, _, found = self.matched(words)
+        return hit, found
+
+    def matched(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set]:
+        """Which of ``words`` are hit, which by whole short items, and the items whose windows occur."""
         codes = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), dtype=np.int64, count=len(words))
-        edge, found = np.zeros(len(words) + 1, dtype=np.int64), set()
+        edge, short, found = np.zeros(len(words) + 1, dtype=np.int64), np.zeros(len(words) + 1, dtype=np.int64), set()
         known = np.diff(np.concatenate([[0], (codes >= 0).astype(np.int8), [0]]))
         for low, high in zip(np.flatnonzero(known == 1), np.flatnonzero(known == -1), strict=True):
             if high - low >= self.least:
-                self._stream(codes[low:high].tolist(), int(low), edge, found)
-        return np.cumsum(edge[:-1]) > 0, found
+                self._stream(codes[low:high].tolist(), int(low), edge, short, found)
+        by_short = np.cumsum(short[:-1]) > 0
+        return (np.cumsum(edge[:-1]) > 0) | by_short, by_short, found
 
-    def _stream(self, codes: list[int], at: int, edge: np.ndarray, found: set) -> None:
+    def _stream(self, codes: list[int], at: int, edge: np.ndarray, short: np.ndarray, found: set) -> None:
         onward, link, length, window = self.next, self.link, self.length, self.window
         v = size = 0
         for end, w in enumerate(codes, at + 1):
@@ -147,8 +153,8 @@ class Automaton:
                 while u > 0:
                     n, items = self.short[u]
                     if n <= size:
-                        edge[end - n] += 1
-                        edge[end] -= 1
+                        short[end - n] += 1
+                        short[end] -= 1
                         found |= items
                     u = self.nearest[link[u]]
 
@@ -184,8 +190,8 @@ def blocks(benchmark: DataFrame, window: int = WINDOW) -> Iterator[tuple]:
         yield tuple((r["item"], tuple(map(bytes, r["words"]))) for r in dealt.where(F.col("block") == k).orderBy("item", "words").collect())
 
 
-_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-_FOUND = "row bigint, doc_id bigint, n_words bigint, hit array<struct<s:int,e:int>>, items array<string>"
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("short", pa.bool_())]))
+_FOUND = "row bigint, doc_id bigint, n_words bigint, hit array<struct<s:int,e:int,short:boolean>>, items array<string>"
 
 
 def _match(shared, window: int):
@@ -195,10 +201,10 @@ def _match(shared, window: int):
             sizes, hits, named = [], [], []
             for text in batch.column("text").to_pylist():
                 words = alnum_words(text)
-                hit, found = automaton.match(words)
+                hit, short, found = automaton.matched(words)
                 sizes.append(len(words))
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))).tolist() if found or hit.any() else []
-                hits.append([{"s": x, "e": y} for x, y in zip(edges[::2], edges[1::2], strict=True)])
+                hits.append([{"s": x, "e": y, "short": bool(short[x:y].any())} for x, y in zip(edges[::2], edges[1::2], strict=True)])
                 named.append(sorted(x for x in found if x is not None))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hits, _SPANS), pa.array(named, pa.list_(pa.string()))],
@@ -211,7 +217,7 @@ def _match(shared, window: int):
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(row, doc_id, n_words, hit, items) for each row of ``docs`` (row, doc_id, text).
 
-    hit: the hit stretches as first word and end.  With several blocks the texts
+    hit: the hit stretches as first word, end and whether a whole short item is in them.  With several blocks the texts
     are frozen, streamed once a block, and the stretches merged per row.
     """
     spark, parts = docs.sparkSession, []
@@ -231,9 +237,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("hit"))).alias("hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return merged.withColumn("hit", F.expr("""aggregate(hit, CAST(array() AS array<struct<s:int,e:int>>), (a, x) ->
+    return merged.withColumn("hit", F.expr("""aggregate(hit, CAST(array() AS array<struct<s:int,e:int,short:boolean>>), (a, x) ->
         IF(size(a) > 0 AND x.s <= element_at(a, -1).e,
-           concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e)))),
+           concat(slice(a, 1, size(a) - 1), array(named_struct('s', element_at(a, -1).s, 'e', greatest(element_at(a, -1).e, x.e),
+               'short', element_at(a, -1).short OR x.short))),
            concat(a, array(x))))"""))
 
 
@@ -262,7 +269,7 @@ def _without(text: str, hit: str):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), window: int = WINDOW) -> DataFrame:
-    """``docs`` without the hit stretches of ``span_words`` or more, and without texts hit beyond ``coverage``.
+    """``docs`` without the hit stretches of ``span_words`` or more or with a whole short item, and without texts hit beyond ``coverage``.
 
     All columns stay but ``text`` as they are.  A table of the texts that are hit
     is joined back by row; its size decides how.
@@ -271,7 +278,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits(), wind
     rows = freeze(hidden.withColumn("_row", F.monotonically_increasing_id()), "decontam-texts")
     found = matches(rows.withColumn("row", F.col("_row")), benchmark, window).where(F.size("hit") > 0)
     hits = freeze(found.select(
-        F.col("row").alias("_hit_row"), F.expr(f"filter(hit, x -> x.e - x.s >= {limits.span_words})").alias("_hit"),
+        F.col("row").alias("_hit_row"), F.expr(f"filter(hit, x -> x.short OR x.e - x.s >= {limits.span_words})").alias("_hit"),
         (hit_words() > limits.coverage * F.col("n_words")).alias("_drop"),
     ), "decontam-hits")
     joined = rows.join(hits, rows["_row"] == hits["_hit_row"], "left").where(~F.coalesce("_drop", F.lit(False)))

@@ -420,6 +420,17 @@ def test_blocks_of_items_agree(spark, tables, monkeypatch):
     assert Counter(map(tuple, decontam.op8_suffix_decontamination(spark, folder).collect())) == Counter(map(tuple, one))
 
 
+@pytest.mark.parametrize("block,span", [(200_000, 10), (20, 25)])
+def test_short_items_are_removed(spark, monkeypatch, block, span):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    item = prose(77, 12)
+    benchmark = spark.createDataFrame([(0, item), (1, "just four words here"), (2, "alone")], "item_id bigint, text string")
+    texts = [(1, prose(3, 40) + " just four words here " + prose(4, 40)), (2, prose(3, 40) + " Alone, " + prose(4, 40)), (3, prose(5, 40) + " " + item + " " + prose(6, 40)), (4, "four words here " + prose(7, 40))]
+    out = {r["doc_id"]: r["text"] for r in decontam.clean(spark.createDataFrame(texts, "doc_id bigint, text string"), benchmark, decontam.Limits(span_words=span)).collect()}
+    assert "four" not in out[1] and out[1].startswith(prose(3, 40)) and out[1].endswith(prose(4, 40))
+    assert "Alone" not in out[2] and (item in out[3]) == (span > 12) and out[4] == texts[3][1]
+
+
 def test_thresholds_keep_the_plain_texts(spark):
     rows = [(i, prose(i, 80), "en", "s") for i in range(80)] + [(100 + i, " ".join(w + "***" for w in prose(i, 80).split()), "en", "s") for i in range(5)]
     measured = freeze(quality.with_measures(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")), "test")
