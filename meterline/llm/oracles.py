@@ -104,9 +104,30 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(words.n, 0) AS n_hit, coales
 FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r
 """
 
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_HEX8 = "('0x' || substr(hx, {}, 8))::BIGINT"
+_OP11 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hx FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '{_UNIT}') AS us, {_HEX8.format(1)} AS h1, {_HEX8.format(9)} AS h2, {_HEX8.format(17)} AS h3, {_HEX8.format(25)} AS h4 FROM d),
+c AS (SELECT *, len(us)::BIGINT AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(us[1:a], '') AS pre, array_to_string(us[a+1:b], '') AS mid, array_to_string(us[b+1:], '') AS suf FROM c),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS x FROM p),
+-- No text that is rearranged holds a sentinel, so each occurs once in the output.
+e AS (SELECT *, instr(x, '<P>') AS ip, instr(x, '<S>') AS iq, instr(x, '<M>') AS im FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(x) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN x
+                        WHEN 'psm' THEN substr(x, 4, iq - 4) || substr(x, im + 3) || substr(x, iq + 3, im - iq - 3)
+                        ELSE substr(x, ip + 3, im - ip - 3) || substr(x, im + 3) || substr(x, 4, ip - 4) END) AS restored_sha256
+FROM e
+"""
+
 ORACLES: dict[str, str] = {
     "op1_warc_roundtrip": _OP1,
     "op2_secret_scan": _OP2,
     "op4_quality_rules": _OP4,
     "op8_suffix_decontamination": _OP8,
+    "op11_infill_piece_table": _OP11,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, feistel, mixing, packing, probminhash, quality, secrets, tokens, toxicity, warc
+from . import decontam, feistel, infill, mixing, packing, probminhash, quality, resampling, secrets, tokens, toxicity, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -16,5 +16,7 @@ QUERIES = {
     "op8_suffix_decontamination": decontam.op8_suffix_decontamination,
     "op9_feistel_shards": feistel.op9_feistel_shards,
     "op10_section_tokens": tokens.op10_section_tokens,
+    "op11_infill_piece_table": infill.op11_infill_piece_table,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 __all__ = ["ORACLES", "QUERIES"]
