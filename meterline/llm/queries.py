@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, feistel, infill, mixing, packing, probminhash, quality, resampling, secrets, tokens, toxicity, warc
+from . import decontam, feistel, infill, mixing, packing, probminhash, quality, resampling, secrets, template, tokens, toxicity, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -18,5 +18,6 @@ QUERIES = {
     "op10_section_tokens": tokens.op10_section_tokens,
     "op11_infill_piece_table": infill.op11_infill_piece_table,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_template_text": template.op13_template_text,
 }
 __all__ = ["ORACLES", "QUERIES"]
