@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..fixed_values import (
     RESET_JITTER_MS,
 )
 from ..functions.ordered import Running, ordered_scan, range_chunks
+from ..functions.storage import freeze
 from ..functions.timeline import local_day, minute_start
 
 _SEEN = ["first_seen_at_ms", "last_seen_at_ms", "priority", "source_key"]
@@ -72,7 +72,7 @@ def canonical_limit(quota: DataFrame) -> DataFrame:
     return quota.filter(~primary | canonical).unionByName(kept)
 
 
-def _group_key() -> Column:
+def group_key() -> Column:
     return F.concat_ws(
         ":",
         F.coalesce("account_key", F.lit("unknown")),
@@ -95,7 +95,7 @@ def _reset_blocks(quota: DataFrame) -> DataFrame:
     facts = quota.groupBy(*[c for c in quota.columns if c != "source_key"]).agg(
         F.min("source_key").alias("source_key")
     )
-    chunks = range_chunks(facts.withColumn("quota_group", _group_key()), ["quota_group"], _SEEN,
+    chunks = range_chunks(facts.withColumn("quota_group", group_key()), ["quota_group"], _SEEN,
                           "quota")
     earlier = ordered_scan(
         chunks,
@@ -155,39 +155,39 @@ def _reset_blocks(quota: DataFrame) -> DataFrame:
     )
 
 
-def _segment_numberer():
-    """The walk over one group's candidate rows, as a closure that ships by value."""
-    drop, lowest, inferred_drop = (
-        RESET_DROP_PERCENT,
-        INFERRED_MIN_PREVIOUS_PERCENT,
-        INFERRED_DROP_PERCENT,
-    )
+_WALK = "struct<peak:double,starts:array<struct<block_no:bigint,inferred:boolean>>>"
+
+
+def _window_starts(blocks: DataFrame) -> DataFrame:
+    """(quota_group, block_no, inferred) of the blocks that start a window.
 
-    def number(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block_no")
-        ordinals, flags = [], []
-        ordinal, peak = -1, float("nan")
-        for rule, new, block_peak in zip(blocks["rule"], blocks["percent"], blocks["peak"]):
-            fell = rule == "explicit" and new + drop < peak
-            vanished = rule == "inferred" and peak >= lowest and peak - new >= inferred_drop
-            starts = ordinal < 0 or fell or vanished
-            flags.append(bool(ordinal >= 0 and vanished))
-            if starts:
-                ordinal += 1
-                peak = block_peak
-            elif peak != peak or block_peak > peak:
-                peak = block_peak
-            ordinals.append(ordinal)
-        return pd.DataFrame(
-            {
-                "quota_group": blocks["quota_group"].to_numpy(),
-                "block_no": blocks["block_no"].to_numpy(),
-                "ordinal": ordinals,
-                "inferred": flags,
-            }
+    A fold over a group's candidate blocks in order; the state is the largest percent since
+    the last start.  The blocks of a group are bounded by its time span.
+    """
+    candidate = F.struct("block_no", "rule", F.col("head.used_percent").alias("percent"), "peak")
+    lists = blocks.groupBy("quota_group").agg(F.array_sort(F.collect_list(candidate)).alias("blocks"))
+    nothing = F.struct(
+        F.lit(None).alias("peak"), F.array().alias("starts")
+    ).cast(_WALK)
+
+    def step(state: Column, block: Column) -> Column:
+        fell = (block["rule"] == "explicit") & (block["percent"] + RESET_DROP_PERCENT < state["peak"])
+        vanished = (
+            (block["rule"] == "inferred")
+            & (state["peak"] >= INFERRED_MIN_PREVIOUS_PERCENT)
+            & (state["peak"] - block["percent"] >= INFERRED_DROP_PERCENT)
         )
+        first = F.size(state["starts"]) == 0
+        inferred = ~first & F.coalesce(vanished, F.lit(False))
+        starts = first | F.coalesce(fell, F.lit(False)) | inferred
+        start = F.array(F.struct(block["block_no"].alias("block_no"), inferred.alias("inferred")))
+        return F.struct(
+            F.when(starts, block["peak"]).otherwise(F.greatest(state["peak"], block["peak"])).alias("peak"),
+            F.when(starts, F.concat(state["starts"], start)).otherwise(state["starts"]).alias("starts"),
+        ).cast(_WALK)
 
-    return number
+    found = F.aggregate("blocks", nothing, step, lambda state: state["starts"])
+    return lists.select("quota_group", F.explode(found).alias("start")).select("quota_group", "start.*")
 
 
 def reset_windows(quota: DataFrame) -> DataFrame:
@@ -197,18 +197,15 @@ def reset_windows(quota: DataFrame) -> DataFrame:
     resets_at_ms, window_minutes, plan_type, inferred_after_gap, ordinal and
     quota_group.  Resets may still reach into the next window.
     """
-    blocks = _reset_blocks(quota)
-    numbered = (
-        blocks.select(
-            "quota_group", "block_no", "rule", F.col("head.used_percent").alias("percent"), "peak"
-        )
-        .groupBy("quota_group")
-        .applyInPandas(
-            _segment_numberer(),
-            "quota_group string, block_no bigint, ordinal bigint, inferred boolean",
-        )
+    blocks = freeze(_reset_blocks(quota), "reset-blocks")
+    started = blocks.join(_window_starts(blocks), ["quota_group", "block_no"], "left")
+    upto = Window.partitionBy("quota_group").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
+    joined = started.withColumns(
+        {
+            "ordinal": F.count("inferred").over(upto) - 1,
+            "inferred": F.coalesce("inferred", F.lit(False)),
+        }
     )
-    joined = blocks.join(numbered, ["quota_group", "block_no"])
 
     def first_known(name: str) -> Column:
         return F.min_by(F.col(name), F.when(F.col(name).isNotNull(), F.col("block_no")))

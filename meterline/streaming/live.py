@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..fixed_values import (
-    INFERRED_DROP_PERCENT,
-    INFERRED_MAX_NEW_PERCENT,
-    INFERRED_MIN_GAP_MS,
-    INFERRED_MIN_PREVIOUS_PERCENT,
-    RESET_DROP_PERCENT,
-    RESET_JITTER_MS,
-)
 from ..functions.tokens import TOKEN_COLUMNS
 
 
@@ -48,122 +38,3 @@ def minute_totals(facts: DataFrame, delay: str) -> DataFrame:
         .agg(*[F.sum(c).alias(c) for c in TOKEN_COLUMNS], F.count(F.lit(1)).alias("events"))
         .select(F.unix_millis("w.start").alias("minute_start_ms"), *TOKEN_COLUMNS, "events")
     )
-
-
-_OUTPUT = (
-    "window_id string, ordinal bigint, window_start_ms bigint, resets_at_ms bigint, "
-    "plan_type string, inferred_after_gap boolean, closed boolean"
-)
-_STATE = (
-    "ordinal bigint, start_ms bigint, reset_ms bigint, plan string, inferred boolean, "
-    "peak double, reset_so_far bigint, last_source string, last_seen bigint"
-)
-
-
-def _stepper():
-    """One observation after another for one group; a closure that ships by value."""
-    drop, jitter = RESET_DROP_PERCENT, RESET_JITTER_MS
-    gap, lowest, highest, fall = (
-        INFERRED_MIN_GAP_MS,
-        INFERRED_MIN_PREVIOUS_PERCENT,
-        INFERRED_MAX_NEW_PERCENT,
-        INFERRED_DROP_PERCENT,
-    )
-
-    def known(value):
-        return None if value is None or value != value else value
-
-    def largest(left, right):
-        values = [v for v in (left, right) if v is not None]
-        return max(values) if values else None
-
-    def row(group, s, closed, reset=None, inferred=False):
-        return {
-            "window_id": f"window:{group}:{s['ordinal']}",
-            "ordinal": s["ordinal"],
-            "window_start_ms": s["start_ms"],
-            "resets_at_ms": s["reset_ms"] if reset is None else reset,
-            "plan_type": s["plan"],
-            "inferred_after_gap": bool(s["inferred"] or inferred),
-            "closed": closed,
-        }
-
-    def step(key, frames, state):
-        group = key[0]
-        names = ["ordinal", "start_ms", "reset_ms", "plan", "inferred", "peak", "reset_so_far",
-                 "last_source", "last_seen"]
-        s = dict(zip(names, state.get)) if state.exists else None
-        out = []
-        rows = pd.concat(list(frames)).sort_values(
-            ["first_seen_at_ms", "last_seen_at_ms", "priority", "source_key"]
-        )
-        for q in rows.to_dict("records"):
-            seen, source = int(q["first_seen_at_ms"]), q["source"]
-            percent, plan = known(q["used_percent"]), known(q["plan_type"])
-            reset = known(q["resets_at_ms"])
-            reset = None if reset is None else int(reset)
-            explicit = inferred = False
-            if s is not None and percent is not None and s["peak"] is not None:
-                both = s["reset_so_far"] is not None and reset is not None
-                explicit = (
-                    both and percent + drop < s["peak"] and reset - s["reset_so_far"] > jitter
-                )
-                inferred = (
-                    not both
-                    and s["last_source"] == "jsonl"
-                    and source == "jsonl"
-                    and seen - s["last_seen"] >= gap
-                    and s["peak"] >= lowest
-                    and percent <= highest
-                    and s["peak"] - percent >= fall
-                )
-            so_far = largest(s["reset_so_far"] if s else None, reset)
-            if s is None or explicit or inferred:
-                if s is not None:
-                    end = seen if s["start_ms"] < seen else s["reset_ms"]
-                    out.append(row(group, s, True, end, inferred))
-                s = {
-                    "ordinal": 0 if s is None else s["ordinal"] + 1,
-                    "start_ms": seen,
-                    "reset_ms": reset,
-                    "plan": plan,
-                    "inferred": inferred,
-                    "peak": percent,
-                }
-            else:
-                s["reset_ms"] = largest(s["reset_ms"], reset)
-                s["plan"] = s["plan"] if s["plan"] is not None else plan
-                s["peak"] = largest(s["peak"], percent)
-            s.update(reset_so_far=so_far, last_source=source, last_seen=seen)
-        state.update(tuple(s[n] for n in names))
-        out.append(row(group, s, False))
-        columns = ["window_id", "ordinal", "window_start_ms", "resets_at_ms", "plan_type",
-                   "inferred_after_gap", "closed"]
-        frame = pd.DataFrame(out, columns=columns)
-        for name in ("ordinal", "window_start_ms", "resets_at_ms"):
-            frame[name] = frame[name].astype("Int64")
-        yield frame
-
-    return step
-
-
-def reset_window_stream(quota: DataFrame) -> DataFrame:
-    """Reset windows as quota observations arrive, one state per group.
-
-    Emits a window each time it changes and once when it closes.  Feed it
-    keyed facts (one row per quota state), so that a busy account is a few
-    hundred rows a week and not every poll.
-    """
-    group = F.concat_ws(
-        ":",
-        F.coalesce("account_key", F.lit("unknown")),
-        F.coalesce("limit_id", F.lit("unknown")),
-        F.col("window_kind"),
-    )
-    return (
-        quota.withColumn("quota_group", group)
-        .groupBy("quota_group")
-        .applyInPandasWithState(
-            _stepper(), _OUTPUT, _STATE, "update", GroupStateTimeout.NoTimeout
-        )
-    )

@@ -1,13 +1,17 @@
 """Streams must settle to what the batch operators give on the same input."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from meterline import adapters
-from meterline.operators.windows import reset_windows
+from meterline.operators.windows import group_key, reset_windows
 from meterline.sources import session_logs as logs
 from meterline.sources.upserts import upsert_logs
 from meterline.streaming import ingest, live
+from meterline.streaming import reset_windows as reset_windows_live
 
 
 def run(df, mode, name):
@@ -49,33 +53,82 @@ def test_dedupe_keeps_each_key_once(spark, sf_dir, tmp_path):
     assert kept.select("source_key").distinct().count() == usage.count()
 
 
-def test_reset_windows_equal_batch(spark, sf_dir, tmp_path):
-    quota = adapters.quota_raw(spark, sf_dir).filter("limit_id = 'codex'")
+def _windows(rows):
+    names = [c for c in RESET_COLUMNS if c not in ("closed", "version")]
+    return {tuple(r[c] for c in names) for r in rows}
+
+
+def _stream_windows(spark, tmp_path, parts, delay):
+    """Latest windows of a stream that reads the parts one after another, then two rows far ahead."""
     folder = str(tmp_path / "quota")
-    marks = quota.agg(F.expr("percentile(first_seen_at_ms, array(0.3, 0.7))")).first()[0]
-    low, high = int(marks[0]), int(marks[1])
-    parts = [
-        quota.filter(F.col("first_seen_at_ms") < low),
-        quota.filter((F.col("first_seen_at_ms") >= low) & (F.col("first_seen_at_ms") < high)),
-        quota.filter(F.col("first_seen_at_ms") >= high),
-    ]
-    for part in parts:
-        part.coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(quota.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    rows = run(live.reset_window_stream(stream), "update", "reset_stream").collect()
-    latest = {}
-    for r in rows:
-        old = latest.get(r.window_id)
-        if old is None or (r.closed, r.resets_at_ms or 0) >= (old.closed, old.resets_at_ms or 0):
-            latest[r.window_id] = r
-    expected = {
-        (r.window_id, r.window_start_ms, r.resets_at_ms, r.inferred_after_gap)
-        for r in reset_windows(quota).collect()
-    }
-    assert {
-        (r.window_id, r.window_start_ms, r.resets_at_ms, r.inferred_after_gap)
-        for r in latest.values()
-    } == expected
+    schema = parts[0].schema
+    # The rows far ahead belong to a group of their own and move the watermark past all others.
+    ahead = parts[0].limit(1).withColumns({
+        "account_key": F.lit("ahead"), "source_key": F.lit("ahead"), "first_seen_at_ms": F.lit(4_000_000_000_000), "last_seen_at_ms": F.lit(4_000_000_000_000),
+    })
+    for part in [*parts, ahead, ahead.withColumn("first_seen_at_ms", F.lit(4_000_000_000_001))]:
+        part.select(*schema.names).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)  # the file source takes files by their time in seconds
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    name = f"reset_{abs(hash(str(tmp_path)))}"
+    rows = run(reset_windows_live.reset_window_stream(stream, delay), "update", name)
+    return reset_windows_live.latest_windows(rows).filter("quota_group not like 'ahead%'")
+
+
+RESET_COLUMNS = ["window_id", "account_key", "limit_id", "window_kind", "window_start_ms", "resets_at_ms", "window_minutes",
+                 "plan_type", "inferred_after_gap", "ordinal", "quota_group"]
+
+
+def test_reset_windows_of_shuffled_parts_equal_batch(spark, sf_dir, tmp_path):
+    quota = adapters.quota_raw(spark, sf_dir).persist()
+    parts = quota.randomSplit([1.0, 1.0, 1.0], seed=5)
+    live_rows = _stream_windows(spark, tmp_path, parts, "400 days").collect()
+    batch = reset_windows(quota).collect()
+    assert _windows(live_rows) == _windows(batch) and len(live_rows) == len(batch) > 5
+
+
+def test_reset_windows_close_while_the_stream_runs(spark, sf_dir, tmp_path):
+    """Parts in order with some rows an hour late: windows before the watermark are out before the end."""
+    quota = adapters.quota_raw(spark, sf_dir).persist()
+    late = F.crc32("source_key") % 5 == 0
+    seen = F.col("first_seen_at_ms")
+    bounds = quota.agg(F.min(seen).alias("a"), F.max(seen).alias("b")).first()
+    step = (bounds.b - bounds.a) // 3 + 1
+    part = F.floor((seen + F.when(late, 3_600_000).otherwise(0) - bounds.a) / step)
+    parts = [quota.filter(part == k) for k in range(4) if not quota.filter(part == k).isEmpty()]
+    live_rows = _stream_windows(spark, tmp_path, parts, "2 hours").collect()
+    assert _windows(live_rows) == _windows(reset_windows(quota).collect())
+    assert any(r.closed for r in live_rows)
+
+
+def test_reset_walk_as_batch_on_random_rows(spark):
+    """The stream's step and the batch's fold agree on ties, nulls, gaps and equal rows."""
+    draw = random.Random(11)
+    rows, at = [], 1_780_000_000_000
+    for k in range(400):
+        at += draw.choice([0, 0, 1_000, 60_000, 1_900_000, 9_000_000])
+        source = draw.choice(["jsonl", "jsonl", "app_server"])
+        rows.append((f"k{k % 390}", at, at + draw.choice([0, 5]), draw.choice(["a", None]), draw.choice(["codex", None]), "primary",
+                     draw.choice([None, 0.0, 10.0, 45.0, 60.0, 97.0]), draw.choice([None, 300, 10_080]), draw.choice([None, at + 500_000, at + 900_000]),
+                     draw.choice([None, "plus"]), source, 2 if source == "app_server" else 1))
+    schema = ("source_key string, first_seen_at_ms bigint, last_seen_at_ms bigint, account_key string, limit_id string, window_kind string, "
+              "used_percent double, window_minutes bigint, resets_at_ms bigint, plan_type string, source string, priority int")
+    quota = spark.createDataFrame(rows, schema)
+    groups = {}
+    for r in quota.withColumn("g", group_key()).collect():
+        groups.setdefault(r.g, {}).setdefault(r.first_seen_at_ms, []).append(r.asDict())
+    expected = set()
+    for group, times in groups.items():
+        state, done = None, []
+        for seen in sorted(times):
+            for row in reset_windows_live.distinct_rows(times[seen]):
+                state, closed = reset_windows_live.advance(state, seen, row)
+                done += [closed] if closed else []
+        for s in [*done, state]:
+            expected.add(tuple({**s, "window_id": f"window:{group}:{s['ordinal']}", "quota_group": group}[c] for c in RESET_COLUMNS))
+    got = reset_windows(quota)
+    assert _windows(got.collect()) == expected and len(expected) > 15
+    assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
 
 
 def test_ingest_in_chunks_equals_one_batch(spark, sf_dir, tmp_path):
