@@ -1,37 +1,47 @@
-"""Cut lineage by writing a table to the shared checkpoint folder.
+"""Cut lineage by writing a table to the shared checkpoint folder, and remove it when it is done with.
 
 A frozen table survives executor loss, is computed once however many branches
 read it, and carries its true size, so Catalyst broadcasts it only when it is
 under ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
+
+Inside a ``scratch`` block every frozen table belongs to the block and goes when the
+block ends; tables that are handed out are kept by ``keep``.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CONF = "spark.checkpoint.dir"
+#: Folders written inside the open scratch blocks, innermost last.
+_open: list[dict[str, None]] = []
 _local_roots: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temp one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; a local session without one gets a folder of its own."""
     named = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_CONF} to a folder that every executor can reach")
+        raise ValueError(f"set {_CONF} to a folder that the driver and every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        _local_roots[app] = tempfile.mkdtemp(prefix="run-")
     return _local_roots[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/meterline/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/meterline/{app}/{label}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1][path] = None
+    return path
 
 
 def freeze(df: DataFrame, label: str) -> DataFrame:
@@ -40,3 +50,49 @@ def freeze(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, what was frozen inside, also after an error.
+
+    A frame that reads a table of the block must be written or collected inside
+    it, or be handed out by ``keep``.
+    """
+    _open.append({})
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Freeze ``df`` for the block around the innermost one (or for good, without one)."""
+    inner = _open.pop() if _open else None
+    try:
+        return freeze(df, label)
+    finally:
+        if inner is not None:
+            _open.append(inner)
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found, system = _path(spark, path)
+    system.delete(found, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    found, system = _path(spark, path)
+    return system.exists(found)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it does not exist."""
+    found, system = _path(spark, path)
+    return sorted(s.getPath().getName() for s in system.listStatus(found)) if system.exists(found) else []

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -20,6 +21,8 @@ def local_session(app: str = "meterline", cpus: int | None = None) -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # One machine: any of its folders is shared.  On a cluster the job's own setting counts.
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-"))
         # Stateful operators with timers and maps need it.
         .config(
             "spark.sql.streaming.stateStore.providerClass",

@@ -131,8 +131,9 @@ def test_reset_walk_as_batch_on_random_rows(spark):
     assert "Python" not in got._jdf.queryExecution().toString() and "Pandas" not in got._jdf.queryExecution().toString()
 
 
-def test_ingest_in_chunks_equals_one_batch(spark, sf_dir, tmp_path):
+def test_ingest_in_chunks_equals_one_batch(spark, sf_dir, tmp_path, monkeypatch):
     """Logs cut into chunks at odd places give the facts of the whole logs."""
+    monkeypatch.setattr(ingest, "BUCKETS", 4)
     lines = adapters.log_lines(spark, sf_dir)
     texts = {}
     for r in lines.orderBy("path", "block", "line_no").collect():
@@ -162,6 +163,11 @@ def test_ingest_in_chunks_equals_one_batch(spark, sf_dir, tmp_path):
     settled = ingest.settle(stored, headers, metadata)
     keys = settled.agg(F.count_distinct("source_key"), F.count(F.lit(1))).first()
     assert keys[0] == keys[1] > 0
+    # The table that the batches merged into is that of all facts at once.
+    live_facts = ingest.fact_store(spark, str(folder)).read()
+    assert sorted(map(str, live_facts.collect())) == sorted(map(str, settled.collect()))
+    # A batch finds what its logs carry in few segments, however many batches there were.
+    assert len(ingest.context_store(spark, str(folder)).segments()) <= 4 * 3
     again = upsert_logs(settled, stored.filter("kind = 'turn'"), ["path", "block", "line_no"])
     assert again.count() == settled.count()
 
@@ -169,7 +175,7 @@ def test_ingest_in_chunks_equals_one_batch(spark, sf_dir, tmp_path):
 def test_long_chunk_numbers_keep_their_order(spark):
     from meterline.streaming.ingest import batch_lines
 
-    names = ["a.jsonl", "a.2.jsonl", "a.3000000.jsonl", "a.1785369600.jsonl", "a.20260101000000000000.jsonl"]
+    names = ["a.jsonl", "a.2.jsonl", "a.3000000.jsonl", "a.1785369600.jsonl", "a.20260101000000000000.jsonl", "a." + "9" * 80 + ".jsonl"]
     batch = spark.createDataFrame([(n, o, "x") for n in reversed(names) for o in (0, 5_000_000_000)], "file string, offset bigint, value string")
     rows = batch_lines(batch.withColumn("value", F.concat("file", F.lit("@"), "offset"))).orderBy("block").collect()
     assert {r["path"] for r in rows} == {"a.jsonl"}
