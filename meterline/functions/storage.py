@@ -15,7 +15,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _CONF = "spark.checkpoint.dir"
 #: Folders written inside the open scratch blocks, innermost last.
@@ -52,6 +53,13 @@ def freeze(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freeze_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``freeze``, and the number of rows, counted while they are written."""
+    seen = Observation()
+    frozen = freeze(df.observe(seen, F.count(F.lit(1)).alias("rows")), label)
+    return frozen, seen.get["rows"]
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Remove, at the end, what was frozen inside, also after an error.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import quality
-from ..functions.storage import freeze
+from ..functions.storage import freeze, freeze_counted
 
 
 def parent_edges(metadata: DataFrame, headers: DataFrame) -> DataFrame:
@@ -63,29 +63,58 @@ def resolve_roots(edges: DataFrame) -> DataFrame:
     )
 
 
-def _passes_itself(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs whose ancestry through a parent of their own comes back to the session.
+def ancestor_tables(edges: DataFrame) -> list[DataFrame]:
+    """Binary lifting: table k holds (node, above) with the ancestor 2 ** k steps up, where there is one.
 
-    Only for pairs that differ from the graph and whose ancestry is finite, so
-    the walk ends after the depth of the deepest one.
+    ``edges`` is (node, above), one row per node and without cycles, so about log2(depth) tables.
     """
-    graph = edges.select(
-        F.col("session_id").alias("at"), F.col("parent_session_id").alias("above")
-    ).filter("above <> ''")
-    walking = pairs.select("session_id", "parent_session_id", F.col("parent_session_id").alias("at"))
-    hits = None
-    while True:
-        walking = freeze(walking, "own-parent")
-        if walking.isEmpty():
-            break
-        here = walking.filter("at = session_id").select("session_id", "parent_session_id")
-        hits = here if hits is None else hits.unionByName(here)
-        walking = (
-            walking.filter("at <> session_id")
-            .join(graph, "at")
-            .select("session_id", "parent_session_id", F.col("above").alias("at"))
+    tables: list[DataFrame] = []
+    step, rows = freeze_counted(edges.select("node", "above"), "ancestors-0")
+    while rows:
+        tables.append(step)
+        further = step.select(F.col("node").alias("above"), F.col("above").alias("_further"))
+        step, rows = freeze_counted(
+            step.join(further, "above").select("node", F.col("_further").alias("above")), f"ancestors-{len(tables)}"
         )
-    return hits if hits is not None else pairs.select("session_id", "parent_session_id").limit(0)
+    return tables
+
+
+def with_depth(nodes: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """(node, depth): steps from each node to its root, by the longest jumps first."""
+    walked = nodes.select("node").distinct().select("node", F.col("node").alias("at"), F.lit(0).cast("bigint").alias("depth"))
+    for k in reversed(range(len(tables))):
+        up = tables[k].select(F.col("node").alias("at"), F.col("above").alias("_up"))
+        walked = walked.join(up, "at", "left").select(
+            "node", F.coalesce("_up", "at").alias("at"),
+            (F.col("depth") + F.when(F.col("_up").isNotNull(), F.lit(1 << k)).otherwise(F.lit(0))).alias("depth"),
+        )
+    return walked.select("node", "depth")
+
+
+def _passes_itself(pairs: DataFrame, edges: DataFrame, finite: DataFrame) -> DataFrame:
+    """Pairs whose session is its own parent's ancestor, or the parent itself.
+
+    ``finite`` holds the nodes whose ancestry has an end; the parents of the pairs are
+    among them.  The parent's ancestor at the session's depth is found by jumps along
+    the bits of the difference in depth.
+    """
+    graph = edges.filter("parent_session_id <> ''").join(finite, "session_id", "left_semi").select(
+        F.col("session_id").alias("node"), F.col("parent_session_id").alias("above")
+    )
+    tables = ancestor_tables(graph)
+    ends = pairs.select(F.col("session_id").alias("node")).unionByName(pairs.select(F.col("parent_session_id").alias("node")))
+    depths = freeze(with_depth(ends, tables), "pair-depths")
+    jumping = (
+        pairs.join(depths.select(F.col("node").alias("session_id"), F.col("depth").alias("_d")), "session_id")
+        .join(depths.select(F.col("node").alias("parent_session_id"), F.col("depth").alias("_p")), "parent_session_id")
+        .filter("_p >= _d")
+        .select("session_id", "parent_session_id", F.col("parent_session_id").alias("at"), (F.col("_p") - F.col("_d")).alias("left"))
+    )
+    for k, table in enumerate(tables):
+        up = table.select(F.col("node").alias("at"), F.col("above").alias("_up"))
+        jump = F.shiftright("left", k).bitwiseAND(F.lit(1)) == 1
+        jumping = jumping.join(up, "at", "left").withColumn("at", F.when(jump, F.col("_up")).otherwise(F.col("at"))).drop("_up")
+    return jumping.filter("at = session_id").select("session_id", "parent_session_id")
 
 
 def roots_of_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -108,7 +137,9 @@ def roots_of_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
         "_parent is not null and _in_graph and _parent_root is not null "
         "and not (_graph_parent <=> _parent)"
     ).select("session_id", F.col("_parent").alias("parent_session_id"))
-    looping = _passes_itself(unusual, edges).select(
+    unusual, rows = freeze_counted(unusual.distinct(), "own-parents")
+    finite = roots.filter("root_session_id is not null").select("session_id")
+    looping = (_passes_itself(unusual, edges, finite) if rows else unusual).select(
         "session_id", F.col("parent_session_id").alias("_parent"), F.lit(True).alias("_loops")
     )
     own_root = F.when(

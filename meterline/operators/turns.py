@@ -9,7 +9,7 @@ from ..functions.ordered import Running, ordered_scan, range_chunks
 from ..functions.storage import freeze
 
 
-def _power_bins(start: Column, end: Column, top: int) -> Column:
+def _power_bins(start: Column, end: Column) -> Column:
     """Aligned power-of-two bins that exactly tile ``[start, end]``.
 
     At most two per level, so a turn of any length becomes a short list.
@@ -29,7 +29,7 @@ def _power_bins(start: Column, end: Column, top: int) -> Column:
             ),
         )
 
-    levels = F.sequence(F.lit(0), F.lit(top))
+    levels = F.sequence(F.lit(0), F.length(F.bin(end - start + 1)))
     return F.filter(F.flatten(F.transform(levels, level_bins)), lambda b: b.isNotNull())
 
 
@@ -38,25 +38,25 @@ def _covering(facts: DataFrame, turns: DataFrame) -> DataFrame:
 
     For facts known to lie in one.  Both sides meet on bins, where a shared
     bin means containment: no pair of a fact and a turn that does not contain
-    it is ever formed.
+    it is ever formed.  A fact probes only the levels that its own session's turns use.
     """
     sessions = facts.select("_session").distinct()
     finished = turns.join(sessions, "_session", "left_semi").filter(
         "ended_at_ms >= started_at_ms"
     )
-    longest = finished.agg(F.max(F.col("ended_at_ms") - F.col("started_at_ms"))).first()[0]
-    top = max(int(longest or 0) + 1, 1).bit_length()
-    bins = (
+    bins = freeze(
         finished.select(
             "_session",
             F.struct("started_at_ms", "turn_id", "ended_at_ms").alias("turn"),
-            F.explode(_power_bins(F.col("started_at_ms"), F.col("ended_at_ms"), top)).alias("b"),
+            F.explode(_power_bins(F.col("started_at_ms"), F.col("ended_at_ms"))).alias("b"),
         )
         .groupBy("_session", F.col("b.level").alias("level"), F.col("b.bin").alias("bin"))
-        .agg(F.max("turn").alias("turn"))
+        .agg(F.max("turn").alias("turn")),
+        "turn-bins",
     )
-    probes = facts.select(
-        "source_key", "_session", "_at", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")
+    levels = bins.groupBy("_session").agg(F.collect_set("level").alias("levels"))
+    probes = facts.select("source_key", "_session", "_at").join(levels, "_session").select(
+        "source_key", "_session", "_at", F.explode("levels").alias("level")
     ).withColumn("bin", F.call_function("shiftright", F.col("_at"), F.col("level")))
     return (
         probes.join(bins, ["_session", "level", "bin"])

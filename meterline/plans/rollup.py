@@ -20,6 +20,7 @@ from ..functions.accounts import (
     unobserved_tokens,
     usage_context,
 )
+from ..functions.ordered import Running, ordered_scan, range_chunks
 from ..functions.storage import freeze
 from ..functions.timeline import day_end_ms, day_start_ms, local_date, minute_start
 from ..functions.tokens import TOKEN_COLUMNS, normalize_tokens, observed
@@ -424,24 +425,40 @@ def usage_daily(
 
 
 def window_account_tokens(windows: DataFrame, account_days: DataFrame) -> DataFrame:
-    """Account tokens of the dates from a window's start to its reset, both included."""
-    last = account_days.agg(F.max("date")).first()[0]
-    if last is None:
-        return windows.select("window_id", F.lit(None).cast("bigint").alias("account_tokens"))
-    first_day = F.to_date(local_date(F.col("window_start_ms")))
-    to_day = F.least(
-        F.to_date(F.coalesce(local_date(F.col("resets_at_ms")), F.lit(last))), F.to_date(F.lit(last))
-    )
-    dated = windows.select(
-        "window_id",
-        F.explode(
-            F.when(first_day <= to_day, F.sequence(first_day, to_day)).otherwise(
-                F.array().cast("array<date>")
-            )
-        ).alias("day"),
-    ).withColumn("date", F.date_format("day", "yyyy-MM-dd"))
-    return dated.join(account_days, "date").groupBy("window_id").agg(
-        F.sum("tokens").alias("account_tokens")
+    """Account tokens of the dates from a window's start to its reset, both included.
+
+    Dates and the ends of all windows lie on one line with running sums: a
+    window's tokens are the sum up to its reset less the sum before its start.
+    """
+    days = account_days.filter(F.date_format(F.try_to_date("date"), "yyyy-MM-dd") == F.col("date"))
+    start = local_date(F.col("window_start_ms"))
+    end = F.coalesce(local_date(F.col("resets_at_ms")), F.lit("9999-12-31"))
+
+    def end_of(day: Column, side: int) -> DataFrame:
+        return windows.select(
+            F.lit(0).alias("_all"), day.alias("day"), F.lit(side).alias("side"), F.col("window_id").alias("tie"),
+            F.lit(None).cast("bigint").alias("tokens"),
+        )
+
+    line = days.select(
+        F.lit(0).alias("_all"), F.col("date").alias("day"), F.lit(1).alias("side"), F.lit("").alias("tie"), "tokens"
+    ).unionByName(end_of(start, 0)).unionByName(end_of(end, 2))
+    order = ["day", "side", "tie"]
+    scanned = ordered_scan(
+        range_chunks(line, ["_all"], order, "account-line"),
+        ["_all"],
+        order,
+        [
+            Running("_sum", "sum", F.col("tokens")),
+            Running("_days", "sum", F.when(F.col("tokens").isNotNull(), F.lit(1).cast("bigint"))),
+        ],
+    ).filter("side <> 1")
+    sign = F.col("side") - 1
+    return (
+        scanned.groupBy(F.col("tie").alias("window_id"))
+        .agg(F.sum(sign * F.col("_sum")).alias("account_tokens"), F.sum(sign * F.col("_days")).alias("_days"))
+        .filter("_days > 0")
+        .drop("_days")
     )
 
 
@@ -638,41 +655,53 @@ def session_meta(rows: DataFrame, sessions: DataFrame) -> DataFrame:
 def _session_official(sessions: DataFrame, points: DataFrame) -> DataFrame:
     """First and last official percent in the minutes of each session row's window.
 
-    A session row lies inside one date, so it meets one list of at most 1,440
-    minutes per date and window.
+    Points and the ends of session rows lie on one line per date and window.  The
+    running number of points says how many precede a row's first minute, so its first point
+    is the one numbered next; its last point is the latest up to its last minute.
     """
-    lists = (
-        points.filter("official_used_percent is not null")
-        .groupBy(
-            local_date(F.col("minute_start_ms")).alias("local_date"),
-            F.coalesce("window_id", F.lit(NO_WINDOW)).alias("window_key"),
-        )
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct("minute_start_ms", "official_used_percent"))
-            ).alias("minutes")
-        )
+    group = ["local_date", "window_key"]
+    seen = points.filter("official_used_percent is not null").select(
+        local_date(F.col("minute_start_ms")).alias("local_date"),
+        F.coalesce("window_id", F.lit(NO_WINDOW)).alias("window_key"),
+        F.col("minute_start_ms").alias("minute"),
+        F.lit(1).alias("side"),
+        F.lit("").alias("tie"),
+        F.col("official_used_percent").alias("percent"),
     )
-    inside = F.filter(
-        "minutes",
-        lambda m: (m["minute_start_ms"] >= minute_start(F.col("observed_start_ms")))
-        & (m["minute_start_ms"] <= minute_start(F.col("observed_end_ms"))),
+
+    def end_of(at: str, side: int) -> DataFrame:
+        return sessions.select(
+            *group, minute_start(F.col(at)).alias("minute"), F.lit(side).alias("side"), F.col("row_key").alias("tie"),
+            F.lit(None).cast("double").alias("percent"),
+        )
+
+    order = ["minute", "side", "tie"]
+    line = seen.unionByName(end_of("observed_start_ms", 0)).unionByName(end_of("observed_end_ms", 2))
+    scanned = freeze(
+        ordered_scan(
+            range_chunks(line, group, order, "official-line"),
+            group,
+            order,
+            [
+                Running("number", "sum", (F.col("side") == 1).cast("bigint")),
+                Running("latest", "last", F.col("percent")),
+            ],
+        ),
+        "official-numbered",
     )
-    return (
-        sessions.join(lists, ["local_date", "window_key"], "left")
-        .withColumn("_inside", inside)
-        .withColumns(
-            {
-                "official_percent_start": F.try_element_at("_inside", F.lit(1)).getField(
-                    "official_used_percent"
-                ),
-                "official_percent_end": F.try_element_at("_inside", F.lit(-1)).getField(
-                    "official_used_percent"
-                ),
-            }
+    numbered = scanned.filter("side = 1").select(*group, "number", F.col("percent").alias("official_percent_start"))
+    ends = (
+        scanned.filter("side <> 1")
+        .groupBy(*group, F.col("tie").alias("row_key"))
+        .agg(
+            (F.max(F.when(F.col("side") == 0, F.col("number"))) + 1).alias("number"),
+            F.max(F.when(F.col("side") == 2, F.col("number"))).alias("upto"),
+            F.max(F.when(F.col("side") == 2, F.col("latest"))).alias("official_percent_end"),
         )
-        .drop("minutes", "_inside")
+        .filter("number <= upto")
     )
+    found = ends.join(numbered, [*group, "number"]).select("row_key", "official_percent_start", "official_percent_end")
+    return sessions.join(found, "row_key", "left")
 
 
 def usage_session(
