@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..fixed_values import CANDIDATE_MIN_PERCENT, CANONICAL_LIMIT, CAPACITY_DEFAULTS, FRESH_MAX_AGE_MS
 from ..functions.accounts import default_profile, money, remaining_percent
 from ..functions.ordered import Running, ordered_scan, range_chunks
+from ..functions.slopes import slope_spread, steepest
 from ..functions.storage import freeze
 from ..functions.tokens import TOKEN_COLUMNS
 from ..operators.pricing import price_card, pricing_version
@@ -367,78 +369,23 @@ def _curve(minute: DataFrame) -> DataFrame:
 
 
 def capacity_candidates(minute: DataFrame, min_delta: float = CANDIDATE_MIN_PERCENT) -> DataFrame:
-    """Largest implied weekly capacity of each window over all its intervals.
+    """Largest implied weekly capacity of each window over all its intervals, and their number.
 
     An interval runs between two official points of a window that are at
-    least ``min_delta`` percent apart.  Spent credit never falls, so for a
-    pair of percent values the best interval runs from the first point of the
-    lower to the last point of the higher one: percent values are compared,
-    not points.  Intervals are counted from runs of equal percent.
+    least ``min_delta`` percent apart.  The best one is the steepest line between two such
+    points, found on the hull of the lower ones; intervals are counted by
+    ranks.  A window has at most one point a minute, so a group is bounded by its span.
     """
-    curve = _curve(minute)
-    levels = curve.groupBy("window_id", "percent").agg(
-        F.min("minute_start_ms").alias("first_ms"),
-        F.min("spent").alias("first_spent"),
-        F.max("minute_start_ms").alias("last_ms"),
-        F.max("spent").alias("last_spent"),
-    )
-    low = levels.select(
-        "window_id",
-        F.col("percent").alias("from_percent"),
-        F.col("first_ms").alias("from_ms"),
-        F.col("first_spent").alias("from_spent"),
-    )
-    high = levels.select(
-        "window_id",
-        F.col("percent").alias("to_percent"),
-        F.col("last_ms").alias("to_ms"),
-        F.col("last_spent").alias("to_spent"),
-    )
-    rise = F.col("to_percent") - F.col("from_percent")
-    candidate = money(F.col("to_spent") - F.col("from_spent")) / (rise / 100.0)
-    pairs = (
-        low.join(high, "window_id")
-        .filter((rise >= min_delta) & (F.col("from_ms") < F.col("to_ms")))
-        .withColumn("candidate", candidate)
-    )
-    best = pairs.groupBy("window_id").agg(
-        F.max_by(
-            F.struct("candidate", "from_ms", "to_ms", "from_percent", "to_percent"),
-            F.struct("candidate", -F.col("from_ms"), "to_ms"),
-        ).alias("b")
-    )
-    return best.select("window_id", "b.*").join(
-        _interval_counts(curve, min_delta), "window_id"
-    )
+    schema = "window_id string, candidate double, from_ms bigint, to_ms bigint, from_percent double, to_percent double, intervals bigint"
 
+    def one(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("minute_start_ms")
+        ms, spent = points["minute_start_ms"].to_numpy(), points["spent"].to_numpy()
+        found = steepest(ms, points["percent"].to_numpy(float), spent, min_delta)
+        rows = [] if found is None else [(points["window_id"].iloc[0], *found)]
+        return pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
 
-def _interval_counts(curve: DataFrame, min_delta: float) -> DataFrame:
-    """Number of point pairs in time order that are far enough apart."""
-    line = Window.partitionBy("window_id").orderBy("minute_start_ms")
-    runs = (
-        curve.withColumn(
-            "turn",
-            F.coalesce((F.col("percent") != F.lag("percent").over(line)).cast("int"), F.lit(1)),
-        )
-        .withColumn("run_no", F.sum("turn").over(line))
-        .groupBy("window_id", "run_no", "percent")
-        .agg(F.count(F.lit(1)).alias("points"))
-    )
-    levels = runs.select("window_id", F.col("percent").alias("level")).distinct()
-    earlier = Window.partitionBy("window_id", "level").orderBy("run_no").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return (
-        runs.join(levels, "window_id")
-        .withColumn(
-            "before",
-            F.sum(F.when(F.col("percent") == F.col("level"), F.col("points"))).over(earlier),
-        )
-        .filter(F.col("percent") - F.col("level") >= min_delta)
-        .groupBy("window_id")
-        .agg(F.sum(F.col("before") * F.col("points")).alias("intervals"))
-        .filter("intervals > 0")
-    )
+    return _curve(minute).groupBy("window_id").applyInPandas(one, schema)
 
 
 def candidate_spread(minute: DataFrame, min_delta: float = CANDIDATE_MIN_PERCENT) -> DataFrame:
@@ -447,21 +394,18 @@ def candidate_spread(minute: DataFrame, min_delta: float = CANDIDATE_MIN_PERCENT
     A checkpoint is the first point at which a percent value is seen.
     """
     points = _curve(minute).groupBy("window_id", "percent").agg(
-        F.min("minute_start_ms").alias("ms"), F.min("spent").alias("spent")
-    )
-    low = points.select("window_id", *[F.col(c).alias(f"l_{c}") for c in ("percent", "ms", "spent")])
-    rise = F.col("percent") - F.col("l_percent")
-    candidate = money(F.col("spent") - F.col("l_spent")) / (rise / 100.0)
-    return (
-        points.join(low, "window_id")
-        .filter((rise >= min_delta) & (F.col("l_ms") < F.col("ms")))
-        .groupBy("window_id")
-        .agg(
-            F.count(F.lit(1)).alias("checkpoint_intervals"),
-            F.median(candidate).alias("median_candidate"),
-            (F.max(candidate) - F.min(candidate)).alias("spread"),
-        )
+        F.min("minute_start_ms").alias("minute_start_ms"), F.min("spent").alias("spent")
     )
+    schema = "window_id string, checkpoint_intervals bigint, median_candidate double, spread double"
+
+    def one(points: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("percent")
+        ms, spent = points["minute_start_ms"].to_numpy(), points["spent"].to_numpy()
+        found = slope_spread(ms, points["percent"].to_numpy(float), spent, min_delta)
+        rows = [] if found is None else [(points["window_id"].iloc[0], *found)]
+        return pd.DataFrame(rows, columns=[part.split()[0] for part in schema.split(", ")])
+
+    return points.groupBy("window_id").applyInPandas(one, schema)
 
 
 def unobserved_percent(windows: DataFrame) -> DataFrame:
