@@ -7,7 +7,7 @@ gaps only stretch occurrences, so a disguised insult stays near its plain form.
 Runs of single characters ("i d i o t") are also read as one word.
 
 Training.  Spark counts for every word in how many labelled training texts of
-either class it occurs.  Words that mark toxic texts, and words of clean texts, are
+either class it occurs (``LABELLED_TEXTS`` bounds them).  Words that mark toxic texts, and words of clean texts, are
 a bounded sample, the first also in disguise (``POSITIVES``, ``NEGATIVES``: the documented bound of what leaves
 Spark).  Landmarks are chosen by pivoted Cholesky, which takes the word that the
 landmarks so far explain least; the Nyström map sends a word to its kernel values
@@ -289,8 +289,11 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([row] * len(words), pa.int64()), pa.array(words, pa.binary())], names=["row", "word"])
 
 
-def train(labelled: DataFrame) -> Machine | None:
-    """The machine for (text, toxic) rows; None without both classes."""
+def train(labelled: DataFrame, of: dict[int, int] | None = None) -> Machine | None:
+    """The machine for (text, toxic) rows; None without both classes.
+
+    ``of``: how many texts of each class the rows are a sample of; their own numbers if it is not given.
+    """
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
@@ -324,20 +327,21 @@ def train(labelled: DataFrame) -> Machine | None:
     weight = np.concatenate([list(votes.values()), np.log1p(list(negative.values()))])
     machine = fit_words(list(votes), list(negative), weight)
     # The curve: on a bounded sample of the training texts, each of which stands for its share of its class.
-    least = F.xxhash64("text")
+    # A text is in it by its own hash, so no task sees the texts of others.
+    place = F.pmod(F.xxhash64(F.lit("curve"), "text"), F.lit(1 << 40))
     x, y, stands = [], [], []
     for toxic in (1, 0):
-        sample = labelled.where(F.col("toxic") == toxic).orderBy(least).limit(CURVE_TEXTS)
+        sample = labelled.where((F.col("toxic") == toxic) & (place < _share(sizes[toxic], CURVE_TEXTS)))
         values = sample.select("text").mapInArrow(_text_values(machine), "top double, next double").toPandas().to_numpy()
         x.append(values)
         y.append(np.full(len(values), float(toxic)))
-        stands.append(np.full(len(values), sizes[toxic] / len(values)))
+        stands.append(np.full(len(values), (of or sizes)[toxic] / len(values)))
     machine.curve = _fit_curve(np.concatenate(x), np.concatenate(y), np.concatenate(stands))
     machine.known.clear()
     return machine
 
 
-#: Most texts of either class that the curve is fitted on.
+#: Texts of either class that the curve is fitted on: all of a smaller class, else about so many.
 CURVE_TEXTS = 3_000
 
 
@@ -370,12 +374,37 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(_scores(machine), "doc_id bigint, held_out boolean, score double")
 
 
+#: Distinct labelled texts of either class that are learnt from: all of a smaller class, else about so many.
+LABELLED_TEXTS = 100_000
+
+
+def _share(size: int, most: int) -> int:
+    """Bound of a 40-bit hash under which about ``most`` of ``size`` rows lie, all if they are fewer."""
+    return (1 << 40) * most // max(size, most)
+
+
+def training_texts(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic) to learn from, of the rows of ``docs`` (doc_id, text, file, at) that ``labels`` (doc_id, toxic)
+    names, each text once a class; and the number of distinct texts of each class.
+
+    Repeats are found by 128 bits of hash.  A bounded sample is chosen by the texts' own hashes and
+    fetched by place in the files: the places (24 bytes for about 2 * LABELLED_TEXTS rows) are broadcast, texts stay.
+    """
+    hashed = docs.select("doc_id", "file", "at", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("again"), "text").alias("h2"))
+    first = hashed.join(labels, "doc_id").groupBy("h1", "h2", "toxic").agg(F.min(F.struct("file", "at")).alias("first"))
+    places = freeze(first.select("first.file", "first.at", "toxic", F.pmod("h2", F.lit(1 << 40)).alias("place")), "toxic-places")
+    sizes = {r["toxic"]: r["count"] for r in places.groupBy("toxic").count().collect()}
+    bound = F.when(F.col("toxic") == 1, F.lit(_share(sizes.get(1, 0), LABELLED_TEXTS))).otherwise(F.lit(_share(sizes.get(0, 0), LABELLED_TEXTS)))
+    chosen = places.where(F.col("place") < bound).drop("place")
+    return freeze(docs.join(F.broadcast(chosen), ["file", "at"]).select("text", "toxic"), "toxic-training"), sizes
+
+
 def op7_string_kernel_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(
-        F.col("doc_id").cast("bigint"), F.col("text").cast("string"), (~training_rows(3, 1)).alias("held_out")
+        F.col("doc_id").cast("bigint"), F.col("text").cast("string"), (~training_rows(3, 1)).alias("held_out"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"),
     )
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     labels = labels.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(training_rows(3, 1))
-    labelled = docs.where("NOT held_out").join(labels, "doc_id").select("text", "toxic")
-    labelled = freeze(labelled.dropDuplicates(["text", "toxic"]), "toxic-training")
-    return score(docs, train(labelled)).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+    machine = train(*training_texts(docs.where("NOT held_out"), labels))
+    return score(docs, machine).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
