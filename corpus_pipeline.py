@@ -4,18 +4,48 @@ Each stage takes the table that the one before it wrote and returns a DataFrame;
 all but the last return the columns of documents.  Nulls, empty texts, repeated
 rows, empty tables and extra columns are handled as the stages' operators state;
 extra columns pass through to the last stage, which returns pieces.
+
+What a stage froze is removed when the next one begins, as its rows have been
+written by then: read a stage's result before calling another stage.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm import decontam, packing, probminhash, quality, secrets
+from meterline.functions.storage import delete, recorded
 from meterline.llm.common import freeze, hide
 
 #: Similarity of near duplicates and packing cannot be stated in SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Folders that stages before froze, per application.
+_frozen: dict[str, list[str]] = {}
+
+
+def _stage(function: Stage) -> Stage:
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        app = spark.sparkContext.applicationId
+        # A caller that hands on a result without writing it still needs what that was made of.
+        inputs = docs.inputFiles() if _frozen.get(app) else []
+        left = [p for p in _frozen.get(app, []) if any(f"{p}/" in name for name in inputs)]
+        for path in set(_frozen.pop(app, [])) - set(left):
+            delete(spark, path)
+        with recorded() as paths:
+            rows = function(spark, docs, sf_dir)
+        _frozen[app] = [*left, *paths]
+        return rows
+
+    return run_stage
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the limits of their language and source."""
     hidden, shown = hide(docs, ("doc_id", "text", "lang", "source"))
@@ -23,6 +53,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(measured).where("kept").select(*shown)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class: that of the least doc_id, then the first row."""
     hidden, shown = hide(docs, ("doc_id", "text"))
@@ -35,11 +66,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return rows.join(kept, "row", "left_semi").select(*shown)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages go; documents that consist of them mostly go as a whole."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets, linked weak ones included, are replaced by a mark."""
     hidden, shown = hide(docs, ("doc_id", "text"))
@@ -50,6 +83,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return joined.withColumn("text", fixed).select(*shown)
 
 
+@_stage
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids placed in sequences of at most 1024."""
     from public_tokenizers import path
@@ -68,7 +102,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = freeze(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        rows = stage(spark, docs, sf_dir)
+        with recorded() as written:
+            docs = freeze(rows, "stage-" + name.replace(" ", "-"))
+        for path in before:  # the table that this stage has read
+            delete(spark, path)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)

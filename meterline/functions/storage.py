@@ -75,6 +75,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders frozen inside, for a caller that removes them later with ``delete``."""
+    _open.append({})
+    paths: list[str] = []
+    try:
+        yield paths
+    finally:
+        paths.extend(_open.pop())
+
+
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Freeze ``df`` for the block around the innermost one (or for good, without one)."""
     inner = _open.pop() if _open else None
