@@ -365,6 +365,8 @@ def links(docs: DataFrame, signed: DataFrame, settings: Settings = Settings()) -
     member = signed.select("row", "size", F.explode("buckets").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     crowd = freeze(member.join(shared, "bucket"), "near-crowd")
+    # Texts cross the network once; what follows joins those that share a bucket with another text only.
+    docs = freeze(docs.select("row", "text").join(crowd.select("row").distinct(), "row", "left_semi"), "near-crowd-texts")
     found = label = None
     for turn in range(3):
         known = crowd.withColumn("label", F.col("row"))
