@@ -405,6 +405,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 def op3_probminhash_dedup(spark, sf_dir: str) -> DataFrame:
     docs = freeze(documents(spark, sf_dir).select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "near-texts")
     classes = freeze(near_duplicates(docs), "near-classes")
-    ids = classes.join(docs.select("row", "doc_id"), "row")
-    named = ids.groupBy("class_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
-    return ids.join(named, "class_id").select("doc_id", F.col("least").alias("class_id"), "class_size")
+    # A class is named by its least row, which is unique where ids repeat or are null.
+    large = classes.groupBy("class_id").agg(F.count("*").alias("class_size")).where("class_size > 1")
+    sized = classes.join(large, "class_id", "left").select("row", "class_id", F.coalesce("class_size", F.lit(1)).alias("class_size"))
+    return sized.join(docs.select("row", "doc_id"), "row").select("doc_id", "class_id", "class_size")

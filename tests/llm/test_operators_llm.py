@@ -167,6 +167,16 @@ def test_near_duplicates_as_brute_force(spark, tables):
     assert classes_of(spark, texts, probminhash.Settings(block=8)) == want  # many blocks
 
 
+def test_classes_are_distinct_where_ids_are_not(spark, tmp_path):
+    rows = [(1, prose(60, 40)), (1, prose(61, 40)), (None, prose(62, 40)), (None, prose(63, 40)), (2, prose(62, 40)), (None, None), (3, "")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = probminhash.op3_probminhash_dedup(spark, str(tmp_path)).collect()
+    sizes = Counter(r["class_id"] for r in out)
+    assert len(out) == 7 and sorted(sizes.values()) == [1, 1, 1, 1, 1, 2] and None not in sizes
+    assert all(sizes[r["class_id"]] == r["class_size"] for r in out)
+    assert sorted(str(r["doc_id"]) for r in out if r["class_size"] == 2) == ["2", "None"]
+
+
 def test_repeated_passages_that_differ_do_not_hide_a_link(spark):
     texts = []
     for i in range(30):
