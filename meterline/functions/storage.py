@@ -115,3 +115,8 @@ def children(spark: SparkSession, path: str) -> list[str]:
     """Names of what lies in a folder; none if it does not exist."""
     found, system = _path(spark, path)
     return sorted(s.getPath().getName() for s in system.listStatus(found)) if system.exists(found) else []
+
+
+def modified_ms(spark: SparkSession, path: str) -> int:
+    found, system = _path(spark, path)
+    return system.getFileStatus(found).getModificationTime()

@@ -21,7 +21,7 @@ from ..functions.accounts import (
     usage_context,
 )
 from ..functions.ordered import Running, ordered_scan, range_chunks
-from ..functions.storage import freeze
+from ..functions.storage import freeze, scratch
 from ..functions.timeline import day_end_ms, day_start_ms, local_date, minute_start
 from ..functions.tokens import TOKEN_COLUMNS, normalize_tokens, observed
 from ..operators.capacity import capacity_for, capacity_for_plan, capacity_rows
@@ -38,6 +38,7 @@ from ..operators.windows import (
     usage_window,
 )
 from ..sources.catalogs import current_capacities
+from ..sources.sinks import replace_rollups
 
 NO_WINDOW = "none"
 
@@ -844,3 +845,10 @@ class Rollups:
             "usage_window": self.window,
             "usage_session": self.session,
         }
+
+
+def publish_rollups(inputs: Inputs, root: str, keep: int = 2) -> str:
+    """Rebuild the four tables, publish them as one version and leave no scratch."""
+    spark = inputs.usage.sparkSession
+    with scratch(spark):
+        return replace_rollups(Rollups(inputs).tables(), root, keep)

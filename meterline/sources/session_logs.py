@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_fields as j
@@ -42,25 +47,41 @@ SEED_TYPE = "struct<plan:string,started_at_ms:bigint>"
 _LINE_SCHEMA = "path string, state string, block bigint, line_no bigint, value string"
 
 
-def scan_logs(spark: SparkSession, active: str, archived: str) -> DataFrame:
+def _roots(active: str, archived: str) -> tuple[tuple[str, str], ...]:
+    return (active, "active"), (archived, "archived")
+
+
+def _reader(spark: SparkSession):
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
+
+
+def _loaded(load: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``load`` reads; None where its folder does not exist."""
+    try:
+        return load()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan_logs(spark: SparkSession, active: str, archived: str, changed_after_ms: int | None = None) -> DataFrame:
     """Lines of every ``*.jsonl`` file under the two roots; a missing root is empty.
 
     ``block`` is the offset of the file split, at most
     ``spark.sql.files.maxPartitionBytes`` long, and ``line_no`` orders the
     lines of a split; both are taken at the scan, before any shuffle.
+    Files not changed after ``changed_after_ms`` are left out before they are opened.
     """
     found = spark.createDataFrame([], _LINE_SCHEMA)
-    for root, state in ((active, "active"), (archived, "archived")):
-        try:
-            lines = (
-                spark.read.option("recursiveFileLookup", True)
-                .option("pathGlobFilter", "*.jsonl")
-                .option("lineSep", "\n")
-                .text(root)
-            )
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
+    for root, state in _roots(active, archived):
+        reader = _reader(spark).option("lineSep", "\n")
+        if changed_after_ms is not None:
+            # The option counts whole seconds.
+            after = dt.datetime.fromtimestamp(changed_after_ms // 1000 - 1, dt.timezone.utc)
+            reader = reader.option("modifiedAfter", after.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
+        lines = _loaded(partial(reader.text, root))
+        if lines is None:
             continue
         found = found.unionByName(
             lines.select(
@@ -74,6 +95,61 @@ def scan_logs(spark: SparkSession, active: str, archived: str) -> DataFrame:
     return found
 
 
+def list_logs(spark: SparkSession, active: str, archived: str) -> DataFrame:
+    """Path, state, modification time and size of every log file, without reading one.
+
+    Spark's file sources pass over files without a byte; they count once they have a line.
+    """
+    found = spark.createDataFrame([], "path string, state string, modified_ms bigint, size bigint")
+    for root, state in _roots(active, archived):
+        files = _loaded(partial(_reader(spark).format("binaryFile").load, root))
+        if files is not None:
+            found = found.unionByName(
+                files.select(
+                    "path", F.lit(state).alias("state"), F.unix_millis("modificationTime").alias("modified_ms"), F.col("length").alias("size")
+                )
+            )
+    return found
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Log files, those that changed, and the lines of these; lines are counted as they are read."""
+
+    files: DataFrame
+    changed: DataFrame
+    lines: DataFrame
+    seen: Observation
+
+    def report(self) -> dict[str, int]:
+        """Figures of the scan; waits until the lines have been read."""
+        return {
+            "files_scanned": self.files.count(),
+            "files_changed": self.changed.count(),
+            # Spark reports nothing for a scan that it knows to be empty.
+            "complete_lines": self.seen.get.get("lines", 0),
+        }
+
+
+def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files that ``known`` (path, modified_ms, size) does not hold as they are."""
+    return files.join(known.select("path", "modified_ms", "size").distinct(), ["path", "modified_ms", "size"], "left_anti")
+
+
+def scan_changed(spark: SparkSession, active: str, archived: str, known: DataFrame | None = None) -> Scan:
+    """Lines of the files that are new or have another time or size than in ``known``.
+
+    Store ``files`` with the facts and give it as ``known`` to the next scan.
+    """
+    files = freeze(list_logs(spark, active, archived), "log-files")
+    changed = files if known is None else freeze(changed_files(files, known), "log-changed")
+    oldest = changed.agg(F.min("modified_ms")).first()[0]
+    lines = scan_logs(spark, active, archived, oldest)
+    seen = Observation()
+    read = lines.join(changed.select("path"), "path", "left_semi").select(*lines.columns)
+    return Scan(files, changed, read.observe(seen, F.count(F.lit(1)).alias("lines")), seen)
+
+
 def prefilter(lines: DataFrame) -> DataFrame:
     """Drop lines that cannot carry a fact, before any JSON is parsed."""
     value = F.col("value")
@@ -164,8 +240,6 @@ def filter_from(records: DataFrame, from_date: str) -> DataFrame:
 
 def default_from_date(now_ms: int) -> str:
     """The local date 29 days before ``now_ms``."""
-    import datetime as dt
-
     local = dt.datetime.fromtimestamp(now_ms / 1000, dt.timezone(dt.timedelta(hours=8)))
     return (local.date() - dt.timedelta(days=29)).isoformat()
 
