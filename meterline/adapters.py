@@ -293,6 +293,61 @@ def rollup_inputs(spark: SparkSession, sf_dir: str):
     )
 
 
+def _shaped(df: DataFrame, schema: str, known: dict[str, Column]) -> DataFrame:
+    """``df`` as a fact table: given columns, else its own, else null."""
+    cells = []
+    for part in schema.split(", "):
+        name, type_name = part.split()
+        cells.append(known.get(name, F.col(name) if name in df.columns else F.lit(None)).cast(type_name).alias(name))
+    return df.select(*cells)
+
+
+def log_fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage, turns, sessions and the logs' quota rows as the log fact table."""
+    from .schemas import SOURCE_JSONL
+
+    at_start = {"kind": F.lit("turn"), "source_key": F.concat(F.lit("turn:"), "turn_id"), "observed_at_ms": F.col("started_at_ms")}
+    named = {"kind": F.lit("session"), "source_key": F.concat(F.lit("session:"), "session_id"), "observed_at_ms": F.lit(0)}
+    logged = quota_raw(spark, sf_dir).filter("source = 'jsonl'")
+    return (
+        _shaped(usage_raw(spark, sf_dir), SOURCE_JSONL, {"kind": F.lit("usage")})
+        .unionByName(_shaped(turn_raw(spark, sf_dir), SOURCE_JSONL, at_start))
+        .unionByName(_shaped(session_raw(spark, sf_dir), SOURCE_JSONL, named))
+        .unionByName(_shaped(logged, SOURCE_JSONL, {"kind": F.lit("quota"), "observed_at_ms": F.col("first_seen_at_ms")}))
+    )
+
+
+def feed_fact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed's quota rows, the account and its daily tokens as the feed fact table."""
+    from .schemas import SOURCE_APP_SERVER
+
+    good = {"freshness": F.lit("settled"), "status": F.lit("ok"), "first_seen_at_ms": F.lit(5), "last_seen_at_ms": F.lit(5)}
+    polled = quota_raw(spark, sf_dir).filter("source = 'app_server'")
+    account = spark.range(1).select(
+        F.lit("account").alias("source_key"), F.lit("acct").alias("account_key"), F.lit("chatgpt").alias("auth_kind"), F.lit("plus").alias("plan_type")
+    )
+    items = F.array_sort(F.collect_list(F.struct(F.col("date").alias("startDate"), "tokens")))
+    days = account_days(spark, sf_dir).agg(F.to_json(items).alias("daily_tokens_json")).withColumn("source_key", F.lit("usage"))
+    return (
+        _shaped(polled, SOURCE_APP_SERVER, {"kind": F.lit("quota"), "freshness": F.lit("settled"), "status": F.lit("ok")})
+        .unionByName(_shaped(account, SOURCE_APP_SERVER, {"kind": F.lit("account"), **good}))
+        .unionByName(_shaped(days, SOURCE_APP_SERVER, {"kind": F.lit("usage"), **good}))
+    )
+
+
+def log_file_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One log file per user, some under a dated folder, some without a time."""
+    user, last = F.col("user_id"), F.max("observed_at_ms")
+    per_user = events(spark, sf_dir).groupBy("user_id").agg(
+        last.alias("last_ms"), F.min("observed_at_ms").alias("first_ms"), F.count(F.lit(1)).alias("lines")
+    )
+    folder = F.when(user % 3 == 0, F.concat(F.lit("logs/"), local_date(F.col("first_ms")), F.lit("/"))).otherwise(F.lit("logs/"))
+    return per_user.select(
+        F.concat(folder, F.lit("s"), user, F.lit(".jsonl")).alias("path"), "user_id", "first_ms", "lines",
+        F.when(user % 5 != 0, F.col("first_ms") + user * 3_600_000).alias("modified_ms"), (F.col("lines") * 100).alias("size"),
+    )
+
+
 # --- raw inputs derived from the tables ------------------------------------
 
 

@@ -10,23 +10,28 @@ from pyspark.sql import functions as F
 from . import adapters
 from .functions import accounts, quality, timeline
 from .functions.accounts import coverage_ratio, unobserved_tokens
-from .functions.ordered import CHUNK, Running, ordered_scan
-from .functions.storage import freeze
+from .functions.ordered import CHUNK, Running, ordered_scan, range_chunks
+from .functions.storage import freeze, scratch_path
 from .functions.timeline import local_date
 from .functions.tokens import TOKEN_COLUMNS, normalize_tokens, token_struct
 from .operators import capacity, dedupe, lineage, pricing, replay, turns, windows
 from .plans import report, rollup
-from .schemas import SOURCE_APP_SERVER, SOURCE_CCUSAGE
+from .plans.from_facts import inputs_from_facts
+from .plans.recompute import LiveRollups
+from .schemas import SOURCE_APP_SERVER, SOURCE_CCUSAGE, SOURCE_JSONL
 from .sources import account_feed, external_runs, upserts
 from .sources import session_logs as logs
 from .sources.catalogs import (
     CAPACITY_SCHEMA,
     credit_catalog,
+    default_capacities,
     ensure_capacities,
     set_capacity,
     small_table,
     usd_catalog,
 )
+from .sources.keyed_store import KeyedStore
+from .streaming import reset_windows as live_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -190,27 +195,23 @@ def rate_overrides(spark, sf_dir):
 
 @query
 def pricing_version(spark, sf_dir):
-    version = pricing.pricing_version(*_catalogs(spark)).first()[0]
-    return (
-        adapters.usage_raw(spark, sf_dir)
-        .groupBy(local_date(F.col("observed_at_ms")).alias("local_date"))
-        .agg(F.count(F.lit(1)).alias("events"))
-        .withColumn("pricing_version", F.lit(version))
+    one = F.lit(1).alias("one")
+    version = pricing.pricing_version(*_catalogs(spark)).select(one, "pricing_version")
+    days = adapters.usage_raw(spark, sf_dir).groupBy(local_date(F.col("observed_at_ms")).alias("local_date")).agg(
+        F.count(F.lit(1)).alias("events")
     )
+    return days.select("*", one).join(version, "one").drop("one")
 
 
 @query
 def price_boundaries(spark, sf_dir):
-    """Events before each instant at which a catalog changes."""
-    points = sorted(r.at_ms for r in pricing.boundaries(*_catalogs(spark)).collect())
-    counts = adapters.usage_raw(spark, sf_dir).agg(
-        *[F.count_if(F.col("observed_at_ms") < at).alias(f"n{i}") for i, at in enumerate(points)]
-    )
-    pairs = [
-        F.struct(F.lit(at).cast("bigint").alias("at_ms"), F.col(f"n{i}").alias("events_before"))
-        for i, at in enumerate(points)
-    ]
-    return counts.select(F.inline(F.array(*pairs)))
+    """Events before each instant at which a catalog changes: running counts on one line of events and instants."""
+    points = pricing.boundaries(*_catalogs(spark)).select(F.col("at_ms"), F.lit(0).alias("side"), F.lit("").alias("tie"))
+    usage = adapters.usage_raw(spark, sf_dir).select(F.col("observed_at_ms").alias("at_ms"), F.lit(1).alias("side"), F.col("source_key").alias("tie"))
+    order = ["at_ms", "side", "tie"]
+    line = range_chunks(points.unionByName(usage).withColumn("all", F.lit(0)), ["all"], order, "boundary-line")
+    counted = ordered_scan(line, ["all"], order, [Running("events_before", "sum", F.col("side").cast("bigint"))])
+    return counted.filter("side = 0").select("at_ms", "events_before")
 
 
 @query
@@ -240,6 +241,36 @@ def reset_windows(spark, sf_dir):
     return windows.reset_windows(_quota(spark, sf_dir)).drop("quota_group")
 
 
+@query
+def reset_windows_live(spark, sf_dir):
+    """The same windows from a stream that reads the observations in shuffled parts."""
+    folder, out = scratch_path(spark, "quota-stream"), scratch_path(spark, "windows-stream")
+    quota = _quota(spark, sf_dir)
+    quota.repartition(4, F.xxhash64("source_key")).write.parquet(folder)
+    # Rows of another group, far ahead, move the watermark past all observations.
+    latest = quota.agg(F.max("first_seen_at_ms")).first()[0]
+    for step in (1, 2):
+        ahead = quota.limit(1).withColumns({"account_key": F.lit(""), "source_key": F.lit(""), "first_seen_at_ms": F.lit(latest + step * 4_000_000_000_000)})
+        ahead.select(*quota.columns).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(quota.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        # The delay is longer than all observations span: no part comes late.
+        changes = live_windows.reset_window_stream(stream, "20000 days")
+        running = (
+            changes.writeStream.outputMode("update")
+            .foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/batch={number}"))
+            .option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+        )
+        running.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    found = live_windows.latest_windows(spark.read.schema(f"{live_windows.OUTPUT}, batch int").parquet(out).drop("batch"))
+    return found.filter("account_key <> ''").drop("quota_group", "closed", "version")
+
+
 @query
 def disjoint_windows(spark, sf_dir):
     found = windows.reset_windows(_quota(spark, sf_dir))
@@ -302,6 +333,35 @@ def usage_daily(spark, sf_dir):
     return _rollups(spark, sf_dir).daily
 
 
+def _inputs_of(spark, log_facts, feed):
+    return inputs_from_facts(log_facts, feed, default_capacities(spark), *_catalogs(spark))
+
+
+@query
+def daily_from_facts(spark, sf_dir):
+    """The daily table from the two fact tables."""
+    log_facts = freeze(adapters.log_fact_table(spark, sf_dir), "log-facts")
+    feed = freeze(adapters.feed_fact_table(spark, sf_dir), "feed-facts")
+    return rollup.Rollups(_inputs_of(spark, log_facts, feed)).daily
+
+
+@query
+def daily_refreshed(spark, sf_dir):
+    """The daily table after a second batch that holds late rows: only touched dates are computed again."""
+    root = scratch_path(spark, "live")
+    log_facts = freeze(adapters.log_fact_table(spark, sf_dir), "log-facts")
+    feed = freeze(adapters.feed_fact_table(spark, sf_dir), "feed-facts")
+    store = KeyedStore(spark, f"{root}/facts", SOURCE_JSONL, "source_key", upserts.upsert_logs, buckets=8)
+    live = LiveRollups(spark, f"{root}/usage")
+    mark = log_facts.filter("kind = 'usage'").agg(F.expr("percentile(observed_at_ms, 0.9)").cast("bigint")).first()[0]
+    # A few rows of all days come with those of the last ones.
+    second = (F.col("observed_at_ms") >= mark) | (F.crc32("source_key") % 500 == 0)
+    for number, part in enumerate((~second, second)):
+        changes = store.merge(freeze(log_facts.filter(part), "batch"), ["observed_at_ms", "source_key"], number)
+        live.refresh(_inputs_of(spark, store.read(), feed), changes)
+    return live.table("usage_daily")
+
+
 @query
 def usage_minute(spark, sf_dir):
     return _rollups(spark, sf_dir).minute
@@ -630,6 +690,64 @@ def log_upsert(spark, sf_dir):
     )
 
 
+_MERGED = ["source_key", "kind", "observed_at_ms", "last_seen_at_ms", "session_id", "model", "plan_type", "total_tokens", "used_percent", "title"]
+
+
+@query
+def log_upsert_batches(spark, sf_dir):
+    """The merged table after four batches of a keyed store, the third of them twice."""
+    batch = freeze(adapters.log_batch(spark, sf_dir), "log-batch")
+    store = KeyedStore(spark, scratch_path(spark, "store"), SOURCE_JSONL, "source_key", upserts.upsert_logs, buckets=8, fan=2)
+    last = batch.agg(F.max("seq")).first()[0]
+    for number in (0, 1, 2, 2, 3):
+        part = batch.filter(F.floor(F.col("seq") * 4 / (last + 1)) == number)
+        store.merge(freeze(part, "batch"), ["seq"], number)
+    return store.read().select(*_MERGED)
+
+
+@query
+def prune_files(spark, sf_dir):
+    """Files that may hold facts of the last 29 days."""
+    files = freeze(adapters.log_file_table(spark, sf_dir), "files")
+    headers = files.filter("user_id % 2 = 0").select("path", F.col("first_ms").alias("forked_at_ms"))
+    tracked = files.filter("user_id % 17 = 0").select("path")
+    latest = adapters.events(spark, sf_dir).agg(F.max("observed_at_ms")).first()[0]
+    return logs.prune_files(files, headers, logs.default_from_date(latest), tracked).select("path", "modified_ms")
+
+
+@query
+def filter_from(spark, sf_dir):
+    """Usage of the last 29 days."""
+    usage = adapters.usage_raw(spark, sf_dir)
+    latest = usage.agg(F.max("observed_at_ms")).first()[0]
+    return logs.filter_from(usage, logs.default_from_date(latest)).select("source_key", "observed_at_ms")
+
+
+@query
+def session_metadata(spark, sf_dir):
+    """Titles from two conversations' lines per session, else from thread rows; parents from edges."""
+    lines = adapters.table(spark, sf_dir, "conversations")
+    index = lines.select(
+        F.when(F.col("conv_id") % 11 != 0, F.concat(F.lit("s"), F.col("conv_id") % 400)).alias("id"),
+        F.when(F.col("turn") % 2 == 1, F.substring("text", 1, 40)).otherwise(F.lit("  ")).alias("thread_name"),
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"),
+    )
+    users = adapters.table(spark, sf_dir, "events").select("user_id").distinct()
+    own = F.concat(F.lit("s"), F.col("user_id"))
+    threads = users.select(own.alias("id"), F.concat(F.lit(" t"), "user_id").alias("title"), F.when(F.col("user_id") % 2 == 0, F.lit("high")).alias("reasoning_effort"))
+    edges = users.filter("user_id >= 50").select(F.concat(F.lit("s"), F.col("user_id") - 50).alias("parent_thread_id"), own.alias("child_thread_id"))
+    return logs.session_metadata(index, threads, edges)
+
+
+@query
+def file_report(spark, sf_dir):
+    """Figures of a scan of which every third file was known before, some of them at another time."""
+    files = freeze(adapters.log_file_table(spark, sf_dir).filter("modified_ms is not null"), "files")
+    known = files.filter("user_id % 3 = 0").select("path", (F.col("modified_ms") + F.col("user_id") % 2).alias("modified_ms"), "size")
+    lines = files.select("path", F.explode(F.sequence(F.lit(1), F.col("lines"))).alias("line_no"))
+    return upserts.file_report(files, logs.changed_files(files, known), lines)
+
+
 @query
 def scan_report(spark, sf_dir):
     batch = adapters.log_batch(spark, sf_dir)

@@ -381,3 +381,7 @@ SELECT source_key, first_seen_at_ms, last_seen_at_ms, account_key, limit_id,
   CASE WHEN source = 'app_server' THEN coalesce(plan_type, 'pro') ELSE plan_type END AS plan_type, source, priority
 FROM quota_raw""",
 )
+
+# What is equal to another operator's result by definition has its oracle.
+ORACLES["daily_from_facts"] = ORACLES["daily_refreshed"] = ORACLES["usage_daily"]
+ORACLES["reset_windows_live"] = ORACLES["reset_windows"]

@@ -359,3 +359,48 @@ SELECT local_date, arg_max(source_key, (tier, last_seen_at_ms, source_key)) AS s
   arg_max(used_percent, (tier, last_seen_at_ms, source_key)) AS used_percent
 FROM daily_quota GROUP BY local_date""",
 )
+
+# What is equal to another operator's result by definition has its oracle.
+ORACLES["log_upsert_batches"] = ORACLES["log_upsert"]
+_LAST_DATE = "strftime(make_timestamp((max(observed_at_ms) + 28800000) * 1000) - INTERVAL 29 DAY, '%Y-%m-%d')"
+_FILES = v.EVENTS + f""",
+since AS (SELECT {_LAST_DATE} AS day FROM ev),
+per_user AS (SELECT user_id, min(observed_at_ms) AS first_ms, count(*) AS lines FROM ev GROUP BY 1),
+files AS (
+  SELECT 'logs/' || CASE WHEN user_id % 3 = 0 THEN strftime(make_timestamp((first_ms + 28800000) * 1000), '%Y-%m-%d') || '/' ELSE '' END
+           || 's' || user_id || '.jsonl' AS path, user_id, first_ms, lines,
+         CASE WHEN user_id % 5 <> 0 THEN first_ms + user_id * 3600000 END AS modified_ms FROM per_user),
+dated AS (
+  SELECT *, CASE WHEN user_id % 2 = 0 OR user_id % 3 = 0
+                 THEN strftime(make_timestamp((first_ms + 28800000) * 1000), '%Y-%m-%d') END AS session_date,
+         strftime(make_timestamp((modified_ms + 28800000) * 1000), '%Y-%m-%d') AS modified_date FROM files)"""
+ORACLES["prune_files"] = v.with_ctes(
+    _FILES,
+    select="""SELECT path, modified_ms FROM dated, since
+WHERE user_id % 17 = 0 OR coalesce(session_date >= day, false)
+   OR CASE WHEN modified_ms IS NULL THEN session_date IS NULL ELSE modified_date >= day END""",
+)
+ORACLES["filter_from"] = v.with_ctes(
+    v.USAGE_RAW + f""",
+since AS (SELECT {_LAST_DATE} AS day FROM usage_raw)""",
+    select="""SELECT source_key, observed_at_ms FROM usage_raw, since
+WHERE strftime(make_timestamp((observed_at_ms + 28800000) * 1000), '%Y-%m-%d') >= day""",
+)
+ORACLES["file_report"] = v.with_ctes(
+    _FILES,
+    select="""SELECT count(*) AS files_scanned, count(*) FILTER (NOT (user_id % 3 = 0 AND user_id % 2 = 0)) AS files_changed,
+  coalesce(sum(lines) FILTER (NOT (user_id % 3 = 0 AND user_id % 2 = 0)), 0)::BIGINT AS complete_lines
+FROM files WHERE modified_ms IS NOT NULL""",
+)
+ORACLES["session_metadata"] = v.with_ctes(
+    v.EVENTS + """,
+named AS (
+  SELECT 's' || (conv_id % 400) AS session_id, conv_id * 1000 + turn AS line_no,
+         CASE WHEN turn % 2 = 1 THEN nullif(trim(substr(text, 1, 40), ' '), '') END AS title
+  FROM conversations WHERE conv_id % 11 <> 0),
+titles AS (SELECT session_id, arg_min(title, line_no) FILTER (title IS NOT NULL) AS index_title FROM named GROUP BY 1),
+threads AS (SELECT DISTINCT 's' || user_id AS session_id, 't' || user_id AS thread_title, user_id FROM events)""",
+    select="""SELECT session_id, coalesce(index_title, thread_title) AS title,
+  CASE WHEN user_id >= 50 THEN 's' || (user_id - 50) END AS parent_session_id, CASE WHEN user_id % 2 = 0 THEN 'high' END AS reasoning_effort
+FROM titles FULL JOIN threads USING (session_id)""",
+)
