@@ -64,16 +64,19 @@ def price_segments(credit: DataFrame, usd: DataFrame) -> DataFrame:
     )
 
 
-def price_version_at(events: DataFrame, credit: DataFrame, usd: DataFrame) -> DataFrame:
+def price_version_at(
+    events: DataFrame, credit: DataFrame, usd: DataFrame, times: DataFrame | None = None
+) -> DataFrame:
     """Add ``credit_version`` and ``usd_version`` by event time.
 
     Segments are laid out over the days that occur, one row per day and one more
     per change of price, so that events join on the day, with the time as residue.
+    ``times`` is a cheaper frame with the same times, for events that are not frozen.
     """
-    segments = freeze(price_segments(credit, usd), "price-segments")
+    segments = price_segments(credit, usd)
     day_of = lambda ms: F.expr(f"({ms}) div {DAY_MS}L")  # noqa: E731  any monotone day will do
     day = day_of("observed_at_ms")
-    days = freeze(events.select(day.alias("_day")).distinct(), "price-days")
+    days = (events if times is None else times).select(day.alias("_day")).distinct()
     # Days and segments are both few: calendar days, and changes of a price list.
     within = (day_of("segment_from_ms") <= F.col("_day")) & (F.col("_day") <= day_of("segment_to_ms - 1"))
     laid_out = freeze(days.join(segments, within), "price-day-segments")
@@ -166,11 +169,13 @@ def price_events(
     usd: DataFrame,
     default_tier: str = "standard",
     card: DataFrame | None = None,
+    times: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``credit_micros``, ``api_usd_micros`` and the ``price_flags`` mask.
 
     Both amounts are null when either catalog has no rate for the model.
-    ``card`` is a ``rate_card`` that covers the events' models.
+    ``card`` is a ``rate_card`` that covers the events' models, ``times`` a frozen
+    frame with the events' times.
     """
     if card is None:
         card = rate_card(events, credit, usd)
@@ -183,7 +188,7 @@ def price_events(
     classified = "coalesce(service_tier in ('fast', 'standard'), false)"
     default_fast = "true" if default_tier == "fast" else "false"
     joined = (
-        price_version_at(events.withColumn("model_key", F.lower("model")), credit, usd)
+        price_version_at(events.withColumn("model_key", F.lower("model")), credit, usd, times)
         .join(
             side("subscription_credit", "credit_version", "credit_rate"),
             ["model_key", "credit_version"],

@@ -98,7 +98,7 @@ def usage_facts(inputs: Inputs, windows: DataFrame) -> DataFrame:
     )
     card = rate_card(counted, inputs.credit, inputs.usd)
     placed = assign_turn(counted, inputs.turns)
-    priced = price_events(placed, inputs.credit, inputs.usd, inputs.default_tier, card)
+    priced = price_events(placed, inputs.credit, inputs.usd, inputs.default_tier, card, counted)
     return freeze(_with_context(priced, inputs), "usage-facts")
 
 
