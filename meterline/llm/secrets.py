@@ -92,12 +92,20 @@ def link(scanned: DataFrame, row: str = "_row", scope: int = SCOPE) -> DataFrame
 
     ``scanned`` must be frozen and ``row`` unique.  Rows without weak spans take no part.
     """
-    parts = scanned.where(F.size("weak") > 0).select(row, F.explode(F.concat("plain", "weak")).alias("p"), "plain")
-    weak = parts.where("p.k >= 3 AND NOT exists(plain, x -> x.s < p.e AND p.s < x.e)").select(
+    some = scanned.where(F.size("weak") > 0)
+    plain = some.select(row, F.explode("plain").alias("p"))
+    # Candidates that a plain finding covers are that finding, not a second part.  A plain span has 16
+    # characters or more, so few lie in a block, whatever the text holds.
+    reach = F.expr(f"sequence(p.s DIV {scope}, (p.e - 1) DIV {scope})")
+    covers = plain.select(row, "p", F.explode(reach).alias("block")).groupBy(row, "block").agg(F.collect_list("p").alias("plain_here"))
+    candidates = some.select(row, F.explode("weak").alias("p"))
+    touched = candidates.select(row, "p", F.explode(reach).alias("block")).join(covers, [row, "block"], "left")
+    covered = F.coalesce(F.exists("plain_here", lambda x: (x["s"] < F.col("p.e")) & (F.col("p.s") < x["e"])), F.lit(False))
+    weak = touched.groupBy(row, "p").agg(F.bool_or(covered).alias("covered")).where("NOT covered").select(
         row, "p", _class_of("p.k").alias("c"), F.expr(f"p.s DIV {scope}").alias("first"), F.expr(f"(p.e - 1) DIV {scope}").alias("last")
     )
-    # Candidates that a plain finding covers are that finding, not a second part.
-    sound = parts.where("p.k < 3 OR NOT exists(plain, x -> x.s < p.e AND p.s < x.e)")
+    weak = freeze(weak, "secret-weak")
+    sound = plain.unionByName(weak.select(row, "p"))
     blocks = (
         sound.select(row, _class_of("p.k").alias("c"), "p", F.explode(F.expr(f"sequence(p.s DIV {scope}, (p.e - 1) DIV {scope})")).alias("block"))
         .groupBy(row, "block")

@@ -119,6 +119,19 @@ def test_weak_parts_need_company(spark, tables):
     assert not spans[11]
 
 
+def test_very_many_parts_in_one_text(spark):
+    """40,000 plain runs and 40,000 weak keys, half of them beside an identifier, in one text among short ones."""
+    hexes = [f"{k:016x}" for k in range(40_000)]
+    many = " ".join(f"{h} pass=abc{k:05d}x" for k, h in enumerate(hexes))
+    rows = [(1, many), (2, "pass=abcdef1 " + "z" * 600), (3, "login=someone pass=abcdef1 " + "0123456789abcdef"), (4, "pass=0123456789abcdef0 login=me1")]
+    out = {r["doc_id"]: r["spans"] for r in secrets.all_spans(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)).collect()}
+    kinds = {i: Counter(secrets.KINDS[x["k"]] for x in spans) for i, spans in out.items()}
+    assert kinds[1] == {"hex": 40_000}  # secrets alone are no complement of each other
+    assert kinds[2] == {} and kinds[3] == {"weak_id": 1, "weak_key": 1, "hex": 1}
+    # A weak key that a plain run covers is that run.
+    assert kinds[4] == {"hex": 1, "weak_id": 1}
+
+
 def test_redaction_covers_spans(spark):
     df = spark.createDataFrame([(1, "é password=abcdefgh12345678 end"), (2, None), (3, "clean")], "doc_id bigint, text string")
     rows = df.withColumn("_row", F.col("doc_id"))
