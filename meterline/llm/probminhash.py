@@ -207,10 +207,10 @@ def _verify(settings: Settings):
 def verify(pairs: DataFrame, docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(a, b, similarity): the pairs whose whole texts are similar enough.
 
-    The joins are inner sort-merge joins, so that adaptive execution can split a
-    centre that is in very many pairs.
+    The joins are inner sort-merge joins at every size, so that adaptive execution can split a
+    centre that is in very many pairs and cost grows in proportion.
     """
-    text = docs.select("row", "text")
+    text = docs.select("row", "text").hint("merge")
     both = pairs.join(text.select(F.col("row").alias("a"), F.col("text").alias("text_a")), "a").join(
         text.select(F.col("row").alias("b"), F.col("text").alias("text_b")), "b"
     )
@@ -354,7 +354,7 @@ def _across(known: DataFrame, signed: DataFrame, docs: DataFrame, settings: Sett
     order = ["bucket", "i", "j", "side", "row"]
     both = left.union(right).repartition(parts, "bucket", "i", "j").sortWithinPartitions(*order)
     some = freeze(both.mapInArrow(_involved(settings), _BLOCK), "near-involved")
-    text = docs.select(F.col("row").alias("_r"), "text")
+    text = docs.select(F.col("row").alias("_r"), "text").hint("merge")
     asked = some.join(text, some["row"] == text["_r"]).drop("_r")
     return asked.repartition(parts, "bucket", "i", "j").sortWithinPartitions(*order).mapInArrow(_joined(settings), "a bigint, b bigint")
 
@@ -366,7 +366,7 @@ def links(docs: DataFrame, signed: DataFrame, settings: Settings = Settings()) -
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     crowd = freeze(member.join(shared, "bucket"), "near-crowd")
     # Texts cross the network once; what follows joins those that share a bucket with another text only.
-    docs = freeze(docs.select("row", "text").join(crowd.select("row").distinct(), "row", "left_semi"), "near-crowd-texts")
+    docs = freeze(docs.select("row", "text").join(crowd.select("row").distinct().hint("merge"), "row", "left_semi"), "near-crowd-texts")
     found = label = None
     for turn in range(3):
         known = crowd.withColumn("label", F.col("row"))
