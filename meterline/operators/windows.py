@@ -16,7 +16,7 @@ from ..fixed_values import (
 )
 from ..functions.ordered import Running, ordered_scan, range_chunks
 from ..functions.storage import freeze
-from ..functions.timeline import local_day, minute_start
+from ..functions.timeline import minute_start
 
 _SEEN = ["first_seen_at_ms", "last_seen_at_ms", "priority", "source_key"]
 
@@ -251,102 +251,75 @@ def disjoint_windows(windows: DataFrame) -> DataFrame:
     )
 
 
-def _with_next_start(windows: DataFrame, keys: list[str]) -> DataFrame:
-    """Add ``_next_ms``; of windows with one start only the last in order keeps a span."""
-    order = ["window_start_ms", "quota_group", "ordinal"]
-    if keys:
-        following = Window.partitionBy(*keys).orderBy(*order)
-        return windows.withColumn("_next_ms", F.lead("window_start_ms").over(following))
-    # All windows are one group: scan it in chunks, from the latest start to the earliest.
-    turned = windows.withColumns(
-        {"_all": F.lit(0), "_back": -F.col("window_start_ms")}
-    )
-    starts = turned.groupBy("_all", "_back").agg(
-        F.max_by("window_id", F.struct("quota_group", "ordinal")).alias("window_id")
-    )
-    scanned = ordered_scan(
-        range_chunks(starts, ["_all"], ["_back"], "window-starts"),
-        ["_all"],
-        ["_back"],
-        [Running("_next_back", "last", F.col("_back"), before=True)],
-    )
-    spans = scanned.select("window_id", (-F.col("_next_back")).alias("_next_ms"), F.lit(1).alias("_kept"))
-    return (
-        windows.join(spans, "window_id", "left")
-        .withColumn(
-            "_next_ms", F.when(F.col("_kept") == 1, F.col("_next_ms")).otherwise(F.col("window_start_ms"))
-        )
-        .drop("_kept")
-    )
+#: The bin of each line's earliest window, before every minute.
+_BEFORE_ALL = -(2**62)
 
 
 def assign_asof(
-    facts: DataFrame, at: str, windows: DataFrame, keys: list[str]
+    facts: DataFrame, at: str, windows: DataFrame, keys: list[str], moments: DataFrame | None = None
 ) -> DataFrame:
     """Add ``window_id`` of the latest window that starts at or before ``at``.
 
-    A fact before every window takes the earliest one.  Windows are laid out
-    over the days they span, so the join is on equal keys and day with a time
-    residue: one match per fact, and no task sees all windows or all facts.
-    ``windows`` must be frozen; Catalyst then knows its size and chooses the
-    broadcast or the shuffle.
+    Facts and windows with equal ``keys`` (nulls are equal) lie on one line.  A
+    fact before every window of its line takes the earliest one; a line without
+    windows and a null ``at`` give null.  Of windows with one start the last in
+    order counts.
+
+    The minutes that facts fall in and those that windows start in are scanned
+    in order, which tells each minute its window on entry; the starts inside a
+    minute stay beside it, 60,000 at most.  A fact then meets the one row of its
+    minute, so nothing is laid out over time and no pair is formed that does not
+    match, however many windows a line has and however long the last is open.
+
+    ``moments`` holds ``keys`` and ``at`` of all facts, and perhaps of more rows;
+    it spares evaluating ``facts`` for its minutes.
     """
-    order = ["window_start_ms", "quota_group", "ordinal"]
-    span = windows.agg(
-        F.min(local_day(F.col("window_start_ms"))).alias("first_day"),
-        F.max(local_day(F.col("window_start_ms"))).alias("last_day"),
-        F.min_by("window_id", F.struct(*order)).alias("head_id"),
-        F.min("window_start_ms").alias("head_ms"),
-    ).first()
-    if span.first_day is None:
-        return facts.withColumn("window_id", F.lit(None).cast("string"))
-    ranked = _with_next_start(windows, keys)
-    start = F.col("window_start_ms")
-    useful = ranked.filter(F.col("_next_ms").isNull() | (F.col("_next_ms") > start))
-    if keys:
-        heads = ranked.groupBy(*keys).agg(
-            F.min_by("window_id", F.struct(*order)).alias("_head_id"),
-            F.min("window_start_ms").alias("_head_ms"),
-        )
-    first_day, last_day = F.lit(span.first_day), F.lit(span.last_day)
-    to_day = F.coalesce(local_day(F.col("_next_ms")), last_day)
-    laid_out = useful.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("window_id"),
-        start.alias("_from_ms"),
-        F.col("_next_ms").alias("_to_ms"),
-        F.explode(F.sequence(local_day(start), to_day)).alias("_day"),
+    def line() -> Column:
+        return F.to_json(F.struct(*keys)) if keys else F.lit("")
+
+    start, tie = F.col("window_start_ms"), ["quota_group", "ordinal"]
+    starts = windows.groupBy(line().alias("_line"), start.alias("_from_ms")).agg(
+        F.max_by("window_id", F.struct(*tie)).alias("_id")
+    )
+    inside = starts.groupBy("_line", minute_start(F.col("_from_ms")).alias("_bin")).agg(
+        F.sort_array(F.collect_list(F.struct("_from_ms", "_id"))).alias("_inside")
+    )
+    heads = windows.groupBy(line().alias("_line")).agg(
+        F.min_by("window_id", F.struct(start, *tie)).alias("_last")
     )
-    day = F.least(F.greatest(local_day(F.col(at)), first_day), last_day)
-    keyed = facts.withColumn("_fact_day", day)
-    match = (
-        (keyed["_fact_day"] == laid_out["_day"])
-        & (keyed[at] >= laid_out["_from_ms"])
-        & (laid_out["_to_ms"].isNull() | (keyed[at] < laid_out["_to_ms"]))
+    asked = (facts if moments is None else moments).filter(F.col(at).isNotNull()).select(
+        line().alias("_line"), minute_start(F.col(at)).alias("_bin"), F.lit(None).cast("string").alias("_last")
+    ).distinct()
+    points = (
+        inside.select("_line", "_bin", F.element_at("_inside", -1).getField("_id").alias("_last"))
+        .unionByName(heads.select("_line", F.lit(_BEFORE_ALL).alias("_bin"), "_last"))
+        .unionByName(asked)
+        .groupBy("_line", "_bin")
+        .agg(F.max("_last").alias("_last"))
     )
-    for k in keys:
-        match = match & keyed[k].eqNullSafe(laid_out[f"_k_{k}"])
-    found = keyed.join(laid_out, match, "left")
-    if keys:
-        renamed = heads.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_head_id", "_head_ms")
-        same = None
-        for k in keys:
-            one = found[k].eqNullSafe(renamed[f"_h_{k}"])
-            same = one if same is None else same & one
-        found = found.join(renamed, same, "left")
-        fallback = F.when(F.col(at) < F.col("_head_ms"), F.col("_head_id"))
-    else:
-        fallback = F.when(F.col(at) < span.head_ms, F.lit(span.head_id))
-    return found.withColumn("window_id", F.coalesce(F.col("window_id"), fallback)).select(
-        *facts.columns, "window_id"
+    entered = ordered_scan(
+        range_chunks(points, ["_line"], ["_bin"], "window-minutes"),
+        ["_line"],
+        ["_bin"],
+        [Running("_entry", "last", F.col("_last"), before=True)],
+    ).select("_line", "_bin", "_entry")
+    minutes = freeze(entered.join(inside, ["_line", "_bin"], "left"), "window-entries")
+    begun = F.filter("_inside", lambda x: x["_from_ms"] <= F.col(at))
+    return (
+        facts.withColumns({"_line": line(), "_bin": minute_start(F.col(at))})
+        .join(minutes, ["_line", "_bin"], "left")
+        .select(
+            *facts.columns,
+            F.coalesce(F.try_element_at(begun, F.lit(-1)).getField("_id"), "_entry").alias("window_id"),
+        )
     )
 
 
-def usage_window(usage: DataFrame, windows: DataFrame) -> DataFrame:
+def usage_window(usage: DataFrame, windows: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     """Window of each usage event: primary windows only, or all if there is no primary."""
     primary = windows.filter("window_kind = 'primary'")
     candidates = windows if primary.isEmpty() else primary
-    return assign_asof(usage, "observed_at_ms", candidates, [])
+    return assign_asof(usage, "observed_at_ms", candidates, [], moments)
 
 
 def quota_window(quota: DataFrame, windows: DataFrame) -> DataFrame:

@@ -280,7 +280,28 @@ def disjoint_windows(spark, sf_dir):
 @query
 def usage_window_asof(spark, sf_dir):
     found = rollup.build_windows(_quota(spark, sf_dir))
-    return windows.usage_window(_counted(spark, sf_dir), found).select("source_key", "window_id")
+    moments = rollup.usage_records(adapters.usage_raw(spark, sf_dir))
+    return windows.usage_window(_counted(spark, sf_dir), found, moments).select("source_key", "window_id")
+
+
+@query
+def asof_by_account(spark, sf_dir):
+    """Events on the lines of their own user's and of all users' windows; each error starts a window."""
+    seen = adapters.events(spark, sf_dir).select(
+        "event_id",
+        F.col("user_id").cast("string").alias("account_key"),
+        F.col("observed_at_ms").alias("at_ms"),
+        "event_type",
+    )
+    started = seen.filter("event_type = 'error'").select(
+        F.concat(F.lit("w"), F.col("event_id").cast("string")).alias("window_id"),
+        "account_key",
+        F.col("at_ms").alias("window_start_ms"),
+        F.col("account_key").alias("quota_group"),
+        F.col("event_id").alias("ordinal"),
+    )
+    own = windows.assign_asof(seen, "at_ms", started, ["account_key"]).withColumnRenamed("window_id", "own_window_id")
+    return windows.assign_asof(own, "at_ms", started, [], seen).select("event_id", "own_window_id", "window_id")
 
 
 def _windowed_quota(spark, sf_dir):

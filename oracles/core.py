@@ -133,6 +133,21 @@ ORACLES["usage_window_asof"] = v.with_ctes(
     v.USAGE_DEDUP + v.WINDOWS + v.usage_windowed("usage_dedup"),
     select="SELECT source_key, window_id FROM usage_windowed",
 )
+ORACLES["asof_by_account"] = """
+WITH seen AS (SELECT event_id, user_id, epoch_ms(ts) AS at_ms, event_type FROM events),
+w AS (SELECT 'w' || event_id AS window_id, user_id, at_ms, user_id::VARCHAR AS quota_group, event_id AS ordinal
+      FROM seen WHERE event_type = 'error'),
+own AS (SELECT user_id, at_ms, arg_max(window_id, ordinal) AS window_id FROM w GROUP BY ALL),
+own_head AS (SELECT user_id, arg_min(window_id, (at_ms, ordinal)) AS window_id FROM w GROUP BY ALL),
+line AS (SELECT at_ms, arg_max(window_id, (quota_group, ordinal)) AS window_id FROM w GROUP BY ALL),
+head AS (SELECT arg_min(window_id, (at_ms, quota_group, ordinal)) AS window_id FROM w)
+SELECT event_id, coalesce(own.window_id, own_head.window_id) AS own_window_id,
+       coalesce(line.window_id, (SELECT window_id FROM head)) AS window_id
+FROM seen s
+ASOF LEFT JOIN own ON own.user_id = s.user_id AND own.at_ms <= s.at_ms
+ASOF LEFT JOIN line ON line.at_ms <= s.at_ms
+LEFT JOIN own_head ON own_head.user_id = s.user_id
+"""
 ORACLES["quota_window"] = v.with_ctes(
     v.EVENTS + v.WINDOWS + v.POINTS, select="SELECT source_key, window_id FROM quota_windowed"
 )

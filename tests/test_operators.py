@@ -206,6 +206,38 @@ def test_asof_assignment_without_keys(spark):
     assert [r.window_id for r in got] == ["w0", "w0", "w1", "w1", "w2", "w2", "w3", "w3"]
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+def test_asof_assignment_against_brute_force(spark, keyed):
+    """A thousand accounts, a hot one, shared starts, null keys and times, accounts without windows."""
+    rng = random.Random(11)
+    accounts = [None, *[f"a{i}" for i in range(1_000)]]
+    begun = [(f"w{i}", a, rng.randrange(0, 400_000), f"g{i % 7}", i)
+             for i, a in enumerate([*accounts[:-5], *["a3"] * 400, *["a3"] * 30])]
+    begun += [(f"same{i}", "a3", 60_000, "g", i) for i in range(3)]
+    seen = [(i, rng.choice([*accounts, *["a3"] * 500]), rng.choice([None, *[rng.randrange(0, 500_000)] * 9]))
+            for i in range(4_000)]
+    found = spark.createDataFrame(
+        begun, "window_id string, account_key string, window_start_ms long, quota_group string, ordinal long")
+    facts = spark.createDataFrame(seen, "n long, account_key string, t long")
+    got = windows.assign_asof(facts, "t", found, ["account_key"] if keyed else []).collect()
+
+    def brute(account, t):
+        mine = sorted((w[2], w[3], w[4], w[0]) for w in begun if not keyed or w[1] == account)
+        if t is None or not mine:
+            return None
+        earlier = [w for w in mine if w[0] <= t]
+        return (earlier[-1] if earlier else mine[0])[3]
+
+    assert {r.n: r.window_id for r in got} == {n: brute(a, t) for n, a, t in seen}
+    assert len(got) == len(seen)
+
+
+def test_asof_assignment_without_windows(spark):
+    none = spark.createDataFrame([], "window_id string, window_start_ms long, quota_group string, ordinal long")
+    facts = spark.createDataFrame([(1,), (2,)], "t long")
+    assert [r.window_id for r in windows.assign_asof(facts, "t", none, []).collect()] == [None, None]
+
+
 def test_turns_against_brute_force(spark):
     """Nested, overlapping, open and finished turns, with one busy session."""
     rng = random.Random(3)
