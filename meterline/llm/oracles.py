@@ -72,7 +72,7 @@ rate AS (
          CASE WHEN n_words = 0 THEN [0, 0, 0, 0] ELSE [n_symbols * 1000 // n_words, n_dup_lines * 10000 // n_words,
               n_repeat_words * 1000 // n_words, word_chars * 1000 // n_words] END AS v FROM base),
 cell AS (SELECT lang, source, f, CASE WHEN x < 64 THEN x ELSE ((x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6)) END AS b
-         FROM (SELECT lang, source, unnest([0, 1, 2, 3]) AS f, unnest(v)::BIGINT AS x FROM rate)),
+         FROM (SELECT lang, source, unnest([0, 1, 2, 3, 4]) AS f, unnest(list_append(v, n_words))::BIGINT AS x FROM rate WHERE NOT base_failed)),
 fine AS (SELECT lang, source, f, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.5) AS q2, quantile_disc(b, 0.75) AS q3 FROM cell GROUP BY ALL),
 mid AS (SELECT lang, f, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.5) AS q2, quantile_disc(b, 0.75) AS q3 FROM cell GROUP BY ALL),
 whole AS (SELECT f, count(*) AS n, quantile_disc(b, 0.25) AS q1, quantile_disc(b, 0.5) AS q2, quantile_disc(b, 0.75) AS q3 FROM cell GROUP BY ALL),
@@ -80,7 +80,9 @@ used AS (
   SELECT fine.lang, fine.source, fine.f,
          CASE WHEN fine.n >= 50 THEN [fine.q1, fine.q2, fine.q3] WHEN mid.n >= 50 THEN [mid.q1, mid.q2, mid.q3] ELSE [whole.q1, whole.q2, whole.q3] END AS q
   FROM fine JOIN mid ON fine.lang IS NOT DISTINCT FROM mid.lang AND fine.f = mid.f JOIN whole ON fine.f = whole.f),
-most AS (SELECT lang, source, f, greatest(q[3] + 6 * (q[3] - q[1]), 2 * q[2], ([50, 300, 300, 8000])[f + 1]) AS most FROM used),
+usual AS (SELECT lang, source, q[2] AS words FROM used WHERE f = 4),
+most AS (SELECT used.lang, used.source, f, greatest(q[3] + 6 * (q[3] - q[1]), 2 * q[2], 12 * ([1000, 10000, 8000, 0])[f + 1] // words) AS most
+         FROM used JOIN usual ON used.lang IS NOT DISTINCT FROM usual.lang AND used.source IS NOT DISTINCT FROM usual.source WHERE f < 4),
 bad AS (SELECT DISTINCT r FROM (SELECT r, lang, source, unnest([0, 1, 2, 3]) AS f, unnest(v) AS x FROM rate) o
         JOIN most m ON o.lang IS NOT DISTINCT FROM m.lang AND o.source IS NOT DISTINCT FROM m.source AND o.f = m.f WHERE x > most)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.r IS NULL AS kept

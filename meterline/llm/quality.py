@@ -5,15 +5,19 @@ histogram sketch counts them in buckets of bounded relative width (a value is
 kept exactly below 64 and to five leading bits above), so partial sketches add
 up in any order and give the same quantiles on every run.  A group with too few
 texts is judged by the merged sketch of its language, then by that of all texts.
+Only texts that pass the base rule are sketched, since only they are judged.
 A feature fails where it lies beyond the upper quartile by ``spread`` times the
-distance of the quartiles, and beyond a multiple of the median, whichever is
-further: a group of homogeneous texts then does not lose its slightly odd ones.
+distance of the quartiles, beyond twice the median, and beyond what ``oddities``
+single symbols, repeated lines or repeated windows make in a text of the group's
+median length, whichever is furthest.  The last keeps a group whose texts mostly
+have none from losing those that have a few; it too comes from the group's
+sketch, so no limit is a fixed number.
 
 Nulls: a null text has no words and fails the base rule.  Null languages and
-sources form groups of their own.  Repeated rows are judged one by one.  Extra
-columns pass
-through; one named like a result
-is replaced by the result.
+sources form groups of their own.  Repeated rows are judged one by one, ties
+with a limit are kept.  Very long texts are measured whole, one at a time in a
+batch.  Empty tables give no rows.  Extra columns pass through; one named like a
+result is replaced by the result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 from .common import documents, freeze, hash_words, shingle_hashes
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Features that are judged, each in whole thousandths.
+#: Features that are judged, each in whole thousandths (repeated lines in ten-thousandths).
 RATES = ["symbol_rate", "dup_rate", "repeat_rate", "length_rate"]
 RESULTS = [*BASE, "base_failed", "kept"]
 _SPACE = [chr(c) for c in (0x20, 9, 10, 11, 12, 13)]
@@ -43,8 +47,8 @@ class Rules:
     least_texts: int = 50
     #: Distances of the quartiles above the upper quartile that are still kept.
     spread: int = 6
-    #: Least limit, in thousandths of words: what no group is blamed for.
-    floors: tuple[int, ...] = (50, 300, 300, 8_000)
+    #: Single oddities that a text of the group's median length may have.
+    oddities: int = 12
 
 
 def measure(text: str | None, window: int = 8) -> tuple[int, int, int, int, int]:
@@ -88,21 +92,24 @@ def _rate(part: str, whole: str):
     return F.expr(f"CASE WHEN {whole} > 0 THEN {part} * 1000 DIV {whole} ELSE 0 END")
 
 
-def _with_rates(measured: DataFrame) -> DataFrame:
+def _with_rates(measured: DataFrame, rules: Rules) -> DataFrame:
     return measured.select(
         "*",
         _rate("n_symbols", "n_words").alias("symbol_rate"),
         _rate("n_dup_lines * 10", "n_words").alias("dup_rate"),
         _rate("n_repeat_words", "n_words").alias("repeat_rate"),
         _rate("word_chars", "n_words").alias("length_rate"),
-        F.expr(f"n_words < {Rules.least_words} OR 100 * n_repeat_words > {Rules.repeat_percent} * n_words").alias("base_failed"),
+        F.expr(f"n_words < {rules.least_words} OR 100 * n_repeat_words > {rules.repeat_percent} * n_words").alias("base_failed"),
     )
 
 
 def sketch(rated: DataFrame) -> DataFrame:
-    """(lang, source, feature, bucket, n): counts that merge by addition."""
-    long = rated.select(
-        "lang", "source", F.explode(F.expr("array(" + ", ".join(f"named_struct('f', {i}, 'v', {c})" for i, c in enumerate(RATES)) + ")")).alias("x")
+    """(lang, source, feature, bucket, n): counts that merge by addition.
+
+    Features are numbered as in ``RATES``; the number of words follows them.
+    """
+    long = rated.filter("NOT base_failed").select(
+        "lang", "source", F.explode(F.expr("array(" + ", ".join(f"named_struct('f', {i}, 'v', {c})" for i, c in enumerate([*RATES, "n_words"])) + ")")).alias("x")
     ).select("lang", "source", F.col("x.f").alias("feature"), F.expr(
         "CASE WHEN x.v < 64 THEN x.v ELSE shiftleft(shiftright(x.v, length(bin(x.v)) - 6), length(bin(x.v)) - 6) END"
     ).alias("bucket"))
@@ -124,7 +131,7 @@ def _quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The limit of every feature for each (lang, source) that occurs.
+    """The limit of every feature for each (lang, source) with a text that passes the base rule.
 
     The number of buckets in a sketch is bounded (under 600 for any 64-bit value
     at this width), so each list above is bounded too.
@@ -140,11 +147,17 @@ def thresholds(cells: DataFrame, rules: Rules = Rules()) -> DataFrame:
         .withColumn("use", F.when(F.col("f.total") >= rules.least_texts, F.col("f"))
                     .when(F.col("m.total") >= rules.least_texts, F.col("m")).otherwise(F.col("c")))
     )
-    floor = F.element_at(F.array(*[F.lit(x) for x in rules.floors]), F.col("feature") + 1)
-    limit = F.greatest(F.col("use.q3") + rules.spread * (F.col("use.q3") - F.col("use.q1")), 2 * F.col("use.q2"), floor)
-    return joined.select("lang", "source", "feature", limit.alias("most")).groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("feature") == i, F.col("most"))).alias(f"most_{c}") for i, c in enumerate(RATES)]
+    sizes = joined.groupBy("lang", "source").agg(
+        *[F.max(F.when(F.col("feature") == i, F.col("use"))).alias(f"u{i}") for i in range(len(RATES) + 1)]
     )
+    usual = f"u{len(RATES)}.q2"
+    # What one symbol, repeated line or repeated window adds to its feature, times the words of the text.
+    units = (1000, 10_000, 1000 * rules.window, 0)
+    return sizes.select("lang", "source", *[
+        F.expr(f"greatest(u{i}.q3 + {rules.spread} * (u{i}.q3 - u{i}.q1), 2 * u{i}.q2, {rules.oddities * unit}L DIV greatest({usual}, 1))")
+        .alias(f"most_{c}")
+        for i, (c, unit) in enumerate(zip(RATES, units))
+    ])
 
 
 def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -154,7 +167,7 @@ def judge(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
     The table of limits is frozen too, so that its true size decides whether the
     join broadcasts it.
     """
-    rated = _with_rates(measured)
+    rated = _with_rates(measured, rules)
     limits = freeze(thresholds(sketch(rated), rules), "quality-limits").select(
         F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[f"most_{c}" for c in RATES]
     )

@@ -462,7 +462,7 @@ def test_thresholds_keep_the_plain_texts(spark):
 
 
 def test_sketches_merge(spark):
-    cells = [(None, None, f, b, n) for f in range(4) for b, n in ((0, 10), (5, 30), (9, 2))]
+    cells = [(None, None, f, b, n) for f in range(5) for b, n in ((0, 10), (5, 30), (9, 2))]
     one = spark.createDataFrame(cells, "lang string, source string, feature int, bucket bigint, n bigint")
     split = spark.createDataFrame([(l, s, f, b, n - n // 2) for l, s, f, b, n in cells] + [(l, s, f, b, n // 2) for l, s, f, b, n in cells], one.schema)
     assert quality.thresholds(one).collect() == quality.thresholds(split).collect()
@@ -487,3 +487,27 @@ def test_pipeline_stages(spark, tables):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
     assert sum(r["length"] for r in pieces) == sum(dict(((r["doc_id"], r["start"] == 0), r["doc_tokens"]) for r in pieces if r["start"] == 0).values())
     assert json.dumps(sorted({r["doc_id"] for r in pieces if r["doc_id"] is not None})) == json.dumps(sorted(i for i in out if i is not None))
+
+
+def test_limits_follow_each_group_and_no_constant(spark):
+    """Long and short texts, sources with and without symbols, small groups, null keys."""
+    def some(seed, n, every):
+        words = prose(seed, n).split()
+        return " ".join(w + "*" * bool(every and i % every == 0) for i, w in enumerate(words))
+
+    rows = [(i, some(i, 60, 0), "en", "short") for i in range(80)]
+    rows += [(100 + i, some(i, 600, 0), "en", "long") for i in range(80)]
+    rows += [(200 + i, some(i, 100, 2 + i % 3), "en", "marked") for i in range(80)]  # symbols are usual here
+    rows += [(300, some(1, 600, 20), "en", "long"), (301, some(2, 60, 20), "en", "short"), (302, some(3, 100, 2), "en", "marked")]
+    rows += [(310 + i, some(i, 60, 0), None, "few") for i in range(5)] + [(320, "one two", "xx", "only")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    judged = freeze(quality.judge(freeze(quality.with_measures(frame), "test")), "test")
+    kept = {r["doc_id"]: r["kept"] for r in judged.collect()}
+    # the same share of symbols is odd among long texts only
+    assert (kept[300], kept[301], kept[302], kept[320]) == (False, True, True, False)
+    assert all(v for k, v in kept.items() if k < 300 or 310 <= k < 320)
+    limits = {(r["source"], *[r[f"most_{c}"] for c in quality.RATES]) for r in judged.filter("lang = 'en'").collect()}
+    assert len(limits) == 3
+    for i in (1, 2, 3):
+        assert len({x[i] for x in limits}) >= 2
+    assert judged.filter("source = 'only'").first()["most_symbol_rate"] is None
