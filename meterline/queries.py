@@ -19,7 +19,7 @@ from .plans import report, rollup
 from .plans.from_facts import inputs_from_facts
 from .plans.recompute import LiveRollups
 from .schemas import SOURCE_APP_SERVER, SOURCE_CCUSAGE, SOURCE_JSONL
-from .sources import account_feed, external_runs, upserts
+from .sources import account_feed, external_runs, landed, upserts
 from .sources import session_logs as logs
 from .sources.catalogs import (
     CAPACITY_SCHEMA,
@@ -744,9 +744,8 @@ def filter_from(spark, sf_dir):
     return logs.filter_from(usage, logs.default_from_date(latest)).select("source_key", "observed_at_ms")
 
 
-@query
-def session_metadata(spark, sf_dir):
-    """Titles from two conversations' lines per session, else from thread rows; parents from edges."""
+def _thread_tables(spark, sf_dir):
+    """Titles of two conversations' lines per session, thread rows, and edges to parents."""
     lines = adapters.table(spark, sf_dir, "conversations")
     index = lines.select(
         F.when(F.col("conv_id") % 11 != 0, F.concat(F.lit("s"), F.col("conv_id") % 400)).alias("id"),
@@ -757,7 +756,25 @@ def session_metadata(spark, sf_dir):
     own = F.concat(F.lit("s"), F.col("user_id"))
     threads = users.select(own.alias("id"), F.concat(F.lit(" t"), "user_id").alias("title"), F.when(F.col("user_id") % 2 == 0, F.lit("high")).alias("reasoning_effort"))
     edges = users.filter("user_id >= 50").select(F.concat(F.lit("s"), F.col("user_id") - 50).alias("parent_thread_id"), own.alias("child_thread_id"))
-    return logs.session_metadata(index, threads, edges)
+    return index, threads, edges
+
+
+@query
+def session_metadata(spark, sf_dir):
+    """Titles from the index, else from thread rows; parents from edges."""
+    return logs.session_metadata(*_thread_tables(spark, sf_dir))
+
+
+@query
+def title_index_files(spark, sf_dir):
+    """``session_metadata`` with the index read from files, among lines that are not entries."""
+    index, threads, edges = _thread_tables(spark, sf_dir)
+    entry = F.to_json(F.struct("id", "thread_name"))
+    odd = F.when(F.col("line_no") % 3 == 0, F.lit('{"id": 7, "thread_name": "n"}')).when(F.col("line_no") % 3 == 1, F.lit('{"id"'))
+    lines = index.select("line_no", F.explode(F.array(entry, F.coalesce(odd, F.lit("  ")))).alias("value"))
+    folder = scratch_path(spark, "title-index")
+    lines.repartitionByRange("line_no").sortWithinPartitions("line_no").select("value").write.text(folder)
+    return logs.session_metadata(landed.read_title_index(spark, folder, "*.txt"), threads, edges)
 
 
 @query
@@ -837,9 +854,7 @@ def _messages(spark, sf_dir):
     return account_feed.parse_messages(adapters.feed_messages(spark, sf_dir))
 
 
-@query
-def account_facts(spark, sf_dir):
-    messages = _messages(spark, sf_dir)
+def _account_rows(messages):
     rows = account_feed.account_facts(messages).unionByName(account_feed.feed_errors(messages))
     return rows.select(
         "kind",
@@ -853,6 +868,11 @@ def account_facts(spark, sf_dir):
     )
 
 
+@query
+def account_facts(spark, sf_dir):
+    return _account_rows(_messages(spark, sf_dir))
+
+
 @query
 def feed_quota_facts(spark, sf_dir):
     return account_feed.feed_quota_facts(_messages(spark, sf_dir)).select(
@@ -879,6 +899,18 @@ def _feed(spark, sf_dir):
     return upserts.upsert_feed(None, facts, account_feed.FEED_ORDER)
 
 
+@query
+def feed_files(spark, sf_dir):
+    """Account rows and errors of polls that are read from files of enveloped messages."""
+    folder = scratch_path(spark, "feed-files")
+    envelope = F.to_json(F.struct("poll_id", "polled_at_ms", "msg_no", F.col("value").alias("message")))
+    landing = adapters.feed_messages(spark, sf_dir).select(envelope.alias("value"))
+    # Messages of a poll arrive in no order: their numbers restore it.
+    landing.repartition(8, F.xxhash64("value")).select("value").write.option("compression", "none").text(folder)
+    messages = account_feed.parse_messages(landed.read_polls(spark, folder, "*.txt"))
+    return _account_rows(messages)
+
+
 @query
 def account_daily_tokens(spark, sf_dir):
     return account_feed.account_daily_tokens(_feed(spark, sf_dir))
@@ -1027,9 +1059,8 @@ def external_field_compare(spark, sf_dir):
     )
 
 
-@query
-def external_usage(spark, sf_dir):
-    return external_runs.external_usage(adapters.external_results(spark, sf_dir)).select(
+def _external_rows(results):
+    return external_runs.external_usage(results).select(
         "source_key",
         "scope",
         "scope_key",
@@ -1041,6 +1072,20 @@ def external_usage(spark, sf_dir):
     )
 
 
+@query
+def external_usage(spark, sf_dir):
+    return _external_rows(adapters.external_results(spark, sf_dir))
+
+
+@query
+def external_files(spark, sf_dir):
+    """``external_usage`` of runs that are read from files."""
+    folder = scratch_path(spark, "run-files")
+    runs = adapters.external_results(spark, sf_dir)
+    runs.select(F.to_json(F.struct(*runs.columns))).write.text(folder)
+    return _external_rows(landed.read_runs(spark, folder, "*.txt"))
+
+
 @query
 def run_status(spark, sf_dir):
     return external_runs.run_status(adapters.external_results(spark, sf_dir))
@@ -1082,17 +1127,8 @@ def sync_counts(spark, sf_dir):
     return report.sync_counts(usage, days)
 
 
-@query
-def current_state(spark, sf_dir):
-    """Current state at the time of the last event."""
-    feed = freeze(_feed(spark, sf_dir), "feed")
+def _current(spark, sf_dir, feed, now_ms, log_rows):
     rollups = _rollups(spark, sf_dir)
-    log_rows = (
-        adapters.quota_raw(spark, sf_dir)
-        .filter("source = 'jsonl'")
-        .withColumns({"kind": F.lit("quota"), "observed_at_ms": F.col("first_seen_at_ms")})
-    )
-    now_ms = feed.agg(F.max("last_seen_at_ms")).first()[0] + 60_000
     return report.current(
         feed,
         log_rows,
@@ -1100,9 +1136,41 @@ def current_state(spark, sf_dir):
         freeze(rollups.window, "window-table"),
         rollups.inputs.capacities,
         now_ms,
+    ).withColumn("quality_flags", F.concat_ws(",", "quality_flags"))
+
+
+def _log_quota(spark, sf_dir):
+    return (
+        adapters.quota_raw(spark, sf_dir)
+        .filter("source = 'jsonl'")
+        .withColumns({"kind": F.lit("quota"), "observed_at_ms": F.col("first_seen_at_ms")})
     )
 
 
+@query
+def current_state(spark, sf_dir):
+    """Current state a minute after the last message of the feed."""
+    feed = freeze(_feed(spark, sf_dir), "feed")
+    now_ms = feed.agg(F.max("last_seen_at_ms")).first()[0] + 60_000
+    return _current(spark, sf_dir, feed, now_ms, _log_quota(spark, sf_dir))
+
+
+@query
+def current_state_logs(spark, sf_dir):
+    """Current state without a feed, so without an account row, a minute after the last log quota."""
+    log_rows = freeze(_log_quota(spark, sf_dir), "log-quota")
+    now_ms = log_rows.agg(F.max("last_seen_at_ms")).first()[0] + 60_000
+    return _current(spark, sf_dir, small_table(spark, [], SOURCE_APP_SERVER), now_ms, log_rows)
+
+
+@query
+def current_state_stale(spark, sf_dir):
+    """Current state a day after the last message: every source is too old."""
+    feed = freeze(_feed(spark, sf_dir), "feed")
+    now_ms = feed.agg(F.max("last_seen_at_ms")).first()[0] + 86_400_000
+    return _current(spark, sf_dir, feed, now_ms, _log_quota(spark, sf_dir))
+
+
 # --- capacity and scalars --------------------------------------------------
 
 

@@ -55,7 +55,7 @@ def _reader(spark: SparkSession):
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl")
 
 
-def _loaded(load: Callable[[], DataFrame]) -> DataFrame | None:
+def loaded(load: Callable[[], DataFrame]) -> DataFrame | None:
     """What ``load`` reads; None where its folder does not exist."""
     try:
         return load()
@@ -80,7 +80,7 @@ def scan_logs(spark: SparkSession, active: str, archived: str, changed_after_ms:
             # The option counts whole seconds.
             after = dt.datetime.fromtimestamp(changed_after_ms // 1000 - 1, dt.timezone.utc)
             reader = reader.option("modifiedAfter", after.strftime("%Y-%m-%dT%H:%M:%S")).option("timeZone", "UTC")
-        lines = _loaded(partial(reader.text, root))
+        lines = loaded(partial(reader.text, root))
         if lines is None:
             continue
         found = found.unionByName(
@@ -102,7 +102,7 @@ def list_logs(spark: SparkSession, active: str, archived: str) -> DataFrame:
     """
     found = spark.createDataFrame([], "path string, state string, modified_ms bigint, size bigint")
     for root, state in _roots(active, archived):
-        files = _loaded(partial(_reader(spark).format("binaryFile").load, root))
+        files = loaded(partial(_reader(spark).format("binaryFile").load, root))
         if files is not None:
             found = found.unionByName(
                 files.select(

@@ -362,6 +362,7 @@ FROM daily_quota GROUP BY local_date""",
 
 # What is equal to another operator's result by definition has its oracle.
 ORACLES["log_upsert_batches"] = ORACLES["log_upsert"]
+ORACLES["feed_files"] = ORACLES["account_facts"]
 _LAST_DATE = "strftime(make_timestamp((max(observed_at_ms) + 28800000) * 1000) - INTERVAL 29 DAY, '%Y-%m-%d')"
 _FILES = v.EVENTS + f""",
 since AS (SELECT {_LAST_DATE} AS day FROM ev),
@@ -404,3 +405,4 @@ threads AS (SELECT DISTINCT 's' || user_id AS session_id, 't' || user_id AS thre
   CASE WHEN user_id >= 50 THEN 's' || (user_id - 50) END AS parent_session_id, CASE WHEN user_id % 2 = 0 THEN 'high' END AS reasoning_effort
 FROM titles FULL JOIN threads USING (session_id)""",
 )
+ORACLES["title_index_files"] = ORACLES["session_metadata"]

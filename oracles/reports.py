@@ -285,3 +285,68 @@ SELECT source_key, observed_at_ms - observed_at_ms % 60000 AS minute_start_ms,
   plan_type IS NOT NULL AND lower(plan_type) NOT IN ('api', 'unknown') AS is_subscription
 FROM usage_raw""",
 )
+
+# What is read back from files is what was landed.
+ORACLES["external_files"] = ORACLES["external_usage"]
+
+
+def _current(has_feed: bool, after_ms: int) -> str:
+    """The report's current state; without a feed its clock follows the log quota."""
+    from . import logs
+
+    quota_logs = v.with_ctes(v.EVENTS + v.QUOTA_RAW, select="SELECT * FROM quota_raw WHERE source = 'jsonl'")
+    clock = "accounts" if has_feed else "quota_logs"
+    return f"""
+WITH windows AS ({core.ORACLES["usage_window"]}),
+minutes AS ({core.ORACLES["usage_minute"]}),
+accounts AS ({logs.ORACLES["account_facts"]}),
+feed_quota AS ({logs.ORACLES["feed_quota_facts"]}),
+quota_logs AS ({quota_logs}),
+clock AS (SELECT max(last_seen_at_ms) + {after_ms} AS now FROM {clock}),
+a AS (SELECT * FROM accounts WHERE {has_feed} AND status = 'ok' ORDER BY last_seen_at_ms DESC LIMIT 1),
+f AS (SELECT *, (SELECT now FROM clock) - last_seen_at_ms <= 900000 AS fresh FROM feed_quota WHERE {has_feed}
+      ORDER BY CASE WHEN limit_id = 'codex' THEN 2 ELSE 1 END DESC, last_seen_at_ms DESC LIMIT 1),
+l AS (SELECT *, (SELECT now FROM clock) - last_seen_at_ms <= 900000 AS fresh FROM quota_logs
+      ORDER BY CASE WHEN window_kind <> 'primary' THEN 0 WHEN limit_id = 'codex' THEN 2 ELSE 1 END DESC,
+        last_seen_at_ms DESC, source_key DESC LIMIT 1),
+m AS (SELECT * FROM minutes, clock WHERE official_used_percent IS NOT NULL AND minute_start_ms > 0
+        AND now - minute_start_ms <= 900000 ORDER BY minute_start_ms DESC, bucket_key DESC LIMIT 1),
+state AS (
+  SELECT coalesce(a.account_key, CASE WHEN f.fresh THEN f.account_key WHEN l.fresh THEN l.account_key END) AS account_key,
+    a.account_label AS label, a.auth_kind, a.last_seen_at_ms AS observed_at_ms,
+    coalesce(a.plan_type, f.plan_type, l.plan_type) AS plan,
+    coalesce(CASE WHEN f.fresh THEN f.used_percent WHEN l.fresh THEN l.used_percent END, m.official_used_percent) AS used_percent,
+    coalesce(CASE WHEN f.fresh THEN f.resets_at_ms WHEN l.fresh THEN l.resets_at_ms END, m.resets_at_ms) AS resets_at_ms,
+    CASE WHEN f.fresh THEN f.window_minutes::BIGINT WHEN l.fresh THEN l.window_minutes END AS window_minutes,
+    CASE WHEN f.fresh THEN 'app_server' WHEN l.fresh THEN 'jsonl' WHEN m.minute_start_ms IS NULL THEN 'none'
+         WHEN m.official_source = 'app_server' THEN 'app_server' ELSE 'jsonl' END AS source,
+    coalesce(f.fresh, false) AS feed_fresh, coalesce(l.fresh, false) AS log_fresh, f.last_seen_at_ms IS NOT NULL AS feed_any
+  FROM clock LEFT JOIN a ON true LEFT JOIN f ON true LEFT JOIN l ON true LEFT JOIN m ON true),
+shown AS (
+  SELECT s.*, s.used_percent IS NOT NULL OR s.resets_at_ms IS NOT NULL AS available, c.weekly_credit,
+    w.window_id AS near_id, w.window_start_ms, w.resets_at_ms AS near_reset, w.total_tokens, w.credit, w.api_usd
+  FROM state s
+  LEFT JOIN (VALUES ('plus', 3200.0::DOUBLE), ('team', 16000.0::DOUBLE), ('pro', 64000.0::DOUBLE)) AS c(plan, weekly_credit)
+    ON c.plan = lower(s.plan)
+  LEFT JOIN windows w ON true
+  ORDER BY w.window_kind = 'primary' DESC,
+    CASE WHEN s.resets_at_ms IS NOT NULL THEN abs(w.resets_at_ms - s.resets_at_ms) END NULLS LAST,
+    CASE WHEN s.resets_at_ms IS NOT NULL AND w.window_kind = 'primary' THEN w.window_start_ms ELSE -w.window_start_ms END
+  LIMIT 1)
+SELECT coalesce(label, plan) AS display, account_key, auth_kind, plan, NULL::VARCHAR AS provider, weekly_credit, observed_at_ms,
+  used_percent, greatest(100.0::DOUBLE - used_percent, CASE WHEN used_percent IS NOT NULL THEN 0.0::DOUBLE END) AS remaining_percent,
+  resets_at_ms, window_minutes, CASE WHEN available THEN source ELSE 'none' END AS source,
+  CASE WHEN available THEN near_id END AS window_id, near_id AS local_window_id, window_start_ms AS local_start_at_ms,
+  CASE WHEN resets_at_ms IS NOT NULL THEN near_reset END AS local_reset_at_ms, total_tokens AS local_tokens, credit AS local_credit,
+  api_usd AS local_api_usd, CASE WHEN weekly_credit > 0 THEN credit / weekly_credit * 100.0::DOUBLE END AS local_percent,
+  CASE WHEN NOT available THEN true END AS official_stale,
+  concat_ws(',', CASE WHEN NOT feed_fresh THEN CASE WHEN feed_any THEN 'app_server_stale' ELSE 'app_server_unavailable' END END,
+    CASE WHEN log_fresh AND NOT feed_fresh THEN 'official_fallback_jsonl' END,
+    CASE WHEN NOT available THEN 'official_unavailable' END,
+    CASE WHEN weekly_credit IS NULL THEN 'capacity_unconfirmed' END) AS quality_flags
+FROM shown"""
+
+
+ORACLES["current_state"] = _current(True, 60_000)
+ORACLES["current_state_logs"] = _current(False, 60_000)
+ORACLES["current_state_stale"] = _current(True, 86_400_000)
