@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -635,12 +637,13 @@ def feed_daily_tokens(feed: DataFrame) -> DataFrame:
     )
 
 
-# The methodology texts.
+#: Names the rules by which the tables are computed; it changes when a result does.
+CALCULATION_VERSION = "rollups-1"
 FORMULAS = [
-    "total_tokens = non_cached_input + cache_read + output",
-    "credit = model/tier subscription price at event time",
-    "api_usd = model/tier API price at event time",
-    "local_percent = credit / confirmed weekly credit",
+    "total tokens: input that was not cached, cached input and output",
+    "credit: credit rates of model and tier that held when the event happened",
+    "api_usd: dollar rates of model and tier that held when the event happened",
+    "local_percent: credit as a share of the confirmed weekly credit",
 ]
 
 
@@ -648,6 +651,7 @@ def methodology(credit: DataFrame, usd: DataFrame) -> DataFrame:
     """Formulas, sources, defaults and the catalog versions in force."""
     defaults = F.lit(",".join(f"{k}={v:g}" for k, v in CAPACITY_DEFAULTS.items()))
     return pricing_version(credit, usd).select(
+        F.lit(CALCULATION_VERSION).alias("calculation_version"),
         "pricing_version",
         F.array(*[F.lit(s) for s in ("jsonl", "app_server", "ccusage")]).alias("sources"),
         F.array(*[F.lit(f) for f in FORMULAS]).alias("formulas"),
@@ -695,6 +699,27 @@ def report_sections(
     }
 
 
+def report_document(sections: dict[str, DataFrame]) -> DataFrame:
+    """The whole report as one table: a row per item, with its section and its JSON text.
+
+    Fields without a value are written as null.  Items stay rows, since the
+    sessions and minutes of a day have no bound.
+    """
+    parts = [
+        section.select(
+            F.lit(name).alias("section"),
+            F.to_json(F.struct(*section.columns), {"ignoreNullFields": "false"}).alias("item"),
+        )
+        for name, section in sections.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_document(sections: dict[str, DataFrame], folder: str) -> None:
+    """Write the report by one job, as JSON lines in a partition per section."""
+    report_document(sections).write.mode("overwrite").partitionBy("section").text(folder)
+
+
 def write_report(sections: dict[str, DataFrame], folder: str) -> None:
     """Write each section as JSON lines under its own folder."""
     for name, section in sections.items():

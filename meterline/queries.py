@@ -1171,6 +1171,24 @@ def current_state_stale(spark, sf_dir):
     return _current(spark, sf_dir, feed, now_ms, _log_quota(spark, sf_dir))
 
 
+@query
+def report_document(spark, sf_dir):
+    """Items and tokens of every section of the report, counted in its document."""
+    feed, rollups = freeze(_feed(spark, sf_dir), "feed"), _rollups(spark, sf_dir)
+    now_ms = feed.agg(F.max("last_seen_at_ms")).first()[0] + 60_000
+    sections = report.report_sections(
+        {name: freeze(table, name) for name, table in rollups.tables().items()},
+        _log_quota(spark, sf_dir),
+        feed,
+        freeze(adapters.external_raw(spark, sf_dir), "external"),
+        rollups.inputs.capacities,
+        *_catalogs(spark),
+        now_ms,
+    )
+    tokens = F.get_json_object("item", "$.usage.total").cast("bigint")
+    return report.report_document(sections).groupBy("section").agg(F.count(F.lit(1)).alias("items"), F.sum(tokens).alias("tokens"))
+
+
 # --- capacity and scalars --------------------------------------------------
 
 

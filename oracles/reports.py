@@ -350,3 +350,41 @@ FROM shown"""
 ORACLES["current_state"] = _current(True, 60_000)
 ORACLES["current_state_logs"] = _current(False, 60_000)
 ORACLES["current_state_stale"] = _current(True, 86_400_000)
+
+
+def _document() -> str:
+    """Items and tokens of each section of the report of the last day."""
+    from . import logs
+
+    whole = {
+        "daily": core.ORACLES["usage_daily"], "minutes": core.ORACLES["usage_minute"],
+        "sessions": core.ORACLES["usage_session"], "windows": core.ORACLES["usage_window"],
+        "models": ORACLES["report_models"], "runs": ORACLES["latest_run"], "checks": ORACLES["validation"],
+        "card": core.ORACLES["price_card"], "feed_usage": logs.ORACLES["feed_usage_facts"],
+    }
+    tables = ",\n".join(f"{name} AS ({sql})" for name, sql in whole.items())
+    today = "local_date = (SELECT max(local_date) FROM daily)"
+    root = "coalesce(root_session_id, session_id)"
+    counted = {
+        "days": "daily", "selected_day": f"daily WHERE {today}", "selected_minutes": f"minutes WHERE {today}",
+        "selected_turns": f"sessions WHERE {today}", "window_minutes": "minutes WHERE window_id IS NOT NULL",
+        "window_turns": "sessions WHERE window_id IS NOT NULL",
+    }
+    plain = {
+        "selected_models": f"(SELECT count(*) FROM models WHERE {today})",
+        "selected_sessions": f"(SELECT count(DISTINCT {root}) FROM sessions WHERE {today})",
+        "window_sessions": f"(SELECT count(*) FROM (SELECT DISTINCT window_id, {root} FROM sessions WHERE window_id IS NOT NULL))",
+        "quota_windows": "(SELECT count(*) FROM windows)", "validation_latest": "(SELECT count(*) FROM runs)",
+        "validation": "(SELECT count(*) FROM checks)", "price_card": "(SELECT count(*) FROM card)",
+        "account_daily_tokens": "(SELECT least(count(*), 1) FROM feed_usage)",
+        "current": "1", "capacities": "3", "methodology": "1", "audit": "6",
+    }
+    rows = [
+        f"SELECT '{name}' AS section, count(*) AS items, sum(total_tokens)::BIGINT AS tokens FROM {source}"
+        for name, source in counted.items()
+    ]
+    rows += [f"SELECT '{name}', {value}, NULL" for name, value in plain.items()]
+    return f"WITH {tables}\n" + "\nUNION ALL ".join(rows)
+
+
+ORACLES["report_document"] = _document()

@@ -179,6 +179,15 @@ def test_report_sections(spark, rollups, sf_dir, tmp_path):
     assert day.date == "2026-07-20"
     models = spark.read.json(str(tmp_path / "report" / "selected_models"))
     assert models.agg(F.sum("tokens")).first()[0] == day.usage.total
+    report.write_document(sections, str(tmp_path / "document"))
+    document = spark.read.text(str(tmp_path / "document"))
+    assert {r.section for r in document.select("section").distinct().collect()} <= set(sections)
+    kept = spark.read.json(document.filter("section = 'selected_models'").select("value").rdd.map(lambda r: r.value))
+    assert kept.agg(F.sum("tokens")).first()[0] == day.usage.total
+    method = json.loads(document.filter("section = 'methodology'").first().value)
+    assert method["calculation_version"] == report.CALCULATION_VERSION and len(method["formulas"]) == 4
+    current = json.loads(document.filter("section = 'current'").first().value)
+    assert "provider" in current and current["provider"] is None
 
 
 CURRENT_WINDOW = ("window_id string, window_kind string, window_start_ms long, resets_at_ms long, "
