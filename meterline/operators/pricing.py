@@ -98,16 +98,21 @@ def match_rate(models: DataFrame, catalog: DataFrame) -> DataFrame:
     named = catalog.withColumn(
         "name", F.explode(F.concat(F.array(F.col("model")), F.col("aliases")))
     ).withColumn("name", F.lower("name"))
+    fields = [c for c in catalog.columns if c not in ("scheme", "version", "version_no", "aliases")]
+    # A prefix ends before a dash, so a key meets names by equality with its leading parts;
+    # leading parts longer than every name are not formed.
+    longest = named.agg(F.max(F.size(F.split("name", "-"))).alias("_most")).withColumn("_one", F.lit(1))
+    parts = models.withColumns({"_one": F.lit(1), "_parts": F.split("model_key", "-")}).join(longest, "_one")
+    shorter = F.transform(
+        F.sequence(F.lit(1), F.least(F.size("_parts") - 1, F.col("_most"))),
+        lambda n: F.array_join(F.slice("_parts", 1, n), "-"),
+    )
+    leading = F.when((F.size("_parts") > 1) & (F.col("_most") > 0), shorter).otherwise(F.array().cast("array<string>"))
+    asked = parts.select("model_key", F.explode(F.array_append(leading, F.col("model_key"))).alias("name"))
     exact = F.col("model_key") == F.col("name")
-    prefix = F.col("model_key").startswith(F.concat(F.col("name"), F.lit("-")))
     score = F.when(exact, F.lit(EXACT_MODEL_SCORE) + F.length("name")).otherwise(F.length("name"))
-    fields = [c for c in catalog.columns if c not in ("scheme", "version", "version_no", "aliases")]
     best = F.max_by(F.struct(*fields), F.struct(score, F.col("rate_no")))
-    return (
-        models.join(F.broadcast(named), exact | prefix)
-        .groupBy("model_key", "scheme", "version")
-        .agg(best.alias("rate"))
-    )
+    return asked.join(named, "name").groupBy("model_key", "scheme", "version").agg(best.alias("rate"))
 
 
 def _chosen_rate(rate: str, name: str) -> Column:

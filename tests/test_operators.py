@@ -454,3 +454,21 @@ def test_last_row_of_a_session_counts(spark):
     )
     got = {r.n: (r.title, r.relation) for r in rollup.session_meta(rows, sessions).collect()}
     assert got == {1: ("new", "fork"), 2: ("new", "child"), 3: (None, "own")}
+
+
+def test_rates_of_names_against_brute_force(spark):
+    """Exact names, prefixes before a dash, double and trailing dashes, names with many parts, none at all."""
+    credit = credit_catalog(spark)
+    known = [(r.version, r.rate_no, n.lower()) for r in credit.collect() for n in [r.model, *r.aliases]]
+    names = sorted({n for *_, n in known})
+    keys = ["", "-", "none", "-".join("x" * 400), *names]
+    keys += [n + tail for n in names for tail in ("-", "--", "-2026", "-mini-x", "x", "-mini", "-" + "a-" * 50)]
+    asked = spark.createDataFrame([(k,) for k in sorted(set(keys))], "model_key string")
+    got = {(r.model_key, r.version): r.rate.rate_no for r in pricing.match_rate(asked, credit).collect()}
+    expected = {}
+    for key in set(keys):
+        for version in {v for v, *_ in known}:
+            fits = [(1_000_000 * (key == n) + len(n), no) for v, no, n in known if v == version and (key == n or key.startswith(n + "-"))]
+            if fits:
+                expected[key, version] = max(fits)[1]
+    assert got == expected
