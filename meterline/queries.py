@@ -692,11 +692,16 @@ def replayed_quota_drop(spark, sf_dir):
 # --- keyed writes ----------------------------------------------------------
 
 
+def _halves(batch):
+    """The rows that are stored before the batch, and those of the batch."""
+    last = batch.agg(F.max("seq")).first()[0] or 0
+    return batch.filter(F.col("seq") * 2 < last), batch.filter(F.col("seq") * 2 >= last)
+
+
 @query
 def log_upsert(spark, sf_dir):
-    batch = adapters.log_batch(spark, sf_dir)
-    existing = upserts.upsert_logs(None, batch.filter("seq < 500"), ["seq"])
-    merged = upserts.upsert_logs(existing, batch.filter("seq >= 500"), ["seq"])
+    earlier, later = _halves(adapters.log_batch(spark, sf_dir))
+    merged = upserts.upsert_logs(upserts.upsert_logs(None, earlier, ["seq"]), later, ["seq"])
     return merged.select(
         "source_key",
         "kind",
@@ -789,8 +794,8 @@ def file_report(spark, sf_dir):
 @query
 def scan_report(spark, sf_dir):
     batch = adapters.log_batch(spark, sf_dir)
-    existing = batch.filter("seq < 500").select("source_key").distinct()
-    return upserts.batch_report(existing, batch.filter("seq >= 500"))
+    earlier, later = _halves(batch)
+    return upserts.batch_report(earlier.select("source_key").distinct(), later)
 
 
 @query
@@ -970,9 +975,8 @@ def day_view(spark, sf_dir):
 
 @query
 def minute_view(spark, sf_dir):
-    """Minutes of a selected date, as the report shows them."""
-    minute = _rollups(spark, sf_dir).minute.filter("local_date = '2026-07-20'")
-    return report.minute_view(minute).select(
+    """Minutes as the report shows them."""
+    return report.minute_view(_rollups(spark, sf_dir).minute).select(
         "minute_start_ms",
         "window_id",
         "reset_marker",
@@ -1217,9 +1221,7 @@ def _asked_capacity(spark, sf_dir):
     ).otherwise(F.col("plan_type"))
     number = F.substring("session_id", 2, 20).cast("bigint")
     return (
-        adapters.usage_raw(spark, sf_dir)
-        .filter(F.col("source_key").startswith("usage:"))
-        .select(
+        adapters.usage_raw(spark, sf_dir).select(
             "source_key",
             F.concat(F.lit("s"), number % 10).alias("account_key"),
             plan.alias("plan_type"),

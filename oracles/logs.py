@@ -226,11 +226,11 @@ ORACLES["scan_report"] = v.with_ctes(
     _BATCH,
     select="""
 SELECT count(*) AS recognized_events,
-  count(DISTINCT CASE WHEN source_key NOT IN (SELECT source_key FROM batch WHERE seq < 500) THEN source_key END) AS inserted_events,
-  count(*) - count(DISTINCT CASE WHEN source_key NOT IN (SELECT source_key FROM batch WHERE seq < 500) THEN source_key END) AS duplicate_events,
-  count(DISTINCT CASE WHEN kind = 'quota' AND source_key NOT IN (SELECT source_key FROM batch WHERE seq < 500)
+  count(DISTINCT CASE WHEN source_key NOT IN (SELECT source_key FROM batch WHERE seq * 2 < (SELECT max(seq) FROM batch)) THEN source_key END) AS inserted_events,
+  count(*) - count(DISTINCT CASE WHEN source_key NOT IN (SELECT source_key FROM batch WHERE seq * 2 < (SELECT max(seq) FROM batch)) THEN source_key END) AS duplicate_events,
+  count(DISTINCT CASE WHEN kind = 'quota' AND source_key NOT IN (SELECT source_key FROM batch WHERE seq * 2 < (SELECT max(seq) FROM batch))
         THEN source_key END) AS inserted_quota_samples
-FROM batch WHERE seq >= 500""",
+FROM batch WHERE seq * 2 >= (SELECT max(seq) FROM batch)""",
 )
 ORACLES["repair_quota_times"] = v.with_ctes(
     _BATCH,

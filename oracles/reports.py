@@ -85,7 +85,7 @@ ORACLES["day_view"] = over(
 )
 ORACLES["minute_view"] = over(
     """SELECT minute_start_ms, window_id, reset_marker, output_tokens AS usage_output, total_tokens AS usage_total,
-  credit, official_used_percent, quality FROM minutes WHERE local_date = '2026-07-20'""",
+  credit, official_used_percent, quality FROM minutes""",
     minutes="usage_minute",
 )
 ORACLES["minute_cumulative"] = over(
@@ -213,7 +213,7 @@ caps AS (SELECT * FROM (VALUES
 asked AS (
   SELECT source_key, 's' || (CAST(substr(session_id, 2) AS BIGINT) % 10) AS account_key,
     CASE WHEN plan_type = 'team' AND input_tokens % 2 = 0 THEN 'business' ELSE plan_type END AS plan_type,
-    observed_at_ms AS at_ms FROM usage_base),
+    observed_at_ms AS at_ms FROM usage_raw),
 fitting AS (
   SELECT a.source_key, c.profile_code, c.weekly_credit,
     row_number() OVER (PARTITION BY a.source_key ORDER BY
