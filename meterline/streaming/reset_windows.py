@@ -1,11 +1,12 @@
 """Reset windows in event order, with rows held until the watermark passes them.
 
 Quota observations arrive in any order inside the watermark's delay.  A row waits
-in the state of its group under its first sighting, with an event-time timer
-at that time.  When the watermark passes it no earlier row can come, so the
-group's walk takes the row, and what it emits is what a batch over all rows gives.
+in the state of its group in the slot of its first sighting, with an event-time timer
+at the slot's end.  When the watermark passes it no row of the slot can come, so the
+group's walk takes its rows in order, and what it emits is what a batch over all rows gives.
+A group has a timer and a few state values per slot, however many rows that holds.
 
-A group's state is its open window (one row) and the rows of the last ``delay``.
+A group's state is its open window (one row) and the rows of the last ``delay`` and slot.
 A row older than the watermark is dropped by Spark; the touched windows are then
 rebuilt from stored facts (``recompute``).
 """
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -44,6 +46,11 @@ _TAKEN = [
     "last_seen_at_ms", "priority", "source_key", "account_key", "limit_id", "window_kind",
     "used_percent", "window_minutes", "resets_at_ms", "plan_type", "source",
 ]
+_WAITING = ["first_seen_at_ms", *_TAKEN]
+#: Length of a slot: what a row waits at most beyond the watermark's delay.
+SLOT_MS = 600_000
+#: Rows of a batch that a task holds before it puts them into state.
+HELD = 200_000
 
 
 def _largest(left, right):
@@ -110,38 +117,60 @@ def distinct_rows(rows: list[dict]) -> list[dict]:
 
 
 class ResetWindows(StatefulProcessor):
-    """State of one group: rows that wait, by their time, and the open window."""
+    """State of one group: rows that wait, by slot, and the open window."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "seen bigint", "rows string")
+        # A slot's rows lie in numbered parts, so more rows of a slot rewrite none.
+        self.waiting = handle.getMapState("waiting", "slot bigint, part int", "rows string")
+        self.parts = handle.getMapState("parts", "slot bigint", "n int")
         self.open = handle.getValueState("open", _OPEN)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        arrived: dict[int, list[dict]] = {}
+        slots: dict[int, list[str]] = {}
+        held, pick = 0, None
         for row in rows:
-            taken = {n: row[n] for n in _TAKEN}
-            taken["used_percent"] = None if taken["used_percent"] is None else float(taken["used_percent"])
-            arrived.setdefault(row["first_seen_at_ms"], []).append(taken)
-        for seen, more in arrived.items():
-            if self.waiting.containsKey((seen,)):
-                more = json.loads(self.waiting.getValue((seen,))[0]) + more
-            else:
-                self.handle.registerTimer(seen)
-            self.waiting.updateValue((seen,), (json.dumps(distinct_rows(more)),))
+            pick = pick or itemgetter(*map(row.__fields__.index, _WAITING))
+            taken = pick(tuple(row))
+            slots.setdefault(taken[0] // SLOT_MS, []).append(json.dumps(taken, default=float))
+            held += 1
+            if held == HELD:
+                self._put(slots)
+                slots, held = {}, 0
+        self._put(slots)
         return iter(())
 
+    def _put(self, slots: dict[int, list[str]]) -> None:
+        for slot, rows in slots.items():
+            part = self.parts.getValue((slot,))[0] if self.parts.containsKey((slot,)) else 0
+            if not part:
+                self.handle.registerTimer((slot + 1) * SLOT_MS - 1)
+            self.waiting.updateValue((slot, part), ("[" + ",".join(rows) + "]",))
+            self.parts.updateValue((slot,), (part + 1,))
+
+    def _take(self, slot: int) -> dict[int, list[dict]]:
+        """The rows of a slot by their time, which leave the state."""
+        found: dict[int, list[dict]] = {}
+        for part in range(self.parts.getValue((slot,))[0]):
+            for seen, *values in json.loads(self.waiting.getValue((slot, part))[0]):
+                row = dict(zip(_TAKEN, values, strict=True))
+                row["used_percent"] = None if row["used_percent"] is None else float(row["used_percent"])
+                found.setdefault(seen, []).append(row)
+            self.waiting.removeKey((slot, part))
+        self.parts.removeKey((slot,))
+        return found
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         # Timers of a group expire in the order of their times.
-        seen = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.waiting.containsKey((seen,)):
+        slot = expiredTimerInfo.getExpiryTimeInMs() // SLOT_MS
+        if not self.parts.containsKey((slot,)):
             return
         state = dict(zip(_NAMES, self.open.get(), strict=True)) if self.open.exists() else None
-        for row in json.loads(self.waiting.getValue((seen,))[0]):
-            state, closed = advance(state, seen, row)
-            if closed is not None:
-                yield self._row(key[0], closed, True)
-        self.waiting.removeKey((seen,))
+        for seen, rows in sorted(self._take(slot).items()):
+            for row in distinct_rows(rows):
+                state, closed = advance(state, seen, row)
+                if closed is not None:
+                    yield self._row(key[0], closed, True)
         self.open.update(tuple(state[n] for n in _NAMES))
         yield self._row(key[0], state, False)
 
@@ -160,7 +189,7 @@ class ResetWindows(StatefulProcessor):
 
 
 def reset_window_stream(quota: DataFrame, delay: str) -> DataFrame:
-    """Reset windows as the watermark moves: a row each time a window changes, and one when it closes.
+    """Reset windows as the watermark moves: a row for each slot that changes a window, and one when it closes.
 
     ``delay`` is how late a row may come.  The row of a window with the greatest
     ``version`` is its latest.  The stream needs the RocksDB state store.

@@ -101,6 +101,66 @@ def test_reset_windows_close_while_the_stream_runs(spark, sf_dir, tmp_path):
     assert any(r.closed for r in live_rows)
 
 
+def test_reset_windows_wait_by_slot(monkeypatch):
+    """A group's state calls and timers follow its slots, not its rows, also when rows come in several parts."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    monkeypatch.setattr(reset_windows_live, "HELD", 300)
+    calls, timers = [], []
+
+    class Values(dict):
+        def getValue(self, key):
+            calls.append(key)
+            return self[key]
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            self[key] = value
+
+        containsKey = dict.__contains__
+        removeKey = dict.__delitem__
+
+    class One:
+        row = None
+
+        def exists(self):
+            return self.row is not None
+
+        def get(self):
+            return self.row
+
+        def update(self, row):
+            self.row = row
+
+    handle = SimpleNamespace(getMapState=lambda *_: Values(), getValueState=lambda *_: One(), registerTimer=timers.append)
+    walk = reset_windows_live.ResetWindows()
+    walk.init(handle)
+    names = ["quota_group", "first_seen_at_ms", *reset_windows_live._TAKEN]
+    made, base = Row(*names), 1_784_044_800_000
+    percent = [min(k // 20, 90) if k < 1900 else 5 for k in range(2000)]
+    rows = [
+        made("g", base + k * 1000, base + k * 1000, 1, f"k{k}", "a", "codex", "primary", float(percent[k]), 10_080, base + (1 if k < 1900 else 2) * 604_800_000, "plus", "jsonl")
+        for k in range(2000)
+    ]
+    random.Random(3).shuffle(rows)
+    list(walk.handleInputRows(("g",), iter(rows[:900]), None))
+    list(walk.handleInputRows(("g",), iter(rows[900:]), None))
+    slots = {r.first_seen_at_ms // reset_windows_live.SLOT_MS for r in rows}
+    assert len(timers) == len(slots) == 4
+    out = []
+    for at in sorted(timers):
+        out += walk.handleExpiredTimer(("g",), None, SimpleNamespace(getExpiryTimeInMs=lambda at=at: at))
+    assert len(calls) < 150 and not walk.waiting and not walk.parts
+    last = {r.window_id: r for r in sorted(out, key=lambda r: r.version)}
+    found = [(r.window_start_ms, r.resets_at_ms, r.closed, r.version) for _, r in sorted(last.items())]
+    assert found == [
+        (base, base + 1_900_000, True, 1900),
+        (base + 1_900_000, base + 2 * 604_800_000, False, 99),
+    ]
+
+
 def test_reset_walk_as_batch_on_random_rows(spark):
     """The stream's step and the batch's fold agree on ties, nulls, gaps and equal rows."""
     draw = random.Random(11)
