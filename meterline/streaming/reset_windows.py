@@ -132,6 +132,8 @@ class ResetWindows(StatefulProcessor):
         for row in rows:
             pick = pick or itemgetter(*map(row.__fields__.index, _WAITING))
             taken = pick(tuple(row))
+            if taken[0] is None:
+                continue  # a row without a time has no place in the order
             slots.setdefault(taken[0] // SLOT_MS, []).append(json.dumps(taken, default=float))
             held += 1
             if held == HELD:

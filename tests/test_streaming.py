@@ -144,6 +144,7 @@ def test_reset_windows_wait_by_slot(monkeypatch):
         made("g", base + k * 1000, base + k * 1000, 1, f"k{k}", "a", "codex", "primary", float(percent[k]), 10_080, base + (1 if k < 1900 else 2) * 604_800_000, "plus", "jsonl")
         for k in range(2000)
     ]
+    rows.append(made("g", None, *rows[0][2:]))
     random.Random(3).shuffle(rows)
     list(walk.handleInputRows(("g",), iter(rows[:900]), None))
     list(walk.handleInputRows(("g",), iter(rows[900:]), None))
