@@ -94,7 +94,7 @@ def build_windows(quota: DataFrame) -> DataFrame:
 def usage_facts(inputs: Inputs, windows: DataFrame) -> DataFrame:
     """Each counted event once, with its window, price, turn and plan context."""
     records = usage_records(inputs.usage)
-    counted = freeze(usage_window(dedupe_usage(records), windows, records), "usage-counted")
+    counted = freeze(usage_window(dedupe_usage(records), windows, records), "usage-counted", wide=True)
     card = rate_card(counted, inputs.credit, inputs.usd)
     placed = assign_turn(counted, inputs.turns)
     priced = price_events(placed, inputs.credit, inputs.usd, inputs.default_tier, card, counted)
