@@ -148,7 +148,7 @@ def test_reset_windows_wait_by_slot(monkeypatch):
     random.Random(3).shuffle(rows)
     list(walk.handleInputRows(("g",), iter(rows[:900]), None))
     list(walk.handleInputRows(("g",), iter(rows[900:]), None))
-    slots = {r.first_seen_at_ms // reset_windows_live.SLOT_MS for r in rows}
+    slots = {r.first_seen_at_ms // reset_windows_live.SLOT_MS for r in rows if r.first_seen_at_ms is not None}
     assert len(timers) == len(slots) == 4
     out = []
     for at in sorted(timers):
