@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is evaluated once.
+
+    Spark moves a filter below the projection that makes its column and so evaluates the
+    column again; it does not move one below a generator, here of one row.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
 
 def path(value: str, dotted: str) -> str:
     return f"variant_get({value}, '$.{dotted}', 'variant')"
@@ -72,5 +84,5 @@ TOKEN_ALIASES = {
 }
 
 
-def token_fields(value: str) -> dict[str, str]:
-    return {name: integer(first_of(value, *keys)) for name, keys in TOKEN_ALIASES.items()}
+def token_values(value: str) -> dict[str, str]:
+    return {name: first_of(value, *keys) for name, keys in TOKEN_ALIASES.items()}

@@ -38,14 +38,17 @@ class Running:
 
 
 def range_chunks(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
-    """Range-partition by group and order, and keep the partition number as the chunk."""
-    ranged = df.repartitionByRange(*group, *order).withColumn(CHUNK, F.spark_partition_id())
+    """Range-partition by group and order, and keep the partition number as the chunk.
+
+    The ranges are sampled before the rows are moved, so ``df`` is written first and computed once.
+    """
+    ranged = freeze(df, f"{label}-rows").repartitionByRange(*group, *order).withColumn(CHUNK, F.spark_partition_id())
     return freeze(ranged, label)
 
 
 def _summary(run: Running, order: list[str]) -> Column:
     key = F.struct(*order)
-    value = F.col(f"_v_{run.name}")
+    value = run.value
     known = F.when(value.isNotNull(), key)
     if run.how == "last":
         return F.max_by(value, known)
@@ -83,8 +86,7 @@ def ordered_scan(
     Group columns must not be null, and ``order`` must be total within a group.
     """
     kept = df.columns
-    base = df.withColumns({f"_v_{r.name}": r.value for r in runs})
-    summary = base.groupBy(*group, CHUNK).agg(
+    summary = df.groupBy(*group, CHUNK).agg(
         *[_summary(r, order).alias(f"_s_{r.name}") for r in runs]
     )
     earlier = (
@@ -100,14 +102,14 @@ def ordered_scan(
     local = Window.partitionBy(*group, CHUNK).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
     before = local.rowsBetween(Window.unboundedPreceding, -1)
-    joined = base.join(carried, [*group, CHUNK], "left")
+    joined = df.join(carried, [*group, CHUNK], "left")
     return joined.select(
         *kept,
         *[
             _merge(
                 r.how,
                 F.col(f"_c_{r.name}"),
-                _accumulate(r.how, F.col(f"_v_{r.name}"), before if r.before else upto),
+                _accumulate(r.how, r.value, before if r.before else upto),
             ).alias(r.name)
             for r in runs
         ],

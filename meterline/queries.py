@@ -459,8 +459,8 @@ def day_account_tokens(spark, sf_dir):
 
 def _context(spark, sf_dir):
     envelopes = logs.parse_envelope(adapters.log_lines(spark, sf_dir))
-    fields = freeze(logs.line_fields(envelopes), "log-fields")
-    return freeze(logs.carry_context(fields), "log-carried")
+    fields = freeze(logs.line_fields(envelopes), "log-fields", wide=True)
+    return freeze(logs.carry_context(fields), "log-carried", wide=True)
 
 
 @query

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -152,11 +153,10 @@ def scan_changed(spark: SparkSession, active: str, archived: str, known: DataFra
 
 def prefilter(lines: DataFrame) -> DataFrame:
     """Drop lines that cannot carry a fact, before any JSON is parsed."""
-    value = F.col("value")
-    context = value.rlike(f'"type":"({"|".join(CONTEXT_TYPES)})"')
-    message = value.contains('"type":"event_msg"')
-    nested = value.rlike(f'"type":"({"|".join(NESTED_TYPES)})"')
-    return lines.filter(context | (message & nested))
+    def of_type(*names: str) -> Column:
+        return reduce(or_, [F.col("value").contains(f'"type":"{name}"') for name in names])
+
+    return lines.filter(of_type(*CONTEXT_TYPES) | (of_type("event_msg") & of_type(*NESTED_TYPES)))
 
 
 def _parent(payload: str) -> str:
@@ -171,20 +171,33 @@ def _parent(payload: str) -> str:
 
 def parse_envelope(lines: DataFrame) -> DataFrame:
     """Parse each kept line once; a line that is not JSON is dropped."""
-    parsed = prefilter(lines).withColumn("v", F.try_parse_json("value")).filter("v is not null")
-    typed = parsed.select(
+    parsed = j.settled(prefilter(lines).select("path", *LINE, "value"), "v", F.try_parse_json("value")).filter("v is not null")
+    fields = parsed.select(
         "path",
         *LINE,
         "v",
         F.expr(j.path("v", "payload")).alias("p"),
-        F.expr(f"coalesce({j.string(j.path('v', 'type'))}, '')").alias("event_type"),
-        rfc3339_ms(F.expr(j.string(j.path("v", "timestamp")))).alias("observed_at_ms"),
+        F.expr(j.path("v", "type")).alias("_type"),
+        F.expr(j.path("v", "timestamp")).alias("_time"),
     )
-    return typed.withColumn(
-        "inner_type",
-        F.expr(
-            f"if(event_type = 'event_msg', coalesce({j.string(j.path('p', 'type'))}, ''), event_type)"
-        ),
+    typed = fields.select(
+        "path",
+        *LINE,
+        "v",
+        "p",
+        F.expr(j.path("p", "type")).alias("_inner"),
+        F.expr(f"coalesce({j.string('_type')}, '')").alias("event_type"),
+        F.expr(j.string("_time")).alias("_time"),
+    )
+    timed = j.settled(typed, "observed_at_ms", rfc3339_ms(F.col("_time")))
+    return timed.select(
+        "path",
+        *LINE,
+        "v",
+        "p",
+        "event_type",
+        "observed_at_ms",
+        F.expr(f"if(event_type = 'event_msg', coalesce({j.string('_inner')}, ''), event_type)").alias("inner_type"),
     )
 
 
@@ -247,10 +260,25 @@ def default_from_date(now_ms: int) -> str:
 # --- fields of one line ----------------------------------------------------
 
 
-def _tokens(value: str) -> Column:
-    """Normalized token struct of a JSON object; null when every count is zero."""
-    fields = normalized({n: F.expr(e) for n, e in j.token_fields(value).items()})
-    return F.struct(*[c.alias(n) for n, c in fields.items()])
+def _with_tokens(rows: DataFrame, values: dict[str, str]) -> DataFrame:
+    """Per name the normalized token struct of a JSON object; null when every count is zero.
+
+    Each step reads the columns of the one before, so that a key is looked up once.
+    """
+    found = rows.withColumns(
+        {f"_{name}_{n}": F.expr(e) for name, value in values.items() for n, e in j.token_values(value).items()}
+    )
+    counts = {name: {n: f"_{name}_{n}" for n in TOKEN_COLUMNS} for name in values}
+    cells = [c for of_name in counts.values() for c in of_name.values()]
+    whole = found.withColumns({c: F.expr(j.integer(c)) for c in cells})
+    normal = whole.withColumns(
+        {c: value for of_name in counts.values()
+         for c, value in zip(of_name.values(), normalized({n: F.col(c) for n, c in of_name.items()}).values())}
+    )
+    tokens = {name: {n: F.col(c) for n, c in of_name.items()} for name, of_name in counts.items()}
+    return normal.withColumns(
+        {name: F.when(F.col(value).isNotNull() & observed(tokens[name]), token_struct(tokens[name])) for name, value in values.items()}
+    ).drop(*cells)
 
 
 def line_fields(envelopes: DataFrame) -> DataFrame:
@@ -321,21 +349,15 @@ def line_fields(envelopes: DataFrame) -> DataFrame:
         ).alias("limits"),
     )
 
-    def known(name: str, value: str) -> Column:
-        tokens = _tokens(value)
-        return F.when(
-            F.col(value).isNotNull() & observed(struct_fields(tokens)), tokens
-        ).alias(name)
-
     windows = F.array(*[_limit_window(kind) for kind in ("primary", "secondary")])
-    return picked.select(
+    return _with_tokens(picked, {"last_usage": "last_value", "cumulative": "total_value"}).select(
         *[c for c in picked.columns if c not in ("tier_value", "last_value", "total_value", "limits")],
         F.when(
             F.col("tier_value").isNotNull(),
             F.struct(normalize_tier(F.expr(j.string("tier_value"))).alias("tier")),
         ).alias("tier_set"),
-        known("last_usage", "last_value"),
-        known("cumulative", "total_value"),
+        "last_usage",
+        "cumulative",
         F.expr(j.string(j.first_of("limits", "plan_type", "plan_type_raw"))).alias("limits_plan"),
         F.when(
             F.expr("schema_of_variant(limits) like 'OBJECT%'"),
@@ -392,6 +414,12 @@ def usage_delta(last: Column, cumulative: Column, previous: Column) -> tuple[Col
     return tokens, note
 
 
+#: Fields of a line that nothing reads once they are carried.
+_CARRIED = [
+    "own_lineage", "provider_set", "model_set", "effort_set", "tier_set", "turn_value", "is_context", "task_started_at", "seed",
+]
+
+
 def _after(position: Column, change: Column) -> Column:
     return change.isNull() | (position > change)
 
@@ -485,10 +513,11 @@ def carry_context(fields: DataFrame) -> DataFrame:
                     F.col("seed.plan"), F.when(F.col("counts"), F.col("limits_plan"))
                 ),
             }
-        ).drop("session_before", "turn_before", "counter_before", "change_pos", "added"),
+        ).drop(*_CARRIED, "session_before", "turn_before", "counter_before", "carried_turn", "change_pos", "added"),
         "log-context",
+        wide=True,
     )
-    return ordered_scan(
+    carried = ordered_scan(
         frozen,
         ["path"],
         LINE,
@@ -497,6 +526,7 @@ def carry_context(fields: DataFrame) -> DataFrame:
             Running("plan", "last", F.col("plan_set")),
         ],
     )
+    return carried.drop("started_set", "plan_set", CHUNK)
 
 
 # --- facts -----------------------------------------------------------------
@@ -636,7 +666,7 @@ def extract_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     envelopes = parse_envelope(lines)
     headers = freeze(file_header(envelopes), "log-headers")
     context = freeze(
-        carry_context(freeze(line_fields(envelopes), "log-fields")), "log-carried"
+        carry_context(freeze(line_fields(envelopes), "log-fields", wide=True)), "log-carried", wide=True
     )
     facts = (
         session_facts(context)

@@ -168,10 +168,10 @@ def _extract(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
     """Store facts (by place), headers and carried state of new lines; return the facts."""
     spark = batch.sparkSession
     envelopes = logs.parse_envelope(freeze(batch_lines(batch), "stream-lines"))
-    fields = freeze(logs.line_fields(envelopes), "stream-fields")
+    fields = freeze(logs.line_fields(envelopes), "stream-fields", wide=True)
     states = context_store(spark, folder)
     before = states.lookup(fields, batch_id)
-    context = freeze(logs.carry_context(fields.unionByName(_seed_rows(before, fields))), "stream-context")
+    context = freeze(logs.carry_context(fields.unionByName(_seed_rows(before, fields))), "stream-context", wide=True)
     lines = context.filter("inner_type <> 'seed'")
     facts = (
         logs.session_facts(lines)

@@ -233,3 +233,21 @@ def test_pruning_and_date_filter(spark):
     facts = spark.range(2).select((F.col("id") + 1785513599999).alias("observed_at_ms"))
     assert logs.filter_from(facts, "2026-08-01").count() == 1
     assert logs.default_from_date(1785825600000) == "2026-07-06"
+
+
+def test_a_line_is_parsed_once(spark):
+    """Filters on what the JSON holds must not move below the step that parses it."""
+    text = '{"timestamp":"2026-08-04T06:40:00Z","type":"event_msg","payload":{"type":"token_count","info":{"last_token_usage":{"input_tokens":5}}}}'
+    lines = spark.createDataFrame([("a", "active", 0, n, v) for n, v in enumerate([text, text[:-1], text])], logs._LINE_SCHEMA)
+    fields = logs.line_fields(logs.parse_envelope(lines))
+    assert fields._jdf.queryExecution().executedPlan().toString().lower().count("parsejson") == 1
+    counts = (5, 0, 0, 0, 0, 5)
+    assert [(r.line_no, tuple(r.last_usage), r.cumulative) for r in fields.orderBy("line_no").collect()] == [(0, counts, None), (2, counts, None)]
+
+
+def test_carried_lines_hold_what_facts_read(spark, write_log, tmp_path):
+    write_log("a.jsonl", [session_line(T.format(0, 1), id="s"), usage_line(T.format(0, 2), last=5)])
+    lines = logs.scan_logs(spark, str(tmp_path / "sessions"), str(tmp_path / "archived"))
+    carried = logs.carry_context(freeze(logs.line_fields(logs.parse_envelope(lines)), "fields"))
+    assert not {"_chunk", "model_set", "started_set", "own_lineage", "seed"} & set(carried.columns)
+    assert [(r.session_id, r.counts) for r in carried.orderBy("line_no").collect()] == [("s", False), ("s", True)]

@@ -270,6 +270,18 @@ def test_turns_against_brute_force(spark):
     assert got == {k: brute(s, own, t) for k, s, own, t in usage_rows}
 
 
+def test_range_chunks_compute_their_rows_once(spark):
+    computed = spark.sparkContext.accumulator(0)
+
+    def row(n):
+        computed.add(1)
+        return ("g", n)
+
+    data = spark.createDataFrame(spark.sparkContext.parallelize(range(300), 3).map(row), "g string, i long")
+    assert range_chunks(data, ["g"], ["i"], "once").count() == 300
+    assert computed.value == 300
+
+
 def test_ordered_scan_over_a_hot_group(spark):
     rng = random.Random(1)
     rows = [("hot" if rng.random() < 0.8 else f"g{rng.randrange(5)}", i,
