@@ -95,6 +95,16 @@ def test_feed_shapes(spark):
     assert "a@b.c" not in str(rows).lower()
 
 
+def test_a_message_is_parsed_once(spark):
+    quota = '{"result":{"rateLimits":{"limitId":"codex","primary":{"usedPercent":7,"resetsAt":1786839350},"secondary":{}}}}'
+    raw = spark.createDataFrame([(1, 0, 5, quota), (1, 1, 5, "{")], "poll_id long, msg_no int, polled_at_ms long, value string")
+    found = account_feed.feed_quota_facts(account_feed.parse_messages(raw))
+    assert found._jdf.queryExecution().executedPlan().toString().lower().count("parsejson") == 1
+    assert [(r.limit_id, r.window_kind, r.used_percent, r.resets_at_ms) for r in found.collect()] == [("codex", "primary", 7.0, 1786839350000)]
+    # Four kinds of rows read the parsed messages, not the text.
+    assert "parsejson" not in account_feed.feed_facts(raw)._jdf.queryExecution().executedPlan().toString().lower()
+
+
 def test_unavailable_feed_blanks_the_account(spark):
     facts = feed(spark, {"result": {"account": {"id": "acc"}}}, {"error": {"code": 1}})
     assert facts.filter("status = 'unavailable'").count() == 1
@@ -162,6 +172,11 @@ def test_rollups_agree_and_publish_together(spark, rollups, tmp_path):
     assert primary.isEmpty()
 
 
+def test_session_rows_are_computed_once(rollups):
+    files = rollups.session.inputFiles()
+    assert any("session-rows" in f for f in files) and not any("usage-facts" in f for f in files)
+
+
 def test_report_sections(spark, rollups, sf_dir, tmp_path):
     from meterline.sources.catalogs import credit_catalog, usd_catalog
 
