@@ -511,3 +511,18 @@ def test_limits_follow_each_group_and_no_constant(spark):
     for i in (1, 2, 3):
         assert len({x[i] for x in limits}) >= 2
     assert judged.filter("source = 'only'").first()["most_symbol_rate"] is None
+
+
+def test_pipeline_near_duplicates_join_texts_with_a_bit_per_row(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(i, prose(1000 + i % 300, 40)) for i in range(400)] + [(None, prose(1000, 40)), (400, None), (401, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    out = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    classes = classes_of(spark, [t for _, t in rows])
+    first = {}
+    for (doc_id, _), c in zip(rows, classes, strict=True):
+        first[c] = min(first.get(c, (True, 0)), (doc_id is None, doc_id or 0))
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(d for _, d in first.values())
+    kept = [f for f in out.inputFiles() if "near-kept" in f]
+    assert kept and spark.read.parquet(*kept).count() <= len(rows) // 64 + 4
