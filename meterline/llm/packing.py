@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,15 +105,16 @@ def _first(tokenizer: str, capacity: int):
         encoder, bins = Encoder(tokenizer), Bins(f"0-{TaskContext.get().partitionId()}", capacity)
         end = np.zeros(1, dtype="<u4")
         for batch in batches:
-            rows, doc_ids, texts = (batch.column(c).to_pylist() for c in ("row", "doc_id", "text"))
+            rows, doc_ids, column = batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")
+            sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
             low = 0
-            while low < len(texts):
+            while low < len(rows):
                 # Some megabytes of text at a time bound the memory, whatever the batch holds.
                 high, held, out = low, 0, []
-                while high < len(texts) and held < 2_000_000:
-                    held += len(texts[high] or "")
+                while high < len(rows) and held < 2_000_000:
+                    held += sizes[high]
                     high += 1
-                for i, ids in enumerate(encoder.ids([t or "" for t in texts[low:high]]), low):
+                for i, ids in enumerate(encoder.ids([t or "" for t in column.slice(low, high - low).to_pylist()]), low):
                     packed, start, tokens = np.concatenate([ids, end]).tobytes(), 0, len(ids) + 1
                     for length in cut(tokens, capacity):
                         out += bins.add((rows[i], doc_ids[i], start, length, tokens, packed[4 * start : 4 * (start + length)]))

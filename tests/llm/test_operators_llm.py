@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -257,6 +258,41 @@ def test_remembered_stretches_give_whole_text_ids(tokenizer):
         assert encoder.starts(text).tolist() == [list(x) for x in whole.offsets], repr(text)
 
 
+def test_words_cut_and_merged_in_numpy_give_whole_text_ids(tokenizer, monkeypatch):
+    from public_tokenizers import path
+
+    encoder, draw = tokens.Encoder(path("byte_bpe_50k.json")), random.Random(5)
+    plain = list("abcdeeeooXYZ 0199   \n\t\r'strevmld.,;-_«»éßñжяΑω中文글カ。！—…’")
+    texts = ["".join(draw.choices(plain, k=draw.randint(0, 80))) for _ in range(2_000)]
+    texts += ["", "aaaaaaa eeeeeeeee ooooooooooo", "it's we'll I'd 've 're'd ''s don'T", "<|endoftext|>", " \n  x  \n", "z" * 5_000, prose(3, 2_000)]
+    want = [t.ids for t in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with monkeypatch.context() as m:  # such words need no other tokenizer
+        m.setattr(tokens.Encoder, "tokenizer", None)
+        assert [x.tolist() for x in encoder.ids(texts)] == want
+    odd = [t + draw.choice("\x00\x1c\u00aa\u00b2\u0301\u0905\ufb01\x85\u200b\U0001f600") + u for t, u in itertools.pairwise(texts)]
+    want = [t.ids for t in tokenizer.encode_batch(texts[:50] + odd, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.ids(texts[:50] + odd)] == want
+
+
+def test_remembered_ids_are_bounded():
+    from public_tokenizers import path
+
+    encoder = tokens.Encoder(path("byte_bpe_50k.json"))
+    for low in range(0, 400_000, 50_000):
+        encoder.ids([" ".join("abcdefghij"[int(d)] for d in str(i)) if i % 100 == 0 else "".join("abcdefghij"[int(d)] for d in str(i)) for i in range(low, low + 50_000)])
+        assert len(encoder.known) <= 300_000
+
+
+def test_other_merges_are_left_to_the_tokenizer(tmp_path):
+    from public_tokenizers import path
+
+    said = json.loads(Path(path("byte_bpe_50k.json")).read_text())
+    assert tokens.merges_of(path("byte_bpe_50k.json")) is not None
+    for name, part, change in (("space", "pre_tokenizer", {"add_prefix_space": True}), ("whole", "model", {"ignore_merges": True}), ("order", "model", {"merges": said["model"]["merges"][::-1]})):
+        (tmp_path / name).write_text(json.dumps(said | {part: said[part] | change}))
+        assert tokens.merges_of(str(tmp_path / name)) is None
+
+
 def test_packing_places_every_id_once(spark, tables, tokenizer):
     rows = packing.op6_harmonic_packing(spark, tables[0]).collect()
     want = Counter()
