@@ -11,6 +11,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,6 +275,19 @@ def test_words_cut_and_merged_in_numpy_give_whole_text_ids(tokenizer, monkeypatc
     assert [x.tolist() for x in encoder.ids(texts[:50] + odd)] == want
 
 
+def test_frozen_tables_pass_bounded_batches_to_python(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    name, texts = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 3_000, 1, 1).selectExpr("repeat(CAST(id AS STRING), 3000) AS text")
+    before = spark.conf.get(name, None)
+    seen = freeze(texts.mapInArrow(sizes, "rows bigint, bytes bigint"), "test").collect()
+    assert sum(r["rows"] for r in seen) == 3_000
+    assert max(r["bytes"] for r in seen) < 6_000_000
+    assert spark.conf.get(name, None) == before
+
+
 def test_remembered_ids_are_bounded():
     from public_tokenizers import path
 
