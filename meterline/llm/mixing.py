@@ -17,7 +17,10 @@ and the byte, and cut by key range into shards, whose number grows with the part
 shard holds all that follows its contexts, so it knows the odds on every byte's path
 and answers each chunk; a chunk then puts its parts' predictions together.  Nothing
 has a fixed size and no two contexts share a count (but for equal 56-bit hashes).
-Predictions of ``FREQUENT`` parts are broadcast, those of all others come by a join.
+
+Texts lie in sealed pieces (compressed Arrow batches), and pieces are dealt to blocks of
+about ``BLOCK_BYTES``.  Counting notes the blocks of each part, so a part's prediction goes once
+to each block that has it, sealed with others, and a block's texts are scored beside them, some blocks a round.
 
 The base score is a unigram's: tokens are lower-cased words and one end.  Counts
 of frequent words are looked up in place, those of all others come by a join.
@@ -31,18 +34,27 @@ import heapq
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import delete, keep, recorded, scratch
 from .common import documents, freeze, lower_words, mix64, training_rows
 
 #: Slots of a model whose tables are held in memory (``Model``).
 SLOT_BITS = 22
 #: Bytes of the parts of a chunk, and about how many of them a shard answers for.
 CHUNK_BYTES, SHARD_BYTES = 400_000, 1_000_000
+#: Bytes of the texts of a piece, and about how many of them a block holds.
+PIECE_BYTES, BLOCK_BYTES = 1_000_000, 16_000_000
+#: Bytes of predictions that wait for others of their blocks before they are sealed.
+WAITING_BYTES = 64_000_000
+#: Blocks are scored in so many rounds, so that a part of the predictions and texts is on its way at a time; a round has so many blocks at least.
+ROUNDS, ROUND_BLOCKS = 4, 16
 CONTEXTS = 3
 #: How often the longest context was seen opens one of so many sets of weights (a power of two), from these starts.
 GATES = 4
@@ -51,10 +63,6 @@ START = np.array([[0.45, 0.3, 0.2, 0.2], [0.6, 0.5, 0.45, 0.3], [0.1, 0.3, 0.45,
 STRETCH = 64
 RATE = 1.0
 FREQUENT = 50_000
-#: Bytes of a prediction that is broadcast.
-SHORT = 2_000
-#: Remembered words; clearing them changes no result.
-MOST = 150_000
 #: Byte values; 0xFF, which UTF-8 has no use for, is the end mark.
 SYMBOLS = 256
 _UNIT = re.compile(rb"[^ \t\n\r\x0b\x0c\xff]*[ \t\n\r\x0b\x0c\xff]")
@@ -159,22 +167,22 @@ class Scorer:
 
     def reset(self) -> None:
         self.known.clear()
-        self.store = np.zeros(1 << 16, dtype=np.int32)  # a decision's odds by predictor, and its gate and bit: a byte each
-        self.first, self.count, self.used = [], [], 0
-
-    def remember(self, parts: list[bytes], predictions: list[bytes]) -> None:
-        """Keep the predictions of parts not known yet."""
-        data = np.frombuffer(b"".join(predictions), dtype=np.int32)
-        n = len(data)
-        while self.used + n > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
-        self.store[self.used : self.used + n] = data
-        per = np.array([len(p) // (CONTEXTS + 1) for p in predictions], dtype=np.int64)
-        base = len(self.first)
-        self.first.extend((self.used + np.cumsum(per) - per).tolist())
-        self.count.extend(per.tolist())
-        self.known.update(zip(parts, range(base, base + len(parts)), strict=True))
-        self.used += n
+        self.store = np.zeros(0, dtype=np.int32)  # a decision's odds by predictor, and its gate and bit: a byte each
+        self.first, self.count = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def remember(self, told: list[pa.RecordBatch]) -> None:
+        """Keep the predictions (part, prediction) of parts not known yet."""
+        data, per = [], []
+        for batch in told:
+            self.known.update(zip(batch.column("part").to_pylist(), range(len(self.known), len(self.known) + len(batch)), strict=True))
+            column = batch.column("prediction")
+            edge = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+            if len(batch):
+                data.append(np.frombuffer(column.buffers()[2], dtype=np.int8)[edge[0] : edge[-1]].view(np.int32))
+                per.append(np.diff(edge) // (CONTEXTS + 1))
+        self.store = np.concatenate([self.store, *data])
+        self.count = np.concatenate([self.count, *per])
+        self.first = np.cumsum(self.count) - self.count
 
     def learn(self, parts: list[bytes]) -> None:
         raise KeyError(f"no prediction for {len(parts)} parts, such as {parts[0][:40]!r}")
@@ -186,7 +194,7 @@ class Scorer:
         if new:
             self.learn(new)
         ids = [np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts)) for parts in split]
-        first, count = np.array(self.first), np.array(self.count)
+        first, count = self.first, self.count
         n = len(texts)
         weights = np.tile(START, (1, n))
         hits = np.zeros((n * GATES, 16, 2), dtype=np.float32)
@@ -254,33 +262,62 @@ class Model(Scorer):
             for i in range(CONTEXTS):
                 view[:, i] = self.odds[i][slots[i]]
             view[:, CONTEXTS] = self.odds[CONTEXTS][slots[-1]] + GATES * bits
-            self.remember(some, _pieces(view, per))
+            self.remember([pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), _pieces(view, per)], names=["part", "prediction"])])
 
 
-def _pieces(view: np.ndarray, per: np.ndarray) -> list[bytes]:
+def _pieces(view: np.ndarray, per: np.ndarray) -> pa.Array:
     """The predictions of each part, from those of all in a row."""
-    data, edge = view.tobytes(), (np.concatenate([[0], np.cumsum(per)]) * (CONTEXTS + 1)).tolist()
-    return [data[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
+    edge = (np.concatenate([[0], np.cumsum(per)]) * (CONTEXTS + 1)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(edge), pa.py_buffer(np.ascontiguousarray(view))])
+
+
+def _seal(batch: pa.RecordBatch) -> bytes:
+    """A batch as compressed bytes."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unseal(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def _sealed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of texts with their bytes."""
+    for batch in batches:
+        size = np.asarray(pc.binary_length(batch.column("text")).fill_null(0), dtype=np.int64)
+        low = 0
+        while low < len(batch):
+            n = max(1, int(np.searchsorted(np.cumsum(size[low:]), PIECE_BYTES, side="right")))
+            data = _seal(batch.slice(low, n))
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([int(size[low : low + n].sum())], pa.int64())], names=["sealed", "size"])
+            low += n
 
 
 def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts with their count in the texts not held out."""
+    """Parts with their count in the texts not held out, by block; a block's pieces come in a row."""
     counts: Counter = Counter()
+    at = None
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["part", "n"])
+        block = pa.array(np.full(len(counts), at, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64()), block], names=["part", "n", "block"])
 
     for batch in batches:
-        for text, held_out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
-            if held_out:
-                for part in units(text):
-                    counts.setdefault(part, 0)
-            else:
-                counts.update(units(text))
-            if len(counts) > 400_000:
+        for block, data in zip(batch.column("block").to_pylist(), batch.column("sealed").to_pylist(), strict=True):
+            if counts and (block != at or len(counts) > 400_000):
                 yield out()
                 counts.clear()
-    yield out()
+            at, piece = block, _unseal(data)
+            for text, held_out in zip(piece.column("text").to_pylist(), piece.column("held_out").to_pylist(), strict=True):
+                if held_out:
+                    for part in units(text):
+                        counts.setdefault(part, 0)
+                else:
+                    counts.update(units(text))
+    if counts:
+        yield out()
 
 
 def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,19 +331,23 @@ def _bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of parts in a row."""
-    parts, counts, size = [], [], 0
+    parts, counts, blocks, size = [], [], [], 0
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([parts], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))], names=["parts", "counts"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([parts], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64())), pa.array([blocks], pa.list_(pa.list_(pa.int32())))],
+            names=["parts", "counts", "blocks"],
+        )
 
     for batch in batches:
-        for part, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist(), strict=True):
+        for part, n, where in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "blocks")), strict=True):
             parts.append(part)
             counts.append(n)
+            blocks.append(where)
             size += len(part)
             if size >= CHUNK_BYTES:
                 yield out()
-                parts, counts, size = [], [], 0
+                parts, counts, blocks, size = [], [], [], 0
     if parts:
         yield out()
 
@@ -380,11 +421,11 @@ def _answer(tree: Tree):
 
 
 def _together(tree: Tree):
-    """(part, n, prediction) of each part of the chunks, from the shards' answers."""
+    """(part, n, blocks, prediction) of each part of the chunks, from the shards' answers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for parts, counts, answers in zip(*(batch.column(c).to_pylist() for c in ("parts", "counts", "answers")), strict=True):
+            for parts, counts, blocks, answers in zip(*(batch.column(c).to_pylist() for c in ("parts", "counts", "blocks", "answers")), strict=True):
                 answers.sort(key=lambda a: a["shard"])
                 odds, seen = (np.frombuffer(b"".join(a[c] for a in answers), dtype=np.int8) for c in ("odds", "seen"))
                 keys, place, symbol, per = _keys(parts)
@@ -402,59 +443,81 @@ def _together(tree: Tree):
                 for low in range(0, len(parts), 5_000):
                     here = slice(low, low + 5_000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(parts[here], pa.binary()), pa.array(counts[here], pa.int64()), pa.array(pieces[here], pa.binary())], names=["part", "n", "prediction"]
+                        [pa.array(parts[here], pa.binary()), pa.array(counts[here], pa.int64()), pa.array(blocks[here], pa.list_(pa.int32())), pieces[here]],
+                        names=["part", "n", "blocks", "prediction"],
                     )
 
     return run
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sealed predictions (part, prediction) of the parts that each block has."""
+    waiting, size = [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        told = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+        blocks = told.column("blocks")
+        block = blocks.flatten().to_numpy()
+        part = np.repeat(np.arange(len(told)), blocks.value_lengths().to_numpy())
+        order = np.argsort(block, kind="stable")
+        block, part = block[order], part[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]).tolist()
+        told = told.select(["part", "prediction"])
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            if x < y:
+                data = _seal(told.take(pa.array(part[x:y])))
+                yield pa.RecordBatch.from_arrays([pa.array([block[x]], pa.int32()), pa.array([data], pa.binary())], names=["block", "sealed"])
+
+    for batch in batches:
+        if len(batch):
+            waiting.append(batch)
+            size += batch.nbytes
+        if size >= WAITING_BYTES:
+            yield from out()
+            waiting, size = [], 0
+    if waiting:
+        yield from out()
+
+
 def train(parts: DataFrame) -> DataFrame:
-    """(part, n, prediction) for counted parts (part, n), a frozen table; those with n = 0 teach nothing."""
+    """(part, n, blocks, prediction) for counted parts (part, n, perhaps blocks), a frozen table; those with n = 0 teach nothing."""
+    if "blocks" not in parts.columns:
+        parts = parts.withColumn("blocks", F.expr("CAST(array() AS array<int>)"))
     counts = np.zeros(SYMBOLS, dtype=np.int64)
-    for r in parts.mapInArrow(_bytes_of, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
+    for r in parts.select("part", "n").mapInArrow(_bytes_of, "symbol bigint, n bigint").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]
     tree = Tree(counts)
     size = parts.agg(F.sum(F.length("part"))).first()[0] or 0
     shard_bits = max(0, int(size // SHARD_BYTES)).bit_length()
-    # Parts in order share their beginnings, so a chunk asks for few keys.
-    ordered = parts.repartitionByRange("part").sortWithinPartitions("part")
-    chunks = freeze(ordered.mapInArrow(_packed, "parts array<binary>, counts array<bigint>").withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
-    asked = chunks.mapInArrow(_asked(shard_bits), "chunk bigint, shard bigint, keys binary, counts binary")
-    answers = asked.groupBy("shard").applyInArrow(_answer(tree), "chunk bigint, shard bigint, odds binary, seen binary")
-    answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "odds", "seen")).alias("answers"))
-    told = chunks.join(answers, "chunk").select("parts", "counts", "answers")
-    return freeze(told.mapInArrow(_together(tree), "part binary, n bigint, prediction binary"), "lm-predictions")
-
-
-def _others(shared):
-    """(row, part) for the distinct parts of each text that are not broadcast."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
-        for batch in batches:
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                parts = [p for p in set(units(text)) if p not in frequent]
-                if parts:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(parts), row)), pa.array(parts, pa.binary())], names=["row", "part"])
-
-    return run
+    with scratch(parts.sparkSession):
+        # Parts in order share their beginnings, so a chunk asks for few keys.
+        ordered = parts.repartitionByRange("part").sortWithinPartitions("part")
+        packed = ordered.mapInArrow(_packed, "parts array<binary>, counts array<bigint>, blocks array<array<int>>")
+        chunks = freeze(packed.withColumn("chunk", F.monotonically_increasing_id()), "lm-chunks")
+        asked = chunks.select("chunk", "parts", "counts").mapInArrow(_asked(shard_bits), "chunk bigint, shard bigint, keys binary, counts binary")
+        answers = asked.groupBy("shard").applyInArrow(_answer(tree), "chunk bigint, shard bigint, odds binary, seen binary")
+        answers = answers.groupBy("chunk").agg(F.collect_list(F.struct("shard", "odds", "seen")).alias("answers"))
+        told = chunks.join(answers, "chunk").select("parts", "counts", "blocks", "answers")
+        return keep(told.mapInArrow(_together(tree), "part binary, n bigint, blocks array<int>, prediction binary"), "lm-predictions")
 
 
 _SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_frequent bigint, frequent_log double, score double, rare array<struct<token:binary,n:int>>"
 
 
-def _score(shared, frequent):
-    """frequent: log10 of the count plus one of each frequent token."""
+def _score(frequent):
+    """The rows of a block's texts, beside the predictions of their parts.  frequent: log10 of the count plus one of each frequent token."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, logs = shared.value, frequent.value
+    def run(table: pa.Table) -> pa.Table:
+        logs = frequent.value
         model = Scorer()
-        model.remember(list(common), list(common.values()))
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            others = batch.column("others")
-            edge = others.offsets.to_pylist()
-            names, told = others.values.field("part"), others.values.field("prediction")
+        told = table.column("told").to_pylist()
+        model.remember([_unseal(data) for data, t in zip(table.column("sealed").to_pylist(), told, strict=True) if t])
+        out = []
+        for data, t in zip(table.column("sealed"), told, strict=True):
+            if t:
+                continue
+            piece = _unseal(data.as_py())
+            texts = piece.column("text").to_pylist()
             tokens, known, log, rare, scores = [], [], [], [], []
             low = 0
             while low < len(texts):
@@ -462,12 +525,6 @@ def _score(shared, frequent):
                 while high < len(texts) and size < 400_000:
                     size += len(texts[high] or "")
                     high += 1
-                if len(model.known) > MOST:
-                    model.reset()
-                    model.remember(list(common), list(common.values()))
-                x, y = edge[low], edge[high]
-                new = {p: i for i, p in enumerate(names[x:y].to_pylist(), x) if p not in model.known}
-                model.remember(list(new), told.take(pa.array(new.values(), pa.int64())).to_pylist())
                 scores.append(model.scores(texts[low:high]))
                 low = high
             for text in texts:
@@ -485,11 +542,12 @@ def _score(shared, frequent):
                 log.append(here)
                 rare.append(unknown)
             kind = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()),
-                 pa.array(np.concatenate(scores) if scores else np.zeros(0)), pa.array(rare, kind)],
+            out.append(pa.RecordBatch.from_arrays(
+                [piece.column("doc_id"), piece.column("held_out"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(log, pa.float64()),
+                 pa.array(np.concatenate(scores)), pa.array(rare, kind)],
                 names=["doc_id", "held_out", "n_tokens", "n_frequent", "frequent_log", "score", "rare"],
-            )
+            ))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -498,30 +556,41 @@ def score(docs: DataFrame) -> DataFrame:
     """Every row of ``docs`` (doc_id, text, held_out), scored by what the rows not held out teach."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), "held_out")
-    docs = freeze(docs.withColumn("row", F.monotonically_increasing_id()), "lm-texts")
-    parts = docs.select("text", "held_out").mapInArrow(_count_units, "part binary, n bigint")
-    parts = freeze(parts.groupBy("part").agg(F.sum("n").alias("n")), "lm-parts")
-    told = train(parts)
-    parts = parts.where("n > 0")
-    # Tokens: parts in lower case, without the byte that closes them.
-    ends = F.sum(F.when(F.expr("hex(substring(part, -1, 1)) = 'FF'"), F.col("n")).otherwise(0))
-    bare = F.expr("substring(part, 1, length(part) - 1)").cast("string")
-    lower = F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
-    tokens = parts.select(lower.alias("token"), "n").where(F.length("token") > 0).groupBy("token").agg(F.sum("n").alias("c"))
-    tokens = freeze(tokens, "lm-tokens")
-    end = parts.agg(ends.alias("n")).first()["n"] or 0
-    sums = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    n_all, distinct = (sums["n"] or 0) + end, sums["v"] + (1 if end else 0)
-    top = tokens.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
-    frequent = spark.sparkContext.broadcast({bytes(r["token"]): float(np.log10(r["c"] + 1)) for r in top})  # FREQUENT words at most
-    best = told.where(F.length("prediction") <= SHORT).orderBy(F.desc("n"), "part").limit(FREQUENT).select("part", "prediction").collect()
-    shared = spark.sparkContext.broadcast({bytes(r["part"]): bytes(r["prediction"]) for r in best})  # FREQUENT * SHORT bytes at most
-    asked = docs.select("row", "text").mapInArrow(_others(shared), "row bigint, part binary")
-    others = asked.join(told.select("part", "prediction"), "part").groupBy("row").agg(F.collect_list(F.struct("part", "prediction")).alias("others"))
-    none = F.expr("CAST(array() AS array<struct<part:binary,prediction:binary>>)")
-    joined = docs.join(others, "row", "left").select("doc_id", "held_out", "text", F.coalesce("others", none).alias("others"))
-    scored = joined.mapInArrow(_score(shared, frequent), _SCORED).withColumn("row", F.monotonically_increasing_id())
-    scored = freeze(scored, "lm-scored")
+    with scratch(spark):
+        pieces = docs.mapInArrow(_sealed_texts, "sealed binary, size bigint").withColumn("piece", F.monotonically_increasing_id())
+        pieces = freeze(pieces, "lm-texts")
+        blocks = max(1, -(-(pieces.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES))
+        block = F.pmod(F.xxhash64("piece"), F.lit(blocks)).cast("int").alias("block")
+        texts = pieces.select(block, "sealed")
+        units_of = texts.repartition("block").sortWithinPartitions("block").mapInArrow(_count_units, "part binary, n bigint, block int")
+        with recorded() as counted:
+            parts = freeze(units_of.groupBy("part").agg(F.sum("n").alias("n"), F.collect_set("block").alias("blocks")), "lm-parts")
+        learnt = parts.where("n > 0")
+        # Tokens: parts in lower case, without the byte that closes them.
+        ends = F.sum(F.when(F.expr("hex(substring(part, -1, 1)) = 'FF'"), F.col("n")).otherwise(0))
+        bare = F.expr("substring(part, 1, length(part) - 1)").cast("string")
+        lower = F.translate(bare, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary")
+        tokens = learnt.select(lower.alias("token"), "n").where(F.length("token") > 0).groupBy("token").agg(F.sum("n").alias("c"))
+        tokens = keep(tokens, "lm-tokens")
+        end = learnt.agg(ends.alias("n")).first()["n"] or 0
+        sums = tokens.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+        n_all, distinct = (sums["n"] or 0) + end, sums["v"] + (1 if end else 0)
+        top = tokens.orderBy(F.desc("c"), "token").limit(FREQUENT).collect()
+        frequent = spark.sparkContext.broadcast({bytes(r["token"]): float(np.log10(r["c"] + 1)) for r in top})  # FREQUENT words at most
+        told = train(parts)
+        for path in counted:
+            delete(spark, path)
+        rounds = max(1, min(ROUNDS, blocks // ROUND_BLOCKS))
+        done = []
+        for i in range(rounds):
+            here = F.expr(f"filter(blocks, b -> b % {rounds} = {i})")
+            asking = told.select("part", "prediction", here.alias("blocks")).where(F.size("blocks") > 0)
+            dealt = asking.mapInArrow(_dealt, "block int, sealed binary").withColumn("told", F.lit(True))
+            beside = texts.where(F.col("block") % rounds == i).withColumn("told", F.lit(False)).unionByName(dealt)
+            # By number: tasks of few bytes are long ones here, and would be put together.
+            rows = beside.repartition(-(-2 * blocks // rounds), "block").groupBy("block").applyInArrow(_score(frequent), _SCORED)
+            done.append(keep(rows.withColumn("row", F.monotonically_increasing_id() * rounds + i), "lm-scored"))
+    scored = reduce(DataFrame.unionByName, done)
     asked = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.token").alias("token"), F.col("x.n").alias("n"))
     found = asked.join(tokens, "token").groupBy("row").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("_log"))
     whole = n_all + distinct + 1

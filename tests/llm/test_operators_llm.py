@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
 import zlib
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from meterline.functions.storage import delete, recorded
 from meterline.llm import decontam, feistel, mixing, packing, probminhash, quality, secrets, tokens, toxicity, warc
 from meterline.llm.common import freeze, scratch_path
 from meterline.llm.oracles import ORACLES
@@ -416,6 +418,33 @@ def test_no_two_contexts_share_a_count(spark, monkeypatch):
         assert (got == np.clip(want, -127, 127)).all()
 
 
+def test_scores_do_not_depend_on_blocks_and_leave_little(spark, monkeypatch):
+    rows = [(i, None if i == 7 else prose(i % 50, 60) if i % 3 else "", i % 7 == 2) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").repartition(9)
+
+    def scores():
+        return sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["base_score"], r["score"]) for r in mixing.score(docs).collect())
+
+    with recorded() as left:
+        want = scores()
+        monkeypatch.setattr(mixing, "BLOCK_BYTES", 9_000)
+        monkeypatch.setattr(mixing, "ROUND_BLOCKS", 1)
+        got = scores()
+    # Only what the result reads stays.
+    labels = Counter(os.path.basename(path).rsplit("-", 1)[0] for path in left)
+    for path in left:
+        delete(spark, path)
+    assert got == want and len(want) == 300
+    assert labels == {"lm-tokens": 2, "lm-scored": 1 + mixing.ROUNDS}
+
+
+def test_a_prediction_goes_once_to_each_block():
+    told = pa.RecordBatch.from_pylist([{"part": b"a ", "prediction": b"1234", "blocks": [2, 0]}, {"part": b"b ", "prediction": b"56781234", "blocks": [2]}])
+    got = {b: mixing._unseal(data).to_pylist() for out in mixing._dealt(iter([told])) for b, data in zip(*out.to_pydict().values(), strict=True)}
+    a, b = ({k: r[k] for k in ("part", "prediction")} for r in told.to_pylist())
+    assert got == {0: [a], 2: [a, b]}
+
+
 def test_strings_with_insertions_stay_near():
     insults = [b"wretch", b"numskull", b"dunce", b"blockhead"]
     clean = [w.encode() + str(i).encode() for i in range(12) for w in WORDS] + [w.encode() for w in WORDS]

@@ -2,11 +2,12 @@
 
 import json
 import os
+import time
 
 from pyspark.sql import functions as F
 
 from meterline import adapters
-from meterline.functions.storage import children, scratch_path
+from meterline.functions.storage import children, freeze, scratch_path
 from meterline.plans.rollup import publish_rollups
 from meterline.sources import session_logs as logs
 from meterline.sources import sinks
@@ -83,3 +84,18 @@ def test_two_versions_stay_by_default(spark, tmp_path):
     versions = [sinks.replace_rollups({"usage_daily": table.withColumn("n", F.lit(k))}, str(tmp_path)) for k in range(4)]
     assert children(spark, f"{tmp_path}/versions") == sorted(versions[2:])
     assert sinks.read_rollups(spark, str(tmp_path))["usage_daily"].first().n == 3
+
+
+def test_a_frozen_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size())}
+
+    before = shuffled()
+    rows = spark.range(4_000).repartition(5, "id").groupBy((F.col("id") % 700).alias("k")).agg(F.sum("id").alias("s"))
+    frozen = freeze(rows, "shuffled")
+    until = time.time() + 20
+    while (left := {f for f in shuffled() - before if f.startswith("shuffle_")}) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert frozen.agg(F.sum("s")).first()[0] == 4_000 * 3_999 // 2
