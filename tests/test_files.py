@@ -7,8 +7,9 @@ import time
 from pyspark.sql import functions as F
 
 from meterline import adapters
-from meterline.functions.storage import children, freeze, scratch_path
+from meterline.functions.storage import children, delete, freeze, recorded, scratch_path
 from meterline.plans.rollup import publish_rollups
+from meterline.queries import QUERIES
 from meterline.sources import session_logs as logs
 from meterline.sources import sinks
 from meterline.sources.upserts import file_report
@@ -99,3 +100,12 @@ def test_a_frozen_table_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not left
     assert frozen.agg(F.sum("s")).first()[0] == 4_000 * 3_999 // 2
+
+
+def test_report_document_leaves_only_what_it_returns(spark, sf_dir):
+    with recorded() as left:
+        rows = QUERIES["report_document"](spark, sf_dir).collect()
+    for path in left:
+        delete(spark, path)
+    assert len({r["section"] for r in rows}) == len(rows) > 10
+    assert all(os.path.basename(path).startswith("section-") for path in left) and len(left) >= len(rows)
